@@ -20,18 +20,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = stash(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         # Done when no parent has a parent and no child has two.
-        state = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("children")).first()
-        parents = edges.select(F.col("v").alias("u")).distinct()
-        if state.n == state.children and edges.join(parents, "u", "left_semi").isEmpty():
+        up = edges.select(F.col("v").alias("u"), F.lit(1).alias("above")).distinct()
+        state = edges.groupBy("u").agg(F.count("*").alias("n")).join(up, "u", "left").where("n > 1 or above = 1")
+        if state.isEmpty():
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large, "large")
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        release(edges, large)
+        release(edges)
         edges = step
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -27,6 +28,7 @@ DEPTH = 6
 BITS_APART = 20
 
 _MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+_MEMBER = "node long, id long, bits long"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -139,11 +141,12 @@ def near_duplicates(
 
     Equal sets are one class, found by a 128-bit digest; only one document of a class goes further. Each takes a path
     in each of eight trees: a node chooses one or two of the 64 minwise tokens (1 / similarity on average, so that a
-    pair at the threshold keeps meeting) and its documents part by the values of these. Every node first compares
-    its members with one hub, the member with the most company; then nodes that still hold several components are
-    compared exhaustively if small and branched further if large. After DEPTH branchings a large node is worked off
-    hub by hub, so that no candidate is ever capped. One-bit tokens sieve the candidates; every link is confirmed on
-    the full sets. Work is linear in a group of copies: members already joined by a confirmed link aren't paired again.
+    pair at the threshold keeps meeting) and its documents part by the values of these; nodes larger than SMALL branch
+    again. Every node first compares its members with one hub, the member with the most company. Then small nodes that
+    still hold several components are compared exhaustively, across components, and large ones that DEPTH branchings
+    didn't part are worked off hub by hub, so that no candidate is ever capped. One-bit tokens sieve the candidates;
+    every link is confirmed on the full sets. Work is linear in a group of copies: members that a confirmed link has
+    joined aren't paired again.
 
     Nulls: a null text or one without words has an empty set and links with nothing; a row with a null id is returned
     with a null component_id and kept. Rows that repeat an id count as one document, whose links are those of any of them.
@@ -160,14 +163,12 @@ def near_duplicates(
     def confirm(pairs: DataFrame) -> DataFrame | None:
         """pairs(a, b) that are links; b is the side whose set is kept while it repeats."""
         pairs = stash(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return None
-        ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = stash(only_ids(texts, ids, "id"), "texts")
         sides = [wanted.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
         both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
         out = stash(both.mapInArrow(_confirmed(shingle, num, den), "a long, b long"), "links")
-        release(pairs, ids, wanted)
+        release(pairs, wanted)
         return None if out.isEmpty() else out
 
     def merge(parts: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
@@ -178,43 +179,49 @@ def near_duplicates(
             links = links.union(parts.where("id <> part").select(F.col("id").alias("a"), F.col("part").alias("b")))
         return stash(connected_components(links).withColumnRenamed("component", "part"), "parts")
 
-    def split(members: DataFrame, parts: DataFrame | None) -> DataFrame:
-        """members(node, id, bits) of nodes that hold several components, with part and the node's size."""
-        parts = members.sparkSession.createDataFrame([], "id long, part long") if parts is None else parts
-        known = members.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-        # A node that one branching gave to two sorts of documents has rows twice; one of each counts.
-        per_node = known.groupBy("node").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q"))
-        return known.join(per_node.where("p < q").select("node", "size"), "node")
+    def unsettled(live: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """Members of nodes that hold several components, with their component as part."""
+        if parts is None:
+            return live.withColumn("part", F.col("id"))
+        known = live.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+        per_node = known.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+        return known.join(per_node.where("p < q").select("node"), "node")
 
-    roots = classes.select(F.lit(0).cast("long").alias("node"), "id", "tokens").mapInArrow(_branch(True, second), "node long, id long, bits long")
-    members, parts, level = stash(roots.distinct(), "members"), None, 0
-    while True:
-        live = split(members, parts)
+    def stars(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The hub of each node, the member with the most company, and the other members that may be linked with it."""
         company = live.groupBy("id").agg(F.sum("size").alias("company"))
-        live = stash(live.join(company, "id"), "live")
-        hubs = live.groupBy("node").agg(F.max(F.struct("company", F.negative("id").alias("order"), "bits")).alias("hub"))
-        stars = (
-            live.join(hubs, "node")
-            .where((F.col("id") != -F.col("hub.order")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("hub.bits"))) <= BITS_APART))
-            .select(F.col("id").alias("a"), (-F.col("hub.order")).alias("b"))
-        )
-        parts = merge(parts, confirm(stars))
-        if level >= DEPTH:
-            used = hubs.select("node", (-F.col("hub.order")).alias("id"))
-            members = stash(members.join(used, ["node", "id"], "left_anti"), "members")
-        open_nodes = stash(split(members.join(live.select("node").distinct(), "node", "left_semi"), parts), "open")
-        small = open_nodes.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("id", "part", "bits")).alias("members"))
-        parts = merge(parts, confirm(small.select("members").mapInArrow(_pairs_in_small, "a long, b long")))
-        large = open_nodes.where(F.col("size") > SMALL).select("node", "id", "bits")
-        if large.isEmpty():
+        ranked = live.join(company, "id").groupBy("node").agg(F.max(F.struct("company", F.negative("id").alias("order"), "bits")).alias("hub"))
+        hubs = ranked.select("node", (-F.col("hub.order")).alias("b"), F.col("hub.bits").alias("hub_bits"))
+        apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits")))
+        return hubs, live.join(hubs, "node").where((F.col("id") != F.col("b")) & (apart <= BITS_APART)).select(F.col("id").alias("a"), "b")
+
+    members = classes.select(F.lit(0).cast("long").alias("node"), "id", "tokens").mapInArrow(_branch(True, second), _MEMBER)
+    levels: list[DataFrame] = []
+    while True:
+        members = stash(members, "members")
+        sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        levels.append(stash(members.join(sizes, "node"), "live"))
+        release(members)
+        large = levels[-1].where(F.col("size") > SMALL)
+        if len(levels) > DEPTH or large.isEmpty():
             break
-        level += 1
-        if level < DEPTH:
-            large = large.join(classes.select("id", "tokens"), "id").select("node", "id", "tokens")
-            large = large.mapInArrow(_branch(False, second), "node long, id long, bits long").distinct()
-        large = stash(large, "members")
-        release(members, live, open_nodes)
-        members = large
+        members = large.join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(_branch(False, second), _MEMBER)
+    live = reduce(DataFrame.union, levels)
+    parts = merge(None, confirm(stars(live)[1]))
+
+    leaves = reduce(DataFrame.union, [*(x.where(F.col("size") <= SMALL) for x in levels)])
+    small = unsettled(leaves, parts).groupBy("node").agg(F.collect_list(F.struct("id", "part", "bits")).alias("members")).select("members")
+    parts = merge(parts, confirm(small.mapInArrow(_pairs_in_small, "a long, b long")))
+
+    # What many branchings didn't part is nearly all one component by now. What isn't is worked off exactly: each round
+    # compares every member of a node with one more hub and takes that hub out.
+    rest = stash(unsettled(large, parts).drop("part"), "rest")
+    while not rest.isEmpty():
+        hubs, pairs = stars(rest)
+        hubs = stash(hubs.select("node", F.col("b").alias("id")), "hubs")
+        parts = merge(parts, confirm(pairs))
+        rest = stash(unsettled(rest.join(hubs, ["node", "id"], "left_anti"), parts).drop("part"), "rest")
+    release(*levels)
 
     one = sketched.select("id", "n_shingles", "digest")
     heads = classes.where("copies > 1").select("digest", F.col("id").alias("head"))
