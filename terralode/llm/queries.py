@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralode.llm import licences, oracles
+from terralode.llm._shared import scratch_dir
+from terralode.llm.decontaminate import find_leaks
+from terralode.llm.html import extract_main_text
+from terralode.llm.langid import held_out, identify_language, learn_profiles
+from terralode.llm.nearest import largest_inner_products
 from terralode.llm.neardup import near_duplicates
+from terralode.llm.packing import pack_documents
 from terralode.llm.substrings import remove_repeated_passages
+from terralode.llm.urlfilter import judge_urls
+from terralode.llm.warc import read_archives, write_archives
+
+#: Rules by host and path, and globs over ".host#path" for urls that no rule fits.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+URL_GLOBS = ["*.spam-*#*", "*cheap-pills*#*", "*#*/wp-login.php", "*#*/trackback/?*"]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,9 +39,58 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return identify_language(docs, learn_profiles(docs.where(~held_out())), ["doc_id", held_out().alias("held_out")])
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark)}/terralode/warc-{uuid.uuid4().hex}"
+    written = write_archives(_read(spark, sf_dir, "pages"), folder).agg(F.sum("files").alias("files")).first()
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    if not written.files:
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return read_archives(spark, folder, payloads=False).select(columns)
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return largest_inner_products(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_licences(_read(spark, sf_dir, "documents"))
+    return found.withColumn("line_licences", F.array_join("line_licences", ","))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_substring_dedup)}
+    ops = (
+        op1_minhash_neardup, op2_substring_dedup, op3_language_id, op4_benchmark_decontamination, op5_warc_roundtrip,
+        op6_nearest_neighbours, op7_html_main_text, op8_sequence_packing, op9_licence_digests, op10_url_filter,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op9_licence_digests": oracles.licence_digests(),
+        "op10_url_filter": oracles.URL_FILTER,
+    }
