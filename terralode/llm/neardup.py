@@ -22,8 +22,9 @@ TOKENS = 64
 TREES = 8
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 40
-#: Branchings after which a large node isn't branched any more but worked off hub by hub.
-DEPTH = 6
+#: Branchings after which a large node isn't branched any more but compared exhaustively in blocks, of about so many
+#: members outside of its largest component and so many of all.
+DEPTH, SOME, ALL = 4, 400, 2000
 #: Of the 64 one-bit tokens of a pair at 0.85, 4.8 differ on average, with a standard deviation of 2.1.
 BITS_APART = 20
 
@@ -116,6 +117,35 @@ def _pairs_in_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Large nodes in blocks of bounded size, so that all their pairs across components are looked at by many tasks:
+    (some, all_) lists of members. Nearly all members of a node may be one component by now: those of its largest
+    component aren't set against each other, but only against blocks of the rest."""
+    per_part = members.groupBy("node", "part").agg(F.count("*").alias("n"))
+    per_node = per_part.groupBy("node").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("total"))
+    known = members.join(per_node, "node").withColumn("other", F.col("part") != F.col("main.part"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    some, chunks = F.ceil((F.col("total") - F.col("main.n")) / SOME), F.ceil(F.col("total") / ALL)
+    member, last = F.struct("id", "part", "bits", "other"), lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    left = known.where("other").select("node", deal(some).alias("block"), last(chunks).alias("chunk"), member.alias("x"))
+    right = known.select("node", last(some).alias("block"), deal(chunks).alias("chunk"), member.alias("y"))
+    met = left.withColumn("y", F.lit(None).cast(right.schema["y"].dataType)).unionByName(right.withColumn("x", F.lit(None).cast(left.schema["x"].dataType)))
+    return met.groupBy("node", "block", "chunk").agg(F.collect_list("x").alias("some"), F.collect_list("y").alias("all_")).select("some", "all_")
+
+
+def _pairs_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block and a chunk of one node across components whose one-bit tokens agree enough, each once."""
+    for batch in batches:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            i, p, s, _ = (np.array([m[k] for m in x], np.int64)[:, None] for k in ("id", "part", "bits", "other"))
+            j, q, t, other = (np.array([m[k] for m in y], np.int64) for k in ("id", "part", "bits", "other"))
+            one, two = np.nonzero((np.bitwise_count(s ^ t) <= BITS_APART) & (p != q) & ((i < j) | (other == 0)))
+            a.append(i[one, 0])
+            b.append(j[two])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
 def _confirmed(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, right = None, set()
@@ -143,8 +173,8 @@ def near_duplicates(
     in each of eight trees: a node chooses one or two of the 64 minwise tokens (1 / similarity on average, so that a
     pair at the threshold keeps meeting) and its documents part by the values of these; nodes larger than SMALL branch
     again. Every node first compares its members with one hub, the member with the most company. Then small nodes that
-    still hold several components are compared exhaustively, across components, and large ones that DEPTH branchings
-    didn't part are worked off hub by hub, so that no candidate is ever capped. One-bit tokens sieve the candidates;
+    still hold several components are compared exhaustively, across components, and so are large ones that DEPTH
+    branchings didn't part, in blocks over many tasks, so that no candidate is ever capped. One-bit tokens sieve the candidates;
     every link is confirmed on the full sets. Work is linear in a group of copies: members that a confirmed link has
     joined aren't paired again.
 
@@ -213,14 +243,7 @@ def near_duplicates(
     small = unsettled(leaves, parts).groupBy("node").agg(F.collect_list(F.struct("id", "part", "bits")).alias("members")).select("members")
     parts = merge(parts, confirm(small.mapInArrow(_pairs_in_small, "a long, b long")))
 
-    # What many branchings didn't part is nearly all one component by now. What isn't is worked off exactly: each round
-    # compares every member of a node with one more hub and takes that hub out.
-    rest = stash(unsettled(large, parts).drop("part"), "rest")
-    while not rest.isEmpty():
-        hubs, pairs = stars(rest)
-        hubs = stash(hubs.select("node", F.col("b").alias("id")), "hubs")
-        parts = merge(parts, confirm(pairs))
-        rest = stash(unsettled(rest.join(hubs, ["node", "id"], "left_anti"), parts).drop("part"), "rest")
+    parts = merge(parts, confirm(_blocks(unsettled(large, parts)).mapInArrow(_pairs_between, "a long, b long")))
     release(*levels)
 
     one = sketched.select("id", "n_shingles", "digest")
