@@ -1,4 +1,4 @@
-"""The registered queries: name -> (Spark query, equivalent SQL)."""
+"""The registered queries: name -> (Spark query, the same in DuckDB's SQL, if SQL can say it)."""
 
 from __future__ import annotations
 
@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Filled by the modules of this package.
-ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+from terralode.plans import registry, relational, series, spatial, texts  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in ENTRIES.items()}
+    return {name: run for name, (run, _) in registry.ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
+    return {name: sql for name, (_, sql) in registry.ENTRIES.items() if sql}
