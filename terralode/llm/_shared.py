@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: An id set of at most so many rows (16 bytes each, under 40 MB as a hash table) may be broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Rows that go to a Python worker at once.
+ROWS_PER_BATCH = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -50,6 +53,14 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lets Python workers of this session get at most ROWS_PER_BATCH rows at once, so that texts take little memory."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "0")) <= ROWS_PER_BATCH:
+        conf.set(_BATCH, ROWS_PER_BATCH)
+    return df
+
+
 def binary(c: str) -> Column:
     """A text column as UTF-8 bytes; null stays null."""
     return F.col(c).cast("binary")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralode.llm._shared import small_batches
+
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself from which a passage retrieves it.
@@ -181,7 +183,7 @@ def find_leaks(
     known = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
     known = known.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).distinct()
     passes = max(1, -(-known.count() // PASS_ITEMS))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = None
     for p in range(passes):
         part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else known

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralode.llm._shared import stash
+from terralode.llm._shared import small_batches, stash
 
 # Element names of HTML, and what its writers call the parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,7 +241,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     in common. Rows stand alone and may repeat; other columns are ignored. An empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:]*://([^/?#]*)", 1))
-    base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    base = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     pairs = base.where("host <> ''").select("host", "html").mapInArrow(_subtrees, "host string, subtree long, content long").distinct()
     often = stash(pairs.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).select("host", "subtree"), "templates")
     gone = often.groupBy("host").agg(F.collect_list("subtree").alias("gone"))

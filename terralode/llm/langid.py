@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralode.llm._shared import small_batches
+
 #: n-grams of a profile, and of a document that are compared with it.
 DEPTH = 300
 #: About so many labelled rows of each language are learned from.
@@ -119,7 +121,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, keep: list[Column | s
     texts are judged. Rows may repeat; other columns may have any names but lang_pred and score if kept.
     """
     picked = docs.select(*keep)
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    rows = small_batches(docs).select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema), "lang_pred string", "score double"])
     return rows.mapInArrow(_judged(profiles), schema)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralode.llm._hashing import Powers, U, hashed, mix, rolled
-from terralode.llm._shared import binary, only_ids, release, stash
+from terralode.llm._shared import binary, only_ids, release, small_batches, stash
 from terralode.llm.components import connected_components
 
 #: Minwise tokens of a document from which paths are chosen.
@@ -183,7 +183,7 @@ def near_duplicates(
     Other columns are ignored and may have any names. An empty table gives an empty result.
     """
     num, den = similarity
-    base = docs.select(F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"))
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"))
     sketched = stash(base.mapInArrow(_sketches(shingle), "id long, n_shingles long, digest binary, tokens binary"), "sketches")
     named = sketched.where("id is not null and n_shingles > 0")
     classes = stash(named.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")), "classes")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terralode.llm._shared import binary
+from terralode.llm._shared import binary, small_batches
 
 #: Ids of distinct words of about so many bytes are remembered in a worker, over its tasks; then the memory starts anew.
 MEMORY_BYTES = 160 << 20
@@ -216,6 +216,6 @@ def pack_documents(
     """
     if any(s & (s - 1) or s < 1 for s in sizes):
         raise ValueError("sizes must be powers of two")
-    base = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"))
+    base = small_batches(docs).select(F.spark_partition_id().cast("long").alias("part"), F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"))
     out = base.mapInArrow(_packed(tokenizer, end_id, sizes, group), _PIECE)
     return out.withColumnRenamed("id", id_col)

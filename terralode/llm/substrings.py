@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralode.llm._hashing import Powers, U, hashed, mix, rolled
-from terralode.llm._shared import BROADCAST_IDS, binary, only_ids, release, stash
+from terralode.llm._shared import BROADCAST_IDS, binary, only_ids, release, small_batches, stash
 
 #: An automaton holds phrases of at most about so many bytes (70 bytes of memory each), and at least one phrase.
 SHARD_BYTES = 1 << 20
@@ -165,7 +165,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     Nulls: a null text has no words; a row with a null id is neither a source nor shortened. Rows with the same id
     don't count as before each other. Other columns are ignored. An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"))
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"))
     known = base.where("id is not null")
     runs = stash(known.mapInArrow(_runs(window, gram), "anchor long, content long, id long, mark long, pos int, n int"), "runs")
     groups = runs.groupBy("anchor").agg(

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralode.llm._shared import binary
+from terralode.llm._shared import binary, small_batches
 
 #: Magic number of the skippable frame that holds the dictionary, and of Zstandard's own frames (fixed by the formats).
 DICTIONARY_MAGIC = 0x184D2A5D.to_bytes(4, "little")
@@ -200,7 +200,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     which nothing refers. Rows that share the largest id of a payload are all responses. An empty table writes nothing.
     """
     payload = F.coalesce(binary(html_col), F.lit(b""))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    base = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     equal = base.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     known = base.join(equal.where("n > 1").select("digest", "first"), "digest", "left")
     again = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first"))
