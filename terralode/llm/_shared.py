@@ -53,6 +53,14 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key isn't in ids, a null key included; ids as for only_ids, written away first."""
+    ids = stash(ids, "ids")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, "left_anti")
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Lets Python workers of this session get at most ROWS_PER_BATCH rows at once, so that texts take little memory."""
     conf = df.sparkSession.conf

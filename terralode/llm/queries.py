@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,10 +81,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_minhash_neardup, op2_substring_dedup, op3_language_id, op4_benchmark_decontamination, op5_warc_roundtrip,
-        op6_nearest_neighbours, op7_html_main_text, op8_sequence_packing, op9_licence_digests, op10_url_filter,
+        op6_nearest_neighbours, op7_html_main_text, op8_sequence_packing, op9_licence_digests, op10_url_filter, pipeline,
     )
     return {f.__name__: f for f in ops}
 

@@ -88,9 +88,9 @@ def _windows(window: int):
 def _without(window: int):
     """Drops the words that an occurrence of a confirmed phrase covers."""
 
-    def strip(rows: list[tuple[int, list[bytes], list[tuple[int, int]]]]) -> Iterator[tuple[int, list[bytes], int]]:
+    def strip(rows: list[tuple]) -> Iterator[tuple[int, list[bytes], int]]:
         phrases: dict[bytes, int] = {}
-        for i, words, spans in rows:
+        for i, words, spans, _ in rows:
             for s, e in spans:
                 key = b" ".join([b"", *words[s:e], b""])
                 phrases[key] = min(i, phrases.get(key, i))
@@ -98,7 +98,7 @@ def _without(window: int):
         for key, owner in phrases.items():
             automaton.add_word(key.decode("latin-1"), (owner, len(key)))
         automaton.make_automaton()
-        for i, words, _ in rows:
+        for i, words, _, k in rows:
             starts = np.cumsum([1, *(len(w) + 1 for w in words)])
             cover = np.zeros(len(words) + 1, np.int64)
             for end, (owner, size) in automaton.iter(b" ".join([b"", *words, b""]).decode("latin-1")):
@@ -108,22 +108,23 @@ def _without(window: int):
                     cover[s] += 1
                     cover[e] -= 1
             gone = np.cumsum(cover[:-1]) > 0
-            yield i, [w for w, g in zip(words, gone.tolist(), strict=True) if not g], len(words)
+            yield k, [w for w, g in zip(words, gone.tolist(), strict=True) if not g], len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, runs = (c.to_pylist() for c in batch.columns)
-            out: dict[str, list] = {"id": [], "kept": [], "n_words": [], "n_removed": []}
+            ids, texts, runs = (c.to_pylist() for c in batch.columns[:3])
+            kept, sizes, gone = [None] * len(ids), [0] * len(ids), [0] * len(ids)
+            rows: list[tuple[int | None, list[bytes], list[tuple[int, int]], int]] = []
+            size = 0
 
-            def put(i: int | None, kept: list[bytes], n: int, out: dict[str, list] = out) -> None:
-                for name, value in zip(out, (i, b" ".join(kept), n, n - len(kept)), strict=True):
-                    out[name].append(value)
+            def flush(rows: list[tuple], kept: list = kept, sizes: list = sizes, gone: list = gone) -> None:
+                for k, left, n in strip(rows):
+                    kept[k], sizes[k], gone[k] = b" ".join(left), n, n - len(left)
 
-            rows, size = [], 0
-            for i, text, found in zip(ids, texts, runs, strict=True):
+            for k, (i, text, found) in enumerate(zip(ids, texts, runs, strict=True)):
                 words = (text or b"").split()
                 if not found:
-                    put(i, words, len(words))
+                    kept[k], sizes[k] = b" ".join(words), len(words)
                     continue
                 spans: list[list[int]] = []
                 for s, n in sorted((r["pos"], r["n"]) for r in found):
@@ -131,26 +132,23 @@ def _without(window: int):
                         spans[-1][1] = max(spans[-1][1], s + n + window - 1)
                     else:
                         spans.append([s, s + n + window - 1])
-                rows.append((i, words, spans))
+                rows.append((i, words, spans, k))
                 size += sum(len(w) + 1 for s, e in spans for w in words[s:e])
                 if size >= SHARD_BYTES:
-                    for row in strip(rows):
-                        put(*row)
+                    flush(rows)
                     rows, size = [], 0
             if rows:
-                for row in strip(rows):
-                    put(*row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["id"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64())],
-                names=list(out),
-            )
+                flush(rows)
+            columns = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *columns], names=["id", *batch.schema.names[3:], "kept", "n_words", "n_removed"])
 
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes each word covered by a window of so many consecutive words whose sequence also starts in a document
-    with a smaller id. Returns (id, kept, n_words, n_removed); kept is the words left, joined by one space.
+    with a smaller id. Returns (id, *keep, kept, n_words, n_removed): kept is the words left, joined by one
+    space; keep names columns that go along, other than those.
     Windows are judged on the input, not on what is left of it.
 
     A document is cut into runs of windows that share an anchor, the least hash of the 16-word grams in the window: a
@@ -165,8 +163,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     Nulls: a null text has no words; a row with a null id is neither a source nor shortened. Rows with the same id
     don't count as before each other. Other columns are ignored. An empty table gives an empty result.
     """
-    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"))
-    known = base.where("id is not null")
+    whole_rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    known = whole_rows.select("id", "text").where("id is not null")
     runs = stash(known.mapInArrow(_runs(window, gram), "anchor long, content long, id long, mark long, pos int, n int"), "runs")
     groups = runs.groupBy("anchor").agg(
         F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("content") != F.max("content")).alias("mixed")
@@ -190,12 +188,14 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     release(runs, heads, windows)
     hit = spans.select("id").distinct()
     few = hit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    marked = base.withColumn("mark", F.crc32(F.coalesce("text", F.lit(b""))))
+    marked = whole_rows.withColumn("mark", F.crc32(F.coalesce("text", F.lit(b""))))
+    columns = ["id", "text", "spans", *(f"keep_{c}" for c in keep)]
     if few:
-        near = marked.join(F.broadcast(hit), "id", "left_semi").join(spans, ["id", "mark"], "left").select("id", "text", "spans")
-        far = marked.join(F.broadcast(hit), "id", "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+        near = marked.join(F.broadcast(hit), "id", "left_semi").join(spans, ["id", "mark"], "left").select(*columns)
+        far = marked.join(F.broadcast(hit), "id", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*columns)
         rows = near.union(far)
     else:
-        rows = marked.join(spans, ["id", "mark"], "left").select("id", "text", "spans")
-    out = rows.mapInArrow(_without(window), "id long, kept binary, n_words long, n_removed long")
-    return out.select(F.col("id").alias(id_col), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed")
+        rows = marked.join(spans, ["id", "mark"], "left").select(*columns)
+    more = "".join(f"`keep_{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    out = rows.mapInArrow(_without(window), f"id long, {more}kept binary, n_words long, n_removed long")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed")
