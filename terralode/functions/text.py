@@ -88,7 +88,7 @@ def last_segment(c: Column) -> Column:
 
 def checklist(c: Column) -> Column:
     """Non-empty trimmed lines."""
-    return F.filter(F.transform(F.split(c, r"\r?\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\r?\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def soil_class(c: Column) -> Column:
