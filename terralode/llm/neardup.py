@@ -16,7 +16,7 @@ from terralode.llm._shared import binary, only_ids, release, small_batches, stas
 from terralode.llm.components import connected_components
 
 #: Minwise tokens of a document from which paths are chosen.
-TOKENS = 64
+TOKENS = 128
 #: Independent trees. A pair at a similarity of 0.85 meets in one tree with probability 0.87 after one branching and
 #: 0.59 after five, so in one of eight with 0.9999999 and 0.999.
 TREES = 8
@@ -24,11 +24,14 @@ TREES = 8
 SMALL = 40
 #: Branchings after which a large node isn't branched any more but compared exhaustively in blocks, of about so many
 #: members outside of its largest component and so many of all.
-DEPTH, SOME, ALL = 4, 400, 2000
+DEPTH, SOME, ALL = 4, 200, 1000
 #: Of the 64 one-bit tokens of a pair at 0.85, 4.8 differ on average, with a standard deviation of 2.1.
 BITS_APART = 20
 
 _MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+#: Deviations below the mean at which the tokens two documents share rule a link out (1e-5 of the links at the threshold).
+SURE = 4.2
+
 _MEMBER = "node long, id long, bits long"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -72,9 +75,9 @@ def _sketches(k: int):
 
 
 def _one_bits(tokens: np.ndarray) -> np.ndarray:
-    """One bit of each token, as a 64-bit integer."""
-    bits = (mix(tokens.astype(U)) & U(1)).astype(U)
-    return (bits << np.arange(TOKENS, dtype=U)).sum(axis=1, dtype=U).view(np.int64)
+    """One bit of each of 64 tokens, as an integer."""
+    bits = (mix(tokens[:, :64].astype(U)) & U(1)).astype(U)
+    return (bits << np.arange(64, dtype=U)).sum(axis=1, dtype=U).view(np.int64)
 
 
 def _branch(root: bool, second: float):
@@ -126,24 +129,54 @@ def _blocks(members: DataFrame) -> DataFrame:
     known = members.join(per_node, "node").withColumn("other", F.col("part") != F.col("main.part"))
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     some, chunks = F.ceil((F.col("total") - F.col("main.n")) / SOME), F.ceil(F.col("total") / ALL)
-    member, last = F.struct("id", "part", "bits", "other"), lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    member, last = F.struct("id", "part", "other", "tokens", "text"), lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
     left = known.where("other").select("node", deal(some).alias("block"), last(chunks).alias("chunk"), member.alias("x"))
     right = known.select("node", last(some).alias("block"), deal(chunks).alias("chunk"), member.alias("y"))
-    met = left.withColumn("y", F.lit(None).cast(right.schema["y"].dataType)).unionByName(right.withColumn("x", F.lit(None).cast(left.schema["x"].dataType)))
+    met = left.unionByName(right, allowMissingColumns=True)
     return met.groupBy("node", "block", "chunk").agg(F.collect_list("x").alias("some"), F.collect_list("y").alias("all_")).select("some", "all_")
 
 
-def _pairs_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block and a chunk of one node across components whose one-bit tokens agree enough, each once."""
-    for batch in batches:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            i, p, s, _ = (np.array([m[k] for m in x], np.int64)[:, None] for k in ("id", "part", "bits", "other"))
-            j, q, t, other = (np.array([m[k] for m in y], np.int64) for k in ("id", "part", "bits", "other"))
-            one, two = np.nonzero((np.bitwise_count(s ^ t) <= BITS_APART) & (p != q) & ((i < j) | (other == 0)))
-            a.append(i[one, 0])
-            b.append(j[two])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+def _links_between(k: int, num: int, den: int):
+    """Links of a block with a chunk of one node across components, as many as join components. Tokens sieve the pairs,
+    hashes of all shingles decide."""
+    share = num / den + (1 - num / den) / 256
+    least = share * TOKENS - SURE * (TOKENS * share * (1 - share)) ** 0.5
+
+    def found(x: list[dict], y: list[dict], powers: Powers) -> Iterator[tuple[int, int]]:
+        (p, _, s), (q, other, t) = ((np.array([m["part"] for m in z]), np.array([m["other"] for m in z]), np.frombuffer(b"".join(m["tokens"] for m in z), np.uint32).reshape(-1, TOKENS).astype(np.uint8)) for z in (x, y))
+        sets: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def kinds(m: dict) -> np.ndarray:
+            if m["id"] not in sets:
+                words = next(hashed([m["text"].translate(_LOWER)], powers))[1]
+                sets[m["id"]] = np.unique(rolled(words, k)) if len(words) >= k else rolled(words, len(words))
+            return sets[m["id"]]
+
+        def top(part: int) -> int:
+            while part in root:
+                part = root[part]
+            return part
+
+        for a, one in enumerate(x):
+            able = ((t == s[a]).sum(axis=1) >= least) & (q != p[a])
+            for b in np.flatnonzero(able).tolist():
+                two = y[b]
+                if (not other[b] or one["id"] < two["id"]) and (u := top(one["part"])) != (v := top(two["part"])):
+                    left, right = kinds(one), kinds(two)
+                    both = len(np.intersect1d(left, right, assume_unique=True))
+                    if den * both >= num * (len(left) + len(right) - both):
+                        root[max(u, v)] = min(u, v)
+                        yield one["id"], two["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for some, all_ in zip(*batch.columns, strict=True):
+                pairs = list(found(some.as_py(), all_.as_py(), powers))
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def _confirmed(k: int, num: int, den: int):
@@ -243,7 +276,12 @@ def near_duplicates(
     small = unsettled(leaves, parts).groupBy("node").agg(F.collect_list(F.struct("id", "part", "bits")).alias("members")).select("members")
     parts = merge(parts, confirm(small.mapInArrow(_pairs_in_small, "a long, b long")))
 
-    parts = merge(parts, confirm(_blocks(unsettled(large, parts)).mapInArrow(_pairs_between, "a long, b long")))
+    if not large.isEmpty():
+        left_over = stash(unsettled(large, parts).join(classes.select("id", "tokens"), "id"), "leftover")
+        wanted = only_ids(texts, left_over.select("id").distinct(), "id").dropDuplicates(["id"])
+        links = _blocks(left_over.join(wanted, "id")).mapInArrow(_links_between(shingle, num, den), "a long, b long")
+        parts = merge(parts, confirm(links))
+        release(left_over)
     release(*levels)
 
     one = sketched.select("id", "n_shingles", "digest")

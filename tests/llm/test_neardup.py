@@ -1,4 +1,5 @@
 from itertools import combinations
+from random import Random
 
 from terralode.llm.components import connected_components
 from terralode.llm.neardup import near_duplicates, shingle_set
@@ -60,3 +61,18 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_a_large_family_around_the_threshold(spark):
+    """Nodes that no branching parts and that stay several components: some members link, others only nearly."""
+    rng = Random(5)
+    rows = []
+    for c in range(150):
+        words = [f"w{i}" for i in range(120)]
+        for _ in range(rng.choice((0, 1, 2, 4, 8))):
+            words[rng.randrange(120)] = f"c{c}_{rng.randrange(99)}"
+        rows.append((c, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups(rows, 3, 85, 100)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=3, similarity=(85, 100)).collect()}
+    assert got == want and 1 < len(set(want.values())) < 150
