@@ -17,9 +17,9 @@ from terralode.llm.components import connected_components
 
 #: Minwise tokens of a document from which paths are chosen.
 TOKENS = 128
-#: Independent trees. A pair at a similarity of 0.85 meets in one tree with probability 0.87 after one branching and
-#: 0.59 after five, so in one of eight with 0.9999999 and 0.999.
-TREES = 8
+#: Independent trees. A pair at a similarity of 0.85 meets in one tree with probability 0.85 after one branching and
+#: about 0.54 after five, so in one of twelve with 1 - 1e-10 and 1 - 1e-4.
+TREES = 12
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 40
 #: Branchings after which a large node isn't branched any more but compared exhaustively in blocks, of about so many
@@ -203,7 +203,7 @@ def near_duplicates(
     their sets of word shingles. Returns (id, n_shingles, component_id, kept) under the name of id_col.
 
     Equal sets are one class, found by a 128-bit digest; only one document of a class goes further. Each takes a path
-    in each of eight trees: a node chooses one or two of the 64 minwise tokens (1 / similarity on average, so that a
+    in each of twelve trees: a node chooses one or two of the 64 minwise tokens (1 / similarity on average, so that a
     pair at the threshold keeps meeting) and its documents part by the values of these; nodes larger than SMALL branch
     again. Every node first compares its members with one hub, the member with the most company. Then small nodes that
     still hold several components are compared exhaustively, across components, and so are large ones that DEPTH
