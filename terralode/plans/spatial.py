@@ -53,7 +53,7 @@ t AS (SELECT "row" AS r0, col AS c0, "row" AS r, col AS c, 0 AS steps FROM f UNI
 """
 
 
-def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traced_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = grid.traced(grid.downstream(grid.d8_pointers(cells(spark, sf_dir))), _kept)
     return flow.select(F.shiftright("cell", 32).alias("row"), F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF)).alias("col"), F.shiftright("outlet", 32).alias("outlet_row"), F.col("outlet").bitwiseAND(F.lit(0xFFFFFFFF)).alias("outlet_col"), "steps", "area")
 
@@ -62,12 +62,12 @@ def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r0 AS "row", c0 AS col, arg_max(r, steps) AS outlet_row, arg_max(c, steps) AS outlet_col, max(steps)::BIGINT AS steps FROM t GROUP BY 1, 2
 """)
 def d8_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _traced(spark, sf_dir).drop("area")
+    return traced_cells(spark, sf_dir).drop("area")
 
 
 @query(_FLOW + 'SELECT r AS "row", c AS col, count(*) AS accumulation FROM t GROUP BY 1, 2')
 def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _traced(spark, sf_dir).select("row", "col", F.col("area").alias("accumulation"))
+    return traced_cells(spark, sf_dir).select("row", "col", F.col("area").alias("accumulation"))
 
 
 @query("""
