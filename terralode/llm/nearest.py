@@ -21,7 +21,7 @@ GROUP, CODES = 2, 16
 #: (d - 1) T**2 / (1 - T**2) times as much as others (Guo et al., 2020).
 THRESHOLD = 0.2
 #: Rows that a block of queries or of candidates has on average; candidates for each query that are reranked exactly.
-QUERY_BLOCK, ROW_BLOCK, RERANK = 2048, 16384, 160
+QUERY_BLOCK, ROW_BLOCK, RERANK = 512, 1 << 17, 160
 
 
 @dataclass(frozen=True)
