@@ -27,6 +27,8 @@ CHROME_WORDS = frozenset(
     notices overlay pagination popup promo promoted recommended related replies respond share sharing sidebar sitemap
     skip social sponsor sponsored subscribe subscription toolbar widget""".split()
 )
+#: Of these, those that tell wherever they stand in a name; the others only do first or last in it.
+TELLING = frozenset("ads advert adverts advertisement advertising comment comments cookie cookies gdpr newsletter sidebar sponsored".split())
 CLOSES_P = frozenset(
     """address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 header hgroup hr main menu nav ol p pre section table ul""".split()
@@ -121,7 +123,7 @@ def is_chrome(node: Node, in_article: bool) -> bool:
         return True
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
         words = [w for w in re.split(r"[^a-z0-9]+|\d+$", name) if w]
-        if words and words[0] not in ("has", "with", "no") and not CHROME_WORDS.isdisjoint((words[0], words[-1])):
+        if words and not {"has", "with", "no"} & {*words} and (CHROME_WORDS & {words[0], words[-1]} or TELLING & {*words}):
             if not (in_article and words[-1] == "header"):
                 return True
     return False
