@@ -13,13 +13,13 @@ def brute(rows, window):
         for p in range(len(words) - window + 1) if i is not None else ():
             if first[tuple(words[p : p + window])] < i:
                 gone.update(range(p, p + window))
-        out.append((i or -1, b" ".join(w for k, w in enumerate(words) if k not in gone).decode(), len(words), len(gone)))
+        out.append((-1 if i is None else i, b" ".join(w for k, w in enumerate(words) if k not in gone).decode(), len(words), len(gone)))
     return sorted(out)
 
 
 def check(docs, window=50):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = sorted((r.doc_id or -1, r.kept, r.n_words, r.n_removed) for r in remove_repeated_passages(docs, window=window).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.kept, r.n_words, r.n_removed) for r in remove_repeated_passages(docs, window=window).collect())
     assert got == brute(rows, window)
     return got
 
