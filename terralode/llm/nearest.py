@@ -1,4 +1,5 @@
-"""Largest inner products: score-aware (anisotropic) 4-bit quantisation, table scans, exact reranking."""
+"""Largest inner products: score-aware (anisotropic) 4-bit quantisation, table scans, exact reranking
+of every row that the codes can't rule out."""
 
 from __future__ import annotations
 
@@ -20,8 +21,10 @@ GROUP, CODES = 2, 16
 #: Score below which the direction of an error doesn't matter, as a share of a vector's length: parallel errors weigh
 #: (d - 1) T**2 / (1 - T**2) times as much as others (Guo et al., 2020).
 THRESHOLD = 0.2
-#: Rows that a block of queries or of candidates has on average; candidates for each query that are reranked exactly.
-QUERY_BLOCK, ROW_BLOCK, RERANK = 512, 1 << 17, 160
+#: Rows that a block of queries or of candidates has on average at most, and numbers in such a block of candidates.
+QUERY_BLOCK, ROW_BLOCK, BLOCK_VALUES = 4096, 1 << 17, 1 << 23
+#: Queries whose tables are made at once.
+TABLES_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -86,68 +89,96 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     return np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, 0))
 
 
-def _encoded(books: Codebooks):
+def _encoded(books: Codebooks, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each class its ids, its codes, its vector, and a bound of what a unit vector's product with it may be more
+        than the sum of the table entries: the length of the error, and what single precision loses."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            packed = []
+            packed, errors = [], []
             x = _matrix(batch.column(1))
+            every = np.arange(books.values.shape[0])
             for at in range(0, len(x), 2048):
-                codes = books.encode(x[at : at + 2048])
+                part = x[at : at + 2048]
+                codes = books.encode(part)
                 packed += [r.tobytes() for r in codes[:, 0::2] | codes[:, 1::2] << 4]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["vec_id", "code"])
+                near = books.values[every, codes]
+                lost = (len(every) + 16) * 2.0**-24 * np.sqrt(np.square(near).sum(axis=(1, 2)))
+                errors.append(np.sqrt(np.square(books.padded(part) - near).sum(axis=(1, 2))) * (1 + 1e-6) + lost)
+            vectors = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+            columns = [batch.column(0), pa.array(packed, pa.binary()), pa.array(np.concatenate(errors)), vectors]
+            yield pa.RecordBatch.from_arrays(columns, names=["ids", "code", "error", "vector"])
 
     return run
 
 
-def _scan(books: Codebooks, keep: int):
+def _kth(scores: np.ndarray, k: int) -> float:
+    """The k-th largest, or minus infinity where there are fewer."""
+    return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+
+
+def _scan(books: Codebooks, kind: type, k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """The best rows of a block for each query of a block, by sums of table entries: one table of 256 entries for
-        each byte, that is for two 4-bit codes."""
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "rough": []})
+        """The k best rows of a block for each query of a block. Rough scores are sums of table entries: one table of 256
+        entries for each byte, that is for two 4-bit codes. The exact scores of the roughly best classes give a k-th
+        best score; every class whose rough score and error bound together reach it is scored on its vector."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        vectors = np.frombuffer(b"".join(rows["vector"]), kind).reshape(len(rows), -1)
+        single = vectors.astype(np.float32, copy=False)
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1).T.copy()
-        ids, out = rows["vec_id"].to_numpy(), []
-        parts = books.padded(_matrix(queries["embedding"]))
-        tables = np.einsum("qgd,gcd->qgc", parts, books.values).astype(np.float32)
-        pairs = (tables[:, 1::2, :, None] + tables[:, 0::2, None, :]).reshape(len(parts), len(codes), 256)
-        n = min(keep + 1, len(ids))  # one more than is kept: a query itself may be among them
-        for q, table in zip(queries["vec_id"], pairs, strict=True):
-            rough = np.zeros(len(ids), np.float32)
-            for t, c in zip(table, codes, strict=True):
-                rough += t.take(c)
-            top = np.argpartition(-rough, n - 1)[:n]
-            top = top[ids[top] != q]
-            out.append((np.full(len(top), q), ids[top], rough[top]))
-        query, vec, rough = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": query, "vec_id": vec, "rough": rough})
+        error = np.nextafter(rows["error"].to_numpy().astype(np.float32), np.float32(np.inf))
+        n, sizes = len(rows), rows["ids"].map(len).to_numpy(np.int64)
+        ids = np.concatenate([*rows["ids"], np.zeros(0, np.int64)]).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        lone = np.flatnonzero(sizes == 1)  # a query's own class counts for it only where it has other rows
+        lone = lone[np.argsort(ids[starts[lone]], kind="stable")]
+        lone_ids = ids[starts[lone]]
+        #: What scores in single precision are off at most, for unit queries.
+        loss = (vectors.shape[1] + 16) * 2.0**-23 * np.sqrt(np.square(vectors.astype(np.float64)).sum(axis=1)).max(initial=0)
+        asked, names = _matrix(queries["embedding"]), queries["vec_id"].to_numpy()
+        for at in range(0, len(asked) if n else 0, TABLES_AT_ONCE):
+            some = asked[at : at + TABLES_AT_ONCE]
+            units = some / np.linalg.norm(some, axis=1)[:, None]
+            tables = np.einsum("qgd,gcd->qgc", books.padded(units), books.values).astype(np.float32)
+            pairs = (tables[:, 1::2, :, None] + tables[:, 0::2, None, :]).reshape(len(some), len(codes), 256)
+            for q, x, unit, table in zip(names[at : at + TABLES_AT_ONCE], some, units.astype(np.float32), pairs, strict=True):
+                rough = np.zeros(n, np.float32)
+                for t, c in zip(table, codes, strict=True):
+                    rough += t.take(c)
+                own = lone[np.searchsorted(lone_ids, q) : np.searchsorted(lone_ids, q, "right")]
+                rough[own] = -np.inf
+                least = -np.inf
+                if n - len(own) > (m := 4 * k):
+                    first = np.argpartition(rough, n - m)[n - m :]
+                    least = _kth(np.nan_to_num(single[first] @ unit, nan=-np.inf, posinf=np.inf, neginf=-np.inf), k) - 2 * loss
+                may = ~(rough + error < least)  # what isn't a number stays
+                may[own] = False
+                left = np.flatnonzero(may)
+                scores = single[left] @ unit
+                left = left[~(scores < _kth(np.nan_to_num(scores, nan=-np.inf, posinf=np.inf, neginf=-np.inf), k) - 2 * loss)]
+                # In double precision, summed from the first dimension to the last.
+                scores = np.cumsum(vectors[left] * x, axis=1)[:, -1]
+                of = np.repeat(np.arange(len(left)), sizes[left])
+                found = ids[np.repeat(starts[left], sizes[left]) + np.arange(len(of)) - np.repeat(np.cumsum(sizes[left]) - sizes[left], sizes[left])]
+                of, found = of[found != q], found[found != q]
+                best = np.lexsort((found, -scores[of]))[:k]
+                out.append((np.full(len(best), q), found[best], scores[of[best]]))
+        query, vec, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
     return run
 
 
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Inner products in double precision, summed from the first dimension to the last."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-        total = np.zeros(len(a))
-        for j in range(a.shape[1]):
-            total += a[:, j] * b[:, j]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(total)], names=["query_id", "vec_id", "score"])
-
-
-def largest_inner_products(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK
-) -> DataFrame:
+def largest_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows of vectors with the largest inner product for each row of queries, other than the query's own id:
     (query_id, rank, vec_id, score), nearest first, ties to the smaller id. All rows where there are no more than k.
 
-    Codebooks are fitted on at most FIT_ROWS rows, those whose ids hash lowest; every row is encoded: 4 bits for two
-    dimensions, under a loss that weighs errors along a vector more than those across it. Blocks of queries meet blocks
-    of rows, as tasks of bounded size; each scans its codes by tables and keeps `rerank` rows for a query. The best
-    `rerank` of these over all blocks are scored exactly on the original vectors, in double precision.
+    Codebooks are fitted on at most FIT_ROWS rows, those whose ids hash lowest. Equal vectors are one class, which keeps
+    its k + 1 smallest ids; every class is encoded: 4 bits for two dimensions, under a loss that weighs errors along a
+    vector more than those across it. Blocks of queries meet blocks of classes, as tasks of bounded size; each scans its
+    codes by tables and scores on the original vectors, in double precision, every class whose rough score and error
+    bound together reach the k-th best exact score. So the result is exact, whatever the number of rows or of copies.
 
     Vectors that are null, zero or hold null or non-finite components take no part, as query or as candidate, nor do
     those with a null id or another length than most of the fitted rows. Rows that repeat an id and a vector count once.
@@ -157,11 +188,12 @@ def largest_inner_products(
     sound = x.isNotNull() & F.col("vec_id").isNotNull() & (F.size(x) > 0)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
 
-    def clean(df: DataFrame) -> DataFrame:
-        named = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    def clean(df: DataFrame, kind: str) -> DataFrame:
+        named = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("embedding"))
         return named.where(sound).where(finite)
 
-    rows = clean(vectors)
+    plain = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    rows = clean(vectors, "float" if plain else "double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
@@ -169,25 +201,26 @@ def largest_inner_products(
     dims = [len(r.embedding) for r in sample]
     dim = max(sorted(set(dims)), key=dims.count)
     books = fit_codebooks(np.array([r.embedding for r in sample if len(r.embedding) == dim]))
-    rows, asked = (df.where(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"]) for df in (rows, clean(queries)))
-    codes = stash(rows.mapInArrow(_encoded(books), "vec_id long, code binary"), "codes")
+    rows, asked = (df.where(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"]) for df in (rows, clean(queries, "double")))
+    # Spark keeps the first rows of each task before it shuffles, so that a class of many copies is spread.
+    first = rows.withColumn("at", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("at") <= k + 1)
+    classes = first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "embedding")
+    kind = np.float32 if plain else np.float64
+    codes = stash(classes.mapInArrow(_encoded(books, kind), "ids array<long>, code binary, error double, vector binary"), "codes")
     asked = stash(asked, "queries")
     n_rows, n_asked = codes.count(), asked.count()
     if not n_asked:
         return empty
-    blocks, parts = -(-n_rows // ROW_BLOCK), -(-n_asked // QUERY_BLOCK)
-    deal = lambda c, n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(c)
+    blocks = -(-n_rows // max(1, min(ROW_BLOCK, BLOCK_VALUES // dim)))
+    # At least two tasks for each core, if there are enough queries.
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n_asked // QUERY_BLOCK), min(-(-tasks // blocks), -(-n_asked // 64)))
+    deal = lambda of, c, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int").alias(c)
     each = lambda c, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
-    left = codes.select("*", deal("block", blocks)).select("*", each("part", parts))
-    right = asked.select("*", deal("part", parts)).select("*", each("block", blocks))
+    left = codes.select("*", deal(F.col("ids")[0], "block", blocks)).select("*", each("part", parts))
+    right = asked.select("*", deal(F.col("vec_id"), "part", parts)).select("*", each("block", blocks))
     met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
-    rough = met.applyInPandas(_scan(books, rerank), "query_id long, vec_id long, rough float")
-    # Spark keeps the best of each task before it shuffles.
-    order = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id")
-    short = rough.withColumn("at", F.row_number().over(order)).where(F.col("at") <= rerank).select("query_id", "vec_id")
-    pairs = short.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), "query_id")
-    pairs = pairs.join(rows.select("vec_id", F.col("embedding").alias("b")), "vec_id").select("query_id", "vec_id", "a", "b")
-    exact = pairs.mapInArrow(_products, "query_id long, vec_id long, score double")
+    exact = met.applyInPandas(_scan(books, kind, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = stash(exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
     release(codes, asked)

@@ -3,7 +3,9 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from terralode.llm import html, urlfilter, warc
 from terralode.llm.nearest import fit_codebooks, largest_inner_products
@@ -105,6 +107,24 @@ def test_nearest_odd_rows(spark):
     assert largest_inner_products(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
+def assert_exact(spark, x, asked):
+    """Ranks, ids and scores are those of comparing all."""
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    ids = np.random.default_rng(6).permutation(len(x))
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in largest_inner_products(vectors, vectors.where(F.col("vec_id").isin(ids[asked].tolist()))).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for a in asked:
+        score = np.cumsum(x.astype(np.float64) * x[a].astype(np.float64), axis=1)[:, -1]
+        order = [i for i in np.lexsort((ids, -score)) if i != a][:20]
+        assert sorted(got[ids[a]]) == [(n + 1, ids[i], score[i]) for n, i in enumerate(order)]
+
+
+def test_nearest_is_exact_on_many_rows(spark):
+    assert_exact(spark, np.random.default_rng(5).normal(size=(30_000, 64)), np.arange(60))
+
+
 def test_codebooks_weigh_parallel_errors():
     """Errors along a vector are smaller than under codes that weigh all errors alike."""
     x = np.random.default_rng(3).normal(size=(1000, 64))
