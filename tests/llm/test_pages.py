@@ -125,6 +125,14 @@ def test_nearest_is_exact_on_many_rows(spark):
     assert_exact(spark, np.random.default_rng(5).normal(size=(30_000, 64)), np.arange(60))
 
 
+def test_nearest_is_exact_among_copies(spark):
+    """A quarter of the rows are copies of one vector, a quarter near copies of it that share its code."""
+    x = np.random.default_rng(5).normal(size=(20_000, 16))
+    x[10_000:] = x[0]
+    x[15_000:, 0] += np.arange(5000) * 1e-6
+    assert_exact(spark, x, np.array([0, 1, 2, 10_001, 19_999]))
+
+
 def test_codebooks_weigh_parallel_errors():
     """Errors along a vector are smaller than under codes that weigh all errors alike."""
     x = np.random.default_rng(3).normal(size=(1000, 64))
