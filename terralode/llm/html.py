@@ -204,7 +204,15 @@ def template_candidates(root: Node) -> tuple[bytes, list[bytes]]:
 
 def main_text(root: Node, gone: frozenset[bytes]) -> str:
     inside = articles(root)
-    return "\n".join([t for x in inside for t in blocks(x, gone, True)] if inside else blocks(root, gone, False))
+    if not inside:
+        return "\n".join(blocks(root, gone, False))
+    out = []
+    for x in inside:
+        whole = blocks(x, frozenset(), True)
+        left = blocks(x, gone, True) if gone else whole
+        # What holds most of an article is no template, however often it recurs.
+        out += left if 2 * sum(map(len, left)) >= sum(map(len, whole)) else whole
+    return "\n".join(out)
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +220,10 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, own, subtrees = [], [], []
         for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             content, found = template_candidates(parse(html or ""))
+            found = [None, *found]  # none: the page itself
             hosts += [host] * len(found)
             own += [int.from_bytes(content, "little", signed=True)] * len(found)
-            subtrees += [int.from_bytes(x, "little", signed=True) for x in found]
+            subtrees += [None if x is None else int.from_bytes(x, "little", signed=True) for x in found]
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(own, pa.int64())], names=["host", "subtree", "content"])
 
 
@@ -226,18 +235,20 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = 10) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = 10, share: float = 0.1) -> DataFrame:
     """(id, url, text) of each page: the text of its article, a line for each block.
 
     Site templates: the block subtrees around a page's content are hashed and counted for each host, once for each
     different content, so that copies of one page don't make a template of it; subtrees that stand around `many`
-    contents or more of a host are deleted. What HTML itself marks as menu, header, footer, form, script and the like,
-    by element, role, class or id, goes too. If a page has an article (or main) element, its text is that of these, and
-    only boxes in them are deleted for recurring, no paragraphs, since articles may share passages.
+    contents or more of a host, and around `share` of all its contents at least, are deleted. So a host of fewer than
+    `many` contents has no template. What HTML itself marks as menu, header, footer, form, script and the like, by
+    element, role, class or id, goes too. If a page has an article (or main) element, its text is that of these, and
+    only boxes in them are deleted for recurring, no paragraphs of their own, since articles may share passages; none
+    is deleted from an article that would lose more than half of its text by that.
 
     Counting pairs of subtree and content is combined before the shuffle and keyed on host and subtree, so that a host
     with a third of all pages is spread. The subtrees to delete reach a host's pages by a join on host, which adaptive
-    execution splits where a host is hot. A host has few: each stands on `many` of its pages at least.
+    execution splits where a host is hot. A host has few: each stands around `share` of its contents at least.
 
     Nulls: a null html or one without text gives an empty text; a null url counts as a host of its own with no pages
     in common. Rows stand alone and may repeat; other columns are ignored. An empty table gives an empty result.
@@ -245,7 +256,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:]*://([^/?#]*)", 1))
     base = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     pairs = base.where("host <> ''").select("host", "html").mapInArrow(_subtrees, "host string, subtree long, content long").distinct()
-    often = stash(pairs.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).select("host", "subtree"), "templates")
+    counts = stash(pairs.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("subtree").isNull() | (F.col("n") >= many)), "counts")
+    contents = counts.where("subtree is null").select("host", F.col("n").alias("contents"))
+    often = counts.where("subtree is not null").join(contents, "host").where(F.col("n") >= share * F.col("contents"))
+    often = stash(often.select("host", "subtree"), "templates")  # so that its size is known to the join with the pages
     gone = often.groupBy("host").agg(F.collect_list("subtree").alias("gone"))
     rows = base.join(gone, "host", "left").select("id", "url", "html", "gone")
     out = rows.mapInArrow(_extracted, "id long, url string, text string")

@@ -57,6 +57,17 @@ def test_site_templates(spark):
     assert html.extract_main_text(pages.limit(0)).collect() == []
 
 
+def test_recurring_boxes_within_articles(spark):
+    """A list that ten of many articles share stays, and so does a body under different headings; a small box on all goes."""
+    tip, box = "<ul><li>tip one<li>tip two</ul>", "<div><p>Follow us</p></div>"
+    hot = [(k, f"http://hot/{k}", f"<article>{box}<h1>T{k}</h1><p>Body {k} of a page</p>{tip if k < 10 else ''}</article>") for k in range(150)]
+    same = [(1000 + k, f"http://same/{k}", f"<article><h1>T{k}</h1><div><div><p>body one</p></div><div><p>body two</p></div></div></article>") for k in range(12)]
+    pages = spark.createDataFrame(hot + same, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_main_text(pages).collect()}
+    assert [got[k] for k in range(150)] == [f"T{k}\nBody {k} of a page" + "\ntip one\ntip two" * (k < 10) for k in range(150)]
+    assert [got[1000 + k] for k in range(12)] == [f"T{k}\nbody one\nbody two" for k in range(12)]
+
+
 def test_globs_equal_plain_matching():
     rng = random.Random(1)
     globs = ["".join(rng.choice("ab*?") for _ in range(rng.randint(0, 12))) for _ in range(60)]
