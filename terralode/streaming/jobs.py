@@ -1,5 +1,5 @@
-"""Stateful work on event streams: windows, rate limits, alerts and status checks. Each has a batch twin among the
-registered queries, with which the tests compare it."""
+"""Stateful work on event streams: windows, rate limits, alerts and status checks. Windows, sessions and status checks have
+batch twins among the registered queries; alerts have none, and rate_limit_window counts all events, not the allowed."""
 
 from __future__ import annotations
 
@@ -61,12 +61,14 @@ def new_alerts(scored: DataFrame, active: DataFrame, key: str = "zona_id") -> Da
     return scored.where(F.col("nivel").isin("critico", "alto")).join(known, key, "left_anti")
 
 
-def alert_job(scored: DataFrame, read_active: Callable[[], DataFrame], append: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Raises alerts from what has come in since the last run, once for a key while its alert is active."""
+def alert_job(scored: DataFrame, read_active: Callable[[], DataFrame], append: Callable[[DataFrame], None], checkpoint: str, at: str = "ts") -> StreamingQuery:
+    """Raises alerts from what has come in since the last run, once for a key while its alert is active: of a key's rows
+    the most severe, and of these the latest by the column at, if there is such a column."""
+    rank = [(F.col("nivel") == "critico").alias("severe"), *([F.col(at).alias("at")] if at in scored.columns else [])]
 
     def batch(df: DataFrame, _: int) -> None:
-        first = df.dropDuplicates(["zona_id"])
-        append(new_alerts(first, read_active()))
+        worst = new_alerts(df, read_active()).groupBy(F.col("zona_id").alias("key")).agg(F.max_by(F.struct(*df.columns), F.struct(*rank)).alias("row"))
+        append(worst.select("row.*"))
 
     return scored.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

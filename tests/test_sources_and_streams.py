@@ -74,3 +74,16 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     scored = spark.createDataFrame([("z1", "critico"), ("z1", "alto"), ("z2", "bajo"), ("z3", "alto")], "zona_id string, nivel string")
     active = spark.createDataFrame([("z3", True), ("z1", False)], "zona_id string, activa boolean")
     assert {r.zona_id for r in jobs.new_alerts(scored, active).collect()} == {"z1"}
+
+
+def test_alert_job_raises_the_worst_row(spark, tmp_path):
+    """Of all rows of a zone since the last run the most severe and latest counts, whatever comes first."""
+    rows = [("z1", "bajo", 1), ("z1", "critico", 2), ("z1", "critico", 3), ("z1", "alto", 4), ("z2", "bajo", 5), ("z3", "critico", 6), ("z4", "alto", 7), ("z4", "alto", 8), ("z4", "bajo", 9)]
+    scored = spark.createDataFrame(rows, "zona_id string, nivel string, s int").select("zona_id", "nivel", F.timestamp_seconds("s").alias("ts"), "s")
+    scored.coalesce(1).write.parquet(f"{tmp_path}/scored")
+    active = spark.createDataFrame([("z3", True), ("z1", False)], "zona_id string, activa boolean")
+    raised = []
+    stream = spark.readStream.schema(scored.schema).parquet(f"{tmp_path}/scored")
+    query = jobs.alert_job(stream, lambda: active, lambda df: raised.extend(df.collect()), f"{tmp_path}/checkpoint")
+    query.awaitTermination(120)
+    assert sorted((r.zona_id, r.nivel, r.s) for r in raised) == [("z1", "critico", 3), ("z4", "alto", 8)]
