@@ -55,7 +55,9 @@ SPELLINGS = [
     ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"),
     ("wilful", "willful"), ("noncommercial", "non commercial"),
 ]
-_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Lines of copyright statements; not lines of a licence's body that start with "copyright notice" or with the item (c).
+_BODY = "notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|protection|and|or|in|is|of|to|may|shall|must"
+_COPYRIGHT = rf"(?m)^[ \t]*(copyright(?=[ \t]*[^\s])(?![ \t]+({_BODY})\b)|\(c\)(?=[ \t]*copyright|[^\n]*\b(19|20)\d\d\b)|©|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:

@@ -132,3 +132,11 @@ def test_licences(spark, odd_docs, no_docs):
     assert got[3].line_licences == ["MIT-notice"] and got[5].digest is None and got[5].line_licences == []
     assert len(licences.find_licences(odd_docs).collect()) == odd_docs.count() and licences.find_licences(no_docs).collect() == []
     assert licences.find_licences(docs.withColumn("digest", F.lit(1)), known={}).where("licence is not null").count() == 0
+
+
+def test_licence_bodies_keep_their_lines(spark):
+    """The usual wrapping of the ISC text has a line that starts with "copyright notice"."""
+    isc = licences.KNOWN["ISC"].replace("\n", " ").replace("that the above copyright", "that the above\ncopyright").replace("all copies. ", "all copies.\n\n")
+    heads = ["", "Copyright (c) 2020, A. Author\n\n", "Copyright 2004 by B\n", "(c) 2020 C\n", "Copyright: The D Authors\nAll rights reserved.\n"]
+    docs = spark.createDataFrame([(i, head + isc) for i, head in enumerate(heads)], "doc_id long, text string")
+    assert [r.licence for r in licences.find_licences(docs).orderBy("doc_id").collect()] == ["ISC"] * len(heads)
