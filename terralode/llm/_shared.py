@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 #: An id set of at most so many rows (16 bytes each, under 40 MB as a hash table) may be broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Rows that go to a Python worker at once.
-ROWS_PER_BATCH = 1024
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes of them, that go to a Python worker at once; a row that is larger goes alone.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1024, 4 << 20
+_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_PER_BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_PER_BATCH}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -62,10 +62,13 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Lets Python workers of this session get at most ROWS_PER_BATCH rows at once, so that texts take little memory."""
+    """Lets Python workers get small batches, so that texts take little memory. The bounds are settings of the session,
+    which Spark reads when a plan runs: they stay lowered for its later plans, whose results they don't change."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH, "0")) <= ROWS_PER_BATCH:
-        conf.set(_BATCH, ROWS_PER_BATCH)
+    for name, most in _BOUNDS.items():
+        value = (conf.get(name) or "").lower().removesuffix("b")
+        if not (value.isdigit() and 0 < int(value) <= most):
+            conf.set(name, most)
     return df
 
 

@@ -20,6 +20,8 @@ LEARN_ROWS = 4000
 #: So many languages at most can be learned; more labels than that are an error of the input.
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
+#: n-grams that are counted at once.
+GRAMS_AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,24 +52,35 @@ def _grams(text: str, alpha: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram counts of each language in a batch."""
+    """n-gram counts of each language in some texts."""
     alpha = _letters()
+
+    def table(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in sorted(set(langs)):
-            parts = [_grams(t, alpha) for k, t in zip(langs, texts, strict=True) if k == lang]
-            grams, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+        for lang, text in zip(*batch.columns, strict=True):
+            held.setdefault(lang.as_py(), []).append(grams := _grams(text.as_py(), alpha))
+            size += len(grams)
+            if size >= GRAMS_AT_ONCE:
+                yield from (table(*x) for x in held.items())
+                held, size = {}, 0
+        yield from (table(*x) for x in held.items())
+
 
+def _judged(profiles: Profiles, at_text: int, kept: int):
+    """Of batches that have the text in one column; the first columns are returned."""
 
-def _judged(profiles: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alpha, depth = _letters(), profiles.depth
         place = np.arange(depth)[:, None]
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                grams, n = np.unique(_grams(text or "", alpha), return_counts=True)
+            for text in batch.column(at_text):
+                grams, n = np.unique(_grams(text.as_py() or "", alpha), return_counts=True)
                 if not len(grams) or not profiles.languages:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -79,8 +92,8 @@ def _judged(profiles: Profiles):
                 best = int(apart.argmin())
                 langs.append(profiles.languages[best])
                 scores.append(1 - float(apart[best]) / (depth * len(top)))
-            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            columns = [*batch.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], "lang_pred", "score"])
 
     return run
 
@@ -120,10 +133,12 @@ def identify_language(docs: DataFrame, profiles: Profiles, keep: list[Column | s
     A text that is null or has no letter is `und` with score 0, as is everything where no language was learned. Whole
     texts are judged. Rows may repeat; other columns may have any names but lang_pred and score if kept.
     """
-    picked = docs.select(*keep)
-    rows = small_batches(docs).select(*keep, F.col(text_col).alias("__text"))
+    picked = small_batches(docs).select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema), "lang_pred string", "score double"])
-    return rows.mapInArrow(_judged(profiles), schema)
+    # Each text goes to Python once.
+    at = next((i for i, k in enumerate(keep) if isinstance(k, str) and k == text_col), None)
+    rows = picked if at is not None else docs.select(*keep, F.col(text_col).alias("__text"))
+    return rows.mapInArrow(_judged(profiles, len(keep) if at is None else at, len(keep)), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
