@@ -1,5 +1,5 @@
 """Repeated passages: recurring phrases are confirmed across documents, compiled into sharded Aho-Corasick automata,
-and every document is streamed through the automaton of its shard to locate each occurrence."""
+and every document is streamed through the automata of the shards that can hold its passages, to locate each occurrence."""
 
 from __future__ import annotations
 
@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 from terralode.llm._hashing import Powers, U, hashed, mix, rolled
 from terralode.llm._shared import BROADCAST_IDS, binary, only_ids, release, small_batches, stash
 
-#: An automaton holds phrases of at most about so many bytes (70 bytes of memory each), and at least one phrase.
+#: Phrases of a shard have about so many bytes in all (an automaton takes some 70 bytes of memory for each).
 SHARD_BYTES = 1 << 20
+#: Documents of a shard that one task streams, about; a shard with more is compiled by several tasks.
+SHARD_DOCS = 4096
+#: Words of an owner whose phrases go to one shard; phrases of an owner that are cut out at once.
+OWNER_WORDS, PHRASES_AT_ONCE = 1 << 14, 4096
+#: One anchor in so many starts a new phrase, wherever it stands, so that near copies share most of their phrases.
+CUT = 8
+#: Bytes of texts that are returned at once.
+OUT_BYTES = 2 << 20
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 
 
@@ -85,117 +93,225 @@ def _windows(window: int):
     return run
 
 
-def _without(window: int):
-    """Drops the words that an occurrence of a confirmed phrase covers."""
-
-    def strip(rows: list[tuple]) -> Iterator[tuple[int, list[bytes], int]]:
-        phrases: dict[bytes, int] = {}
-        for i, words, spans, _ in rows:
-            for s, e in spans:
-                key = b" ".join([b"", *words[s:e], b""])
-                phrases[key] = min(i, phrases.get(key, i))
-        automaton = ahocorasick.Automaton()
-        for key, owner in phrases.items():
-            automaton.add_word(key.decode("latin-1"), (owner, len(key)))
-        automaton.make_automaton()
-        for i, words, _, k in rows:
-            starts = np.cumsum([1, *(len(w) + 1 for w in words)])
-            cover = np.zeros(len(words) + 1, np.int64)
-            for end, (owner, size) in automaton.iter(b" ".join([b"", *words, b""]).decode("latin-1")):
-                # Each window of a phrase starts in a document before the phrase's owner.
-                if owner <= i:
-                    s, e = np.searchsorted(starts, (end - size + 2, end + 1))
-                    cover[s] += 1
-                    cover[e] -= 1
-            gone = np.cumsum(cover[:-1]) > 0
-            yield k, [w for w, g in zip(words, gone.tolist(), strict=True) if not g], len(words)
+def _chains(window: int):
+    """Joins a document's matches (pos, n, anchor, owner, owner_mark, owner_pos) into phrases of their owners: windows that
+    follow each other in both documents. Phrases start anew at some anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, runs = (c.to_pylist() for c in batch.columns[:3])
-            kept, sizes, gone = [None] * len(ids), [0] * len(ids), [0] * len(ids)
-            rows: list[tuple[int | None, list[bytes], list[tuple[int, int]], int]] = []
-            size = 0
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos, n, anchor, owner, mark, at = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6))
+            order = np.lexsort((pos, row))
+            row, pos, n, anchor, owner, mark, at = (x[order] for x in (row, pos, n, anchor, owner, mark, at))
+            same = lambda x: x[1:] == x[:-1]
+            goes_on = same(row) & same(owner) & same(mark) & same(at - pos) & (pos[1:] == pos[:-1] + n[:-1]) & (same(anchor) | (anchor[1:] % CUT != 0))
+            first = np.flatnonzero(np.r_[True, ~goes_on])
+            last = np.r_[first[1:], len(row)] - 1
+            words = pos[last] + n[last] - pos[first] + window - 1
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[row[first]]
+            columns = [ids, owner[first], mark[first], at[first].astype(np.int32), words.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "owner", "owner_mark", "owner_pos", "words"])
 
-            def flush(rows: list[tuple], kept: list = kept, sizes: list = sizes, gone: list = gone) -> None:
-                for k, left, n in strip(rows):
-                    kept[k], sizes[k], gone[k] = b" ".join(left), n, n - len(left)
+    return run
 
-            for k, (i, text, found) in enumerate(zip(ids, texts, runs, strict=True)):
-                words = (text or b"").split()
-                if not found:
-                    kept[k], sizes[k] = b" ".join(words), len(words)
-                    continue
-                spans: list[list[int]] = []
-                for s, n in sorted((r["pos"], r["n"]) for r in found):
-                    if spans and s + window - 1 <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], s + n + window - 1)
-                    else:
-                        spans.append([s, s + n + window - 1])
-                rows.append((i, words, spans, k))
-                size += sum(len(w) + 1 for s, e in spans for w in words[s:e])
-                if size >= SHARD_BYTES:
-                    flush(rows)
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of phrases, from their owners' texts, each with a space on both sides."""
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        owners, at, phrases = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(at, pa.int32()), pa.array(phrases, pa.binary())], names=["owner", "owner_pos", "phrase"])
+
+    for batch in batches:
+        rows, size = [], 0
+        for owner, text, parts in zip(*(batch.column(k) for k in range(3)), strict=True):
+            words = text.as_py().split()
+            for part in parts.as_py():
+                at = part["owner_pos"]
+                rows.append((owner.as_py(), at, b" ".join([b"", *words[at : at + part["words"]], b""])))
+                size += len(rows[-1][2])
+                if size >= OUT_BYTES:
+                    yield table(rows)
                     rows, size = [], 0
-            if rows:
-                flush(rows)
-            columns = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *columns], names=["id", *batch.schema.names[3:], "kept", "n_words", "n_removed"])
+        if rows:
+            yield table(rows)
+
+
+def _merged(spans: Iterator[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compiles each shard's phrases as they come, then streams the documents that follow through the automaton: the word
+    ranges at which phrases of documents with smaller ids stand. The automaton compares all bytes of a phrase."""
+    key, automaton, compiled = None, None, False
+    for batch in batches:
+        ids, marks, found = [], [], []
+        for shard, lot, is_doc, i, text in zip(*(batch.column(k) for k in range(5)), strict=True):
+            if (shard.as_py(), lot.as_py()) != key:
+                key, automaton, compiled = (shard.as_py(), lot.as_py()), ahocorasick.Automaton(), False
+            i, text = i.as_py(), text.as_py()
+            if not is_doc.as_py():
+                phrase = text.decode("latin-1")
+                owner, _ = automaton.get(phrase, (i, 0))
+                automaton.add_word(phrase, (min(i, owner), len(phrase)))
+                continue
+            if not compiled:
+                automaton.make_automaton()
+                compiled = True
+            line = b" ".join([b"", *text.split(), b""])
+            hits = {(end - size + 1, end) for end, (owner, size) in automaton.iter(line.decode("latin-1")) if owner < i}
+            if hits:
+                gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                spans = np.searchsorted(gaps, np.array(_merged(hits)))
+                ids.append(i)
+                marks.append(crc32(text))
+                found.append(spans.ravel().tolist())
+        columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(found, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "spans"])
+
+
+def _without(as_is: bool):
+    """Drops the words in the ranges of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sizes, gone, size, done = [], [], [], 0, 0
+            for k in range(batch.num_rows):
+                text, spans = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                words = (text or b"").split()
+                left = words
+                if spans:
+                    cover = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(cover, spans[0::2], 1)
+                    np.add.at(cover, spans[1::2], -1)
+                    left = [w for w, c in zip(words, np.cumsum(cover).tolist(), strict=False) if not c]
+                kept.append(text if as_is and len(left) == len(words) else b" ".join(left))
+                sizes.append(len(words))
+                gone.append(len(words) - len(left))
+                size += len(kept[-1] or b"")
+                if size >= OUT_BYTES or k == batch.num_rows - 1:
+                    part = batch.slice(done, k + 1 - done)
+                    columns = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[3:], *columns], names=["id", *batch.schema.names[3:], "kept", "n_words", "n_removed"])
+                    kept, sizes, gone, size, done = [], [], [], 0, k + 1
 
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, keep: tuple[str, ...] = ()) -> DataFrame:
+def _matches(known: DataFrame, window: int, gram: int) -> DataFrame:
+    """(id, mark, pos, n, anchor, owner, owner_mark, owner_pos): n windows from pos on of a document that, by their
+    hashes, also stand in an owner, the document with the smallest id, from owner_pos on."""
+    runs = stash(known.mapInArrow(_runs(window, gram), "anchor long, content long, id long, mark long, pos int, n int"), "runs")
+    # Each grouped table is written before it is joined, so that adaptive execution can split the join's hot keys.
+    groups = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("content") != F.max("content")).alias("mixed"))
+    groups = stash(groups.where("lo < hi").select("anchor", "mixed"), "anchors")
+    found = stash(runs.join(groups, "anchor"), "recurring")
+    firsts = found.groupBy("anchor", "content").agg(F.min(F.struct("id", "mark", "pos", "n")).alias("first"), F.max("id").alias("last"), F.first("mixed").alias("mixed"))
+    firsts = stash(firsts, "contents")
+    owner = [F.col("first.id").alias("owner"), F.col("first.mark").alias("owner_mark"), F.col("first.pos").alias("owner_pos")]
+    again = firsts.where("first.id < last").select("anchor", "content", *owner)
+    whole = found.join(again, ["anchor", "content"]).where("id > owner").select("id", "mark", "pos", "n", "anchor", "owner", "owner_mark", "owner_pos")
+
+    heads = firsts.where("mixed").select("anchor", "first.*").groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("runs"))
+    heads = stash(heads, "heads")
+    marked = known.withColumn("mark", F.crc32(F.coalesce("text", F.lit(b""))))
+    texts = only_ids(marked, heads.select("id").distinct(), "id").dropDuplicates(["id", "mark"])
+    windows = texts.join(heads, ["id", "mark"]).select("id", "mark", "text", "runs")
+    windows = stash(windows.mapInArrow(_windows(window), "anchor long, content long, id long, mark long, pos int"), "windows")
+    earliest = windows.groupBy("anchor", "content").agg(F.min(F.struct("id", "mark", "pos")).alias("first"), F.max("id").alias("last"))
+    earliest = stash(earliest.where("first.id < last").select("anchor", "content", *owner), "earliest")
+    single = windows.join(earliest, ["anchor", "content"]).where("id > owner")
+    single = single.select("id", "mark", "pos", F.lit(1).alias("n"), "anchor", "owner", "owner_mark", "owner_pos")
+    out = stash(whole.union(single), "matches")
+    release(runs, groups, found, firsts, heads, windows, earliest)
+    return out
+
+
+def _spans(known: DataFrame, window: int, gram: int) -> DataFrame:
+    """(id, mark, spans): flat lists of the word ranges that the automata locate."""
+    matches = _matches(known, window, gram)
+    parts = F.collect_list(F.struct("pos", "n", "anchor", "owner", "owner_mark", "owner_pos"))
+    listed = matches.groupBy("id", "mark").agg(parts.alias("parts")).select("id", "parts")
+    phrase = ["owner", "owner_mark", "owner_pos", "words"]
+    candidates = stash(listed.mapInArrow(_chains(window), "id long, owner long, owner_mark long, owner_pos int, words int"), "candidates")
+    release(matches)
+
+    # The phrase table: words from the owners' texts.
+    distinct = stash(candidates.select(*phrase).distinct(), "phrases")
+    lots = stash(distinct.groupBy("owner", "owner_mark").agg(F.ceil(F.count("*") / PHRASES_AT_ONCE).alias("lots")).where("lots > 1"), "lots")
+    dealt = distinct.join(lots, ["owner", "owner_mark"], "left").withColumn("lot", F.pmod(F.xxhash64("owner_pos", "words"), F.coalesce("lots", F.lit(1))))
+    listed = dealt.groupBy("owner", "owner_mark", "lot").agg(F.collect_list(F.struct("owner_pos", "words")).alias("parts"))
+    marked = known.withColumn("mark", F.crc32(F.coalesce("text", F.lit(b""))))
+    owners = only_ids(marked, distinct.select(F.col("owner").alias("id")).distinct(), "id").dropDuplicates(["id", "mark"])
+    owners = owners.select(F.col("id").alias("owner"), F.col("mark").alias("owner_mark"), "text")
+    cut = owners.join(listed, ["owner", "owner_mark"]).select("owner", "text", "parts").mapInArrow(_cut_out, "owner long, owner_pos int, phrase binary")
+    table = stash(cut, "table")
+    size = table.agg(F.sum(F.length("phrase"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("owner", F.floor(F.col("owner_pos") / OWNER_WORDS)), F.lit(-(-size // SHARD_BYTES) or 1)).alias("shard")
+
+    # Documents go to the shards that hold phrases of their candidates' owners.
+    routes = stash(candidates.select("id", shard).distinct(), "routes")
+    loads = stash(routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("lots")), "loads")
+    texts = only_ids(known, routes.select("id").distinct(), "id")
+    docs = routes.join(loads, "shard").withColumn("lot", F.pmod(F.xxhash64("id"), "lots").cast("int")).join(texts, "id")
+    docs = docs.select("shard", "lot", F.lit(True).alias("is_doc"), "id", "text")
+    phrases = table.select(shard, "owner", "phrase").join(loads, "shard")
+    phrases = phrases.select("shard", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("is_doc"), "owner", "phrase")
+    stream = phrases.union(docs).repartition("shard", "lot").sortWithinPartitions("shard", "lot", "is_doc")
+    found = stream.mapInArrow(_located, "id long, mark long, spans array<int>")
+    spans = stash(found.groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    release(candidates, distinct, lots, table, routes, loads)
+    return spans
+
+
+def remove_repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, keep: tuple[str, ...] = (), as_is: bool = False
+) -> DataFrame:
     """Removes each word covered by a window of so many consecutive words whose sequence also starts in a document
-    with a smaller id. Returns (id, *keep, kept, n_words, n_removed): kept is the words left, joined by one
-    space; keep names columns that go along, other than those.
+    with a smaller id. Returns (id, *keep, kept, n_words, n_removed): kept is the words left, joined by one space, or,
+    where nothing was removed and as_is is set, the text as it was; keep names other columns that go along.
     Windows are judged on the input, not on what is left of it.
 
-    A document is cut into runs of windows that share an anchor, the least hash of the 16-word grams in the window: a
-    window has the same anchor wherever it stands, and there is about one run for 18 words. Runs meet by anchor. Where
-    an anchor is seen in one document only, nothing recurs. A run that recurs whole settles all its windows in one row;
-    only where an anchor has several contents, one document for each content gives the hashes of its windows. What is
-    found is joined into phrases, and the phrases of some documents make one automaton through which these documents
-    are streamed: it compares words, so that equal hashes alone remove nothing that isn't a phrase.
+    Candidates: a document is cut into runs of windows that share an anchor, the least hash of the 16-word grams in the
+    window: a window has the same anchor wherever it stands, and there is about one run for 18 words. Runs meet by
+    anchor. Where an anchor is seen in one document only, nothing recurs. A run that recurs whole settles all its
+    windows in one row; only where an anchor has several contents, one document for each content gives the hashes of its
+    windows. What follows on in a document and in its owner, the document with the smallest id, is one candidate.
+
+    Automata: the candidates' words are cut out of their owners' texts, which makes the phrase table, and dealt to shards of
+    SHARD_BYTES. A document is streamed through the automata of all shards that hold phrases of its owners. Only where
+    the automaton finds a phrase of an owner with a smaller id, byte for byte, words are removed: hashes propose, and
+    never decide. A document without candidates can hold no phrase and passes.
 
-    Hot passages: every group is reduced to minima, combined before the shuffle, and joined back on its key.
+    Hot passages: every group is reduced to minima, combined before the shuffle, written, and joined back on its key; the
+    documents of a hot shard are dealt to several tasks.
 
     Nulls: a null text has no words; a row with a null id is neither a source nor shortened. Rows with the same id
     don't count as before each other. Other columns are ignored. An empty table gives an empty result.
     """
     whole_rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    known = whole_rows.select("id", "text").where("id is not null")
-    runs = stash(known.mapInArrow(_runs(window, gram), "anchor long, content long, id long, mark long, pos int, n int"), "runs")
-    groups = runs.groupBy("anchor").agg(
-        F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("content") != F.max("content")).alias("mixed")
-    )
-    found = stash(runs.join(groups.where("lo < hi").select("anchor", "mixed"), "anchor"), "recurring")
-    firsts = found.groupBy("anchor", "content").agg(F.min("id").alias("first"))
-    found = found.join(firsts, ["anchor", "content"])
-    whole = found.where("id > first").select("id", "mark", "pos", "n")
-
-    heads = found.where("mixed and id = first").groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("runs"))
-    heads = stash(heads, "heads")
-    marked = known.withColumn("mark", F.crc32(F.coalesce("text", F.lit(b""))))
-    texts = only_ids(marked, heads.select("id").distinct(), "id")
-    windows = texts.join(heads, ["id", "mark"]).select("id", "mark", "text", "runs")
-    windows = stash(windows.mapInArrow(_windows(window), "anchor long, content long, id long, mark long, pos int"), "windows")
-    earliest = windows.groupBy("anchor", "content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    single = windows.join(earliest, ["anchor", "content"]).where("id > first").select("id", "mark", "pos", F.lit(1).alias("n"))
-
-    spans = whole.union(single).groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    spans = stash(spans, "spans")
-    release(runs, heads, windows)
+    spans = _spans(whole_rows.select("id", "text").where("id is not null"), window, gram)
     hit = spans.select("id").distinct()
-    few = hit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marked = whole_rows.withColumn("mark", F.crc32(F.coalesce("text", F.lit(b""))))
     columns = ["id", "text", "spans", *(f"keep_{c}" for c in keep)]
-    if few:
+    if hit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         near = marked.join(F.broadcast(hit), "id", "left_semi").join(spans, ["id", "mark"], "left").select(*columns)
         far = marked.join(F.broadcast(hit), "id", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*columns)
         rows = near.union(far)
     else:
         rows = marked.join(spans, ["id", "mark"], "left").select(*columns)
     more = "".join(f"`keep_{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    out = rows.mapInArrow(_without(window), f"id long, {more}kept binary, n_words long, n_removed long")
+    out = rows.mapInArrow(_without(as_is), f"id long, {more}kept binary, n_words long, n_removed long")
     return out.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed")
