@@ -39,9 +39,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 50 words or more that stand in an earlier document; texts without any stay as they are, and
     documents of which nothing is left go."""
-    out = remove_repeated_passages(docs, keep=("text", "lang", "source")).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = remove_repeated_passages(docs, keep=("lang", "source"), as_is=True).where("n_removed = 0 or n_removed < n_words")
+    return out.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
