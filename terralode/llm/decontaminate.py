@@ -1,4 +1,4 @@
-"""Benchmark decontamination: a BM25 index of test items with block maxima, queried by every passage of every document."""
+"""Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND for every passage of every document."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralode.llm._shared import small_batches
+from terralode.llm._shared import binary, release, small_batches, stash
 
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
@@ -20,11 +21,13 @@ K1, B = 1.2, 0.75
 RETRIEVE = 0.5
 #: Words of the shingles that verify, and the share of them that must be found, in the question and in the answer.
 SHINGLE, OVERLAP = 5, 0.8
-#: Items of a block of the index; items that one pass over the documents looks for (its index, which is broadcast, has at
-#: most 100 MB then); more items take more passes.
-BLOCK, PASS_ITEMS = 8, 1024
-#: Words of a document that are handled at once are about so many.
-CHUNK_WORDS = 200_000
+#: Items of a block of the index; postings of an index, which is broadcast and has at most some 60 MB then. More take one
+#: more pass over the documents for each so many, with the same scores.
+BLOCK, MOST_POSTINGS = 8, 2_000_000
+#: Words of a document that are handled at once, and sums of block maxima, are about so many.
+CHUNK_WORDS, SUMS_AT_ONCE = 60_000, 1 << 20
+#: What sums of bounds may be off.
+SLACK = 1e-9
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -50,64 +53,123 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass(frozen=True)
 class Index:
-    """weights[term, item]: a term's part in an item's score, as a share of the item's score against itself, so that one
-    threshold holds for all; blocks[term, block] and most[term] are its maxima. Term 0 stands for all other words."""
+    """Postings of each term in order of items, which are in order of length so that blocks are alike: item and impact, the
+    term's part in the item's BM25 score, as a share of the item's score against itself, so that one threshold holds for
+    all. entries are the blocks of items in which a term has postings: term k has the entries from entries_of[k] on;
+    entry e is in block[e], has the greatest impact most[e] and the postings from postings_of[e] on. highest is a term's
+    greatest impact anywhere. Code 0 stands for all words that no item has."""
 
     ids: list[int]
+    texts: list[str]
     terms: dict[str, int]
-    weights: np.ndarray
-    blocks: np.ndarray
-    most: np.ndarray
     step: int
-    parts: list[tuple[set, set]]
-
-
-def build_index(items: list[tuple[int, str]]) -> Index:
-    """Items of like length share blocks, which makes the blocks' maxima tight. Items without words are left out."""
-    rows = sorted((len(w), i, t, w) for i, t in items if (w := words_of(t or "")))
-    rows += [] if rows else [(1, -1, "", [""])]
-    df = Counter(t for r in rows for t in set(r[3]))
-    terms = {t: k for k, t in enumerate(sorted(df), 1)}
-    mean = sum(r[0] for r in rows) / len(rows)
-    width = -(-len(rows) // BLOCK) * BLOCK
-    weights = np.zeros((len(terms) + 1, width), np.float32)
-    for j, (n, _, _, words) in enumerate(rows):
-        for t, tf in Counter(words).items():
-            idf = np.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5))
-            weights[terms[t], j] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
-        weights[:, j] /= weights[:, j].sum()
-    blocks = weights.reshape(len(weights), -1, BLOCK).max(axis=2)
-    step = max(32, rows[-1][0])
-    return Index([r[1] for r in rows], terms, weights, blocks, blocks.max(axis=1), step, [tuple(map(shingles, question_and_answer(r[2]))) for r in rows])
+    entries_of: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    postings_of: np.ndarray
+    place: np.ndarray
+    item: np.ndarray
+    impact: np.ndarray
+    highest: np.ndarray
+
+
+def build_index(items: list[tuple[int, str, str]], postings: dict[str, list], n_items: int, mean: float, longest: int) -> Index:
+    """items: (id, mark, text); postings: columns item_id, mark, n (words of the item), term, tf and df. n_items, mean and
+    longest (numbers of items, mean and greatest numbers of words) are those of all items, as df is, so that scores don't
+    hang on what else is in an index."""
+    n, df, tf = (np.array(postings[c], np.float64) for c in ("n", "df", "tf"))
+    keys = list(zip(postings["item_id"], postings["mark"], strict=True))
+    length = dict(zip(keys, postings["n"], strict=True))
+    order = sorted((length[i, m], i, m, t) for i, m, t in items if (i, m) in length)
+    at = {(i, m): k for k, (_, i, m, _) in enumerate(order)}
+    item = np.array([at[k] for k in keys], np.int64)
+    terms = {t: k for k, t in enumerate(sorted(set(postings["term"])), 1)}
+    code = np.array([terms[t] for t in postings["term"]], np.int64)
+    impact = np.log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
+    sort = np.lexsort((item, code))
+    item, code, impact = item[sort], code[sort], impact[sort]
+    impact = impact / np.bincount(item, impact, len(order))[item]
+    begin = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)]) if len(item) else np.zeros(0, np.int64)
+    entry = np.zeros(len(item), np.int64)
+    entry[begin] = 1
+    entry = np.cumsum(entry) - 1
+    highest = np.zeros(len(terms) + 1)
+    np.maximum.at(highest, code, impact)
+    return Index(
+        [i for _, i, _, _ in order], [t for *_, t in order], terms, max(32, longest), np.searchsorted(code[begin], np.arange(len(terms) + 2)), item[begin] // BLOCK,
+        np.maximum.reduceat(impact, begin) if len(item) else impact, np.r_[begin, len(item)], entry * BLOCK + item % BLOCK, item, impact, highest,
+    )
+
+
+def _wand(index: Index, lane: np.ndarray, entry: np.ndarray, lanes: int, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """WAND for many lanes at once, each a passage in one block of items: a cursor stands in the postings of each of its
+    terms there. The cursors of a lane are put in order of their items; the first at which the sum of maxima reaches the
+    threshold is the pivot. A lane without one is done; else its cursors before the pivot's item skip to it, what stands
+    on it is scored, and moves on. Yields (lane, item, score) of what reaches the threshold."""
+    at, end = index.postings_of[entry], index.postings_of[entry + 1]
+    while len(at):
+        item = index.item[at]
+        order = np.lexsort((item, lane))
+        lane, entry, at, end, item = (x[order] for x in (lane, entry, at, end, item))
+        most = index.most[entry]
+        start = np.r_[True, lane[1:] != lane[:-1]]
+        total = np.cumsum(most)
+        reached = total - (total - most)[np.flatnonzero(start)][np.cumsum(start) - 1] >= threshold - SLACK
+        first = np.flatnonzero(reached & (start | ~np.r_[False, reached[:-1]]))
+        pivot = np.full(lanes, -1)
+        pivot[lane[first]] = item[first]
+        live = pivot[lane] >= 0
+        lane, entry, at, end, item = (x[live] for x in (lane, entry, at, end, item))
+        goal = pivot[lane]
+        behind = item < goal
+        at[behind] = np.searchsorted(index.place, entry[behind] * BLOCK + goal[behind] % BLOCK)
+        here = np.flatnonzero(at < end)
+        here = here[index.item[at[here]] == goal[here]]
+        here = here[np.argsort(entry[here], kind="stable")]  # one order of terms, one sum
+        score = np.bincount(lane[here], index.impact[at[here]], lanes)
+        found = np.flatnonzero((score >= threshold) & (pivot >= 0))
+        yield found, pivot[found], score[found]
+        at[here] += 1
+        left = at < end
+        lane, entry, at, end = (x[left] for x in (lane, entry, at, end))
 
 
 def retrieve(index: Index, codes: np.ndarray, passage: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, item, score) for all passages and items whose score reaches the threshold. codes and passage: the terms
-    of the passages' words. A passage is left as soon as its terms' maxima don't reach the threshold together, a block of
-    items as soon as the block's maxima don't: only what is left is scored."""
-    keys = np.unique(passage.astype(np.int64) * len(index.most) + codes)  # each term counts once
-    passage, codes = np.divmod(keys, len(index.most))
-    able = np.bincount(passage, index.most[codes], n) >= threshold
-    able_rows = able[passage]
-    passage, codes = passage[able_rows], codes[able_rows]
-    out = [(np.zeros(0, int),) * 2 + (np.zeros(0),)]
-    if not len(codes):
-        return out[0]
-    starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-    ends = np.r_[starts[1:], len(codes)]
-    bound = np.add.reduceat(index.blocks[codes], starts, axis=0)
-    for r, b in zip(*np.nonzero(bound >= threshold), strict=True):
-        score = index.weights[codes[starts[r] : ends[r]], b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
-        hit = np.flatnonzero(score >= threshold)
-        out.append((np.full(len(hit), passage[starts[r]]), b * BLOCK + hit, score[hit]))
+    """(passage, item, score) of all passages and items whose score reaches the threshold. codes and passage: the terms
+    of the passages' words. A passage without any pivot is left, and so is each block of items in which the maxima of the
+    passage's terms don't reach the threshold together; in the blocks that live, pivots are sought."""
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    keys = np.unique(passage.astype(np.int64) * len(index.highest) + codes)  # each term counts once
+    passage, codes = np.divmod(keys, len(index.highest))
+    able = np.bincount(passage, index.highest[codes], n) >= threshold - SLACK
+    keep = able[passage]
+    passage, codes = passage[keep], codes[keep]
+    blocks = int(index.block.max(initial=0)) + 1
+    many = max(1, SUMS_AT_ONCE // blocks)
+    for low in range(0, n, many):
+        a, b = np.searchsorted(passage, (low, low + many))
+        if a == b:
+            continue
+        first, last = index.entries_of[codes[a:b]], index.entries_of[codes[a:b] + 1]
+        sizes = last - first
+        entry = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        area = np.repeat(passage[a:b] - low, sizes) * blocks + index.block[entry]
+        live = (np.bincount(area, index.most[entry], many * blocks) >= threshold - SLACK)[area]
+        areas, lane = np.unique(area[live], return_inverse=True)
+        for found, item, score in _wand(index, lane, entry[live], len(areas), threshold):
+            out.append((areas[found] // blocks + low, item, score))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _leaks(index: Index, threshold: float):
+    @lru_cache(4096)
+    def parts(item: int) -> tuple[set, set]:
+        return tuple(map(shingles, question_and_answer(index.texts[item])))
+
     def overlaps(item: int, words: list[str]) -> tuple[float, float]:
         found = shingles(words)
         out = []
-        for part in index.parts[item]:
+        for part in parts(item):
             k = len(next(iter(part)))
             own = found if k == SHINGLE else set(zip(*(words[i:] for i in range(k)), strict=False))
             out.append(len(part & own) / len(part))
@@ -118,10 +180,9 @@ def _leaks(index: Index, threshold: float):
         step = index.step
         sizes = [max(1, -(-len(w) // step)) for w in texts]
         first = np.cumsum([0, *sizes])
-        at = [np.arange(len(w)) // step + f for w, f in zip(texts, first[:-1], strict=True)]
+        at = np.concatenate([np.arange(len(w)) // step + f for w, f in zip(texts, first[:-1], strict=True)])
         get = index.terms.get
         codes = np.concatenate([np.fromiter((get(t, 0) for t in w), np.int64, len(w)) for w in texts])
-        at = np.concatenate(at)
         known = codes > 0
         codes, at = codes[known], at[known]
         # A passage is two neighbouring steps of words, so that each item lies whole in some passage.
@@ -148,21 +209,32 @@ def _searched(shared, threshold: float):
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
-            ids, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            held: list[tuple] = []
-            count = 0
-            for k, (i, text) in enumerate(zip(ids, texts, strict=True)):
-                held.append((i, words_of(text or "")))
-                count += len(held[-1][1])
-                if count >= CHUNK_WORDS or k == len(ids) - 1:
-                    rows += find(*map(list, zip(*held, strict=True)))
-                    held, count = [], 0
+            rows, ids, texts, count = [], [], [], 0
+            for k in range(batch.num_rows):
+                ids.append(batch.column(0)[k].as_py())
+                texts.append(words_of(batch.column(1)[k].as_py() or ""))
+                count += len(texts[-1])
+                if count >= CHUNK_WORDS or k == batch.num_rows - 1:
+                    rows += find(ids, texts)
+                    ids, texts, count = [], [], 0
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of items: a row for each item and term."""
+    for batch in batches:
+        rows = []
+        for i, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = words_of(text)
+            rows += [(i, mark, len(words), t, tf) for t, tf in Counter(words).items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item_id", "mark", "n", "term", "tf"])
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     threshold: float = RETRIEVE,
@@ -171,23 +243,39 @@ def find_leaks(
     document and item, from the passage that matches best; doc_id goes under the name of id_col.
 
     The whole document is cut into passages of twice the longest item's length that overlap by half, so that an item in
-    it lies whole in one of them. Each queries the index and retrieves all items whose BM25 score reaches `threshold`
-    of their score against themselves; bounds skip passages and blocks of items that can't. What is retrieved is a leak
+    it lies whole in one of them. Each queries an inverted index of the items and retrieves all whose BM25 score reaches
+    `threshold` of their score against themselves, by WAND with block maxima: see retrieve. What is retrieved is a leak
     if OVERLAP of the five-word shingles of its question and of its answer stand in the passage.
 
-    The documents are read once for each PASS_ITEMS items and never shuffled; an index has a size bounded by that.
+    Spark counts the postings: document frequencies, the mean and the greatest length are those of all items. An index of
+    up to MOST_POSTINGS postings is broadcast, and the documents are read once and never shuffled; further postings take
+    a pass each for as many. Scores and leaks are the same for any number of passes.
+
     Nulls: a null text holds nothing; items with a null id, a null text or no words are left out; null document ids pass
     through. Rows may repeat. Other columns are ignored. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
     known = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
-    known = known.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).distinct()
-    passes = max(1, -(-known.count() // PASS_ITEMS))
+    known = small_batches(known).select(F.col(item_col).cast("long").alias("item_id"), F.sha1(binary(item_text_col)).alias("mark"), F.col(item_text_col).alias("text")).distinct()
+    postings = stash(known.mapInArrow(_posted, "item_id long, mark string, n int, term string, tf int"), "postings")
+    lengths = postings.groupBy("item_id", "mark").agg(F.first("n").alias("n"), F.count("*").alias("terms"))
+    total = lengths.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.max("n").alias("longest"), F.sum("terms").alias("postings")).first()
+    counted = postings.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term")
+    passes = -(-(total.postings or 0) // MOST_POSTINGS) or 1
     base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = None
+    found: list[DataFrame] = []
     for p in range(passes):
-        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else known
-        index = spark.sparkContext.broadcast(vars(build_index([(r.item_id, r.text) for r in part.collect()])))
-        found = base.mapInArrow(_searched(index, threshold), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = found if out is None else out.union(found)
+        mine = F.pmod(F.xxhash64("item_id", "mark"), F.lit(passes)) == p
+        part = [tuple(r) for r in known.where(mine).collect()]
+        index = build_index(part, counted.where(mine).toArrow().to_pydict(), total["items"], total.mean or 1.0, total.longest or 0)
+        shared = spark.sparkContext.broadcast(vars(index))
+        leaks = base.mapInArrow(_searched(shared, threshold), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        if passes > 1:
+            leaks = stash(leaks, "leaks")
+            shared.destroy()
+        found.append(leaks)
+    release(postings)
+    out = found[0]
+    for leaks in found[1:]:
+        out = out.union(leaks)
     return out.withColumnRenamed("doc_id", id_col)

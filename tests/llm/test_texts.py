@@ -1,6 +1,10 @@
+import math
+import random
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -57,24 +61,77 @@ def test_language_odd_rows(spark, odd_docs, no_docs):
     assert {(r.lang_pred, r.score) for r in langid.identify_language(odd_docs, none, ["doc_id"]).collect()} == {("und", 0.0)}
 
 
+def bm25(items):
+    """score(words, item), as a share of the item's score against itself, the plain way."""
+    words = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in items.items()}
+    df = Counter(t for w in words.values() for t in set(w))
+    mean = sum(map(len, words.values())) / len(words)
+
+    def plain(asked, i):
+        tf = Counter(words[i])
+        idf = {t: math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) for t in tf}
+        return sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words[i]) / mean)) for t, n in tf.items() if t in asked)
+
+    own = {i: plain(set(w), i) for i, w in words.items()}
+    return words, lambda asked, i: plain(asked, i) / own[i]
+
+
 def test_leaks_equal_scoring_all(spark, sf_dir):
-    """Bounds skip nothing: against scores of all passages with all items, and the planted items."""
+    """Against the plain scores of all passages with all items, and the planted items."""
     docs, items = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
-    texts = {r.doc_id: decontaminate.words_of(r.text) for r in docs.collect()}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, items).collect()}
     tests = {r.item_id: r.text for r in items.collect()}
-    index = decontaminate.build_index(list(tests.items()))
-    want = set()
-    for i, words in texts.items():
-        for at in range(0, max(1, len(words)), index.step):
-            part = words[at : at + 2 * index.step]
-            score = index.weights[sorted({index.terms.get(w, 0) for w in part})].sum(axis=0)
-            for j in (score >= decontaminate.RETRIEVE).nonzero()[0]:
-                ok = all(len(p & {tuple(part[x : x + len(next(iter(p)))]) for x in range(len(part))}) >= 0.8 * len(p) for p in index.parts[j])
-                want |= {(i, index.ids[j])} if ok else set()
-    assert got == want
-    planted = {(i, k) for k, t in tests.items() for i, w in texts.items() if f" {' '.join(decontaminate.words_of(t))} " in f" {' '.join(w)} "}
-    assert planted and planted <= got
+    words, score = bm25(tests)
+    step = max(32, *map(len, words.values()))
+    parts = {i: [decontaminate.shingles(p) for p in decontaminate.question_and_answer(t)] for i, t in tests.items()}
+    want, planted = {}, set()
+    for r in docs.collect():
+        text = decontaminate.words_of(r.text)
+        planted |= {(r.doc_id, i) for i, w in words.items() if f" {' '.join(w)} " in f" {' '.join(text)} "}
+        for at in range(0, max(1, len(text)), step):
+            part = text[at : at + 2 * step]
+            for i in tests:
+                ok = all(len(p & {tuple(part[x : x + len(next(iter(p)))]) for x in range(len(part))}) >= 0.8 * len(p) for p in parts[i])
+                if ok and (s := score(set(part), i)) >= decontaminate.RETRIEVE:
+                    want[r.doc_id, i] = max(s, want.get((r.doc_id, i), 0))
+    assert got.keys() == want.keys() and all(abs(got[k] - min(1, s)) < 1e-9 for k, s in want.items())
+    assert planted and planted <= got.keys()
+
+
+def test_retrieval_equals_scoring_all(spark):
+    """What WAND retrieves at any threshold is what scoring everything gives."""
+    rng = random.Random(4)
+    vocabulary = [f"t{i}" for i in range(60)]
+    items = {i: " ".join(rng.choices(vocabulary, weights=range(60, 0, -1), k=rng.randrange(3, 25))) for i in range(150)}
+    words, score = bm25(items)
+    df = Counter(t for w in words.values() for t in set(w))
+    rows = [(i, "m", len(w), t, n, df[t]) for i, w in words.items() for t, n in Counter(w).items()]
+    postings = dict(zip(("item_id", "mark", "n", "term", "tf", "df"), map(list, zip(*rows, strict=True)), strict=True))
+    index = decontaminate.build_index([(i, "m", t) for i, t in items.items()], postings, len(items), sum(map(len, words.values())) / len(words), 25)
+    passages = [rng.choices(vocabulary, k=rng.randrange(30)) for _ in range(80)]
+    codes = np.array([index.terms.get(t, 0) for p in passages for t in p])
+    at = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+    for threshold in (0.2, 0.5, 0.8):
+        want = {(p, i): s for p, w in enumerate(passages) for i in items if (s := score(set(w), i)) >= threshold}
+        found = decontaminate.retrieve(index, codes[codes > 0], at[codes > 0], len(passages), threshold)
+        got = {(p, index.ids[i]): s for p, i, s in zip(*(x.tolist() for x in found), strict=True)}
+        assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_leaks_are_the_same_for_any_number_of_passes(spark, sf_dir, monkeypatch):
+    """More than a thousand items, in one, two and seven indices: the scores are those among all items."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = spark.read.parquet(f"{sf_dir}/../sf0.1/benchmark.parquet").select("item_id", "text")
+    more = docs.where("n_chars > 200").select((F.col("doc_id") * 7 + 1000).alias("item_id"), F.concat(F.substring("text", 1, 150), F.lit(". "), F.substring("text", 50, 100)).alias("text"))
+    items = items.union(more).union(more.select(F.col("item_id") + 1, F.concat("text", F.lit(" more words"))))
+    items = items.union(spark.range(5000, 6100).select("id", F.concat_ws(" ", *(F.concat(F.lit(f"q{j}"), F.col("id") % (j + 3)) for j in range(12)))))
+    assert items.count() > 1024
+    n = items.count() * 30
+    results = []
+    for most in (n, 10_000, 3_000):
+        monkeypatch.setattr(decontaminate, "MOST_POSTINGS", most)
+        results.append(sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())))
+    assert results[0] and results[0] == results[1] == results[2]
 
 
 def test_leaks_odd_rows(spark, odd_docs, no_docs):
