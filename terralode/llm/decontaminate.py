@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +183,7 @@ def _leaks(index: Index, threshold: float):
         first = np.cumsum([0, *sizes])
         at = np.concatenate([np.arange(len(w)) // step + f for w, f in zip(texts, first[:-1], strict=True)])
         get = index.terms.get
-        codes = np.concatenate([np.fromiter((get(t, 0) for t in w), np.int64, len(w)) for w in texts])
+        codes = np.concatenate([np.fromiter(map(get, w, repeat(0)), np.int64, len(w)) for w in texts])
         known = codes > 0
         codes, at = codes[known], at[known]
         # A passage is two neighbouring steps of words, so that each item lies whole in some passage.
