@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralode.llm._shared import small_batches, stash
+from terralode.llm._shared import release, small_batches, stash
 
 # Element names of HTML, and what its writers call the parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,17 +48,25 @@ BOXES = frozenset("div section ul ol dl table figure center".split())
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "name")
+    __slots__ = ("attrs", "digest", "heading", "kids", "name", "size")
 
     def __init__(self, name: str, attrs: str = "") -> None:
         self.name, self.attrs, self.kids = name, attrs, []  # kids: nodes and texts
+        self.digest, self.size, self.heading = b"", 0, False
 
 
 def parse(html: str) -> Node:
     """The element tree of a page, as browsers would see it in the usual cases: unclosed and wrongly closed elements,
-    void and raw-text elements, comments, and pages that end anywhere."""
+    void and raw-text elements, comments, and pages that end anywhere. Elements may be nested to any depth."""
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
+    opened: Counter[str] = Counter()
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.name] -= 1
+        del stack[k:]
+
     while at < n:
         tag = html.find("<", at)
         if tag != at:
@@ -73,24 +82,24 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[k].name == name:
-                    del stack[k:]
+                    close(k)
                     break
                 if name in INLINE and stack[k].name not in INLINE or name == "p" and stack[k].name in SCOPES:
                     break
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].name in SCOPES:
                     break
-        if closed := CLOSED_BY.get(name):
+        if (closed := CLOSED_BY.get(name)) and any(opened[c] for c in closed):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in closed:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].name in SCOPES and stack[k].name not in closed:
                     break
@@ -103,72 +112,87 @@ def parse(html: str) -> Node:
             at = end.end() if end else n
             continue
         stack.append(node)
+        opened[name] += 1
+    _sum_up(root)
     return root
 
 
+def _sum_up(root: Node) -> None:
+    """From the leaves up, once for each element: a digest of it with all below it, whatever its white space and
+    attributes; the length of its text; whether it holds the page's first main heading."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(k for k in reversed(node.kids) if isinstance(k, Node))
+    if first := next((x for x in order if x.name == "h1"), None):
+        first.heading = True
+    for node in reversed(order):
+        h = blake2b(b"<" + node.name.encode(), digest_size=8)
+        for kid in node.kids:
+            if isinstance(kid, str):
+                text = _SPACE.sub(" ", kid)
+                node.size += len(text.strip())
+                h.update(text.encode("utf-8", "surrogatepass"))
+            else:
+                node.size += kid.size
+                node.heading |= kid.heading
+                h.update(b"<" + kid.digest)
+        node.digest = h.digest()
+
+
 def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(node.attrs)}
 
 
-def is_chrome(node: Node, in_article: bool) -> bool:
-    """Whether an element by its name, role, class or id is not part of an article."""
+def is_chrome(node: Node, in_article: bool, total: int) -> bool:
+    """Whether an element by its name, role, class or id is not part of an article. total is the length of the page's
+    text: a form, or an element with a weak name, that holds most of it is a wrapper, and so is one with a telling name
+    that holds the main heading, too."""
+    if node.name == "form":
+        return 2 * node.size <= total
     if node.name in CHROME or node.name in RAW or (node.name == "header" and not in_article):
         return True
     if not node.attrs or node.name in ("main", "body", "html"):
         return False
     a = attributes(node)
     if a.get("role", "").lower() in CHROME_ROLES or a.get("aria-hidden") == "true" or "hidden" in a:
-        return True
+        return 2 * node.size <= total or not node.heading
     if "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
         words = [w for w in re.split(r"[^a-z0-9]+|\d+$", name) if w]
         if words and not {"has", "with", "no"} & {*words} and (CHROME_WORDS & {words[0], words[-1]} or TELLING & {*words}):
-            if not (in_article and words[-1] == "header"):
+            if not (in_article and words[-1] == "header") and not (2 * node.size > total and (node.heading or not TELLING & {*words})):
                 return True
     return False
 
 
-def blocks(node: Node, gone: frozenset[bytes], inside: bool) -> list[str]:
-    """Texts of the blocks of an element, without what isn't part of an article, and without the subtrees in gone."""
+def blocks(node: Node, gone: frozenset[bytes], inside: bool, total: int) -> list[str]:
+    """Texts of the blocks of an element, without the subtrees in gone, and without what isn't part of an article."""
     out: list[list[str]] = [[]]
-
-    def walk(x: Node, inside: bool) -> None:
-        for kid in x.kids:
-            if isinstance(kid, str):
-                out[-1].append(unescape(kid) if "&" in kid else kid)
-            elif kid.name == "br":
-                out[-1].append(" ")
-            elif is_chrome(kid, inside) or gone and kid.name not in INLINE and (not inside or kid.name in BOXES) and digest(kid) in gone:
-                continue
-            elif kid.name in INLINE:
-                walk(kid, inside)
-            else:
-                out.append([])
-                walk(kid, inside or kid.name in ("article", "main"))
+    todo = [(iter(node.kids), inside, False)]
+    while todo:
+        kids, inside, block = todo[-1]
+        kid = next(kids, None)
+        if kid is None:
+            todo.pop()
+            if block:
                 out.append([])
-
-    walk(node, inside)
+        elif isinstance(kid, str):
+            out[-1].append(unescape(kid) if "&" in kid else kid)
+        elif kid.name == "br":
+            out[-1].append(" ")
+        elif kid.digest in gone and kid.name not in INLINE and (not inside or kid.name in BOXES) or is_chrome(kid, inside, total):
+            continue
+        elif kid.name in INLINE:
+            todo.append((iter(kid.kids), inside, False))
+        else:
+            out.append([])
+            todo.append((iter(kid.kids), inside or kid.name in ("article", "main"), True))
     return [t for parts in out if (t := _SPACE.sub(" ", "".join(parts)).strip())]
 
 
-def digest(node: Node) -> bytes:
-    """Of an element with all below it, whatever its white space and attributes."""
-    h = blake2b(digest_size=8)
-
-    def walk(x: Node) -> None:
-        h.update(b"<" + x.name.encode())
-        for kid in x.kids:
-            if isinstance(kid, str):
-                h.update(_SPACE.sub(" ", kid).encode())
-            else:
-                walk(kid)
-        h.update(b">")
-
-    walk(node)
-    return h.digest()
-
-
 def articles(root: Node) -> list[Node]:
     """The outermost article elements of a page in page order, or else its main elements: outside of what isn't
     content, or anywhere if there is none outside."""
@@ -177,9 +201,9 @@ def articles(root: Node) -> list[Node]:
             found, todo = [], [root]
             while todo:
                 node = todo.pop()
-                if node.name == name and not is_chrome(node, False):
+                if node.name == name and not is_chrome(node, False, root.size):
                     found.append(node)
-                elif node.name not in RAW and not (strict and node.name not in ("#root", "form") and is_chrome(node, False)):
+                elif node.name not in RAW and not (strict and node.name not in ("#root", "form") and is_chrome(node, False, root.size)):
                     todo.extend(k for k in reversed(node.kids) if isinstance(k, Node))
             if found:
                 return found
@@ -197,19 +221,19 @@ def template_candidates(root: Node) -> tuple[bytes, list[bytes]]:
                 continue
             todo.append((kid, within or id(kid) in own))
             if kid.name in BOXES if within else id(kid) not in own and kid.name not in ("html", "body", "head"):
-                out.add(digest(kid))
-    content = b"\n".join(t.encode() for x in inside for t in blocks(x, frozenset(), True)) if inside else digest(root)
+                out.add(kid.digest)
+    content = b"\n".join(t.encode("utf-8", "surrogatepass") for x in inside for t in blocks(x, frozenset(), True, root.size)) if inside else root.digest
     return blake2b(content, digest_size=8).digest(), sorted(out)
 
 
 def main_text(root: Node, gone: frozenset[bytes]) -> str:
     inside = articles(root)
     if not inside:
-        return "\n".join(blocks(root, gone, False))
+        return "\n".join(blocks(root, gone, False, root.size))
     out = []
     for x in inside:
-        whole = blocks(x, frozenset(), True)
-        left = blocks(x, gone, True) if gone else whole
+        whole = blocks(x, frozenset(), True, root.size)
+        left = blocks(x, gone, True, root.size) if gone else whole
         # What holds most of an article is no template, however often it recurs.
         out += left if 2 * sum(map(len, left)) >= sum(map(len, whole)) else whole
     return "\n".join(out)
@@ -218,10 +242,10 @@ def main_text(root: Node, gone: frozenset[bytes]) -> str:
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, own, subtrees = [], [], []
-        for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            content, found = template_candidates(parse(html or ""))
+        for host, html in zip(*batch.columns, strict=True):
+            content, found = template_candidates(parse(html.as_py() or ""))
             found = [None, *found]  # none: the page itself
-            hosts += [host] * len(found)
+            hosts += [host.as_py()] * len(found)
             own += [int.from_bytes(content, "little", signed=True)] * len(found)
             subtrees += [None if x is None else int.from_bytes(x, "little", signed=True) for x in found]
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(own, pa.int64())], names=["host", "subtree", "content"])
@@ -230,37 +254,41 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for html, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            texts.append(main_text(parse(html or ""), frozenset(x.to_bytes(8, "little", signed=True) for x in gone or ())))
+        for html, gone in zip(batch.column(2), batch.column(3), strict=True):
+            texts.append(main_text(parse(html.as_py() or ""), frozenset(x.to_bytes(8, "little", signed=True) for x in gone.as_py() or ())))
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = 10, share: float = 0.1) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 2, share: float = 0.1) -> DataFrame:
     """(id, url, text) of each page: the text of its article, a line for each block.
 
-    Site templates: the block subtrees around a page's content are hashed and counted for each host, once for each
-    different content, so that copies of one page don't make a template of it; subtrees that stand around `many`
-    contents or more of a host, and around `share` of all its contents at least, are deleted. So a host of fewer than
-    `many` contents has no template. What HTML itself marks as menu, header, footer, form, script and the like, by
-    element, role, class or id, goes too. If a page has an article (or main) element, its text is that of these, and
-    only boxes in them are deleted for recurring, no paragraphs of their own, since articles may share passages; none
-    is deleted from an article that would lose more than half of its text by that.
+    Site templates: the block subtrees of all pages are hashed and counted for each host, once for each different
+    content, so that copies of one page don't make a template of it; subtrees that stand around more than
+    `least` + `share` * n of a host's n contents are deleted, whatever they are called. So a box must recur on three pages of
+    a small host, and on a tenth of a large one. What hardly recurs by its nature, such as reader comments and adverts, or
+    stands on a host of few pages, goes by its element, role, class or id, unless it wraps most of a page.
+    If a page has an article (or main) element, its text is that of these, and only boxes in them are deleted for
+    recurring, no paragraphs of their own, since articles may share passages; none is deleted from an article that
+    would lose more than half of its text by that.
 
     Counting pairs of subtree and content is combined before the shuffle and keyed on host and subtree, so that a host
     with a third of all pages is spread. The subtrees to delete reach a host's pages by a join on host, which adaptive
-    execution splits where a host is hot. A host has few: each stands around `share` of its contents at least.
+    execution splits where a host is hot. Each of them stands around `share` of the contents at least: a host has at most
+    1 / `share` times as many as a page has on average.
 
     Nulls: a null html or one without text gives an empty text; a null url counts as a host of its own with no pages
-    in common. Rows stand alone and may repeat; other columns are ignored. An empty table gives an empty result.
+    in common. Elements may be nested to any depth. Rows stand alone and may repeat; other columns are ignored. An empty
+    table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:]*://([^/?#]*)", 1))
     base = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     pairs = base.where("host <> ''").select("host", "html").mapInArrow(_subtrees, "host string, subtree long, content long").distinct()
-    counts = stash(pairs.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("subtree").isNull() | (F.col("n") >= many)), "counts")
+    counts = stash(pairs.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("subtree").isNull() | (F.col("n") > least)), "counts")
     contents = counts.where("subtree is null").select("host", F.col("n").alias("contents"))
-    often = counts.where("subtree is not null").join(contents, "host").where(F.col("n") >= share * F.col("contents"))
-    often = stash(often.select("host", "subtree"), "templates")  # so that its size is known to the join with the pages
-    gone = often.groupBy("host").agg(F.collect_list("subtree").alias("gone"))
+    often = counts.where("subtree is not null").join(contents, "host").where(F.col("n") > least + share * F.col("contents"))
+    # Written, so that its size is known to the join with the pages, which can be split then.
+    gone = stash(often.groupBy("host").agg(F.collect_list("subtree").alias("gone")), "templates")
+    release(counts)
     rows = base.join(gone, "host", "left").select("id", "url", "html", "gone")
     out = rows.mapInArrow(_extracted, "id long, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -1,6 +1,9 @@
 import fnmatch
 import random
+import re
+from collections import Counter
 from dataclasses import replace
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -48,15 +51,100 @@ def test_site_templates(spark):
     """Boxes without any telling name go where they stand around many contents of a host, not where copies of a page do."""
     box = "<div><p>Follow us on all networks</p></div>"
     frame = lambda host, k, body: (k, f"http://{host}/p/{k}", f"<body>{box}<div><p>text {body}</p></div>{box}</body>")
-    rows = [frame("many.example", k, k) for k in range(12)] + [frame("copies.example", 100 + k, "same") for k in range(12)] + [frame("few.example", 200 + k, k) for k in range(3)] + [(300, None, None), (301, "http://x/", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html.extract_main_text(pages).collect()}
-    assert got[3] == "text 3" and got[100].count("Follow") == 2 and got[201].count("Follow") == 2 and got[300] == got[301] == "" and len(got) == len(rows)
+    rows = [frame("many.example", k, k) for k in range(12)] + [frame("copies.example", 100 + k, "same") for k in range(12)] + [frame("few.example", 200 + k, k) for k in range(3)] + [frame("two.example", 220 + k, k) for k in range(2)]
+    rows += [(300, None, None), (301, "http://x/", ""), frame("many.example", 3, 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'h' as host", "1 as gone", "'t' as text")
+    out = html.extract_main_text(pages).collect()
+    got = {r.page_id: r.text for r in out}
+    assert got[3] == "text 3" and got[100].count("Follow") == 2 and got[201] == "text 1" and got[221].count("Follow") == 2 and got[300] == got[301] == "" and len(out) == len(rows)
     framed = spark.createDataFrame([(k, f"http://h/{k}", f"<body>{box}{article(k)}{box}</body>") for k in range(12)], "page_id long, url string, html string")
     assert {r.text for r in html.extract_main_text(framed).collect()} == {f"T{k}\nBody & soul {k} more\nsecond part" for k in range(12)}
     assert html.extract_main_text(pages.limit(0)).collect() == []
 
 
+def test_templates_equal_plain_counts(spark):
+    """Random trees of boxes on some hosts, against counts of their source texts."""
+    rng = random.Random(8)
+    shared = [f"<div><p>box {i}</p></div>" for i in range(12)]
+    shared += [f"<ul><li>x{i}</li>{rng.choice(shared)}</ul>" for i in range(6)]
+    rows = []
+    for k in range(90):
+        host = "h%d.example" % (k % 3 if k < 60 else k % 9)
+        kids = [rng.choice(shared[: 6 + k % 13]) for _ in range(3)]
+        rows.append((k, f"http://{host}/{k}", [*kids[:2], f"<section><p>own {k // 2}</p></section>", kids[2]]))
+    by_host = {}
+    for _, url, kids in rows:
+        by_host.setdefault(url.split("/")[2], []).append(kids)
+
+    def boxes(source):
+        return {source, *re.findall(r"<div><p>box \d+</p></div>", source), *re.findall(r"<p>.*?</p>|<li>.*?</li>", source)}
+
+    def plain(source, gone):
+        for g in sorted(gone, key=len, reverse=True):
+            source = source.replace(g, "\n")
+        return [t for t in re.split(r"<[^>]*>|\n", source) if t]
+
+    want = {}
+    for k, url, kids in rows:
+        pages = {"".join(x) for x in by_host[url.split("/")[2]]}
+        counts = Counter(b for page in pages for b in {b for x in re.findall(r"<(?:div|ul|section)>(?:<li>.*?</ul>|.*?</(?:div|section)>)", page) for b in boxes(x)})
+        gone = {b for b, n in counts.items() if n > 2 + 0.1 * len(pages)}
+        want[k] = "\n".join(plain("".join(kids), gone))
+    docs = spark.createDataFrame([(k, u, "".join(kids)) for k, u, kids in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract_main_text(docs).collect()} == want
+
+
+class Plain(HTMLParser):
+    """Texts of the headings and paragraphs of a page's article."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag == "br":
+            self.handle_data(" ")
+        elif self.inside and tag in ("h1", "p"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_main_text_of_all_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/../sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract_main_text(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        assert got[r.page_id] == "\n".join(t for b in plain.blocks if (t := " ".join(b.split())))
+
+
+def test_html_nested_to_any_depth(spark):
+    deep = lambda tag, n=50_000: f"<{tag}>" * n + "deep text"
+    pages = [deep("div"), deep("font"), deep("b") + "</i>" * 50_000, "<table>" + deep("font") + "<tr></tr>" * 20_000, "<article>" + deep("section") + "</section>" * 50_000 + "</article>", deep("ul") + deep("li")]
+    docs = spark.createDataFrame([(i, "http://h/", t) for i, t in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_main_text(docs).collect()}
+    assert all(got[i] == "deep text" for i in range(5)) and got[5] == "deep text\ndeep text"
+
+
+def test_wrappers_keep_their_articles():
+    text = lambda page: html.main_text(html.parse(page), frozenset())
+    body = "<h1>T</h1><p>All of the article</p>"
+    assert text(f'<body><form id="aspnetForm"><div>{body}</div><input value="x"><button>Go</button></form></body>') == "T\nAll of the article"
+    assert text(f'<body><div class="post related">{body}</div></body>') == "T\nAll of the article"
+    assert text(f'<body><div id="content-sidebar-wrap">{body}<div class="sidebar">s</div></div></body>') == "T\nAll of the article"
+    assert text(f'<body>{body}<div class="comments"><p>{"a long comment of a reader " * 9}</p></div><form><p>Subscribe</p></form></body>') == "T\nAll of the article"
+
+
 def test_recurring_boxes_within_articles(spark):
     """A list that ten of many articles share stays, and so does a body under different headings; a small box on all goes."""
     tip, box = "<ul><li>tip one<li>tip two</ul>", "<div><p>Follow us</p></div>"
