@@ -36,6 +36,39 @@ granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIE
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
 OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
 CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
 liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
 purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
@@ -44,6 +77,39 @@ software. If you use this software in a product, an acknowledgment in the produc
 not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
 software. 3. This notice may not be removed or altered from any source distribution.""",
 }
+#: Headings under which these texts are published, which may stand before them.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "ISC License (ISC)", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"], "Unlicense": ["The Unlicense"], "Zlib": ["zlib License", "The zlib License"],
+}
+# SHA-256 and length of the canonical words of longer licences as they are published, with and without their
+# appendix on how to apply them.
+DIGESTS = [
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2", 9882),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0", 8866),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71", 19584),
+    ("GFDL-1.2", "8d636e2e2f248f9b102e9d9f78337901ec8bca3bfe91434cdcf261a01bf305b1", 18387),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6", 22020),
+    ("GFDL-1.3", "8b8b57bd195ed50d50edb5da1dd173b409fb9b075910c69726be7d0363c40008", 20823),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a", 11766),
+    ("GPL-1.0", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b", 9416),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6", 17118),
+    ("GPL-2.0", "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca", 14484),
+    ("GPL-3.0", "f6eaf8069e6992495ee63002d3cf837d745ad9c33d0c2129f4dd67750ebe0094", 33344),
+    ("GPL-3.0", "7e1ec759902e79fd98df32aeafb56e0fcc9348cebf7b52c7a875052ac012ad4a", 30903),
+    ("LGPL-2.0", "9645df35bc8e107839fb024e61e6728ee32745a72194667211f31f7bad57b7d8", 24068),
+    ("LGPL-2.0", "5b76795361ffca92776bfb6f87f31cc8c230526d08f639d965de248bd171ca59", 22215),
+    ("LGPL-2.1", "a5875b4abd0df481e41a66665de9bea2d629872285f8f890c7ff03f4f87cb0ef", 25155),
+    ("LGPL-2.1", "e8fff5aab68f3784c88bdf6c7d677d555dbfc3274d7e0a03da4870604bf989ed", 23303),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1", 22468),
+    ("MPL-1.1", "80cd52a1836f5ea3706bd2afa402fc448999d4a22581ee62d4041bd8a08efd87", 21012),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", 14341),
+    ("MPL-2.0", "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de", 13661),
+    ("Artistic-1.0-Perl", "d1ce9579b2c8d32b706b421d9c42208152298e00849e57ce7da8e906ed3802f2", 5806),
+]
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"),
@@ -72,16 +138,31 @@ def canonical(text: Column) -> Column:
     return F.when(odd, fixed).otherwise(out)
 
 
-def _digest(canon: Column) -> Column:
-    """Of the words of a canonical text, whatever its lines; null where there are none."""
-    words = F.trim(F.regexp_replace(canon, "[ \n]+", " "))
+def _words(canon: Column) -> Column:
+    """The words of a canonical text, whatever its lines."""
+    return F.trim(F.regexp_replace(canon, "[ \n]+", " "))
+
+
+def _digest(words: Column) -> Column:
+    """Null where there are no words."""
     return F.when(words != "", F.sha2(words, 256))
 
 
+def known_texts(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(licence, text) of the known texts, with each of their headings too."""
+    rows = []
+    for name, text in (KNOWN if known is None else known).items():
+        rows += [(name, f"{head}{text}") for head in ("", *(f"{h}\n\n" for h in HEADINGS.get(name, ())))]
+    return rows
+
+
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """(licence, digest) of the known texts; a fixed table."""
-    rows = spark.createDataFrame(list((KNOWN if known is None else known).items()), "licence string, text string")
-    return rows.select("licence", _digest(canonical(F.col("text"))).alias("digest"))
+    """(licence, digest, size) of the known texts, size being the length of the canonical words; a fixed table."""
+    words = _words(canonical(F.col("text")))
+    rows = spark.createDataFrame(known_texts(known), "licence string, text string").select("licence", _digest(words).alias("digest"), F.length(words).cast("long").alias("size"))
+    if known is not None:
+        return rows
+    return rows.union(spark.createDataFrame(DIGESTS, "licence string, digest string, size long"))
 
 
 def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None) -> DataFrame:
@@ -90,20 +171,20 @@ def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Entire texts are hash-joined to the known digests. known is a small fixed table (name -> text) given by the caller;
     it is broadcast, which its size bounds: at most 1000 texts, else ValueError. Lines are looked up by digest where
-    they stand, so that documents are never shuffled.
+    they stand, so that documents are never shuffled; only lines as long as a known text are hashed.
 
     Nulls: a null text, or one without letters and digits, has a null digest and no licence; a null id passes through.
-    Of equal known texts the first name counts. Repeated rows each get their own row; other columns are ignored.
+    Of equal known texts the first name counts. Repeated rows each get their own row; other columns are ignored and may
+    have any names.
     """
-    table = KNOWN if known is None else known
-    if len(table) > 1000:
+    if len(KNOWN if known is None else known) > 1000:
         raise ValueError("the table of known texts is broadcast: at most 1000")
-    names = known_digests(docs.sparkSession, table).groupBy("digest").agg(F.min("licence").alias("licence"))
-    found = names.where("digest is not null").collect()
+    names = known_digests(docs.sparkSession, known).where("digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"), F.min("size").alias("size"))
+    found = names.collect()
     by_line = F.create_map([F.lit(x) for r in found for x in (r.digest, r.licence)]) if found else F.lit(None).cast("map<string,string>")
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), canonical(F.col(text_col)).alias("canon"))
-    lines = F.split("canon", "\n")
-    rows = rows.select(id_col, _digest(F.col("canon")).alias("digest"), F.transform(lines, _digest).alias("lines"))
+    lines = F.filter(F.transform(F.split("canon", "\n"), _words), lambda x: F.length(x).isin(sorted({r["size"] for r in found})))
+    rows = rows.select(id_col, _digest(_words(F.col("canon"))).alias("digest"), F.transform(lines, _digest).alias("lines"))
     hits = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda d: by_line[d]), lambda x: x.isNotNull())))
     rows = rows.select(id_col, "digest", F.coalesce(hits, F.array().cast("array<string>")).alias("line_licences"))
-    return rows.join(F.broadcast(names), "digest", "left").select(id_col, "digest", "licence", "line_licences")
+    return rows.join(F.broadcast(names.select("digest", "licence")), "digest", "left").select(id_col, "digest", "licence", "line_licences")

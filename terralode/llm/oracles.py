@@ -50,7 +50,8 @@ FROM r
 def licence_digests() -> str:
     """The canonical form as nested replacements, of documents and of the known texts alike."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licences.KNOWN.items())
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licences.known_texts())
+    fixed = ", ".join(f"({quoted(d)}, {quoted(k)})" for k, d, _ in licences.DIGESTS)
     spelt = "b"
     for a, b in licences.SPELLINGS:
         spelt = f"regexp_replace({spelt}, '\\b{a}\\b', '{b}', 'g')"
@@ -58,12 +59,14 @@ def licence_digests() -> str:
     return rf"""
 WITH known(licence, text) AS (VALUES {known}),
 t AS (SELECT doc_id, NULL AS licence, text FROM documents UNION ALL SELECT NULL, licence, text FROM known),
-a AS (SELECT doc_id, licence, regexp_replace(regexp_replace(lower(text), '\r\n?', chr(10), 'g'),
-  '(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g') AS a FROM t),
+a AS (SELECT doc_id, licence, array_to_string(list_transform(string_split(regexp_replace(lower(text), '\r\n?', chr(10), 'g'), chr(10)), lambda x: CASE
+  WHEN regexp_matches(x, '^[ \t]*copyright[ \t]*[^\s]') AND NOT regexp_matches(x, '^[ \t]*copyright[ \t]+({licences._BODY})\b') OR regexp_matches(x, '^[ \t]*\(c\)[ \t]*copyright')
+    OR regexp_matches(x, '^[ \t]*\(c\).*\b(19|20)\d\d\b') OR regexp_matches(x, '^[ \t]*(©|all rights reserved)') THEN '' ELSE x END), chr(10)) AS a FROM t),
 b AS (SELECT doc_id, licence, regexp_replace(a, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS b FROM a),
 c AS (SELECT doc_id, licence, CASE WHEN regexp_matches(b, '\b({odd})\b') THEN {spelt} ELSE b END AS c FROM b),
 w AS (SELECT doc_id, licence, c, trim(regexp_replace(c, '[ \n]+', ' ', 'g')) AS w FROM c),
-k AS (SELECT sha256(w) AS digest, min(licence) AS licence FROM w WHERE licence IS NOT NULL AND w <> '' GROUP BY 1),
+f(digest, licence) AS (VALUES {fixed}),
+k AS (SELECT digest, min(licence) AS licence FROM (SELECT sha256(w) AS digest, licence FROM w WHERE licence IS NOT NULL AND w <> '' UNION ALL SELECT digest, licence FROM f) GROUP BY 1),
 d AS (SELECT doc_id, c, CASE WHEN w <> '' THEN sha256(w) END AS digest FROM w WHERE licence IS NULL),
 l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(c, chr(10))), '[ ]+', ' ', 'g')) AS x FROM d),
 h AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT k.licence)), ',') AS names FROM l JOIN k ON k.digest = sha256(l.x) WHERE l.x <> '' GROUP BY doc_id)

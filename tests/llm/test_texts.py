@@ -1,15 +1,20 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terralode.llm import decontaminate, langid, licences
+from terralode.llm.oracles import licence_digests as licences_sql
 from terralode.llm.packing import pack_documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -191,6 +196,40 @@ def test_licences(spark, odd_docs, no_docs):
     assert licences.find_licences(docs.withColumn("digest", F.lit(1)), known={}).where("licence is not null").count() == 0
 
 
+def test_licences_as_published(spark):
+    """Each known text under each of its headings, wrapped at several widths, and in other letters, quotes and line ends."""
+    rows = []
+    for name, text in licences.KNOWN.items():
+        for head in ["", *(f"{h}\n\n" for h in licences.HEADINGS.get(name, ()))]:
+            for width in (60, 72, 78, 100):
+                body = "\n".join(textwrap.wrap(text, width))
+                rows += [(name, f"{head}Copyright (c) 2020 A. Author\n\n{body}\n"), (name, (head + body).upper().replace("\n", "\r\n"))]
+    docs = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(rows)], "doc_id long, name string, text string").withColumn("digest", F.lit(1))
+    got = {r.doc_id: r.licence for r in licences.find_licences(docs).collect()}
+    assert len(got) == len(rows) and all(got[i] == name for i, (name, _) in enumerate(rows))
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="needs the licence texts of the system")
+def test_longer_licences_as_published(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(i, (Path("/usr/share/common-licenses") / f).read_text()) for i, f in enumerate(names)]
+    rows += [(100 + i, t.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n") for i, t in rows[:3]]
+    got = {r.doc_id: r.licence for r in licences.find_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(names))] == list(names.values()) and [got[100 + i] for i in range(3)] == list(names.values())[:3]
+
+
+def test_licence_sql_says_the_same(spark, tmp_path):
+    """The SQL, on texts that the dealt join does find."""
+    rows = [(i, f"{h}{t}") for i, (h, t) in enumerate((h, t) for t in licences.KNOWN.values() for h in ("", "(c) 2001 B\n", "Copyright notice\n", "All rights reserved.\nMIT License\n"))]
+    rows += [(500, None), (501, " \n"), (502, "x\nReleased under the MIT licence!\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = sorted(con.sql(licences_sql()).select("doc_id, digest, licence, line_licences").fetchall())
+    got = sorted((r.doc_id, r.digest, r.licence, ",".join(r.line_licences)) for r in licences.find_licences(docs).collect())
+    assert got == want and sum(r[2] is not None for r in got) == 2 * len(licences.KNOWN) + 1
+
+
 def test_licence_bodies_keep_their_lines(spark):
     """The usual wrapping of the ISC text has a line that starts with "copyright notice"."""
     isc = licences.KNOWN["ISC"].replace("\n", " ").replace("that the above copyright", "that the above\ncopyright").replace("all copies. ", "all copies.\n\n")
