@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralode.llm._shared import small_batches
+
 U = np.uint64
 #: URLs that are stepped through together.
 BLOCK = 8192
 
 
 class GlobSet:
-    """Many globs packed into multiword bit masks. `*` stands for any bytes, `?` for one; a glob matches whole strings.
+    """Many globs packed into multiword bit masks. `*` stands for any bytes, `?` for one, and a backslash makes the next
+    byte stand for itself; a glob matches whole strings.
 
     Each byte or `?` of a glob is one state, and its start another; a `*` lets the state before it loop. One step is
     ((D << 1) & reach[byte]) | (D & loops), with carries from word to word, for a block of strings at a time.
@@ -27,9 +31,14 @@ class GlobSet:
         for glob in globs:
             starts.append(len(states))
             states.append((-1, False))
-            for c in glob:
+            at = 0
+            while at < len(glob):
+                c, at = glob[at], at + 1
                 if c == ord("*"):
                     states[-1] = (states[-1][0], True)
+                elif c == ord("\\") and at < len(glob):
+                    states.append((glob[at], False))
+                    at += 1
                 else:
                     states.append((None if c == ord("?") else c, False))
             self.ends.append(len(states) - 1)
@@ -67,13 +76,18 @@ class GlobSet:
         return out
 
 
+def escaped(text: str) -> str:
+    """A glob that matches the text alone."""
+    return re.sub(r"([*?\\])", r"\\\1", text)
+
+
 def _judged(rules: list[tuple[str, str]], globs: list[str], default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A rule is a glob over ".host#path"; neither part can hold a '#'.
         names = [name for _, name in rules]
         split = [(n[: n.index("/")], n[n.index("/") :]) for n in names]
-        escaped = [f"*.{h}#{p}*".encode() for h, p in split]
-        both = GlobSet([*escaped, *(g.encode() for g in globs)])
+        prefixes = [f"*.{escaped(h)}#{escaped(p)}*".encode() for h, p in split]
+        both = GlobSet([*prefixes, *(g.encode() for g in globs)])
         by_size = sorted(range(len(names)), key=lambda i: len(names[i]))
         for batch in batches:
             hosts, paths = (batch.column(i).to_pylist() for i in (1, 2))
@@ -91,7 +105,7 @@ def _judged(rules: list[tuple[str, str]], globs: list[str], default: str):
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], globs: list[str], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict) of each url. rules are (verdict, "host/path"): one fits its host and all
-    subdomains if the url's path starts with the rule's, and the longest that fits decides. Where none fits, a url is
+    subdomains if the url's path starts with the rule's, byte for byte, and the longest that fits decides. Where none fits, a url is
     blocked if one of the globs matches its ".host#path", else it gets the default verdict.
 
     The host is what follows the first "://" up to "/", "?", "#" or the end, with A-Z lower-cased; the path what follows
@@ -102,6 +116,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], globs: list[str],
     raw = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     host = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    base = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
+    base = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     out = base.mapInArrow(_judged(rules, globs, default), "id long, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("id", id_col)
