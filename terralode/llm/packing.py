@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 
@@ -16,12 +17,18 @@ from tokenizers import Tokenizer
 from terralode.llm._shared import binary, small_batches
 
 #: Ids of distinct words of about so many bytes are remembered in a worker, over its tasks; then the memory starts anew.
-MEMORY_BYTES = 160 << 20
+MEMORY_BYTES = 96 << 20
 #: Tokens that wait in a task for windows, over which the tiers are packed: room to choose, and the bound of its memory.
 POOL = 1 << 16
 _PIECE = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
-#: How this kind of vocabulary parts a word (fixed by its file).
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: How the kind of vocabulary that WordIds takes apart itself parts words: fixed values, which the file must have.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_PARTS = regex.compile(_PATTERN)
 #: Words of printable Latin characters, which no normal form changes, go to the merges directly.
 _PLAIN = regex.compile("[\u0021-\u007e\u00a1-\u024f]+")
 
@@ -34,12 +41,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def by_words(tokenizer: Tokenizer) -> bool:
+    """Whether a vocabulary is of the kind in which white space always ends a token and is dropped, and whose words part
+    and merge as WordIds does it."""
+    parts = json.loads(tokenizer.to_str())
+    model = parts["model"]
+    return (
+        (parts["normalizer"] or {}).get("normalizers") == _NORMALIZERS and (parts["pre_tokenizer"] or {}).get("pretokenizers") == _PRETOKENIZERS
+        and model["type"] == "BPE" and not model["dropout"] and model["continuing_subword_prefix"] is None and all("<|" in t["content"] for t in parts["added_tokens"])
+    )
+
+
 class WordIds:
-    """Token ids of texts. White space always ends a token of this kind of vocabulary and is dropped, so that a text's
-    ids are those of its white-space separated words in turn; each distinct word is encoded once."""
+    """Token ids of texts. White space always ends a token of most word vocabularies and is dropped, so that a text's
+    ids are those of its white-space separated words in turn; each distinct word is encoded once. Texts of other
+    vocabularies are encoded whole."""
 
     def __init__(self, tokenizer: str, end: int) -> None:
         self.tokenizer, self.end, self.known, self.size = Tokenizer.from_file(tokenizer), end, {}, 0
+        self.by_words = by_words(self.tokenizer)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     @classmethod
@@ -73,6 +93,9 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Little-endian 32-bit ids of each text, with the end id after them."""
+        if not self.by_words:
+            encoded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array([*e.ids, self.end], "<u4") for e in encoded]
         if self.size > MEMORY_BYTES:
             self.known, self.size = {}, 0
         split = [t.split() for t in texts]
@@ -86,7 +109,8 @@ class _Tiers:
     goes to the least tier that holds it. When enough tokens wait, each tier is packed, longest first: a waiting piece
     opens a window, the largest pieces of shorter tiers that fit fill its gap, and the next one is cut to close it.
 
-    Sequences of a partition are dealt in turn into step groups of the same number of tokens, so that steps balance.
+    Sequences of a partition are dealt in turn into step groups of the same number of tokens, so that steps balance: each
+    has group * longest, but for the last of a partition, which has what is left.
     """
 
     def __init__(self, part: int, sizes: tuple[int, ...], group: int) -> None:
@@ -205,8 +229,8 @@ def pack_documents(
     ids, doc_tokens, sequence_id, offset, tier, step_group); ids are little-endian unsigned 32-bit, a sequence's pieces
     have its sequence_id, and their offsets run on from 0; tier is the sequence's length.
 
-    tokenizer is the path of a file of the tokenizers library whose vocabulary drops white space; it must be there on
-    every executor. sizes are the context sizes, powers of two. Documents are tokenised and packed where they are read:
+    tokenizer is the path of a file of the tokenizers library; it must be there on every executor. Where its settings
+    are those of a vocabulary of words, distinct words are encoded once, else whole texts. sizes are the context sizes, powers of two. Documents are tokenised and packed where they are read:
     nothing is shuffled, and a task holds some pieces that wait for windows, and the document at hand. Partitions are input
     splits, which a retried task reads again alike. A partition's last tokens are cut at powers of two, which need no
     padding, so that there is none at all.

@@ -165,6 +165,14 @@ def test_globs_equal_plain_matching():
     assert got.tolist() == want
 
 
+def test_rules_are_no_globs(spark):
+    """A rule's wildcards stand for themselves; odd columns and a very long url."""
+    rows = [(1, "http://a.com/x*y/1"), (2, "http://a.com/xzy/1"), (3, "http://a.com/q\\?"), (4, "http://a.com/" + "z" * 100_000), (4, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'h' as host", "'p' as path", "1 as rule", "2 as id", "3 as verdict")
+    got = {(r.page_id, r.rule, r.verdict, len(r.path)) for r in urlfilter.judge_urls(pages, [("block", "a.com/x*y"), ("block", "a.com/q\\")], ["*#*zzz"]).collect()}
+    assert got == {(1, "a.com/x*y", "block", 6), (2, None, "allow", 6), (3, "a.com/q\\", "block", 3), (4, None, "block", 100_001), (4, None, "allow", 0)}
+
+
 def test_url_rules(spark):
     urls = [
         "http://WWW.Example.com/en/x", "http://example.com/en/", "https://a.example.com/de/1?x", "http://a.net/es/1", "http://badexample.com/en/", "http://a.net", "http://spam-farm.org/x", None, "no scheme", "x://cheap-pills.org#f",

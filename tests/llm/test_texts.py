@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import re
@@ -172,6 +173,32 @@ def test_packing_round_trip(spark, sf_dir):
     assert full > len(by_sequence) / 4
 
 
+def test_packing_other_vocabularies(spark, tmp_path):
+    """Settings that aren't those of word vocabularies: whole texts are encoded, white space and letters as they are."""
+    texts = ["A  b\nc", "It's 12", "", "Ünï <|endoftext|>"]
+    plain = json.loads(Path(TOKENIZER).read_text())
+    plain["normalizer"]["normalizers"] = plain["normalizer"]["normalizers"][:2]  # without lower-casing
+    (tmp_path / "other.json").write_text(json.dumps(plain))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as id", "2 as part", "3 as ids").coalesce(1)
+    for path in (public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/other.json"):
+        tokenizer, got = Tokenizer.from_file(path), {}
+        for r in pack_documents(docs, path).orderBy("doc_id", "start").collect():
+            got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+        assert [got[i] for i in range(4)] == [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+
+
+def test_step_groups_balance(spark, sf_dir):
+    """Each step group of a partition has the same number of tokens, but for the last."""
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").repartition(2)
+    sums = {}
+    for r in pack_documents(docs, TOKENIZER, group=8).groupBy("step_group").agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("k")).collect():
+        sums.setdefault(r.step_group >> 33, []).append((r.step_group, r.n))
+    assert len(sums) == 2
+    for groups in sums.values():
+        *full, last = [n for _, n in sorted(groups)]
+        assert len(full) > 5 and all(abs(n - 8 * 2048) < 2048 for n in full) and sum(full) // len(full) in range(8 * 2048 - 200, 8 * 2048 + 200) and 0 < last <= 9 * 2048
+
+
 def test_packing_odd_rows(spark, no_docs):
     texts = [(1, None), (2, ""), (3, "Ünïcode ß ﬁ Ⅷ e\u0301 <|endoftext|> 's don't 12.5 日本 \u00a0 a\u2003b İ ΑΣ"), (4, "x " * 50_000), (None, "a"), (1, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
