@@ -7,6 +7,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
@@ -14,15 +15,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralode.llm._shared import binary, small_batches
+from terralode.llm._shared import binary, release, small_batches, stash
 
 #: Magic number of the skippable frame that holds the dictionary, and of Zstandard's own frames (fixed by the formats).
 DICTIONARY_MAGIC = 0x184D2A5D.to_bytes(4, "little")
 #: A dictionary is built from at most so many bytes of a file's first records.
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
-#: A file is closed once it has so many compressed bytes.
-FILE_BYTES = 16 << 20
+#: A file is closed once it has so many compressed bytes, and read in pieces of so many.
+FILE_BYTES, READ_BYTES = 16 << 20, 16 << 10
 _DATE = "2000-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -58,13 +59,14 @@ def _dictionary(sample: list[bytes]) -> bytes:
 
 
 class _Writer:
-    """One archive at a time, in memory; a full one is put in the folder under its last name by a rename, so that a
-    task that is tried again replaces what it had written."""
+    """One archive at a time, in memory; a full one is written under a name that no other try of the task uses. Only
+    those names count that the task returns, which Spark takes from one try of each task."""
 
     def __init__(self, folder: str, part: int) -> None:
         self.files, self.root = fs.FileSystem.from_uri(folder)
         self.files.create_dir(self.root, recursive=True)
-        self.part, self.number, self.chunks, self.size, self.waiting, self.held, self.packer = part, 0, [], 0, [], 0, None
+        self.prefix, self.names, self.records = f"part-{part:06d}-{uuid.uuid4().hex}", [], []
+        self.chunks, self.size, self.count, self.waiting, self.held, self.packer = [], 0, 0, [], 0, None
 
     def add(self, record: bytes) -> None:
         if self.packer:
@@ -83,11 +85,12 @@ class _Writer:
         self.size = len(self.chunks[0])
         waiting, self.waiting, self.held = self.waiting, [], 0
         for record in waiting:
-            self.put(record)
+            self.add(record)  # which waits anew if the file is full by then
 
     def put(self, record: bytes) -> None:
         self.chunks.append(self.packer.compress(record))
         self.size += len(self.chunks[-1])
+        self.count += 1
         if self.size >= FILE_BYTES:
             self.flush()
 
@@ -98,51 +101,46 @@ class _Writer:
 
     def flush(self) -> None:
         if self.packer:
-            name = f"{self.root}/part-{self.part:06d}-{self.number:04d}.warc.zst"
-            own = f"{self.root}/.{uuid.uuid4().hex}.tmp"
-            with self.files.open_output_stream(own, compression=None) as out:
+            name = f"{self.prefix}-{len(self.names):04d}.warc.zst"
+            with self.files.open_output_stream(f"{self.root}/{name}", compression=None) as out:
                 for chunk in self.chunks:
                     out.write(chunk)
-            self.files.move(own, name)
-            self.number += 1
-        self.chunks, self.size, self.packer = [], 0, None
+            self.names.append(name)
+            self.records.append(self.count)
+        self.chunks, self.size, self.count, self.packer = [], 0, 0, None
 
 
 def _written(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, records, parts = None, 0, []
+        writer = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = batch.to_pydict()
-            writer = writer or _Writer(folder, columns["part"][0])
-            for page_id, url, payload, digest, kind, refers in zip(*(columns[c] for c in ("page_id", "url", "payload", "digest", "kind", "refers_to")), strict=True):
-                writer.add(_record(page_id, url, payload or b"", base64.b32encode(bytes.fromhex(digest)).decode(), kind, refers))
-                records += 1
-            parts = [writer.part]
+            for part, page_id, url, payload, digest, kind, refers in zip(*batch.columns, strict=True):
+                writer = writer or _Writer(folder, part.as_py())
+                writer.add(_record(page_id.as_py(), url.as_py(), payload.as_py() or b"", base64.b32encode(bytes.fromhex(digest.as_py())).decode(), kind.as_py(), refers.as_py()))
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([writer.number], pa.int64()), pa.array([records], pa.int64())], names=["part", "files", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array(writer.names, pa.string()), pa.array(writer.records, pa.int64())], names=["file", "records"])
 
     return run
 
 
-def records_of(archive: bytes) -> Iterator[bytes]:
-    """The records of an archive in turn, each decompressed by itself with the archive's own dictionary."""
-    view, at, unpack = memoryview(archive), 0, zstandard.ZstdDecompressor()
-    if bytes(view[:4]) == DICTIONARY_MAGIC:
-        size = int.from_bytes(view[4:8], "little")
-        words = zstandard.ZstdDecompressor().decompress(bytes(view[8 : 8 + size]))
-        unpack, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)), 8 + size
-    while at < len(view):
+def records_of(archive: BinaryIO) -> Iterator[bytes]:
+    """The records of an archive in turn, each decompressed by itself with the archive's own dictionary; only the record
+    at hand is in memory."""
+    unpack, rest = zstandard.ZstdDecompressor(), archive.read(8)
+    if rest[:4] == DICTIONARY_MAGIC:
+        words = zstandard.ZstdDecompressor().decompress(archive.read(int.from_bytes(rest[4:8], "little")))
+        unpack, rest = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)), b""
+    while rest := rest or archive.read(READ_BYTES):
         one, parts = unpack.decompressobj(), []
-        while not one.eof:
-            if at >= len(view):
+        while True:
+            parts.append(one.decompress(rest))
+            if one.eof:
+                break
+            if not (rest := archive.read(READ_BYTES)):
                 raise ValueError("an archive ends within a record")
-            parts.append(one.decompress(view[at : at + 8192]))
-            at = min(at + 8192, len(view))
         yield b"".join(parts)
-        at -= len(one.unused_data)
+        rest = one.unused_data
 
 
 def parse_record(record: bytes) -> dict:
@@ -162,24 +160,27 @@ def parse_record(record: bytes) -> dict:
     }
 
 
+_MANIFEST = "file string, records long"
 _READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _TYPES = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
 
-def _parsed(payloads: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(rows[0], _TYPES, strict=True)], names=list(rows[0]))
+def _parsed(folder: str, payloads: bool):
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(rows[0], _TYPES, strict=True)], names=list(rows[0]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for archive in batch.column(0):
+            for name in batch.column(0):
                 rows, size = [], 0
-                for record in records_of(archive.as_py()):
-                    rows.append(parse_record(record) | ({} if payloads else {"payload": None}))
-                    size += len(record) if payloads else 200
-                    if size >= 1 << 20:
-                        yield table(rows)
-                        rows, size = [], 0
+                with files.open_input_stream(f"{root}/{name.as_py()}", compression=None) as archive:
+                    for record in records_of(archive):
+                        rows.append(parse_record(record) | ({} if payloads else {"payload": None}))
+                        size += len(record) if payloads else 200
+                        if size >= 1 << 20:
+                            yield table(rows)
+                            rows, size = [], 0
                 if rows:
                     yield table(rows)
 
@@ -187,33 +188,39 @@ def _parsed(payloads: bool):
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
-    """Writes a record for each page into .warc.zst files in folder, an URI that all executors share, and returns
-    (part, files, records) of each task. The work is done when the returned table is read.
+    """Writes a record for each page into .warc.zst files in folder, an URI that all executors share, at once, and returns
+    their manifest (file, records), which is kept in the folder as a table.
 
     Of records with equal payloads of at least `least` bytes, that with the largest id is the response and the others
-    revisit it; smaller ones are all responses. Equal payloads are found by SHA-1, counted before the shuffle. Every
-    file starts with a skippable frame that holds its dictionary, trained on its own first records (SAMPLE_BYTES), and
-    each record is a frame of its own. A task holds one file of FILE_BYTES in memory and puts it in place by a rename,
-    under a name that a second try of the task uses again.
+    revisit it; smaller ones are all responses. Payloads are equal if their lengths, SHA-1 and SHA-256 are; they are
+    counted before the shuffle. Every file starts with a skippable frame that holds its dictionary, trained on its own first
+    records (SAMPLE_BYTES), and each record is a frame of its own. A task holds one file of FILE_BYTES in memory. What a
+    failed or doubled try of a task wrote stays in the folder, and isn't in the manifest, which alone is read.
 
     Nulls: a null html is an empty payload; a null url gets a URN of the page; a page with a null id is a response to
-    which nothing refers. Rows that share the largest id of a payload are all responses. An empty table writes nothing.
+    which nothing refers. Rows that share the largest id of a payload are all responses. Other columns are ignored and
+    may have any names. An empty table writes nothing and has an empty manifest.
     """
-    payload = F.coalesce(binary(html_col), F.lit(b""))
-    base = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    equal = base.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    known = base.join(equal.where("n > 1").select("digest", "first"), "digest", "left")
+    payload, equal = F.coalesce(binary(html_col), F.lit(b"")), ["digest", "strong", "size"]
+    base = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    base = base.withColumns({"digest": F.sha1("payload"), "strong": F.sha2("payload", 256), "size": F.length("payload")})
+    firsts = base.where(F.col("size") >= least).groupBy(*equal).agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = stash(firsts.where("n > 1").select(*equal, "first"), "payloads")
+    known = base.join(firsts, equal, "left")
     again = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first"))
     rows = known.select(
-        "page_id", "url", "payload", "digest",
+        F.spark_partition_id().cast("long").alias("part"), "page_id", "url", "payload", "digest",
         F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"),
     )
-    rows = rows.withColumn("part", F.spark_partition_id().cast("long"))
-    return rows.mapInArrow(_written(folder), "part long, files long, records long")
+    manifest = f"{folder.rstrip('/')}/manifest"
+    rows.mapInArrow(_written(folder), _MANIFEST).write.parquet(manifest)
+    release(firsts)
+    return pages.sparkSession.read.schema(_MANIFEST).parquet(manifest)
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives in folder: (page_id, url, payload, payload_bytes, payload_digest, record_type,
-    refers_to); digests are checked. payload is empty for a revisit, and null if payloads are not asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(_parsed(payloads), _READ)
+    """The records of the archives in folder's manifest: (page_id, url, payload, payload_bytes, payload_digest,
+    record_type, refers_to); digests are checked. payload is empty for a revisit, and null if payloads are not asked
+    for. A task reads some files, a record at a time."""
+    files = spark.read.schema(_MANIFEST).parquet(f"{folder.rstrip('/')}/manifest").select("file")
+    return files.repartition("file").mapInArrow(_parsed(folder, payloads), _READ)
