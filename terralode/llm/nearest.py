@@ -7,12 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralode.llm._shared import release, stash
+from terralode.llm._shared import release, small_batches, stash
 
 #: Rows that the codebooks are fitted on at most.
 FIT_ROWS = 10_000
@@ -21,8 +20,8 @@ GROUP, CODES = 2, 16
 #: Score below which the direction of an error doesn't matter, as a share of a vector's length: parallel errors weigh
 #: (d - 1) T**2 / (1 - T**2) times as much as others (Guo et al., 2020).
 THRESHOLD = 0.2
-#: Rows that a block of queries or of candidates has on average at most, and numbers in such a block of candidates.
-QUERY_BLOCK, ROW_BLOCK, BLOCK_VALUES = 4096, 1 << 17, 1 << 23
+#: Rows, and numbers, that a block of candidates has on average at most.
+ROW_BLOCK, BLOCK_VALUES = 1 << 17, 1 << 23
 #: Queries whose tables are made at once.
 TABLES_AT_ONCE = 256
 
@@ -84,8 +83,8 @@ def fit_codebooks(x: np.ndarray, rounds: int = 6) -> Codebooks:
     return books
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    rows = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+def _matrix(column: pa.Array) -> np.ndarray:
+    rows = column.to_numpy(zero_copy_only=False)
     return np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, 0))
 
 
@@ -118,66 +117,113 @@ def _kth(scores: np.ndarray, k: int) -> float:
     return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
 
 
-def _scan(books: Codebooks, kind: type, k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """The k best rows of a block for each query of a block. Rough scores are sums of table entries: one table of 256
-        entries for each byte, that is for two 4-bit codes. The exact scores of the roughly best classes give a k-th
-        best score; every class whose rough score and error bound together reach it is scored on its vector."""
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        vectors = np.frombuffer(b"".join(rows["vector"]), kind).reshape(len(rows), -1)
-        single = vectors.astype(np.float32, copy=False)
-        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1).T.copy()
-        error = np.nextafter(rows["error"].to_numpy().astype(np.float32), np.float32(np.inf))
-        n, sizes = len(rows), rows["ids"].map(len).to_numpy(np.int64)
-        ids = np.concatenate([*rows["ids"], np.zeros(0, np.int64)]).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        lone = np.flatnonzero(sizes == 1)  # a query's own class counts for it only where it has other rows
-        lone = lone[np.argsort(ids[starts[lone]], kind="stable")]
-        lone_ids = ids[starts[lone]]
+class _Block:
+    """A block of classes, through which queries are streamed. Rough scores are sums of table entries: one table of 256
+    entries for each byte, that is for two 4-bit codes. The exact scores of the roughly best classes give a k-th
+    best score; every class whose rough score and error bound together reach it is scored on its vector."""
+
+    def __init__(self, books: Codebooks, kind: type, k: int, rows: list[tuple[list[int], bytes, float, bytes]]) -> None:
+        self.books, self.k, self.n = books, k, len(rows)
+        self.vectors = np.frombuffer(b"".join(r[3] for r in rows), kind).reshape(len(rows), -1)
+        self.single = self.vectors.astype(np.float32, copy=False)
+        self.codes = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1).T.copy()
+        self.error = np.nextafter(np.array([r[2] for r in rows], np.float32), np.float32(np.inf))
+        self.sizes = np.array([len(r[0]) for r in rows], np.int64)
+        self.ids = np.array([i for r in rows for i in r[0]], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        lone = np.flatnonzero(self.sizes == 1)  # a query's own class counts for it only where it has other rows
+        self.lone = lone[np.argsort(self.ids[self.starts[lone]], kind="stable")]
+        self.lone_ids = self.ids[self.starts[self.lone]]
         #: What scores in single precision are off at most, for unit queries.
-        loss = (vectors.shape[1] + 16) * 2.0**-23 * np.sqrt(np.square(vectors.astype(np.float64)).sum(axis=1)).max(initial=0)
-        asked, names = _matrix(queries["embedding"]), queries["vec_id"].to_numpy()
-        for at in range(0, len(asked) if n else 0, TABLES_AT_ONCE):
-            some = asked[at : at + TABLES_AT_ONCE]
-            units = some / np.linalg.norm(some, axis=1)[:, None]
-            tables = np.einsum("qgd,gcd->qgc", books.padded(units), books.values).astype(np.float32)
-            pairs = (tables[:, 1::2, :, None] + tables[:, 0::2, None, :]).reshape(len(some), len(codes), 256)
-            for q, x, unit, table in zip(names[at : at + TABLES_AT_ONCE], some, units.astype(np.float32), pairs, strict=True):
-                rough = np.zeros(n, np.float32)
-                for t, c in zip(table, codes, strict=True):
-                    rough += t.take(c)
-                own = lone[np.searchsorted(lone_ids, q) : np.searchsorted(lone_ids, q, "right")]
-                rough[own] = -np.inf
-                least = -np.inf
-                if n - len(own) > (m := 4 * k):
-                    first = np.argpartition(rough, n - m)[n - m :]
-                    least = _kth(np.nan_to_num(single[first] @ unit, nan=-np.inf, posinf=np.inf, neginf=-np.inf), k) - 2 * loss
-                may = ~(rough + error < least)  # what isn't a number stays
-                may[own] = False
-                left = np.flatnonzero(may)
-                scores = single[left] @ unit
-                left = left[~(scores < _kth(np.nan_to_num(scores, nan=-np.inf, posinf=np.inf, neginf=-np.inf), k) - 2 * loss)]
-                # In double precision, summed from the first dimension to the last.
-                scores = np.cumsum(vectors[left] * x, axis=1)[:, -1]
-                of = np.repeat(np.arange(len(left)), sizes[left])
-                found = ids[np.repeat(starts[left], sizes[left]) + np.arange(len(of)) - np.repeat(np.cumsum(sizes[left]) - sizes[left], sizes[left])]
-                of, found = of[found != q], found[found != q]
-                best = np.lexsort((found, -scores[of]))[:k]
-                out.append((np.full(len(best), q), found[best], scores[of[best]]))
-        query, vec, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+        self.loss = (self.vectors.shape[1] + 16) * 2.0**-23 * np.sqrt(np.square(self.vectors.astype(np.float64)).sum(axis=1)).max(initial=0)
+
+    def search(self, names: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query, id, score) of the k best rows of the block for each query."""
+        if not self.n:
+            return
+        units = asked / np.linalg.norm(asked, axis=1)[:, None]
+        tables = np.einsum("qgd,gcd->qgc", self.books.padded(units), self.books.values).astype(np.float32)
+        pairs = (tables[:, 1::2, :, None] + tables[:, 0::2, None, :]).reshape(len(asked), len(self.codes), 256)
+        for q, x, unit, table in zip(names, asked, units.astype(np.float32), pairs, strict=True):
+            rough = np.zeros(self.n, np.float32)
+            for t, c in zip(table, self.codes, strict=True):
+                rough += t.take(c)
+            own = self.lone[np.searchsorted(self.lone_ids, q) : np.searchsorted(self.lone_ids, q, "right")]
+            rough[own] = -np.inf
+            least = -np.inf
+            if self.n - len(own) > (m := 4 * self.k):
+                first = np.argpartition(rough, self.n - m)[self.n - m :]
+                least = _kth(_finite(self.single[first] @ unit), self.k) - 2 * self.loss
+            may = ~(rough + self.error < least)  # what isn't a number stays
+            may[own] = False
+            left = np.flatnonzero(may)
+            scores = self.single[left] @ unit
+            left = left[~(scores < _kth(_finite(scores), self.k) - 2 * self.loss)]
+            # In double precision, summed from the first dimension to the last.
+            scores = np.cumsum(self.vectors[left] * x, axis=1)[:, -1]
+            sizes = self.sizes[left]
+            of = np.repeat(np.arange(len(left)), sizes)
+            found = self.ids[np.repeat(self.starts[left], sizes) + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+            of, found = of[found != q], found[found != q]
+            best = np.lexsort((found, -scores[of]))[: self.k]
+            yield np.full(len(best), q), found[best], scores[of[best]]
+
+
+def _finite(scores: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(scores, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+def _scan(books: Codebooks, kind: type, k: int):
+    """Rows come in order of block and part: its classes first, then its queries, which pass in small groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, block = None, [], None
+        for batch in batches:
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            held: list[tuple[int, bytes]] = []
+
+            def search(held: list, block: _Block, out: list = out) -> None:
+                out += block.search(np.array([q for q, _ in held], np.int64), np.stack([np.frombuffer(x, np.float64) for _, x in held]))
+
+            columns = [c.to_pylist() for c in batch.columns]
+            for b, part, is_query, ids, code, error, vector in zip(*columns, strict=True):
+                if (b, part) != key:
+                    if held:
+                        search(held, block)
+                        held = []
+                    key, rows, block = (b, part), [], None
+                if not is_query:
+                    rows.append((ids, code, error, vector))
+                    continue
+                if block is None:
+                    block, rows = _Block(books, kind, k, rows), []
+                held.append((ids[0], vector))
+                if len(held) == TABLES_AT_ONCE:
+                    search(held, block)
+                    held = []
+            if held:
+                search(held, block)
+            arrays = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries' vectors as doubles."""
+    for batch in batches:
+        vectors = [x.tobytes() for x in _matrix(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["vec_id", "vector"])
+
+
 def largest_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows of vectors with the largest inner product for each row of queries, other than the query's own id:
     (query_id, rank, vec_id, score), nearest first, ties to the smaller id. All rows where there are no more than k.
 
     Codebooks are fitted on at most FIT_ROWS rows, those whose ids hash lowest. Equal vectors are one class, which keeps
     its k + 1 smallest ids; every class is encoded: 4 bits for two dimensions, under a loss that weighs errors along a
-    vector more than those across it. Blocks of queries meet blocks of classes, as tasks of bounded size; each scans its
-    codes by tables and scores on the original vectors, in double precision, every class whose rough score and error
+    vector more than those across it. Blocks of classes have a bounded size, and all queries are streamed through each; a
+    task scans its codes by tables and scores on the original vectors, in double precision, every class whose rough score and error
     bound together reach the k-th best exact score. So the result is exact, whatever the number of rows or of copies.
 
     Vectors that are null, zero or hold null or non-finite components take no part, as query or as candidate, nor do
@@ -207,20 +253,24 @@ def largest_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20,
     classes = first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "embedding")
     kind = np.float32 if plain else np.float64
     codes = stash(classes.mapInArrow(_encoded(books, kind), "ids array<long>, code binary, error double, vector binary"), "codes")
-    asked = stash(asked, "queries")
+    asked = stash(asked.select("vec_id", "embedding").mapInArrow(_as_bytes, "vec_id long, vector binary"), "queries")
     n_rows, n_asked = codes.count(), asked.count()
     if not n_asked:
         return empty
+    # Blocks of classes stay; each query goes to each block. Few blocks are dealt out several times, so that there are at
+    # least two tasks for each core, if there are enough queries.
     blocks = -(-n_rows // max(1, min(ROW_BLOCK, BLOCK_VALUES // dim)))
-    # At least two tasks for each core, if there are enough queries.
     tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n_asked // QUERY_BLOCK), min(-(-tasks // blocks), -(-n_asked // 64)))
+    parts = min(-(-tasks // blocks), -(-n_asked // 64))
     deal = lambda of, c, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int").alias(c)
     each = lambda c, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
     left = codes.select("*", deal(F.col("ids")[0], "block", blocks)).select("*", each("part", parts))
     right = asked.select("*", deal(F.col("vec_id"), "part", parts)).select("*", each("block", blocks))
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
-    exact = met.applyInPandas(_scan(books, kind, k), "query_id long, vec_id long, score double")
+    met = left.select("block", "part", F.lit(False).alias("is_query"), "ids", "code", "error", "vector").union(
+        right.select("block", "part", F.lit(True), F.array("vec_id"), F.lit(None).cast("binary"), F.lit(None).cast("double"), "vector")
+    )
+    met = small_batches(met).repartition("block", "part").sortWithinPartitions("block", "part", "is_query")
+    exact = met.mapInArrow(_scan(books, kind, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = stash(exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
     release(codes, asked)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terralode.llm import html, urlfilter, warc
+from terralode.llm import html, nearest, urlfilter, warc
 from terralode.llm.nearest import fit_codebooks, largest_inner_products
 from terralode.llm.queries import URL_GLOBS, URL_RULES
 
@@ -255,6 +255,20 @@ def test_nearest_is_exact_on_many_rows(spark):
     assert_exact(spark, np.random.default_rng(5).normal(size=(30_000, 64)), np.arange(60))
 
 
+def test_nearest_is_exact_beyond_the_fitted_rows(spark, monkeypatch):
+    """Codebooks fitted on a hundredth of the rows, many small blocks."""
+    monkeypatch.setattr(nearest, "FIT_ROWS", 600)
+    monkeypatch.setattr(nearest, "ROW_BLOCK", 5000)
+    assert_exact(spark, np.random.default_rng(7).normal(size=(60_000, 32)), np.arange(0, 6000, 100))
+
+
+def test_nearest_with_odd_columns(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    odd = vectors.selectExpr("*", "1 as block", "2 as part", "'c' as code", "'v' as vector", "3 as ids")
+    asked = lambda df: sorted(map(tuple, largest_inner_products(df, df.where("vec_id % 20 = 0"), k=3).collect()))
+    assert asked(odd) == asked(vectors)
+
+
 def test_nearest_is_exact_among_copies(spark):
     """A quarter of the rows are copies of one vector, a quarter near copies of it that share its code."""
     x = np.random.default_rng(5).normal(size=(20_000, 16))
