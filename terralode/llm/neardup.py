@@ -22,9 +22,9 @@ TOKENS = 128
 TREES = 12
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 40
-#: Branchings after which a large node isn't branched any more but compared exhaustively in blocks, of about so many
-#: members outside of its largest component and so many of all.
-DEPTH, SOME, ALL = 4, 200, 1000
+#: Branchings after which a large node isn't branched any more but compared exhaustively in blocks, whose sides have about
+#: so many bytes of texts each.
+DEPTH, SIDE_BYTES = 4, 4 << 20
 #: Of the 64 one-bit tokens of a pair at 0.85, 4.8 differ on average, with a standard deviation of 2.1.
 BITS_APART = 20
 
@@ -50,6 +50,8 @@ def _sketches(k: int):
         for batch in batches:
             ids, texts = batch.column(0), [t and t.translate(_LOWER) for t in batch.column(1).to_pylist()]
             sizes, digests, tokens = np.zeros(len(texts), np.int64), [None] * len(texts), [None] * len(texts)
+            orders = [blake2b(b" ".join((t or b"").split()), digest_size=32).digest() for t in texts]
+            lengths = [len(t or b"") for t in texts]
             for first, words, edges in hashed(texts, powers):
                 runs = rolled(words, k)
                 for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True), first):
@@ -67,8 +69,8 @@ def _sketches(k: int):
                         np.minimum(low, part.min(axis=0).astype(np.uint32), out=low)
                     tokens[i] = low.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())],
-                names=["id", "n_shingles", "digest", "tokens"],
+                [ids, pa.array(sizes), pa.array(lengths, pa.int64()), pa.array(orders, pa.binary()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())],
+                names=["id", "n_shingles", "n_bytes", "sequence", "digest", "tokens"],
             )
 
     return run
@@ -124,11 +126,11 @@ def _blocks(members: DataFrame) -> DataFrame:
     """Large nodes in blocks of bounded size, so that all their pairs across components are looked at by many tasks:
     (some, all_) lists of members. Nearly all members of a node may be one component by now: those of its largest
     component aren't set against each other, but only against blocks of the rest."""
-    per_part = members.groupBy("node", "part").agg(F.count("*").alias("n"))
-    per_node = per_part.groupBy("node").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("total"))
+    per_part = members.groupBy("node", "part").agg(F.sum(F.length("text") + TOKENS * 4).alias("n"))
+    per_node = stash(per_part.groupBy("node").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("total")), "nodes")
     known = members.join(per_node, "node").withColumn("other", F.col("part") != F.col("main.part"))
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    some, chunks = F.ceil((F.col("total") - F.col("main.n")) / SOME), F.ceil(F.col("total") / ALL)
+    some, chunks = (F.greatest(F.ceil(n / SIDE_BYTES), F.lit(1)) for n in (F.col("total") - F.col("main.n"), F.col("total")))
     member, last = F.struct("id", "part", "other", "tokens", "text"), lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
     left = known.where("other").select("node", deal(some).alias("block"), last(chunks).alias("chunk"), member.alias("x"))
     right = known.select("node", last(some).alias("block"), deal(chunks).alias("chunk"), member.alias("y"))
@@ -202,8 +204,9 @@ def near_duplicates(
     """Groups documents that are linked by a Jaccard similarity of at least similarity (numerator, denominator) of
     their sets of word shingles. Returns (id, n_shingles, component_id, kept) under the name of id_col.
 
-    Equal sets are one class, found by a 128-bit digest; only one document of a class goes further. Each takes a path
-    in each of twelve trees: a node chooses one or two of the 64 minwise tokens (1 / similarity on average, so that a
+    Equal sequences of words are one class, found by a 256-bit cryptographic digest of all of them; only one document of a
+    class goes further. Where digests of sets agree between classes, the sets are compared in full. Each takes a path
+    in each of twelve trees: a node chooses one or two of the 128 minwise tokens (1 / similarity on average, so that a
     pair at the threshold keeps meeting) and its documents part by the values of these; nodes larger than SMALL branch
     again. Every node first compares its members with one hub, the member with the most company. Then small nodes that
     still hold several components are compared exhaustively, across components, and so are large ones that DEPTH
@@ -217,9 +220,10 @@ def near_duplicates(
     """
     num, den = similarity
     base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), binary(text_col).alias("text"))
-    sketched = stash(base.mapInArrow(_sketches(shingle), "id long, n_shingles long, digest binary, tokens binary"), "sketches")
+    sketched = stash(base.mapInArrow(_sketches(shingle), "id long, n_shingles long, n_bytes long, sequence binary, digest binary, tokens binary"), "sketches")
     named = sketched.where("id is not null and n_shingles > 0")
-    classes = stash(named.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")), "classes")
+    one = [F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("digest", "tokens"))]
+    classes = stash(named.groupBy("sequence").agg(F.min("id").alias("id"), *one), "classes")
     texts = base.where("id is not null")
     second = den / num - 1
 
@@ -246,15 +250,16 @@ def near_duplicates(
         """Members of nodes that hold several components, with their component as part."""
         if parts is None:
             return live.withColumn("part", F.col("id"))
-        known = live.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+        # Grouped tables are written before they are joined, so that adaptive execution can split hot nodes.
+        known = stash(live.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "known")
         per_node = known.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q"))
-        return known.join(per_node.where("p < q").select("node"), "node")
+        return known.join(stash(per_node.where("p < q").select("node"), "nodes"), "node")
 
     def stars(live: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The hub of each node, the member with the most company, and the other members that may be linked with it."""
-        company = live.groupBy("id").agg(F.sum("size").alias("company"))
+        company = stash(live.groupBy("id").agg(F.sum("size").alias("company")), "company")
         ranked = live.join(company, "id").groupBy("node").agg(F.max(F.struct("company", F.negative("id").alias("order"), "bits")).alias("hub"))
-        hubs = ranked.select("node", (-F.col("hub.order")).alias("b"), F.col("hub.bits").alias("hub_bits"))
+        hubs = stash(ranked.select("node", (-F.col("hub.order")).alias("b"), F.col("hub.bits").alias("hub_bits")), "hubs")
         apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits")))
         return hubs, live.join(hubs, "node").where((F.col("id") != F.col("b")) & (apart <= BITS_APART)).select(F.col("id").alias("a"), "b")
 
@@ -262,15 +267,17 @@ def near_duplicates(
     levels: list[DataFrame] = []
     while True:
         members = stash(members, "members")
-        sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = stash(members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         levels.append(stash(members.join(sizes, "node"), "live"))
-        release(members)
+        release(members, sizes)
         large = levels[-1].where(F.col("size") > SMALL)
         if len(levels) > DEPTH or large.isEmpty():
             break
         members = large.join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(_branch(False, second), _MEMBER)
     live = reduce(DataFrame.union, levels)
-    parts = merge(None, confirm(stars(live)[1]))
+    alike = classes.groupBy("digest").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    alike = classes.join(stash(alike.select("digest", "b"), "alike"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
+    parts = merge(None, confirm(stars(live)[1].union(alike)))
 
     leaves = reduce(DataFrame.union, [*(x.where(F.col("size") <= SMALL) for x in levels)])
     small = unsettled(leaves, parts).groupBy("node").agg(F.collect_list(F.struct("id", "part", "bits")).alias("members")).select("members")
@@ -284,9 +291,8 @@ def near_duplicates(
         release(left_over)
     release(*levels)
 
-    one = sketched.select("id", "n_shingles", "digest")
-    heads = classes.where("copies > 1").select("digest", F.col("id").alias("head"))
-    out = one.join(heads, "digest", "left").withColumn("head", F.coalesce("head", "id"))
+    heads = classes.where("copies > 1").select("sequence", F.col("id").alias("head"))
+    out = sketched.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sequence")).alias("sequence")).join(heads, "sequence", "left").withColumn("head", F.coalesce("head", "id"))
     if parts is not None:
         out = out.join(parts.select(F.col("id").alias("head"), "part"), "head", "left").withColumn("head", F.coalesce("part", "head"))
     repeated = out.select("id", "n_shingles", F.col("head").alias("component_id"))

@@ -1,6 +1,9 @@
 from itertools import combinations
 from random import Random
 
+import numpy as np
+
+from terralode.llm import neardup
 from terralode.llm.components import connected_components
 from terralode.llm.neardup import near_duplicates, shingle_set
 
@@ -32,6 +35,23 @@ def test_equals_all_pairs(spark, sf_dir):
         assert all(r.kept == (i == want[i]) and r.n_shingles == len(shingle_set(dict(rows)[i].encode(), k)) for i, r in got.items())
 
 
+def test_recall_of_all_pairs(spark, sf_dir):
+    """Every link that comparing all pairs gives, on a table of a thousand documents: none is missed, none is added."""
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=3, similarity=(85, 100)).collect()}
+    assert len(rows) == 1000 and got == groups(rows, 3, 85, 100) and len(set(got.values())) < 950
+
+
+def test_equal_hashes_alone_link_nothing(spark, monkeypatch):
+    """With all hashes of shingles equal, digests of sets and all tokens agree: links are confirmed on full sets."""
+    monkeypatch.setattr(neardup, "rolled", lambda words, k: np.ones(max(0, len(words) - k + 1), np.uint64))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5))) for i in range(8)] + [(20, "a b c d a b c d"), (21, "a b c d a b c"), (22, "A b c d a b c d"), (23, "c d a b c d a b c"), (24, "x"), (25, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=3, similarity=(85, 100)).collect()}
+    assert got == groups(rows, 3, 85, 100) and got[23] == 20
+
+
 def test_copies_of_a_hub_that_are_not_like_each_other(spark):
     """A large node of one component: each copy is near the original, most pairs of copies aren't near enough."""
     base = [f"w{i}" for i in range(300)]
