@@ -17,8 +17,11 @@ _BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_PER_BATCH, "spar
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset in local mode. On a
+    cluster without it, ValueError: executors would write to folders that others don't see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or _local_scratch()).rstrip("/")
 
 

@@ -226,6 +226,11 @@ def near_duplicates(
     classes = stash(named.groupBy("sequence").agg(F.min("id").alias("id"), *one), "classes")
     texts = base.where("id is not null")
     second = den / num - 1
+    passing: list[DataFrame] = []  # tables that the result doesn't read
+
+    def brief(df: DataFrame, name: str) -> DataFrame:
+        passing.append(stash(df, name))
+        return passing[-1]
 
     def confirm(pairs: DataFrame) -> DataFrame | None:
         """pairs(a, b) that are links; b is the side whose set is kept while it repeats."""
@@ -234,7 +239,7 @@ def near_duplicates(
         wanted = stash(only_ids(texts, ids, "id"), "texts")
         sides = [wanted.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
         both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
-        out = stash(both.mapInArrow(_confirmed(shingle, num, den), "a long, b long"), "links")
+        out = brief(both.mapInArrow(_confirmed(shingle, num, den), "a long, b long"), "links")
         release(pairs, wanted)
         return None if out.isEmpty() else out
 
@@ -251,15 +256,15 @@ def near_duplicates(
         if parts is None:
             return live.withColumn("part", F.col("id"))
         # Grouped tables are written before they are joined, so that adaptive execution can split hot nodes.
-        known = stash(live.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "known")
+        known = brief(live.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "known")
         per_node = known.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q"))
-        return known.join(stash(per_node.where("p < q").select("node"), "nodes"), "node")
+        return known.join(brief(per_node.where("p < q").select("node"), "nodes"), "node")
 
     def stars(live: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The hub of each node, the member with the most company, and the other members that may be linked with it."""
-        company = stash(live.groupBy("id").agg(F.sum("size").alias("company")), "company")
+        company = brief(live.groupBy("id").agg(F.sum("size").alias("company")), "company")
         ranked = live.join(company, "id").groupBy("node").agg(F.max(F.struct("company", F.negative("id").alias("order"), "bits")).alias("hub"))
-        hubs = stash(ranked.select("node", (-F.col("hub.order")).alias("b"), F.col("hub.bits").alias("hub_bits")), "hubs")
+        hubs = brief(ranked.select("node", (-F.col("hub.order")).alias("b"), F.col("hub.bits").alias("hub_bits")), "hubs")
         apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits")))
         return hubs, live.join(hubs, "node").where((F.col("id") != F.col("b")) & (apart <= BITS_APART)).select(F.col("id").alias("a"), "b")
 
@@ -276,7 +281,7 @@ def near_duplicates(
         members = large.join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(_branch(False, second), _MEMBER)
     live = reduce(DataFrame.union, levels)
     alike = classes.groupBy("digest").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    alike = classes.join(stash(alike.select("digest", "b"), "alike"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
+    alike = classes.join(brief(alike.select("digest", "b"), "alike"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
     parts = merge(None, confirm(stars(live)[1].union(alike)))
 
     leaves = reduce(DataFrame.union, [*(x.where(F.col("size") <= SMALL) for x in levels)])
@@ -289,7 +294,7 @@ def near_duplicates(
         links = _blocks(left_over.join(wanted, "id")).mapInArrow(_links_between(shingle, num, den), "a long, b long")
         parts = merge(parts, confirm(links))
         release(left_over)
-    release(*levels)
+    release(*levels, *passing)
 
     heads = classes.where("copies > 1").select("sequence", F.col("id").alias("head"))
     out = sketched.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sequence")).alias("sequence")).join(heads, "sequence", "left").withColumn("head", F.coalesce("head", "id"))

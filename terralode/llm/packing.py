@@ -9,15 +9,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terralode.llm._shared import binary, small_batches
 
-#: Ids of distinct words of about so many bytes are remembered in a worker, over its tasks; then the memory starts anew.
-MEMORY_BYTES = 96 << 20
+#: Ids of distinct words of about so many bytes are remembered in a task; then the memory starts anew.
+MEMORY_BYTES = 64 << 20
 #: Tokens that wait in a task for windows, over which the tiers are packed: room to choose, and the bound of its memory.
 POOL = 1 << 16
 _PIECE = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
@@ -62,14 +61,6 @@ class WordIds:
         self.by_words = by_words(self.tokenizer)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
-    @classmethod
-    def of_worker(cls, tokenizer: str, end: int) -> WordIds:
-        """That of this worker process. It hangs on the library's module, since this module is sent with each task."""
-        kept = vars(tokenizers).setdefault("_word_ids", {})
-        if (tokenizer, end) not in kept:
-            kept[tokenizer, end] = cls(tokenizer, end)
-        return kept[tokenizer, end]
-
     def learn(self, words: set[bytes]) -> None:
         odd, merge, letters, known, size = [], self.model.tokenize, self.letters, self.known, 0
         for word in words:
@@ -193,7 +184,7 @@ class _Tiers:
 
 def _packed(tokenizer: str, end: int, sizes: tuple[int, ...], group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tiers = WordIds.of_worker(tokenizer, end), None
+        encode, tiers = WordIds(tokenizer, end), None
         names = [x.split()[0] for x in _PIECE.split(", ")]
 
         def table(rows: list[list]) -> pa.RecordBatch:
