@@ -5,14 +5,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralode.llm._shared import scratch_dir, without_ids
+from terralode.llm._shared import release, stash, without_ids
 from terralode.llm.decontaminate import find_leaks
 from terralode.llm.langid import UNKNOWN, held_out, identify_language, learn_profiles
 from terralode.llm.neardup import near_duplicates
@@ -62,12 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{scratch_dir(spark)}/terralode/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
-    return docs
+    """What the last stage returns. Each stage's table is written in the shared folder, and deleted once the next is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    *early, (_, last) = STAGES
+    for name, stage in early:
+        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        release(*before)
+        before = [docs]
+    return last(spark, docs, sf_dir)
