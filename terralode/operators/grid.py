@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The flow codes, counter-clockwise from east, with their steps in rows (downwards) and columns.
 D8 = {1: (0, 1), 2: (-1, 1), 4: (-1, 0), 8: (-1, -1), 16: (0, -1), 32: (1, -1), 64: (1, 0), 128: (1, 1)}
+#: Steps of a path that are followed at most.
+MOST_STEPS = 1 << 20
 
 
 def with_neighbours(cells: DataFrame, steps: dict[str, tuple[int, int]]) -> DataFrame:
@@ -61,9 +63,12 @@ def downstream(pointers: DataFrame) -> DataFrame:
 def traced(flow: DataFrame, keep) -> DataFrame:
     """For each cell its outlet, the steps to it and the cells that drain through it (itself included), by doubling:
     after k rounds 2**k steps are known, so that the rounds are the logarithm of the longest path. keep writes a
-    round's table away and reads it back (a checkpoint), which cuts the lineage."""
+    round's table away and reads it back (a checkpoint), which cuts the lineage. Paths of up to MOST_STEPS are followed;
+    longer ones, and cells whose path runs into a circle, have no outlet, steps or area."""
     state = keep(flow.select("cell", F.col("next").alias("jump"), F.coalesce("next", "cell").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.lit(1).cast("long").alias("area")))
-    while not state.where("jump is not null").isEmpty():
+    rounds = 0
+    while rounds < MOST_STEPS.bit_length() and not state.where("jump is not null").isEmpty():
+        rounds += 1
         onward = state.select(F.col("cell").alias("jump"), F.col("jump").alias("jump2"), F.col("last").alias("last2"), F.col("steps").alias("steps2"))
         given = state.where("jump is not null").groupBy(F.col("jump").alias("cell")).agg(F.sum("area").alias("more"))
         state = keep(
@@ -72,7 +77,8 @@ def traced(flow: DataFrame, keep) -> DataFrame:
                 (F.col("area") + F.coalesce("more", F.lit(0))).alias("area"),
             )
         )
-    return state.select("cell", F.col("last").alias("outlet"), "steps", "area")
+    ends = F.col("jump").isNull()
+    return state.select("cell", *(F.when(ends, F.col(c)).alias(name) for c, name in (("last", "outlet"), ("steps", "steps"), ("area", "area"))))
 
 
 def zonal(cells: DataFrame, zone: str, value: str, threshold: float = 70.0, digits: int = 4) -> DataFrame:

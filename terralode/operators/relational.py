@@ -85,6 +85,24 @@ def full_outer_zero(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.select(key, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in both.columns if c != key))
 
 
+def priorities(scores: Mapping[str, DataFrame], weights: Mapping[str, float]) -> DataFrame:
+    """(node_id, composite_score, missing_factors) from named tables (id, score): each factor is scaled between the least
+    and the greatest of its own scores (0 where all are equal), and the weights of the factors a node has share the
+    whole. A factor without a score for a node is missing, not zero. Ids are text, of which only digits name a node."""
+    rows = None
+    for name, df in scores.items():
+        one = df.where("score is not null").select(F.lit(name).alias("factor"), F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"))
+        rows = one if rows is None else rows.union(one)
+    bounds = rows.groupBy("factor").agg(F.min("score").alias("low"), F.max("score").alias("high"))  # a row for each factor
+    share = F.when(F.col("high") > F.col("low"), F.round((F.col("score") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), 4)).otherwise(F.lit(0.0))
+    weight = F.create_map([F.lit(x) for pair in weights.items() for x in pair])[F.col("factor")]
+    known = rows.where(F.col("id").rlike(r"^\d+$")).join(F.broadcast(bounds), "factor").select(F.col("id").cast("long").alias("node_id"), "factor", (share * weight).alias("part"), weight.alias("weight"))
+    names = F.array(*map(F.lit, weights))
+    return known.groupBy("node_id").agg(
+        F.round(F.sum("part") / F.sum("weight"), 4).alias("composite_score"), F.array_except(names, F.collect_set("factor")).alias("missing_factors")
+    )
+
+
 def upsert(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     """Base rows with the patch's values where it has any (null: not given), and the patch's new rows."""
     names = [c for c in base.columns if c != key]
@@ -93,11 +111,19 @@ def upsert(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     return both.select(key, *(F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if c in patch.columns else F.col(c) for c in names))
 
 
-def versions(df: DataFrame, group: Column, order: Sequence[Column | str]) -> DataFrame:
-    """Version numbers in a group, and whether a version is the active one, the last."""
+def versions(df: DataFrame, group: str, order: Sequence[str], step: Column) -> DataFrame:
+    """Version numbers in a group, and whether a version is the active one, the last. step is a coarse value that never
+    falls along the order, such as the month of a date: rows are numbered within a step of their group, and the steps'
+    counts are summed up, so that a group with a third of all rows is dealt to many tasks."""
+    rows = df.withColumn("__step", step)
+    counts = rows.groupBy(group, "__step").agg(F.count("*").alias("n"))
     w = Window.partitionBy(group)
-    numbered = df.withColumn("version", F.row_number().over(w.orderBy(*order)))
-    return numbered.withColumn("is_active", F.col("version") == F.count("*").over(w))
+    before = F.coalesce(F.sum("n").over(w.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(group).alias("__group"), F.col("__step").alias("__of"), before.alias("__before"), F.sum("n").over(w).alias("__all"))
+    numbered = rows.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__step").orderBy(*order)))
+    out = numbered.join(counts, numbered[group].eqNullSafe(counts["__group"]) & numbered["__step"].eqNullSafe(counts["__of"]))
+    version = (F.col("__k") + F.col("__before")).cast("int")
+    return out.select(*df.columns, version.alias("version"), (version == F.col("__all")).alias("is_active"))
 
 
 def reject_reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -59,14 +59,13 @@ UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2
 UNION ALL SELECT 'total', NULL, count(*) FROM orders
 """)
 def group_counts_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read(spark, sf_dir, "orders").createOrReplaceTempView("orders_counts")
-    return spark.sql("""
-      SELECT CASE grouping_id(o_orderstatus, o_orderpriority) WHEN 1 THEN 'status' WHEN 2 THEN 'priority' ELSE 'total' END AS dimension,
-        coalesce(o_orderstatus, o_orderpriority) AS value, count(*) AS n
-      FROM orders_counts GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    counted = read(spark, sf_dir, "orders").groupingSets([[status], [priority], []], status, priority).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    dimension = F.when(F.col("g") == 1, "status").when(F.col("g") == 2, "priority").otherwise("total")
+    return counted.select(dimension.alias("dimension"), F.coalesce(status, priority).alias("value"), "n")
 
 
-FIXED = ["click", "login", "logout", "purchase", "refund", "scroll", "view"]
+FIXED = ["click", "error", "login", "logout", "purchase", "refund", "scroll", "signup", "view"]
 
 
 @query(f"""
@@ -224,7 +223,7 @@ SELECT n_name, c_mktsegment, n, km, CAST((dense_rank() OVER (ORDER BY n_name) -
 """)
 def consortium_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation")
-    rows = read(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = read(spark, sf_dir, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
     rolled = rows.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.round(money("c_acctbal").cast("double"), 1).alias("km"))
     colours = rolled.select("n_name").distinct().withColumn("colour", ((F.dense_rank().over(Window.orderBy("n_name")) - 1) % 20).cast("int"))
     totals = rolled.groupBy("n_name").agg(F.sum("n").alias("nation_n"))
@@ -270,4 +269,5 @@ WINDOW w AS (PARTITION BY coalesce(g, '__null__') ORDER BY o_orderdate, o_totalp
 def scd2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     group = F.when(F.col("o_custkey") % 7 != 0, F.concat("o_orderpriority", (F.col("o_custkey") % 50).cast("string")))
-    return R.versions(orders, F.coalesce(group, F.lit("__null__")), ["o_orderdate", "o_totalprice", "o_orderkey"]).select("o_orderkey", "version", "is_active")
+    grouped = orders.withColumn("g", F.coalesce(group, F.lit("__null__")))
+    return R.versions(grouped, "g", ["o_orderdate", "o_totalprice", "o_orderkey"], F.trunc("o_orderdate", "month")).select("o_orderkey", "version", "is_active")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralode.functions import numeric
-from terralode.operators.relational import full_outer_zero
+from terralode.operators.relational import priorities
 from terralode.plans.registry import query, read
 
 #: Legal transitions of the events' state machine.
@@ -46,7 +46,7 @@ FROM events WHERE month(ts) IN (1, 2, 3) AND value IS NOT NULL GROUP BY 1
 """)
 def baseline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").where(F.month("ts").isin(1, 2, 3) & F.col("value").isNotNull())
-    std = F.when(F.count("*") == 1, F.lit(0.05)).otherwise(F.greatest(F.try_divide(F.lit(1.0), F.lit(1.0)) * F.stddev_samp("value"), F.lit(0.001)))
+    std = F.when(F.count("*") == 1, F.lit(0.05)).otherwise(F.greatest(F.stddev_samp("value"), F.lit(0.001)))
     return rows.groupBy("user_id").agg(F.count("*").alias("sample_count"), F.round(F.avg("value"), 4).alias("mean"), F.round(std, 4).alias("std"))
 
 
@@ -80,39 +80,49 @@ def hci_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity / 10 AS hand, l_quantity / 3 AS twi, l_extendedprice / 8 AS flow, l_discount * 20 AS slope FROM lineitem),
-p AS (SELECT *, least(CASE WHEN hand < 1 THEN 40 WHEN hand < 3 THEN 20 ELSE 0 END + CASE WHEN twi > 12 THEN 25 WHEN twi > 8 THEN 12 ELSE 0 END
-  + CASE WHEN flow > 5000 THEN 20 WHEN flow > 1000 THEN 10 ELSE 0 END + CASE WHEN slope < 0.5 THEN 15 WHEN slope < 1 THEN 8 ELSE 0 END, 100) AS points FROM v)
-SELECT points::INTEGER AS points, CASE WHEN points >= 70 THEN 'critico' WHEN points >= 50 THEN 'alto' WHEN points >= 30 THEN 'medio' ELSE 'bajo' END AS level,
+WITH v AS (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity / 20 END AS hand, l_quantity / 3 AS twi, l_extendedprice * 2 AS flow, l_discount * 10 AS slope FROM lineitem),
+p AS (SELECT *, least(CASE WHEN hand < 0.5 THEN 40 WHEN hand < 1 THEN 30 WHEN hand < 2 THEN 15 ELSE 0 END + CASE WHEN twi > 14 THEN 30 WHEN twi > 11 THEN 20 WHEN twi > 8 THEN 5 ELSE 0 END
+  + CASE WHEN flow > 100000 THEN 20 WHEN flow > 10000 THEN 10 ELSE 0 END + CASE WHEN slope < 0.3 THEN 10 WHEN slope < 0.5 THEN 5 ELSE 0 END, 100) AS points,
+  coalesce((hand < 2)::INT, 0) + (twi > 11)::INT + (flow > 10000)::INT + (slope < 0.3)::INT AS factors, flow > 100000 AS extreme FROM v)
+SELECT points::INTEGER AS points, CASE WHEN points >= 70 THEN 'critico' WHEN points >= 50 THEN 'alto' WHEN points >= 30 THEN 'moderado' ELSE 'bajo' END AS level,
   CASE WHEN flow > 5000 OR slope < 0.5 THEN 'alta' WHEN flow > 2000 OR slope < 2 THEN 'media' ELSE 'baja' END AS severity,
-  sum(CAST(hand < 3 AS INT) + CAST(twi > 8 AS INT) + CAST(flow > 1000 AS INT) + CAST(slope < 1 AS INT))::BIGINT AS n_factors, count(*) AS n FROM p GROUP BY 1, 2, 3
+  sum(factors)::BIGINT AS n_factors, count(*) FILTER (extreme) AS n_extreme, count(*) AS n FROM p GROUP BY 1, 2, 3
 """)
 def flood_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    rows = read(spark, sf_dir, "lineitem").select((c("l_quantity") / 10).alias("hand"), (c("l_quantity") / 3).alias("twi"), (c("l_extendedprice") / 8).alias("flow"), (c("l_discount") * 20).alias("slope"))
+    hand = F.when(c("l_linenumber") != 7, c("l_quantity") / 20)
+    rows = read(spark, sf_dir, "lineitem").select(hand.alias("hand"), (c("l_quantity") / 3).alias("twi"), (c("l_extendedprice") * 2).alias("flow"), (c("l_discount") * 10).alias("slope"))
     points, factors = numeric.flood_points(c("hand"), c("twi"), c("flow"), c("slope"))
     severity = numeric.conflict_severity(c("flow"), c("slope"))
     keys = [points.cast("int").alias("points"), numeric.flood_level(points).alias("level"), severity.alias("severity")]
-    return rows.groupBy(*keys).agg(F.sum(F.size(factors)).alias("n_factors"), F.count("*").alias("n"))
+    extreme = F.exists(factors, lambda x: x.startswith("Flow accumulation extremo"))
+    return rows.groupBy(*keys).agg(F.sum(F.size(factors)).alias("n_factors"), F.count_if(extreme).alias("n_extreme"), F.count("*").alias("n"))
 
 
 @query("""
-WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1),
-j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM a FULL JOIN b ON a.k = b.k),
-m AS (SELECT max(customers) AS mc, min(customers) AS nc, max(suppliers) AS ms, min(suppliers) AS ns FROM j)
-SELECT k AS nation, round((CASE WHEN customers > 0 THEN 0.6 * CASE WHEN mc = nc THEN 0 ELSE (customers - nc) / (mc - nc) END ELSE 0 END + CASE WHEN suppliers > 0 THEN 0.4 * CASE WHEN ms = ns THEN 0 ELSE (suppliers - ns) / (ms - ns) END ELSE 0 END)
-  / (CASE WHEN customers > 0 THEN 0.6 ELSE 0 END + CASE WHEN suppliers > 0 THEN 0.4 ELSE 0 END), 4)::DOUBLE AS priority FROM j, m
+WITH a AS (SELECT c_nationkey AS k, count(*) / 1000 AS v FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS v FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1),
+h AS (SELECT CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE CAST(n_nationkey AS VARCHAR) END AS k, n_regionkey * 20.0 AS v FROM nation), hn AS (SELECT k::BIGINT AS k, v FROM h WHERE regexp_full_match(k, '\d+')),
+c AS (SELECT s_nationkey AS k, count(*) AS v FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1),
+ids AS (SELECT k FROM a UNION SELECT k FROM b UNION SELECT k FROM hn UNION SELECT k FROM c),
+m AS (SELECT (SELECT min(v) FROM a) AS a0, (SELECT max(v) FROM a) AS a1, (SELECT min(v) FROM b) AS b0, (SELECT max(v) FROM b) AS b1, (SELECT min(v) FROM h) AS h0, (SELECT max(v) FROM h) AS h1, (SELECT min(v) FROM c) AS c0, (SELECT max(v) FROM c) AS c1),
+x AS (SELECT ids.k, round(CASE WHEN a1 = a0 THEN 0 ELSE (a.v - a0) / (a1 - a0) END, 4) AS av, round(CASE WHEN b1 = b0 THEN 0 ELSE (b.v - b0) / (b1 - b0) END, 4) AS bv, round(CASE WHEN h1 = h0 THEN 0 ELSE (hn.v - h0) / (h1 - h0) END, 4) AS hv,
+  round(CASE WHEN c1 = c0 THEN 0 ELSE (c.v - c0) / (c1 - c0) END, 4) AS cv, a.v AS a, b.v AS b, hn.v AS h, c.v AS c FROM ids LEFT JOIN a ON a.k = ids.k LEFT JOIN b ON b.k = ids.k LEFT JOIN hn ON hn.k = ids.k LEFT JOIN c ON c.k = ids.k, m),
+y AS (SELECT k, (CASE WHEN a IS NULL THEN 0 ELSE 0.30 * av END + CASE WHEN b IS NULL THEN 0 ELSE 0.25 * bv END + CASE WHEN h IS NULL THEN 0 ELSE 0.25 * hv END + CASE WHEN c IS NULL THEN 0 ELSE 0.20 * cv END)
+  / (CASE WHEN a IS NULL THEN 0 ELSE 0.30 END + CASE WHEN b IS NULL THEN 0 ELSE 0.25 END + CASE WHEN h IS NULL THEN 0 ELSE 0.25 END + CASE WHEN c IS NULL THEN 0 ELSE 0.20 END) AS s,
+  concat_ws(',', CASE WHEN a IS NULL THEN 'centrality' END, CASE WHEN b IS NULL THEN 'flow_acc' END, CASE WHEN h IS NULL THEN 'upstream_hci' END, CASE WHEN c IS NULL THEN 'conflict_count' END) AS missing FROM x)
+SELECT k::BIGINT AS node_id, round(s, 3)::DOUBLE AS composite, missing FROM y
 """)
 def maintenance_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = lambda t, key, m, name: read(spark, sf_dir, t).where(F.col(key) % m != 0).groupBy(F.col(key).alias("nation")).agg(F.count("*").alias(name))
-    rows = full_outer_zero(counted("customer", "c_nationkey", 5, "customers"), counted("supplier", "s_nationkey", 3, "suppliers"), "nation")
-    bounds = rows.agg(*(f(c).alias(f"{n}_{c}") for c in ("customers", "suppliers") for n, f in (("low", F.min), ("high", F.max))))
-    part, weight = F.lit(0.0), F.lit(0.0)
-    for name, w in (("customers", 0.6), ("suppliers", 0.4)):
-        given = F.col(name) > 0
-        part = part + F.when(given, w * numeric.min_max(F.col(name), F.col(f"low_{name}"), F.col(f"high_{name}"))).otherwise(0.0)
-        weight = weight + F.when(given, w).otherwise(0.0)
-    return rows.crossJoin(F.broadcast(bounds)).select("nation", F.round(part / weight, 4).alias("priority"))
+    """Four maps of scores by node; those of the index have text keys, of which only digits name a node."""
+    counted = lambda t, key, m, value: read(spark, sf_dir, t).where(m).groupBy(F.col(key).cast("string").alias("id")).agg(value.cast("double").alias("score"))
+    key, nation = F.col("s_nationkey"), read(spark, sf_dir, "nation")
+    hci = nation.select(F.when(F.col("n_nationkey") % 4 == 0, F.col("n_name")).otherwise(F.col("n_nationkey").cast("string")).alias("id"), (F.col("n_regionkey") * 20.0).alias("score"))
+    scores = {
+        "centrality": counted("customer", "c_nationkey", F.col("c_nationkey") % 5 != 0, F.count("*") / 1000), "flow_acc": counted("supplier", "s_nationkey", key % 3 != 0, F.sum(F.col("s_acctbal").cast("decimal(18,2)"))),
+        "upstream_hci": hci, "conflict_count": counted("supplier", "s_nationkey", key % 2 == 0, F.count("*")),
+    }
+    out = priorities(scores, numeric.MAINTENANCE)
+    return out.select("node_id", F.round("composite_score", 3).alias("composite"), F.concat_ws(",", "missing_factors").alias("missing"))
 
 
 @query("""

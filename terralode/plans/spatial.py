@@ -131,7 +131,7 @@ def polyline_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n_regionkey, min(c_acctbal) AS min_x, max(c_acctbal) AS max_x, min(c_custkey % 90) AS min_y, max(c_custkey % 90) AS max_y FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1
 """)
 def bbox_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     y = F.col("c_custkey") % 90
     return rows.groupBy("n_regionkey").agg(F.min("c_acctbal").alias("min_x"), F.max("c_acctbal").alias("max_x"), F.min(y).alias("min_y"), F.max(y).alias("max_y"))
 

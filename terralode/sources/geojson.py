@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 SCHEMA = "type string, features array<struct<type string, properties map<string,string>, geometry struct<type string, coordinates string>>>"
 
 
-def read_features(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+def read_features(spark: SparkSession, path: str | list[str], bbox: tuple[float, float, float, float] | None = None, *, skip_invalid: bool = False) -> DataFrame:
     """(source, ord, properties, geometry_type, coordinates, box) of every feature of one or many files. coordinates is
-    JSON; box the extent of all its positions. Files that aren't FeatureCollections give no rows. bbox keeps features
-    whose box meets it. A file is one row of the scan: large layers should be many files."""
+    JSON; box the extent of all its positions. A file that isn't a FeatureCollection with a list of features is an error
+    when it is read, or gives no rows if invalid ones may be skipped. bbox keeps features whose box meets it. A file is
+    one row of the scan: large layers should be many files."""
     files = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(SCHEMA).json(path).withColumn("source", F.input_file_name())
-    rows = files.where("type = 'FeatureCollection'").select("source", F.posexplode("features").alias("ord", "f"))
+    sound = F.coalesce(F.col("type") == "FeatureCollection", F.lit(False)) & F.col("features").isNotNull()
+    if skip_invalid:
+        files = files.where(sound)
+    else:
+        wrong = F.raise_error(F.concat(F.lit("not a FeatureCollection: "), "source")).cast(files.schema["features"].dataType)
+        files = files.withColumn("features", F.when(sound, F.col("features")).otherwise(wrong))
+    rows = files.select("source", F.posexplode("features").alias("ord", "f"))
     rows = rows.select("source", "ord", "f.properties", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
     rows = rows.withColumn("box", extent(F.col("coordinates")))
     if bbox:
@@ -51,9 +58,11 @@ def write_features(features: DataFrame, path: str, *, schema_version: str, gener
     bytes for the same rows and stamp. Each part but the first begins with a comma, so that the parts together are one
     FeatureCollection; nothing is gathered in one task."""
     stamp = f'{{"type":"FeatureCollection","metadata":{{"schema_version":"{schema_version}","generated_at":"{generated_at}","source":"{source}"}},"features":['
-    ordered = features.select(F.col(order).cast("long").alias("o"), F.col(json).alias("j"))
-    first = ordered.agg(F.min("o").alias("first"))
-    lines = ordered.crossJoin(F.broadcast(first)).select("o", F.concat(F.when(F.col("o") == F.col("first"), "").otherwise(","), "j").alias("value"))
+    # Equal features with equal places are one line, so that just one line is the first.
+    ordered = features.groupBy(F.col(order).cast("long").alias("o"), F.col(json).alias("j")).agg(F.count("*").cast("int").alias("n"))
+    first = ordered.agg(F.min(F.struct("o", "j")).alias("first"))
+    comma = F.when(F.struct("o", "j") == F.col("first"), "").otherwise(",")
+    lines = ordered.crossJoin(F.broadcast(first)).select("o", F.concat(comma, F.array_join(F.array_repeat("j", F.col("n")), ",")).alias("value"))
     spark = features.sparkSession
     edges = spark.createDataFrame([(-(1 << 62), stamp), ((1 << 62), "]}")], "o long, value string")
-    lines.union(edges).orderBy("o").select("value").write.mode("overwrite").text(path)
+    lines.union(edges).orderBy("o", "value").select("value").write.mode("overwrite").text(path)

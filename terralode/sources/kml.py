@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terralode.functions.text import xml_escape
 
-_ROW = "source string, ord int, name string, description string, folder string, style string, geometry_type string, points array<struct<x double, y double>>, holes int"
+_ROW = "source string, ord int, name string, description string, folder string, style string, geometry_type string, points array<struct<x double, y double>>, holes array<array<struct<x double, y double>>>"
 _POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
 
@@ -46,7 +46,10 @@ def _placemarks(root: ET.Element) -> Iterator[dict]:
         points = _positions(next((e.text for e in found[kind].iter() if _tag(e) == "coordinates"), None)) if kind else []
         if kind == "Polygon" and points and points[0] != points[-1]:
             points.append(points[0])
-        holes = sum(_tag(e) == "innerBoundaryIs" for e in found[kind].iter()) if kind == "Polygon" else 0
+        holes = []
+        if kind == "Polygon":
+            inner = [r for b in found[kind].iter() if _tag(b) == "innerBoundaryIs" for r in b.iter() if _tag(r) == "coordinates"]
+            holes = [[*ring, *(ring[:1] if ring[0] != ring[-1] else [])] for r in inner if (ring := _positions(r.text))]
         yield {
             "name": _text(mark, "name"), "description": _text(mark, "description"), "folder": "/".join(folders), "style": (_text(mark, "styleUrl") or "").lstrip("#") or None,
             "geometry_type": kind, "points": points, "holes": holes,
@@ -54,8 +57,8 @@ def _placemarks(root: ET.Element) -> Iterator[dict]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _ROW.replace("array<struct<x double, y double>>", "list").split(", ")]
-    types = [pa.string(), pa.int32(), *[pa.string()] * 5, _POINTS, pa.int32()]
+    names = ["source", "ord", "name", "description", "folder", "style", "geometry_type", "points", "holes"]
+    types = [pa.string(), pa.int32(), *[pa.string()] * 5, _POINTS, pa.list_(_POINTS)]
     for batch in batches:
         rows = []
         for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):

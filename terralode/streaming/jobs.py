@@ -78,4 +78,4 @@ def illegal_transitions(history: DataFrame, legal: DataFrame, key: str, order: l
     from pyspark.sql import Window
 
     steps = history.withColumn("before", F.lag("estado").over(Window.partitionBy(key).orderBy(*order))).where("before is not null")
-    return steps.withColumnRenamed("estado", "after").join(F.broadcast(legal), ["before", "after"], "left_anti")
+    return steps.withColumnRenamed("estado", "after").join(legal, ["before", "after"], "left_anti")

@@ -32,11 +32,11 @@ def test_projection_and_lengths(spark):
 def test_canals(spark, tmp_path):
     mark = lambda name, coordinates: f"<Placemark><name>{name}</name><styleUrl>#s</styleUrl><LineString><coordinates>{coordinates}</coordinates></LineString></Placemark>"
     line = "0,0 1,0"
-    body = mark("N12 · Canal norte · 1.355,5 m · Prioridad: Media-Alta ★", line) + mark("Canal sur (P3) · 800 m", line) + mark("Canal sur (P3)", line)
+    body = mark("N12 · Canal norte · 1.355,5 m · Media-Alta ★ alto ROI", line) + mark("Canal sur (P3) · 800 m", line) + mark("Canal sur (P3)", line)
     (tmp_path / "c.kml").write_text(f"<kml><Folder><name>Zona / Tramo B</name>{body}</Folder></kml>")
     got = canals.canals(kml.read_placemarks(spark, f"{tmp_path}/c.kml"), "propuesto").orderBy("ord").collect()
     assert [(r.id, r.codigo, r.descripcion, r.longitud_declarada_m, r.prioridad, r.featured) for r in got] == [
-        ("n12-canal-norte", "N12", "Canal norte", 1355.5, "Media-Alta", True), ("p3-canal-sur", "P3", "Canal sur", 800.0, None, False), ("p3-canal-sur-zona-tramo-b-0", "P3", "Canal sur", None, None, False),
+        ("n12-canal-norte", "N12", "Canal norte", 1355.5, "Media-Alta", True), ("p3-canal-sur-p3", "P3", "Canal sur (P3)", 800.0, None, False), ("p3-canal-sur-p3-zona-tramo-b-0", "P3", "Canal sur (P3)", None, None, False),
     ]
     assert got[0].longitud_m == 111319.5 and got[0].tramo_folder == " Tramo B"
     rate = canals.failure_rate(spark.createDataFrame([("a",), (None,)], "x string"), F.col("x")).first().rate
