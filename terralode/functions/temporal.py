@@ -38,3 +38,19 @@ def iso_z(c: Column) -> Column:
 
 def day_of_epoch(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
+
+
+def months_back(day: Column, months: tuple[int, ...] = (6, 12, 18, 24)) -> Column:
+    """Days so many months back, of 30 days each."""
+    return F.array(*(F.date_sub(day, 30 * m) for m in months))
+
+
+def ago_text(seconds: Column, older: Column | None = None) -> Column:
+    """How long ago something was; from a week on the text `older`, and a dash where it isn't known."""
+    def count(unit: int, one: str, more: str) -> Column:
+        n = F.floor(seconds / unit)
+        return F.concat(F.lit("Hace "), n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {more}"))
+
+    text = F.when(seconds < 60, "Ahora mismo").when(seconds < 3600, count(60, "minuto", "minutos")).when(seconds < 86_400, count(3600, "hora", "horas"))
+    text = text.when(seconds < 7 * 86_400, count(86_400, "dia", "dias"))
+    return F.coalesce(text.otherwise(older) if older is not None else text, F.lit("-"))

@@ -55,9 +55,33 @@ def activate(base: DataFrame, new: DataFrame, group: str) -> DataFrame:
     return old.unionByName(fresh)
 
 
+def append_once(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New rows whose key isn't there yet, each key once."""
+    return base.unionByName(new.dropDuplicates([key]).join(base.select(key), key, "left_anti"))
+
+
+def replace_all(base: DataFrame, new: DataFrame) -> DataFrame:
+    """The new rows instead of all old ones; ValueError if there are none, so that an empty upload deletes nothing."""
+    if new.isEmpty():
+        raise ValueError("nothing to replace the table with")
+    return new.select(*base.columns)
+
+
+def flip(base: DataFrame, flag: str, asked: str, errors: Mapping[bool, str]) -> DataFrame:
+    """Sets a flag as asked (null: not asked), with a conflict where it stood so already."""
+    same = F.col(asked) == F.col(flag)
+    conflict = F.when(same & F.col(asked), errors[True]).when(same & ~F.col(asked), errors[False])
+    return base.withColumn("conflict", conflict).withColumn(flag, F.coalesce(asked, flag))
+
+
+def broken(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
+    """One row with the numbers of rows that break each check; a null counts as broken."""
+    return df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()))
+
+
 def require(df: DataFrame, checks: Mapping[str, Column]) -> None:
     """Raises ValueError with the numbers of rows that break the checks; one pass over the table."""
-    counts = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items())).first()
+    counts = broken(df, checks).first()
     if broken := {name: counts[name] for name in checks if counts[name]}:
         raise ValueError(f"rows break checks: {broken}")
 

@@ -16,6 +16,77 @@ def where_given(df: DataFrame, **wanted: object) -> DataFrame:
     return df
 
 
+def by_key(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a unique key: at most one; ValueError if there are several, as the key isn't unique then."""
+    found = df.where(F.col(key) == F.lit(value)).limit(2)
+    if found.count() > 1:
+        raise ValueError(f"{key} = {value!r} isn't unique")
+    return found
+
+
+def prefix_or_equal(df: DataFrame, name: str, pattern: str, other: str, value: str) -> DataFrame:
+    """Rows whose name is LIKE a pattern (in which _ is any character), or whose other column has a value."""
+    return df.where(F.col(name).like(pattern) | (F.col(other) == value))
+
+
+def same_or_null(df: DataFrame, column: str, value: object) -> DataFrame:
+    """Rows with the value; those with a null where none is given."""
+    return df.where(F.col(column).eqNullSafe(F.lit(value)))
+
+
+def with_upper_retry(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows with the value, or, if there are none, with the value in capitals; in one scan."""
+    rows = df.where(F.col(column).isin(value, value.upper()))
+    exact = rows.agg(F.coalesce(F.bool_or(F.col(column) == value), F.lit(False)).alias("exact"))  # a single row
+    return rows.crossJoin(F.broadcast(exact)).where(~F.col("exact") | (F.col(column) == value)).drop("exact")
+
+
+def visible(items: DataFrame, flags: DataFrame, stages: DataFrame, *, master: bool, item: str = "id", stage: str = "stage") -> DataFrame:
+    """Items to show: none unless the master switch is on; an item or its stage is hidden only by an explicit false, and one
+    without a stage by its own flag only. flags (id, shown) and stages (stage, shown) have a row for each key at most."""
+    rows = items.join(flags.select(F.col("id").alias(item), F.col("shown").alias("__own")), item, "left")
+    rows = rows.join(stages.select(F.col("stage").alias(stage), F.col("shown").alias("__stage")), stage, "left")
+    on = F.coalesce("__own", F.lit(True)) & (F.col(stage).isNull() | F.coalesce("__stage", F.lit(True)))
+    return rows.where(F.lit(master) & on).select(*items.columns)
+
+
+def parted(df: DataFrame, state: str, kept: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose state is in a set, and all others (a null state too)."""
+    known = F.coalesce(F.col(state).isin(*kept), F.lit(False))
+    return df.where(known), df.where(~known)
+
+
+def options(df: DataFrame, column: str, defaults: Sequence[str]) -> DataFrame:
+    """(value): the distinct values that aren't empty, or the defaults where there are none."""
+    found = df.select(F.col(column).alias("value")).where(F.coalesce(F.col(column), F.lit("")) != "").distinct()
+    spare = df.sparkSession.createDataFrame([(d,) for d in defaults], "value string")
+    none = found.limit(1).agg((F.count("*") == 0).alias("none"))
+    return found.union(spare.crossJoin(F.broadcast(none)).where("none").select("value"))
+
+
+def add_option(values: Column, raw: Column) -> Column:
+    """A list with a trimmed lower-case value added and sorted, unless it's empty or there already, whatever its case."""
+    new = F.lower(F.trim(raw))
+    known = F.exists(values, lambda v: F.lower(v) == new)
+    return F.when((new == "") | known, values).otherwise(F.array_sort(F.concat(values, F.array(new))))
+
+
+def assigned(initial: DataFrame, draft: DataFrame, key: str, value: str) -> DataFrame:
+    """Assignments of both tables; the draft's win."""
+    new = draft.select(key, F.col(value).alias("__new"))
+    return initial.join(new, key, "full_outer").select(key, F.coalesce("__new", value).alias(value))
+
+
+def compared(current: DataFrame, baseline: DataFrame, meta: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Rows of the current table that the baseline has too, with both values and their difference, and what is known of
+    the key; the greatest changes of the first value first."""
+    base = baseline.select(key, *(F.col(v).alias(f"baseline_{v}") for v in values))
+    rows = current.join(base, key).join(meta, key, "left")
+    for v in values:
+        rows = rows.withColumn(f"delta_{v}", F.col(v) - F.col(f"baseline_{v}"))
+    return rows.orderBy(F.desc(F.abs(F.col(f"delta_{values[0]}"))), key)
+
+
 def search(df: DataFrame, text: str | None, *columns: str) -> DataFrame:
     """Rows in which one of the columns holds the text, whatever its case."""
     if not text:
@@ -99,7 +170,7 @@ def priorities(scores: Mapping[str, DataFrame], weights: Mapping[str, float]) ->
     known = rows.where(F.col("id").rlike(r"^\d+$")).join(F.broadcast(bounds), "factor").select(F.col("id").cast("long").alias("node_id"), "factor", (share * weight).alias("part"), weight.alias("weight"))
     names = F.array(*map(F.lit, weights))
     return known.groupBy("node_id").agg(
-        F.round(F.sum("part") / F.sum("weight"), 4).alias("composite_score"), F.array_except(names, F.collect_set("factor")).alias("missing_factors")
+        F.round(F.sum("part") / F.sum("weight") + 1e-9, 4).alias("composite_score"), F.array_except(names, F.collect_set("factor")).alias("missing_factors")
     )
 
 

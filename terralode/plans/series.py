@@ -110,7 +110,7 @@ x AS (SELECT ids.k, round(CASE WHEN a1 = a0 THEN 0 ELSE (a.v - a0) / (a1 - a0) E
 y AS (SELECT k, (CASE WHEN a IS NULL THEN 0 ELSE 0.30 * av END + CASE WHEN b IS NULL THEN 0 ELSE 0.25 * bv END + CASE WHEN h IS NULL THEN 0 ELSE 0.25 * hv END + CASE WHEN c IS NULL THEN 0 ELSE 0.20 * cv END)
   / (CASE WHEN a IS NULL THEN 0 ELSE 0.30 END + CASE WHEN b IS NULL THEN 0 ELSE 0.25 END + CASE WHEN h IS NULL THEN 0 ELSE 0.25 END + CASE WHEN c IS NULL THEN 0 ELSE 0.20 END) AS s,
   concat_ws(',', CASE WHEN a IS NULL THEN 'centrality' END, CASE WHEN b IS NULL THEN 'flow_acc' END, CASE WHEN h IS NULL THEN 'upstream_hci' END, CASE WHEN c IS NULL THEN 'conflict_count' END) AS missing FROM x)
-SELECT k::BIGINT AS node_id, round(s, 3)::DOUBLE AS composite, missing FROM y
+SELECT k::BIGINT AS node_id, round(s + 1e-9, 4)::DOUBLE AS composite, missing FROM y
 """)
 def maintenance_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four maps of scores by node; those of the index have text keys, of which only digits name a node."""
@@ -122,7 +122,7 @@ def maintenance_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
         "upstream_hci": hci, "conflict_count": counted("supplier", "s_nationkey", key % 2 == 0, F.count("*")),
     }
     out = priorities(scores, numeric.MAINTENANCE)
-    return out.select("node_id", F.round("composite_score", 3).alias("composite"), F.concat_ws(",", "missing_factors").alias("missing"))
+    return out.select("node_id", F.col("composite_score").alias("composite"), F.concat_ws(",", "missing_factors").alias("missing"))
 
 
 @query("""

@@ -44,17 +44,19 @@ def test_parcels(spark):
     got = {r.cuenta: r for r in out.collect()}
     assert out.count() == 4 and got["789"].bpa_2025 is None
     assert {k: r.ley_forestal for k, r in got.items()} == {"123": "aceptada", "456": "presentada", "789": "no_inscripta"}
-    assert got["123"].bpa_2025.superficie_bpa == 7.5 and got["123"].anios_lista == ["2025"]
-    assert got["456"].bpa_historico == {"2018": "El Ceibo", "2021": "El Ceibo"} and got["456"].anios_lista == ["2021"] and got["456"].superficie_ha is None
+    assert got["123"].bpa_2025.superficie_bpa == 7.5 and got["123"].anios_lista == ["2021", "2025"]
+    assert got["456"].bpa_historico == {"2018": "El Ceibo", "2021": "El Ceibo"} and got["456"].anios_lista == ["2021", "2025"] and got["456"].superficie_ha is None
     law = parcels.law_status(out).first()
-    assert (law.n_aceptada, law.n_no_inscripta, law.ha_aceptada, law.ha_no_inscripta, law.pct_n) == (1, 2, 12.3, 10.0, 50.0)
+    assert (law.aceptada_count, law.presentada_count, law.no_inscripta_count, law.aceptada_superficie_ha, law.cumplimiento_pct_parcelas, law.cumplimiento_pct_superficie) == (1, 1, 2, 12.3, 50.0, 100.0)
+    nothing = parcels.law_status(out.limit(0)).first()
+    assert (nothing.aceptada_count, nothing.cumplimiento_pct_parcelas, nothing.cumplimiento_pct_superficie) == (0, 0.0, 0.0)
     ranked = parcels.practice_ranking(out, ["cobertura", "rotacion", "terrazas"]).collect()
     assert [(r.practice, r.n, r.pct) for r in ranked] == [("rotacion", 1, 100.0), ("cobertura", 0, 0.0), ("terrazas", 0, 0.0)]
     k = parcels.kpis(out, 75.0).first()
     assert (k.n_active, k.ha_active, k.coverage_pct, k.parcels_pct) == (1, 7.5, 10.0, 25.0)
     h = parcels.historic_coverage(out).first()
-    assert (h.ever, h.dropped, h.never, h.ever_pct) == (2, 1, 2, 50.0)
-    assert [(r.year, r.n) for r in parcels.yearly(out).collect()][2] == ("2021", 1)
+    assert (h.ever, h.dropped, h.never, h.ever_pct) == (2, 0, 2, 50.0)
+    assert [(r.year, r.n) for r in parcels.yearly(out).collect()][2] == ("2021", 2)
 
 
 def test_grid(spark):
