@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralode.operators.ranks import percentiles
+
 # The flow codes, counter-clockwise from east, with their steps in rows (downwards) and columns.
 D8 = {1: (0, 1), 2: (-1, 1), 4: (-1, 0), 8: (-1, -1), 16: (0, -1), 32: (1, -1), 64: (1, 0), 128: (1, 1)}
 #: Steps of a path that are followed at most.
@@ -81,17 +83,59 @@ def traced(flow: DataFrame, keep) -> DataFrame:
     return state.select("cell", *(F.when(ends, F.col(c)).alias(name) for c, name in (("last", "outlet"), ("steps", "steps"), ("area", "area"))))
 
 
-def zonal(cells: DataFrame, zone: str, value: str, threshold: float = 70.0, digits: int = 4) -> DataFrame:
-    """min, max, mean, population deviation, median, 90th percentile, count, sum and cells above a threshold by zone."""
+def zonal(cells: DataFrame, zone: str, value: str, keep, threshold: float = 70.0, digits: int = 4) -> DataFrame:
+    """min, max, mean, population deviation, median, 90th percentile, count, sum and cells above a threshold by zone.
+    keep writes a table away and reads it back."""
     v = F.col(value)
     r = lambda c, name: F.round(c, digits).alias(name)
-    return cells.where(v.isNotNull()).groupBy(zone).agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), r(F.avg(v), "mean"), r(F.stddev_pop(v), "std"), r(F.percentile(v, 0.5), "median"),
-        r(F.percentile(v, 0.9), "p90"), F.count(v).alias("n"), r(F.sum(v), "sum"), F.count_if(v > threshold).alias("n_high"),
+    sums = cells.where(v.isNotNull()).groupBy(zone).agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), r(F.avg(v), "mean"), r(F.stddev_pop(v), "std"), F.count(v).alias("n"), r(F.sum(v), "sum"), F.count_if(v > threshold).alias("n_high"),
     )
+    found = percentiles(cells, value, [0.5, 0.9], keep, [zone])
+    pick = lambda s, name: r(F.max(F.when(F.col("share") == s, F.col("value"))), name)
+    return sums.join(found.groupBy(zone).agg(pick(0.5, "median"), pick(0.9, "p90")), zone)
 
 
 def normalised(value: Column, low: Column, high: Column) -> Column:
     """Clipped to a percentile range and scaled to 0..1; 0.5 where the range is flat, 0 for nodata."""
     scaled = F.when(high > low, (F.least(F.greatest(value, low), high) - low) / (high - low)).otherwise(F.lit(0.5))
     return F.when(value.isNull(), F.lit(0.0)).otherwise(scaled)
+
+
+def paths(flow: DataFrame, starts: DataFrame, keep, most_steps: int = 5000) -> DataFrame:
+    """(start, cell, steps): the cells on the path from each start (cell) of at most so many cells, by doubling: what
+    is known of a path is repeated from where it has got to. A path that runs into a circle ends where it began to."""
+    jump = keep(flow.where("next is not null").select("cell", F.col("next").alias("to")))
+    found = keep(starts.select(F.col("cell").alias("start"), "cell", F.lit(0).cast("long").alias("steps")))
+    size = 1
+    while size < most_steps:
+        onward = found.join(jump, "cell").select("start", F.col("to").alias("cell"), (F.col("steps") + size).alias("steps"))
+        both = found.union(onward.where(F.col("steps") < most_steps)).groupBy("start", "cell").agg(F.min("steps").alias("steps"))
+        if jump.isEmpty():
+            break
+        found = keep(both)
+        jump = keep(jump.join(jump.select(F.col("cell").alias("to"), F.col("to").alias("further")), "to").select("cell", F.col("further").alias("to")))
+        size *= 2
+    return found
+
+
+def profile_curvature(cells: DataFrame, size: float) -> DataFrame:
+    """Curvature along the slope, by the partial quartic of a cell's eight neighbours (Zevenbergen and Thorne, 1987); null
+    at edges, 0 on level ground."""
+    steps = {f"z{3 * (dr + 1) + dc + 2}": (dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)}
+    rows = with_neighbours(cells, steps)
+    z = {k: F.col(f"z{k}") for k in range(1, 10) if k != 5} | {5: F.col("value")}
+    d, e = ((z[4] + z[6]) / 2 - z[5]) / size**2, ((z[2] + z[8]) / 2 - z[5]) / size**2
+    f, g, h = (-z[1] + z[3] + z[7] - z[9]) / (4 * size**2), (-z[4] + z[6]) / (2 * size), (z[2] - z[8]) / (2 * size)
+    level = g * g + h * h
+    curvature = F.when(level == 0, 0.0).otherwise(-2 * (d * g * g + e * h * h + f * g * h) / F.nullif(level, F.lit(0.0)))
+    return rows.select("row", "col", "value", curvature.alias("curvature"))
+
+
+def burned(segments: DataFrame, size: float = 1.0) -> DataFrame:
+    """(row, col): the cells of a grid that segments (x1, y1, x2, y2) touch, tried at steps of half a cell; row 0 begins at
+    y 0 and grows upwards."""
+    n = F.greatest(F.ceil(2 * F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / size), F.lit(1)).cast("int")
+    steps = segments.select("x1", "y1", "x2", "y2", n.alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
+    at = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")) / size).cast("long")
+    return steps.select(at("y1", "y2").alias("row"), at("x1", "x2").alias("col")).distinct()

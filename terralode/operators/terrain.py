@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralode.operators.grid import normalised
+from terralode.operators.ranks import percentile_row
 
 # Weights of the flood risk and of the drainage need.
 FLOOD = {"twi": 0.30, "hand": 0.30, "curvature": 0.25, "tpi": 0.15}
-DRAINAGE = {"distance": 0.30, "flow": 0.25, "hand": 0.20, "tpi": 0.25}
+DRAINAGE = {"distance": 0.30, "log_flow": 0.25, "hand": 0.20, "tpi": 0.25}
 
 
 def moving(cells: DataFrame, radius: int) -> DataFrame:
@@ -51,9 +52,10 @@ def basins(flow: DataFrame, cell_ha: float, least_ha: float) -> DataFrame:
     return flow.groupBy("outlet").agg(F.round(F.count("*") * cell_ha, 2).alias("area_ha"), F.count("*").alias("n")).where(F.col("area_ha") >= least_ha)
 
 
-def percentile_bounds(cells: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+def percentile_bounds(cells: DataFrame, columns: list[str], keep, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """One row of exact percentiles (low_x, high_x) of each column, nulls aside."""
-    return cells.agg(*(F.percentile(c, p).alias(f"{n}_{c}") for c in columns for n, p in (("low", low), ("high", high))))
+    row = percentile_row(cells, columns, [low, high], keep)
+    return row.select(*(F.col(f"p{round(p * 100)}_{c}").alias(f"{n}_{c}") for c in columns for n, p in (("low", low), ("high", high))))
 
 
 def composite(cells: DataFrame, weights: dict[str, float], inverted: tuple[str, ...]) -> Column:
@@ -70,3 +72,30 @@ def flood_class(hand: Column, twi: Column, flow: Column, p35: Column, p55: Colum
     sound = hand.isNotNull() & twi.isNotNull() & flow.isNotNull()
     rules = F.when((flow > p99) & (hand < 1), 3).when((hand < 0.8) & (twi > p55), 2).when((hand < 1.5) & (twi > p35), 1).otherwise(0)
     return F.when(sound, rules).otherwise(255)
+
+
+def weighed(cells: DataFrame, weights: dict[str, float], inverted: tuple[str, ...], keep) -> DataFrame:
+    """Cells with their composite of weighed factors, 0 to 100; null where any factor is."""
+    sound = F.lit(True)
+    for name in weights:
+        sound = sound & F.col(name).isNotNull()
+    rows = keep(cells.where(sound))
+    bounds = percentile_bounds(rows, list(weights), keep)
+    scored = rows.crossJoin(F.broadcast(bounds)).select(*rows.columns, composite(rows, weights, inverted).alias("score"))
+    return cells.select("row", "col").join(scored, ["row", "col"], "left")
+
+
+def legacy_class(twi: Column, flow: Column, p50: Column) -> Column:
+    """0 dry, 1 wet, 2 active drainage, 3 accumulation; the later rules win; 255 for nodata."""
+    rules = F.when(flow > 5000, 3).when(flow > 1000, 2).when(twi >= p50, 1).otherwise(0)
+    return F.when(twi.isNotNull() & flow.isNotNull(), rules).otherwise(255)
+
+
+def height_above_stream(flow: DataFrame, accumulation: DataFrame, least: int, trace, keep) -> DataFrame:
+    """(cell, hand): the height of a cell above the first stream cell down its path, streams being cells through which at
+    least so many drain; null where the path meets none. flow has (cell, next, value), accumulation (cell, area)."""
+    stream = accumulation.where(F.col("area") >= least).select("cell", F.lit(True).alias("stream"))
+    marked = keep(flow.join(stream, "cell", "left"))
+    ends = trace(marked.select("cell", F.when(F.col("stream").isNull(), F.col("next")).alias("next"), "value"), keep)
+    base = marked.where("stream").select(F.col("cell").alias("outlet"), F.col("value").alias("base"))
+    return marked.join(ends, "cell").join(base, "outlet", "left").select("cell", (F.col("value") - F.col("base")).alias("hand"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralode.functions import numeric
+from terralode.operators.ranks import percentile_row
 from terralode.operators.relational import priorities
 from terralode.plans.registry import query, read
+from terralode.streaming.folders import kept
 
 #: Legal transitions of the events' state machine.
 LEGAL = [("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "view"), ("purchase", "view"), ("click", "click"), ("signup", "view")]
@@ -56,8 +58,8 @@ SELECT CASE WHEN o_totalprice >= p75 THEN 'critico' WHEN o_totalprice >= p50 THE
 """)
 def percentile_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
-    q = orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    v, at = F.col("o_totalprice"), lambda i: F.col("q")[i]
+    q = percentile_row(orders, ["o_totalprice"], [0.25, 0.5, 0.75], kept)
+    v, at = F.col("o_totalprice"), lambda i: F.col(("p25_o_totalprice", "p50_o_totalprice", "p75_o_totalprice")[i])
     level = F.when(v >= at(2), "critico").when(v >= at(1), "alto").when(v >= at(0), "medio").otherwise("bajo")
     return orders.crossJoin(F.broadcast(q)).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.round(F.min(at(1)), 4).alias("p50"))
 

@@ -3,15 +3,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralode.functions import geometry, numeric
 from terralode.operators import grid, spatial
 from terralode.plans.registry import query, read
-from terralode.streaming.folders import shared_dir
+from terralode.streaming.folders import kept
 
 _CELLS = "SELECT o_orderkey // 200 AS \"row\", o_orderkey % 200 AS col, o_totalprice / 1000 AS value FROM orders"
 
@@ -21,29 +19,6 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.floor(key / 200).cast("long").alias("row"), (key % 200).alias("col"), (F.col("o_totalprice") / 1000).alias("value"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/terralode/grid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_AROUND = f"""
-WITH c AS ({_CELLS}), n AS (SELECT c."row", c.col, c.value, e.value AS east, w.value AS west, n.value AS north, s.value AS south FROM c
-  LEFT JOIN c e ON e."row" = c."row" AND e.col = c.col + 1 LEFT JOIN c w ON w."row" = c."row" AND w.col = c.col - 1
-  LEFT JOIN c n ON n."row" = c."row" - 1 AND n.col = c.col LEFT JOIN c s ON s."row" = c."row" + 1 AND s.col = c.col),
-g AS (SELECT *, coalesce((east - west) / 60, (east - value) / 30, (value - west) / 30, 0) AS dx, coalesce((south - north) / 60, (south - value) / 30, (value - north) / 30, 0) AS dy FROM n),
-t AS (SELECT "row", col, value, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope, degrees(atan2(-dy, dx)) AS a FROM g)
-"""
-
-
-@query(_AROUND + """
-SELECT "row", col, round(slope, 4) AS slope, round(a - 360 * floor(a / 360), 3) AS aspect, round(ln(greatest(value * 30, 1e-10) / tan(greatest(radians(slope), 0.001))), 4) AS twi FROM t
-""")
-def grid_slope_aspect_twi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grid.slope_aspect(cells(spark, sf_dir), 30.0)
-    return rows.select("row", "col", F.round("slope", 4).alias("slope"), F.round("aspect", 3).alias("aspect"), F.round(grid.wetness(F.col("value"), F.col("slope"), 30.0), 4).alias("twi"))
-
-
 _FLOW = f"""
 WITH RECURSIVE c AS ({_CELLS}), d(code, dr, dc) AS (VALUES (1, 0, 1), (2, -1, 1), (4, -1, 0), (8, -1, -1), (16, 0, -1), (32, 1, -1), (64, 1, 0), (128, 1, 1)),
 p AS (SELECT c."row", c.col, d.code, d.dr, d.dc, row_number() OVER (PARTITION BY c."row", c.col ORDER BY (c.value - n.value) / CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2::DOUBLE) ELSE 1 END DESC, code) AS k
@@ -54,10 +29,26 @@ t AS (SELECT "row" AS r0, col AS c0, "row" AS r, col AS c, 0 AS steps FROM f UNI
 
 
 def traced_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flow = grid.traced(grid.downstream(grid.d8_pointers(cells(spark, sf_dir))), _kept)
+    flow = grid.traced(grid.downstream(grid.d8_pointers(cells(spark, sf_dir))), kept)
     return flow.select(F.shiftright("cell", 32).alias("row"), F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF)).alias("col"), F.shiftright("outlet", 32).alias("outlet_row"), F.col("outlet").bitwiseAND(F.lit(0xFFFFFFFF)).alias("outlet_col"), "steps", "area")
 
 
+@query(_FLOW + """
+, acc AS (SELECT r AS "row", c AS col, count(*) AS flow FROM t GROUP BY 1, 2),
+nb AS (SELECT c."row", c.col, c.value, e.value AS east, w.value AS west, n.value AS north, s.value AS south FROM c
+  LEFT JOIN c e ON e."row" = c."row" AND e.col = c.col + 1 LEFT JOIN c w ON w."row" = c."row" AND w.col = c.col - 1
+  LEFT JOIN c n ON n."row" = c."row" - 1 AND n.col = c.col LEFT JOIN c s ON s."row" = c."row" + 1 AND s.col = c.col),
+gr AS (SELECT *, coalesce((east - west) / 60, (east - value) / 30, (value - west) / 30, 0) AS dx, coalesce((south - north) / 60, (south - value) / 30, (value - north) / 30, 0) AS dy FROM nb),
+g AS (SELECT "row", col, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope, degrees(atan2(-dy, dx)) AS a FROM gr)
+SELECT "row", col, round(slope, 4) AS slope, round(a - 360 * floor(a / 360), 3) AS aspect, round(ln(greatest(flow * 30, 1e-10) / tan(greatest(radians(slope), 0.001))), 4) AS twi FROM g JOIN acc USING ("row", col)
+""")
+def grid_slope_aspect_twi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slope, aspect, and wetness by the cells that drain through each."""
+    flow = traced_cells(spark, sf_dir).select("row", "col", F.col("area").alias("flow"))
+    rows = grid.slope_aspect(cells(spark, sf_dir), 30.0).join(flow, ["row", "col"])
+    return rows.select("row", "col", F.round("slope", 4).alias("slope"), F.round("aspect", 3).alias("aspect"), F.round(grid.wetness(F.col("flow"), F.col("slope"), 30.0), 4).alias("twi"))
+
+
 @query(_FLOW + """
 SELECT r0 AS "row", c0 AS col, arg_max(r, steps) AS outlet_row, arg_max(c, steps) AS outlet_col, max(steps)::BIGINT AS steps FROM t GROUP BY 1, 2
 """)
@@ -81,7 +72,7 @@ def zonal_stats_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zone_id"), F.struct(x0.alias("min_x"), y0.alias("min_y"), (x0 + 40).alias("max_x"), (y0 + 40).alias("max_y")).alias("zone"))
     readings = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).cast("double").alias("x"), (F.col("l_suppkey") % 200).cast("double").alias("y"), (F.col("l_quantity") * 2).alias("v"))
     held = spatial.points_in_boxes(readings, zones, 40.0)
-    return grid.zonal(held.select("zone_id", "v"), "zone_id", "v").withColumnRenamed("zone_id", "zone")
+    return grid.zonal(held.select("zone_id", "v"), "zone_id", "v", kept).withColumnRenamed("zone_id", "zone")
 
 
 _BOX = "{id} * 37 % 1000 AS x0, {id} * 91 % 1000 AS y0, {id} * 37 % 1000 + 5 + {id} % 11 AS x1, {id} * 91 % 1000 + 5 + {id} % 7 AS y1"

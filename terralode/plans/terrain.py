@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralode.operators import terrain
 from terralode.plans.registry import query
 from terralode.plans.spatial import _CELLS, _FLOW, cells, traced_cells
+from terralode.streaming.folders import kept
 
 _WINDOW = f"""
 WITH c AS (SELECT "row", col, round(value)::DOUBLE AS value FROM ({_CELLS})),
@@ -63,6 +64,6 @@ def flood_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     outlet = heights.select(F.col("row").alias("outlet_row"), F.col("col").alias("outlet_col"), F.col("value").alias("base"))
     rows = flow.join(heights, ["row", "col"]).join(outlet, ["outlet_row", "outlet_col"])
     rows = rows.select("row", "col", (F.col("value") - F.col("base")).alias("hand"), F.col("area").cast("double").alias("flow"))
-    bounds = terrain.percentile_bounds(rows, ["hand", "flow"])
+    bounds = terrain.percentile_bounds(rows, ["hand", "flow"], kept)
     risk = terrain.composite(rows, {"hand": 0.6, "flow": 0.4}, ("hand",))
     return rows.crossJoin(F.broadcast(bounds)).select("row", "col", F.round("hand", 5).alias("hand"), F.round(risk, 3).alias("risk"))

@@ -64,8 +64,8 @@ def html_label_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_nationkey, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","properties":{"id":' || c_custkey || ',"segment":"' || c_mktsegment || '"},"geometry":{"type":"Point","coordinates":['
-  || (c_custkey % 360 - 180) || ',' || (c_custkey % 180 - 90) || ']}}', ',' ORDER BY c_custkey) || ']}' AS body FROM customer GROUP BY 1
+SELECT c_nationkey, c_custkey // 1000 AS part, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","properties":{"id":' || c_custkey || ',"segment":"' || c_mktsegment || '"},"geometry":{"type":"Point","coordinates":['
+  || (c_custkey % 360 - 180) || ',' || (c_custkey % 180 - 90) || ']}}', ',' ORDER BY c_custkey) || ']}' AS body FROM customer GROUP BY 1, 2
 """)
 def geojson_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
@@ -73,7 +73,8 @@ def geojson_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Feature").alias("type"), F.struct(key.alias("id"), F.col("c_mktsegment").alias("segment")).alias("properties"),
         F.struct(F.lit("Point").alias("type"), F.array(key % 360 - 180, key % 180 - 90).alias("coordinates")).alias("geometry"),
     )
-    rows = read(spark, sf_dir, "customer").select("c_nationkey", F.struct(key.alias("order"), F.to_json(feature).alias("json")).alias("f"))
-    one = rows.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    # Pieces of a bounded size, in order: a nation may have any number of customers.
+    rows = read(spark, sf_dir, "customer").select("c_nationkey", F.floor(key / 1000).cast("long").alias("part"), F.struct(key.alias("order"), F.to_json(feature).alias("json")).alias("f"))
+    one = rows.groupBy("c_nationkey", "part").agg(F.array_sort(F.collect_list("f")).alias("fs"))
     body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("fs", lambda f: f["json"]), ","), F.lit("]}"))
-    return one.select("c_nationkey", body.alias("body"))
+    return one.select("c_nationkey", "part", body.alias("body"))
