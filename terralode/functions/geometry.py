@@ -81,3 +81,19 @@ def bbox(points: Column) -> Column:
 
 def wkt_line(points: Column) -> Column:
     return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["x"], p["y"])), ", "), F.lit(")"))
+
+
+def middle(points: Column, distance=planar) -> Column:
+    """The point half way along a line; of one point, that point; null of none."""
+    half = line_length(points, distance) / 2
+
+    def step(state: Column, e: Column) -> Column:
+        d = distance(e["a"], e["b"])
+        here = state["at"].isNull() & (state["run"] + d >= half)
+        t = F.when(d == 0, 0.0).otherwise((half - state["run"]) / F.nullif(d, F.lit(0.0)))
+        at = point(e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * t, e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * t)
+        return F.struct((state["run"] + d).alias("run"), F.when(here, at).otherwise(state["at"]).alias("at"))
+
+    start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
+    last = F.get(points, F.size(points) - 1)
+    return F.coalesce(F.aggregate(sides(points), start, step)["at"], point(last["x"], last["y"]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Weights of the indices.
@@ -162,6 +162,40 @@ def ratio_index(a: Column, b: Column) -> Column:
     return F.when(a + b == 0, F.lit(0.0)).otherwise((a - b) / (a + b))
 
 
+def pixel_to_world(col: Column, row: Column, left: float, top: float, size: float) -> tuple[Column, Column]:
+    """The place of a pixel's corner; rows grow downwards."""
+    return left + col * size, top - row * size
+
+
+def world_to_pixel(x: Column, y: Column, left: float, top: float, size: float) -> tuple[Column, Column]:
+    """Column and row of the pixel that holds a place."""
+    return F.floor((x - left) / size).cast("long"), F.floor((top - y) / size).cast("long")
+
+
+def in_ranges(c: Column, ranges: Sequence[tuple[float, float | None]], chosen: Sequence[int]) -> Column:
+    """Whether a value lies in one of the chosen ranges, which are half-open; the last one has no end. Null does not."""
+    hit = F.lit(False)
+    for i in chosen:
+        low, high = ranges[i]
+        hit = hit | ((c >= low) if i == len(ranges) - 1 or high is None else (c >= low) & (c < high))
+    return F.coalesce(hit, F.lit(False))
+
+
+def segmentation(rows: DataFrame, group: str, pred: Column, target: Column, valid: Column) -> DataFrame:
+    """By group: overlap, F1, precision and recall of the valid pixels, the weight of the rarer class (dry over wet, at most
+    100) and how often wet samples are repeated to balance them."""
+    n = lambda c, name: F.count_if(valid & c).alias(name)
+    m = rows.groupBy(group).agg(n(pred & target, "tp"), n(pred & ~target, "fp"), n(~pred & target, "fn"), n(target, "wet"), n(~target, "dry"))
+    tp, fp, fn, wet, dry = (F.col(c) for c in ("tp", "fp", "fn", "wet", "dry"))
+    p, r = tp / (tp + fp + 1e-8), tp / (tp + fn + 1e-8)
+    weight = F.when(wet > 0, F.least(dry / F.nullif(wet, F.lit(0)), F.lit(100.0))).otherwise(100.0)
+    copies = F.when(wet > 0, F.greatest(F.floor(dry / F.nullif(wet, F.lit(0))), F.lit(1))).otherwise(1).cast("long")
+    return m.select(
+        group, F.round(tp / (tp + fp + fn + 1e-8), 4).alias("iou"), F.round(2 * p * r / (p + r + 1e-8), 4).alias("f1"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"),
+        F.round(weight, 4).alias("pos_weight"), copies.alias("copies"),
+    )
+
+
 def terrain_rgb(height: Column) -> tuple[Column, Column, Column]:
     """A height in metres as three bytes: (h + 10000) * 10, clipped to 24 bits."""
     code = F.greatest(F.least(F.floor((height + 10_000) * 10), F.lit((1 << 24) - 1)), F.lit(0)).cast("long")

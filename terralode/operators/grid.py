@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralode.functions.geometry import within
 from terralode.operators.ranks import percentiles
 
 # The flow codes, counter-clockwise from east, with their steps in rows (downwards) and columns.
@@ -132,6 +133,16 @@ def profile_curvature(cells: DataFrame, size: float) -> DataFrame:
     return rows.select("row", "col", "value", curvature.alias("curvature"))
 
 
+def cropped(cells: DataFrame, rows: tuple[int, int], cols: tuple[int, int], ring: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Cells of a box of rows and columns (both ends included), and of these only those that lie in a ring of (col, row)
+    corners if there is one, counted from the box's corner."""
+    r, c = F.col("row"), F.col("col")
+    out = cells.where(r.between(*rows) & c.between(*cols))
+    if ring:
+        out = out.where(within(c.cast("double"), r.cast("double"), F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring))))
+    return out.select((r - rows[0]).alias("row"), (c - cols[0]).alias("col"), "value")
+
+
 def burned(segments: DataFrame, size: float = 1.0) -> DataFrame:
     """(row, col): the cells of a grid that segments (x1, y1, x2, y2) touch, tried at steps of half a cell; row 0 begins at
     y 0 and grows upwards."""

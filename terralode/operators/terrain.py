@@ -79,10 +79,9 @@ def weighed(cells: DataFrame, weights: dict[str, float], inverted: tuple[str, ..
     sound = F.lit(True)
     for name in weights:
         sound = sound & F.col(name).isNotNull()
-    rows = keep(cells.where(sound))
-    bounds = percentile_bounds(rows, list(weights), keep)
-    scored = rows.crossJoin(F.broadcast(bounds)).select(*rows.columns, composite(rows, weights, inverted).alias("score"))
-    return cells.select("row", "col").join(scored, ["row", "col"], "left")
+    bounds = percentile_bounds(cells.where(sound), list(weights), keep)
+    scored = F.when(sound, composite(cells, weights, inverted))
+    return cells.crossJoin(F.broadcast(bounds)).select("row", "col", scored.alias("score"))
 
 
 def legacy_class(twi: Column, flow: Column, p50: Column) -> Column:

@@ -36,10 +36,24 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_equals_sql(spark, duck, sf_dir, name):
     df = catalogue.queries()[name](spark, sf_dir)
     sql = duck.execute(catalogue.oracle_sql()[name])
     columns = [d[0] for d in sql.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(columns, sql.fetchall())
+
+
+def test_visible_labels(spark, sf_dir):
+    """The one query without SQL, against choosing one after the other."""
+    shown = {}
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 9 < 2").collect()
+    for r in sorted(rows, key=lambda r: (r.o_orderkey % 3 != 0, -round(r.o_totalprice, 2), r.o_orderkey)):
+        x, y = r.o_orderkey * 37 % 800, r.o_orderkey * 91 % 600
+        kept = shown.setdefault(r.o_custkey % 40, [])
+        if all((x - a) ** 2 + (y - b) ** 2 >= 1600 for _, a, b in kept):
+            kept.append((r.o_orderkey, x, y))
+    want = {(s, i) for s, kept in shown.items() for i, _, _ in kept}
+    got = {(r.screen, r.id) for r in catalogue.queries()["visible_labels"](spark, sf_dir).collect()}
+    assert got == want and set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"visible_labels"}
