@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,3 +100,148 @@ def middle(points: Column, distance=planar) -> Column:
     start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
     last = F.get(points, F.size(points) - 1)
     return F.coalesce(F.aggregate(sides(points), start, step)["at"], point(last["x"], last["y"]))
+
+
+def _cross(a: Column, b: Column, p: Column) -> Column:
+    """Positive where p lies to the left of the way from a to b."""
+    return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+
+def signed_area(ring: Column) -> Column:
+    """Positive for a ring that turns counter-clockwise."""
+    return F.aggregate(sides(ring, closed=True), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2
+
+
+def repaired(ring: Column) -> Column:
+    """A ring without repeated corners in a row (the closing one included) that turns counter-clockwise; null if it has
+    fewer than three corners or no area."""
+    n = F.size(ring)
+    kept = F.filter(ring, lambda p, i: p != F.get(ring, F.pmod(i + 1, n)))
+    turned = F.when(signed_area(kept) < 0, F.reverse(kept)).otherwise(kept)
+    return F.when((F.size(kept) >= 3) & (signed_area(kept) != 0), turned)
+
+
+def clip_to_convex(ring: Column, zone: Column) -> Column:
+    """A ring's part in a convex ring that turns counter-clockwise; an empty array if there is none. Parts of a ring that
+    the zone cuts in two are joined along the zone's side, which leaves areas right."""
+
+    def cut(state: Column, side: Column) -> Column:
+        a, b = side["a"], side["b"]
+
+        def one(e: Column) -> Column:
+            p, q = e["a"], e["b"]
+            dp, dq = _cross(a, b, p), _cross(a, b, q)
+            t = dp / F.nullif(dp - dq, F.lit(0.0))
+            crossing = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+            none = F.slice(F.array(q), 1, 0)
+            return F.concat(F.when((dp >= 0) != (dq >= 0), F.array(crossing)).otherwise(none), F.when(dq >= 0, F.array(q)).otherwise(none))
+
+        return F.flatten(F.transform(sides(state, closed=True), one))
+
+    return F.aggregate(sides(zone, closed=True), ring, cut)
+
+
+def part_in_convex(e: Column, zone: Column) -> Column:
+    """The part of a segment (a, b) in a convex ring that turns counter-clockwise, as a struct (t0, t1) of shares of its
+    length; t0 >= t1 where it lies outside."""
+    p, q = e["a"], e["b"]
+
+    def narrow(state: Column, side: Column) -> Column:
+        dp, dq = _cross(side["a"], side["b"], p), _cross(side["a"], side["b"], q)
+        t = dp / F.nullif(dp - dq, F.lit(0.0))
+        enters, leaves, out = (dp < 0) & (dq >= 0), (dp >= 0) & (dq < 0), (dp < 0) & (dq < 0)
+        low = F.when(out, F.lit(2.0)).when(enters, F.greatest(state["t0"], t)).otherwise(state["t0"])
+        high = F.when(leaves, F.least(state["t1"], t)).otherwise(state["t1"])
+        return F.struct(low.alias("t0"), high.alias("t1"))
+
+    return F.aggregate(sides(zone, closed=True), F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1")), narrow)
+
+
+def length_in_convex(line: Column, zone: Column, distance=planar) -> Column:
+    """The length of a line's parts in a convex ring that turns counter-clockwise."""
+
+    def part(s: Column, e: Column) -> Column:
+        t = part_in_convex(e, zone)
+        return s + distance(e["a"], e["b"]) * F.greatest(t["t1"] - t["t0"], F.lit(0.0))
+
+    return F.aggregate(sides(line), F.lit(0.0), part)
+
+
+def centroid(ring: Column) -> Column:
+    """The centre of a ring's area."""
+    six = signed_area(ring) * 6
+    sums = F.aggregate(
+        sides(ring, closed=True), point(F.lit(0.0), F.lit(0.0)),
+        lambda s, e: point(s["x"] + (e["a"]["x"] + e["b"]["x"]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]), s["y"] + (e["a"]["y"] + e["b"]["y"]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])),
+    )
+    return point(sums["x"] / F.nullif(six, F.lit(0.0)), sums["y"] / F.nullif(six, F.lit(0.0)))
+
+
+def nearest_on(p: Column, line: Column) -> Column:
+    """The point of a line that is nearest to p, as a struct (d, x, y) with its distance; null of a line without segments."""
+
+    def foot(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        t = F.coalesce(F.least(F.greatest(((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        x, y = a["x"] + t * dx, a["y"] + t * dy
+        return F.struct(F.sqrt(F.pow(p["x"] - x, F.lit(2)) + F.pow(p["y"] - y, F.lit(2))).alias("d"), x.alias("x"), y.alias("y"))
+
+    return F.array_min(F.transform(sides(line), foot))
+
+
+def simplified(points: Column, tolerance: float, least: int = 0) -> Column:
+    """A line with no more corners than it needs to stay within a tolerance (Douglas and Peucker); lines of fewer than
+    `least` corners stay as they are. A small loop in Python for each line, over batches."""
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def simplify(lines: pd.Series) -> pd.Series:
+        def one(line) -> list | None:
+            if line is None or len(line) < max(3, least):
+                return line
+            at = [(p["x"], p["y"]) for p in line]
+            keep, todo = {0, len(at) - 1}, [(0, len(at) - 1)]
+            while todo:
+                i, j = todo.pop()
+                (ax, ay), (bx, by) = at[i], at[j]
+                length = math.hypot(bx - ax, by - ay)
+                far, k = -1.0, -1
+                for m in range(i + 1, j):
+                    x, y = at[m]
+                    d = abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / length if length else math.hypot(x - ax, y - ay)
+                    if d > far:
+                        far, k = d, m
+                if far > tolerance:
+                    keep.add(k)
+                    todo += [(i, k), (k, j)]
+            return [line[i] for i in sorted(keep)]
+
+        return lines.map(one)
+
+    return simplify(points)
+
+
+def tile_bounds(x: Column, y: Column, z: Column) -> Column:
+    """The web-Mercator extent of a map tile."""
+    half = 20_037_508.342789244
+    span = 2 * half / F.pow(F.lit(2.0), z)
+    left, top = x * span - half, half - y * span
+    return F.struct(left.alias("min_x"), (top - span).alias("min_y"), (left + span).alias("max_x"), top.alias("max_y"))
+
+
+def boxes_overlap(a: Column, b: Column) -> Column:
+    """Whether two boxes share more than an edge."""
+    return (a["max_x"] > b["min_x"]) & (a["min_x"] < b["max_x"]) & (a["max_y"] > b["min_y"]) & (a["min_y"] < b["max_y"])
+
+
+def wkt_polygon(ring: Column) -> Column:
+    """A ring as WKT, closed."""
+    pairs = F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.concat_ws(" ", p["x"], p["y"]))
+    return F.concat(F.lit("POLYGON (("), F.array_join(pairs, ", "), F.lit("))"))
+
+
+def from_wkt(c: Column) -> Column:
+    """The points of a WKT point, line or polygon without holes; null for anything else."""
+    body = F.regexp_extract(c, r"^\s*(?:POINT|LINESTRING|POLYGON)\s*\(+([^()]*)\)+\s*$", 1)
+    pairs = F.transform(F.split(F.trim(body), r"\s*,\s*"), lambda t: point(F.get(F.split(t, r"\s+"), 0).try_cast("double"), F.get(F.split(t, r"\s+"), 1).try_cast("double")))
+    return F.when(body != "", pairs)

@@ -5,22 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralode.functions import geometry
+
 
 def _tiles(df: DataFrame, min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: float) -> DataFrame:
     cell = lambda c: F.floor(c / size).cast("long")
     return df.withColumn("tx", F.explode(F.sequence(cell(min_x), cell(max_x)))).withColumn("ty", F.explode(F.sequence(cell(min_y), cell(max_y))))
 
 
+def _levelled(df: DataFrame, box: Column, size: float, levels: list[int], name: str) -> DataFrame:
+    """Rows on the tiles of their own level, on which they touch four at most, and of all coarser ones in use."""
+    side = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
+    rows = df.withColumn(name, _level(side, size)).withColumn("level", F.explode(F.array(*map(F.lit, levels)))).where(F.col("level") >= F.col(name))
+    width = size * F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c: F.floor(c / width).cast("long")
+    rows = rows.withColumn("tx", F.explode(F.sequence(cell(box["min_x"]), cell(box["max_x"]))))
+    return rows.withColumn("ty", F.explode(F.sequence(cell(box["min_y"]), cell(box["max_y"]))))
+
+
+def _level(side: Column, size: float) -> Column:
+    return F.greatest(F.ceil(F.log2(F.greatest(side / size, F.lit(1e-9)))), F.lit(0)).cast("int")
+
+
 def join_boxes(left: DataFrame, right: DataFrame, size: float, l_box: str = "box", r_box: str = "zone") -> DataFrame:
-    """Pairs of rows whose boxes, structs (min_x, min_y, max_x, max_y), overlap or touch. A pair that shares several
-    tiles comes once: from the tile of its overlap's lower corner, which needs no distinct. Tiles should be about as
-    large as the boxes."""
+    """Pairs of rows whose boxes, structs (min_x, min_y, max_x, max_y), overlap or touch. A box lies on the tiles of a
+    level whose tiles are as large as it, so that a large one takes four tiles and not thousands; a pair meets on the
+    level of the larger box, and comes once: from the tile of its overlap's lower corner, which needs no distinct. size
+    is the side of the smallest tiles. The levels in use, some dozens at most, are asked for first."""
     a, b = F.col(l_box), F.col(r_box)
-    one = _tiles(left, a["min_x"], a["min_y"], a["max_x"], a["max_y"], size)
-    two = _tiles(right, b["min_x"], b["min_y"], b["max_x"], b["max_y"], size)
+    sides = lambda df, x: df.select(_level(F.greatest(x["max_x"] - x["min_x"], x["max_y"] - x["min_y"]), size).alias("level"))
+    levels = sorted(r.level for r in sides(left, a).union(sides(right, b)).where("level is not null").distinct().collect()) or [0]
+    one, two = _levelled(left, a, size, levels, "l_level"), _levelled(right, b, size, levels, "r_level")
     meet = (a["min_x"] <= b["max_x"]) & (b["min_x"] <= a["max_x"]) & (a["min_y"] <= b["max_y"]) & (b["min_y"] <= a["max_y"])
-    first = (F.floor(F.greatest(a["min_x"], b["min_x"]) / size) == F.col("tx")) & (F.floor(F.greatest(a["min_y"], b["min_y"]) / size) == F.col("ty"))
-    return one.join(two, ["tx", "ty"]).where(meet & first).drop("tx", "ty")
+    width = size * F.pow(F.lit(2.0), F.col("level"))
+    first = (F.floor(F.greatest(a["min_x"], b["min_x"]) / width) == F.col("tx")) & (F.floor(F.greatest(a["min_y"], b["min_y"]) / width) == F.col("ty"))
+    own = F.col("level") == F.greatest("l_level", "r_level")
+    return one.join(two, ["level", "tx", "ty"]).where(own & meet & first).drop("level", "tx", "ty", "l_level", "r_level")
+
+
+def overlay_areas(parcels: DataFrame, zones: DataFrame, size: float, ring: str = "ring", zone: str = "zone_ring") -> DataFrame:
+    """Pairs of a ring and a convex zone that overlap, with the overlap's area; empty overlaps are left out."""
+    boxed = parcels.withColumn("box", geometry.bbox(F.col(ring)))
+    pairs = join_boxes(boxed, zones.withColumn("zone", geometry.bbox(F.col(zone))), size)
+    return pairs.withColumn("area", geometry.ring_area(geometry.clip_to_convex(F.col(ring), F.col(zone)))).where("area > 0").drop("box", "zone")
+
+
+def overlay_lengths(lines: DataFrame, zones: DataFrame, size: float, line: str = "line", zone: str = "zone_ring") -> DataFrame:
+    """Pairs of a line and a convex zone that meet, with the line's length in it."""
+    boxed = lines.withColumn("box", geometry.bbox(F.col(line)))
+    pairs = join_boxes(boxed, zones.withColumn("zone", geometry.bbox(F.col(zone))), size)
+    return pairs.withColumn("length", geometry.length_in_convex(F.col(line), F.col(zone))).where("length > 0").drop("box", "zone")
 
 
 def overlap_area(a: Column, b: Column) -> Column:

@@ -86,3 +86,25 @@ def test_validators_and_labels(spark):
     )
     assert got[:7] == (True, False, False, True, True, False, False)
     assert got[7:] == ("1000 m", "0 m", "9999 m²", "2.5 ha", "— m²", "100 m", "1.356 m · (1.300 m declarada)", "$ 1,234.50", "-32.500000, -62.250000", b"hi", None, "Siembra directa", "canal_n_1_2024-01-02")
+
+
+def test_shapes(spark):
+    """Clipping, repair, middles and simplification of small shapes, with values worked out by hand."""
+    p = lambda x, y: geometry.point(F.lit(x), F.lit(y))
+    ring = lambda *c: F.array(*(p(float(x), float(y)) for x, y in c))
+    square, diamond = ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((2, -1), (5, 2), (2, 5), (-1, 2))
+    got = one(
+        spark, geometry.ring_area(geometry.clip_to_convex(square, diamond)), F.size(geometry.clip_to_convex(square, ring((9, 9), (10, 9), (9, 10)))), geometry.signed_area(geometry.repaired(ring((0, 0), (0, 2), (2, 2), (2, 2), (0, 0)))),
+        geometry.repaired(ring((0, 0), (1, 1), (0, 0))), geometry.length_in_convex(ring((-2, 2), (6, 2)), square), geometry.length_in_convex(ring((-2, 9), (6, 9)), square), geometry.middle(ring((0, 0), (4, 0), (4, 2)))["x"], geometry.middle(ring((7, 8)))["y"],
+        geometry.centroid(square)["x"], geometry.nearest_on(p(2.0, 3.0), ring((0, 0), (4, 0)))["d"], geometry.from_wkt(F.lit("LINESTRING (1 2, 3 4)"))[1]["y"], geometry.from_wkt(F.lit("x")),
+    )
+    assert got == (14.0, 0, 2.0, None, 4.0, 0.0, 3.0, 8.0, 2.0, 3.0, 4.0, None)
+    rows = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.01), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0)],), ([(0.0, 0.0)],), (None,)], "line array<struct<x:double,y:double>>")
+    assert [len(r[0]) if r[0] else None for r in rows.select(geometry.simplified(F.col("line"), 0.1)).collect()] == [4, 1, None]
+    assert [len(r[0]) for r in rows.where("line is not null").select(geometry.simplified(F.col("line"), 0.1, 100)).collect()] == [5, 1]
+
+
+def test_private_fields(spark):
+    rows = spark.createDataFrame([("a", "1", ("x", "y", ("m",)))], "nombre string, Telefono string, datos struct<email: string, zona: string, mas: struct<CUE: string>>")
+    out = rows.select(maps.strip_private(rows.schema, F.struct(*rows.columns), ["telefono", "email", "cue"]).alias("r")).select("r.*")
+    assert out.schema.simpleString() == "struct<nombre:string,datos:struct<zona:string>>" and out.first() == ("a", ("y",))

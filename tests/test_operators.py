@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from terralode.operators import changes, grid, parcels
+from terralode.operators import changes, grid, parcels, ranks, spatial
 from terralode.operators import relational as R
 
 
@@ -66,3 +66,36 @@ def test_grid(spark):
     kept = lambda df: df.checkpoint()
     flow = grid.traced(grid.downstream(grid.d8_pointers(cells)), kept).collect()
     assert {r.area for r in flow} == {1, 2, 3, 4} and max(r.steps for r in flow) == 3
+
+
+def test_traces_end(spark):
+    """A circle of pointers has no outlet; paths stop where they began to turn, and after so many steps."""
+    flow = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (6, None)], "cell long, next long")
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    got = {r.cell: (r.outlet, r.steps, r.area) for r in grid.traced(flow, keep).collect()}
+    assert got == {1: (None,) * 3, 2: (None,) * 3, 3: (None,) * 3, 4: (None,) * 3, 5: (6, 1, 1), 6: (6, 0, 2)}
+    starts = spark.createDataFrame([(4,), (5,)], "cell long")
+    paths = sorted((r.start, r.steps, r.cell) for r in grid.paths(flow, starts, keep).collect())
+    assert paths == [(4, 0, 4), (4, 1, 1), (4, 2, 2), (4, 3, 3), (5, 0, 5), (5, 1, 6)]
+    assert len(grid.paths(flow, starts.limit(1), keep, 2).collect()) == 2
+
+
+def test_percentiles(spark):
+    """Against Spark's own, for ties, one value, and none; in more ranges than there are values."""
+    rows = [(g, float(v)) for g, vs in (("a", [3, 1, 1, 1, 9, 4]), ("b", [5]), ("d", range(100))) for v in vs] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    keep = lambda x: spark.createDataFrame(x.collect(), x.schema)
+    got = {(r.g, r.share): r.value for r in ranks.percentiles(df, "v", [0.0, 0.3, 0.5, 1.0], keep, ["g"]).collect()}
+    want = {(r.g, s): x for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.3, 0.5, 1.0)))).alias("p")).collect() for s, x in zip((0.0, 0.3, 0.5, 1.0), r.p or [], strict=False)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    row = ranks.percentile_row(df.where("g = 'c'"), ["v"], [0.5], keep, 0.0).first()
+    assert row.p50_v == 0.0
+
+
+def test_boxes_of_all_sizes(spark):
+    """Small and very large boxes, against comparing all."""
+    boxes = [(i, i * 37 % 100 - 50.0, i * 91 % 100 - 50.0, (1000.0 if i % 10 == 0 else 0.5) * (1 + i % 3)) for i in range(60)]
+    df = spark.createDataFrame([(i, (x, y, x + s, y + s / 2)) for i, x, y, s in boxes], "id int, box struct<min_x:double,min_y:double,max_x:double,max_y:double>")
+    got = sorted((r.id, r.other) for r in spatial.join_boxes(df, df.select(F.col("id").alias("other"), F.col("box").alias("zone")), 1.0).collect())
+    at = {i: (x, y, x + s, y + s / 2) for i, x, y, s in boxes}
+    assert got == sorted((i, j) for i, a in at.items() for j, b in at.items() if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3])
