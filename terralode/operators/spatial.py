@@ -82,3 +82,15 @@ def nearest(left: DataFrame, right: DataFrame, l_id: str, r_id: str, reach: floa
     pairs = here.join(there, ["tx", "ty"]).withColumn("distance", distance).where(F.col("distance") <= reach)
     best = pairs.groupBy(l_id).agg(F.min(F.struct("distance", r_id)).alias("best"))
     return left.select(l_id).join(best, l_id, "left").select(l_id, F.col(f"best.{r_id}").alias(r_id), F.col("best.distance").alias("distance"))
+
+
+def nearest_lines(points: DataFrame, lines: DataFrame, l_id: str, r_id: str, reach: float) -> DataFrame:
+    """For each point (l_id, x, y) that has one within reach the nearest line (r_id, line) and its distance, ties to the
+    smaller id. Each line is laid on the tiles around its box."""
+    here = points.select(l_id, "x", "y", F.floor(F.col("x") / reach).cast("long").alias("tx"), F.floor(F.col("y") / reach).cast("long").alias("ty"))
+    box = geometry.bbox(F.col("line"))
+    there = _tiles(lines.select(r_id, "line"), box["min_x"] - reach, box["min_y"] - reach, box["max_x"] + reach, box["max_y"] + reach, reach)
+    distance = geometry.nearest_on(F.struct("x", "y"), F.col("line"))["d"]
+    pairs = here.join(there, ["tx", "ty"]).withColumn("distance", distance).where(F.col("distance") <= reach)
+    best = pairs.groupBy(l_id).agg(F.min(F.struct("distance", r_id)).alias("best"))
+    return best.select(l_id, F.col(f"best.{r_id}").alias(r_id), F.col("best.distance").alias("distance"))

@@ -89,3 +89,14 @@ def latest_layer(layers: DataFrame, kind: str, area: str | None = None) -> DataF
     if area is not None:
         rows = rows.where(F.col("area_id") == area)
     return rows.agg(F.max_by(F.coalesce("cog_path", "path"), "created_at").alias("path"))
+
+
+# Plain names of the geometry types that tile servers report.
+GEOMETRIES = {"POINT": "point", "MULTIPOINT": "point", "LINESTRING": "line", "MULTILINESTRING": "line", "POLYGON": "polygon", "MULTIPOLYGON": "polygon"}
+
+
+def vector_layers(layers: DataFrame, name: str, geometry: str, address: str, prefix: str = "vt_") -> DataFrame:
+    """Layers whose name has a prefix, with a plain geometry type ('unknown' for others) and the address of their tiles."""
+    known = F.create_map([F.lit(x) for pair in GEOMETRIES.items() for x in pair])
+    rows = layers.where(F.startswith(F.col(name), F.lit(prefix)))
+    return rows.withColumn("geometry_type", F.coalesce(known[F.upper(F.col(geometry))], F.lit("unknown"))).withColumn("url", F.concat(F.lit(address), F.col(name), F.lit("/{z}/{x}/{y}")))
