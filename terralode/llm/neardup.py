@@ -224,6 +224,8 @@ def near_duplicates(
     named = sketched.where("id is not null and n_shingles > 0")
     one = [F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("digest", "tokens"))]
     classes = stash(named.groupBy("sequence").agg(F.min("id").alias("id"), *one), "classes")
+    slim = stash(sketched.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sequence")).alias("sequence")), "sizes")
+    release(sketched)
     texts = base.where("id is not null")
     second = den / num - 1
     passing: list[DataFrame] = []  # tables that the result doesn't read
@@ -249,7 +251,10 @@ def near_duplicates(
             return parts
         if parts is not None:
             links = links.union(parts.where("id <> part").select(F.col("id").alias("a"), F.col("part").alias("b")))
-        return stash(connected_components(links).withColumnRenamed("component", "part"), "parts")
+        components = connected_components(links)
+        out = stash(components.withColumnRenamed("component", "part"), "parts")
+        release(components, *([parts] if parts is not None else []))
+        return out
 
     def unsettled(live: DataFrame, parts: DataFrame | None) -> DataFrame:
         """Members of nodes that hold several components, with their component as part."""
@@ -297,10 +302,12 @@ def near_duplicates(
     release(*levels, *passing)
 
     heads = classes.where("copies > 1").select("sequence", F.col("id").alias("head"))
-    out = sketched.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sequence")).alias("sequence")).join(heads, "sequence", "left").withColumn("head", F.coalesce("head", "id"))
+    out = slim.join(heads, "sequence", "left").withColumn("head", F.coalesce("head", "id"))
     if parts is not None:
         out = out.join(parts.select(F.col("id").alias("head"), "part"), "head", "left").withColumn("head", F.coalesce("part", "head"))
-    repeated = out.select("id", "n_shingles", F.col("head").alias("component_id"))
+    # The result is written, so that nothing else need stay.
+    repeated = stash(out.select("id", "n_shingles", F.col("head").alias("component_id")), "components")
+    release(slim, classes, *([parts] if parts is not None else []))
     return repeated.select(
         F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

@@ -218,25 +218,28 @@ def _matches(known: DataFrame, window: int, gram: int) -> DataFrame:
     groups = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("content") != F.max("content")).alias("mixed"))
     groups = stash(groups.where("lo < hi").select("anchor", "mixed"), "anchors")
     found = stash(runs.join(groups, "anchor"), "recurring")
+    release(runs, groups)
     firsts = found.groupBy("anchor", "content").agg(F.min(F.struct("id", "mark", "pos", "n")).alias("first"), F.max("id").alias("last"), F.first("mixed").alias("mixed"))
     firsts = stash(firsts, "contents")
     owner = [F.col("first.id").alias("owner"), F.col("first.mark").alias("owner_mark"), F.col("first.pos").alias("owner_pos")]
     again = firsts.where("first.id < last").select("anchor", "content", *owner)
     whole = found.join(again, ["anchor", "content"]).where("id > owner").select("id", "mark", "pos", "n", "anchor", "owner", "owner_mark", "owner_pos")
-
+    whole = stash(whole, "whole")
     heads = firsts.where("mixed").select("anchor", "first.*").groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("runs"))
     heads = stash(heads, "heads")
+    release(found, firsts)
     marked = known.withColumn("mark", F.crc32(F.coalesce("text", F.lit(b""))))
     texts = only_ids(marked, heads.select("id").distinct(), "id").dropDuplicates(["id", "mark"])
     windows = texts.join(heads, ["id", "mark"]).select("id", "mark", "text", "runs")
     windows = stash(windows.mapInArrow(_windows(window), "anchor long, content long, id long, mark long, pos int"), "windows")
+    release(heads)
     earliest = windows.groupBy("anchor", "content").agg(F.min(F.struct("id", "mark", "pos")).alias("first"), F.max("id").alias("last"))
     earliest = stash(earliest.where("first.id < last").select("anchor", "content", *owner), "earliest")
     single = windows.join(earliest, ["anchor", "content"]).where("id > owner")
     single = single.select("id", "mark", "pos", F.lit(1).alias("n"), "anchor", "owner", "owner_mark", "owner_pos")
-    out = stash(whole.union(single), "matches")
-    release(runs, groups, found, firsts, heads, windows, earliest)
-    return out
+    single = stash(single, "single")
+    release(windows, earliest)
+    return whole.union(single)
 
 
 def _spans(known: DataFrame, window: int, gram: int) -> DataFrame:
@@ -246,7 +249,7 @@ def _spans(known: DataFrame, window: int, gram: int) -> DataFrame:
     listed = matches.groupBy("id", "mark").agg(parts.alias("parts")).select("id", "parts")
     phrase = ["owner", "owner_mark", "owner_pos", "words"]
     candidates = stash(listed.mapInArrow(_chains(window), "id long, owner long, owner_mark long, owner_pos int, words int"), "candidates")
-    release(matches)
+    release(matches)  # both of its tables
 
     # The phrase table: words from the owners' texts.
     distinct = stash(candidates.select(*phrase).distinct(), "phrases")
