@@ -102,7 +102,7 @@ def middle(points: Column, distance=planar) -> Column:
     return F.coalesce(F.aggregate(sides(points), start, step)["at"], point(last["x"], last["y"]))
 
 
-def _cross(a: Column, b: Column, p: Column) -> Column:
+def left_of(a: Column, b: Column, p: Column) -> Column:
     """Positive where p lies to the left of the way from a to b."""
     return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
 
@@ -130,7 +130,7 @@ def clip_to_convex(ring: Column, zone: Column) -> Column:
 
         def one(e: Column) -> Column:
             p, q = e["a"], e["b"]
-            dp, dq = _cross(a, b, p), _cross(a, b, q)
+            dp, dq = left_of(a, b, p), left_of(a, b, q)
             t = dp / F.nullif(dp - dq, F.lit(0.0))
             crossing = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
             none = F.slice(F.array(q), 1, 0)
@@ -147,7 +147,7 @@ def part_in_convex(e: Column, zone: Column) -> Column:
     p, q = e["a"], e["b"]
 
     def narrow(state: Column, side: Column) -> Column:
-        dp, dq = _cross(side["a"], side["b"], p), _cross(side["a"], side["b"], q)
+        dp, dq = left_of(side["a"], side["b"], p), left_of(side["a"], side["b"], q)
         t = dp / F.nullif(dp - dq, F.lit(0.0))
         enters, leaves, out = (dp < 0) & (dq >= 0), (dp >= 0) & (dq < 0), (dp < 0) & (dq < 0)
         low = F.when(out, F.lit(2.0)).when(enters, F.greatest(state["t0"], t)).otherwise(state["t0"])

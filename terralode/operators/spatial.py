@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralode.functions import geometry
@@ -94,3 +94,25 @@ def nearest_lines(points: DataFrame, lines: DataFrame, l_id: str, r_id: str, rea
     pairs = here.join(there, ["tx", "ty"]).withColumn("distance", distance).where(F.col("distance") <= reach)
     best = pairs.groupBy(l_id).agg(F.min(F.struct("distance", r_id)).alias("best"))
     return best.select(l_id, F.col(f"best.{r_id}").alias(r_id), F.col("best.distance").alias("distance"))
+
+
+def random_points(zones: DataFrame, key: str, ring: str, n: int, seed: int, times: int = 3) -> DataFrame:
+    """(key, k, x, y): up to n points in each ring, the first of times * n that a hash of seed, key and number places in its
+    box; the same for the same seed, whatever the partitions."""
+    box = geometry.bbox(F.col(ring))
+    tried = zones.withColumn("box", box).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times * n - 1))))
+    share = lambda axis: F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("k"), F.lit(axis)), F.lit(1 << 30)) / float(1 << 30)
+    x = F.col("box.min_x") + share("x") * (F.col("box.max_x") - F.col("box.min_x"))
+    y = F.col("box.min_y") + share("y") * (F.col("box.max_y") - F.col("box.min_y"))
+    held = tried.select(key, "k", x.alias("x"), y.alias("y"), ring).where(geometry.within(F.col("x"), F.col("y"), F.col(ring)))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("k"))
+    return held.withColumn("k", first).where(F.col("k") <= n).select(key, "k", "x", "y")
+
+
+def clipped(rows: DataFrame, ring: str, zone: str) -> DataFrame:
+    """Rings cut to a convex zone, with whether they lie in it whole and are as they were; null rings, and those of which
+    nothing is in the zone, are left out."""
+    part = geometry.clip_to_convex(F.col(ring), F.col(zone))
+    inside = F.forall(ring, lambda p: F.forall(geometry.sides(F.col(zone), closed=True), lambda e: geometry.left_of(e["a"], e["b"], p) >= 0))
+    out = rows.where(F.col(ring).isNotNull()).withColumn("whole", inside).withColumn(ring, F.when(F.col("whole"), F.col(ring)).otherwise(part))
+    return out.where(F.size(ring) > 2)

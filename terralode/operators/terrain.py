@@ -98,3 +98,11 @@ def height_above_stream(flow: DataFrame, accumulation: DataFrame, least: int, tr
     ends = trace(marked.select("cell", F.when(F.col("stream").isNull(), F.col("next")).alias("next"), "value"), keep)
     base = marked.where("stream").select(F.col("cell").alias("outlet"), F.col("value").alias("base"))
     return marked.join(ends, "cell").join(base, "outlet", "left").select("cell", (F.col("value") - F.col("base")).alias("hand"))
+
+
+def pour_zones(flow: DataFrame, points: DataFrame, trace, keep) -> DataFrame:
+    """(cell, point): the pour point (cell) that the path of each cell meets first; cells whose path meets none are left out."""
+    marks = points.select("cell", F.lit(True).alias("pours")).distinct()
+    marked = keep(flow.join(marks, "cell", "left"))
+    ends = trace(marked.select("cell", F.when(F.col("pours").isNull(), F.col("next")).alias("next"), "value"), keep)
+    return ends.select("cell", F.col("outlet").alias("point")).join(marks.select(F.col("cell").alias("point")), "point", "left_semi").select("cell", "point")

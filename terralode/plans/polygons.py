@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralode.functions import geometry
 from terralode.operators import spatial
 from terralode.plans.registry import query, read
+from terralode.sources import kml
 
 
 def _ring(*corners: tuple[Column, Column]) -> Column:
@@ -103,3 +104,47 @@ def map_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = geometry.tile_bounds(k % 16, k * 7 % 16, F.lit(4))
     area = F.struct(*(F.lit(v).alias(n) for n, v in (("min_x", 0.0), ("min_y", 0.0), ("max_x", 5e6), ("max_y", 5e6))))
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.round(box["min_x"], 3).alias("min_x"), F.round(box["min_y"], 3).alias("min_y"), geometry.boxes_overlap(box, area).alias("meets"))
+
+
+@query("""
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END::INTEGER AS vertices, CASE s_suppkey % 3 WHEN 0 THEN '<Point><coordinates>1.0,2.0</coordinates></Point>' WHEN 1 THEN '<LineString><coordinates>1.0,2.0 3.0,4.0 5.0,0.0</coordinates></LineString>'
+  ELSE '<Polygon><outerBoundaryIs><LinearRing><coordinates>1.0,2.0 3.0,4.0 5.0,0.0 1.0,2.0</coordinates></LinearRing></outerBoundaryIs></Polygon>' END AS xml FROM supplier
+""")
+def kml_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points, lines and polygons as KML, with the corners that they have."""
+    k = F.col("s_suppkey")
+    kind = F.when(k % 3 == 0, "Point").when(k % 3 == 1, "LineString").otherwise("Polygon")
+    corners = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 2.0), (3.0, 4.0), (5.0, 0.0))))
+    points = F.when(k % 3 == 0, F.slice(corners, 1, 1)).when(k % 3 == 1, corners).otherwise(F.concat(corners, F.slice(corners, 1, 1)))
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", kind.alias("kind"), points.alias("points"))
+    return rows.select("s_suppkey", F.size("points").alias("vertices"), kml.geometry_xml(F.col("kind"), F.col("points")).alias("xml"))
+
+
+@query()
+def random_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three seeded points in the kite of each nation: of nine that lie in its box, the first that lie in it. SQL has no such
+    random numbers; the tests look at what must hold."""
+    return spatial.random_points(zones(spark, sf_dir), "n_nationkey", "zone_ring", 3, seed=7)
+
+
+@query(_RINGS + ", a AS (" + _PART.format(keys="e.id, e.z", side="s.z AS z", pairs="pe e, ze s") + "), b AS (" + _PART.format(keys="e.id, e.z", side="s.id AS id", pairs="ze e, pe s") + """),
+u AS (SELECT id, x1 + t0 * (x2 - x1) AS ax, y1 + t0 * (y2 - y1) AS ay, x1 + t1 * (x2 - x1) AS bx, y1 + t1 * (y2 - y1) AS bb, false AS cut FROM a WHERE z = 12 AND t0 < t1 UNION ALL SELECT id, x1 + t0 * (x2 - x1), y1 + t0 * (y2 - y1), x1 + t1 * (x2 - x1), y1 + t1 * (y2 - y1), true FROM b WHERE z = 12 AND t0 < t1)
+SELECT id AS p_partkey, round(sum(ax * bb - bx * ay) / 2, 3) AS area, NOT bool_or(cut) AS whole FROM u GROUP BY 1 HAVING sum(ax * bb - bx * ay) > 2e-6
+""")
+def clipped_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels in one zone: those inside as they are, others cut; null and disjoint ones are left out."""
+    zone = zones(spark, sf_dir).where("n_nationkey = 12").select("zone_ring")  # a single row
+    rows = parcels(spark, sf_dir).union(parcels(spark, sf_dir).limit(1).select("p_partkey", F.lit(None).cast("array<struct<x:double,y:double>>")))
+    out = spatial.clipped(rows.crossJoin(F.broadcast(zone)), "ring", "zone_ring")
+    return out.select("p_partkey", F.round(geometry.ring_area(F.col("ring")), 3).alias("area"), "whole").where("area > 0 or whole")
+
+
+@query("""
+WITH a AS (SELECT p_partkey, p_size, abs((5 + p_partkey % 11) * (6 + p_partkey % 7) - p_partkey % 4 * (p_partkey % 3)) / 2.0 AS area FROM part)
+SELECT p_size, count(*) AS parts, round(max(area), 4)::DOUBLE AS area, min(p_partkey) FILTER (area = top) AS largest FROM (SELECT *, max(area) OVER (PARTITION BY p_size) AS top FROM a) GROUP BY 1
+""")
+def largest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of polygons with several parts, the largest."""
+    rows = parcels(spark, sf_dir).join(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").withColumn("area", geometry.ring_area(F.col("ring")))
+    rows = rows.withColumn("area", F.round("area", 4))
+    return rows.groupBy("p_size").agg(F.count("*").alias("parts"), F.max("area").alias("area"), F.max_by("p_partkey", F.struct("area", (-F.col("p_partkey")).alias("o"))).alias("largest"))

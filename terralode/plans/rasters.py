@@ -200,3 +200,27 @@ def segmentation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     rows = read(spark, sf_dir, "events").select((c("user_id") % 5).alias("scene"), (c("value") > 40).alias("pred"), ((c("event_type") == "view") | (c("value") > 60)).alias("target"), (c("event_id") % 9 != 0).alias("valid"))
     return numeric.segmentation(rows, "scene", c("pred"), c("target"), c("valid"))
+
+
+@query(_FLOW + """
+, acc AS (SELECT r AS "row", c AS col, count(*) AS area FROM t GROUP BY 1, 2), o AS (SELECT r0, c0, arg_max(r, steps) AS orow, arg_max(c, steps) AS ocol FROM t GROUP BY 1, 2)
+SELECT orow AS outlet_row, ocol AS outlet_col, count(*) AS stream_cells, max(area) AS most FROM acc JOIN o ON o.r0 = acc."row" AND o.c0 = acc.col WHERE area > 3 GROUP BY 1, 2
+""")
+def drainage_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells through which more than three drain, by the outlet that they run to."""
+    rows = traced_cells(spark, sf_dir).where("area > 3")
+    return rows.groupBy("outlet_row", "outlet_col").agg(F.count("*").alias("stream_cells"), F.max("area").alias("most"))
+
+
+@query(_FLOW + """
+, pp AS (SELECT "row", col FROM c WHERE ("row" * 200 + col) % 97 = 0), m AS (SELECT r0, c0, arg_min(t.r, steps) AS pr, arg_min(t.c, steps) AS pc FROM t JOIN pp ON pp."row" = t.r AND pp.col = t.c GROUP BY 1, 2)
+SELECT pr AS pour_row, pc AS pour_col, count(*) AS n, round(count(*) * 0.09, 2)::DOUBLE AS area_ha FROM m GROUP BY 1, 2
+""")
+def pour_point_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells whose water meets each pour point first."""
+    flow = kept(grid.downstream(grid.d8_pointers(cells(spark, sf_dir))))
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    key = F.shiftright("cell", 32) * 200 + low("cell")
+    zones = terrain.pour_zones(flow, flow.where(key % 97 == 0).select("cell"), grid.traced, kept)
+    out = zones.groupBy("point").agg(F.count("*").alias("n"))
+    return out.select(F.shiftright("point", 32).alias("pour_row"), low("point").alias("pour_col"), "n", F.round(F.col("n") * 0.09, 2).alias("area_ha"))

@@ -9,6 +9,7 @@ from terralode.functions import numeric
 from terralode.operators.ranks import percentile_row
 from terralode.operators.relational import priorities
 from terralode.plans.registry import query, read
+from terralode.streaming import jobs
 from terralode.streaming.folders import kept
 
 #: Legal transitions of the events' state machine.
@@ -103,7 +104,7 @@ def flood_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH a AS (SELECT c_nationkey AS k, count(*) / 1000 AS v FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS v FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1),
-h AS (SELECT CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE CAST(n_nationkey AS VARCHAR) END AS k, n_regionkey * 20.0 AS v FROM nation), hn AS (SELECT k::BIGINT AS k, v FROM h WHERE regexp_full_match(k, '\d+')),
+h AS (SELECT CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE CAST(n_nationkey AS VARCHAR) END AS k, n_regionkey * 20.0 AS v FROM nation), hn AS (SELECT k::BIGINT AS k, v FROM h WHERE regexp_full_match(k, '[0-9]+')),
 c AS (SELECT s_nationkey AS k, count(*) AS v FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1),
 ids AS (SELECT k FROM a UNION SELECT k FROM b UNION SELECT k FROM hn UNION SELECT k FROM c),
 m AS (SELECT (SELECT min(v) FROM a) AS a0, (SELECT max(v) FROM a) AS a1, (SELECT min(v) FROM b) AS b0, (SELECT max(v) FROM b) AS b1, (SELECT min(v) FROM h) AS h0, (SELECT max(v) FROM h) AS h1, (SELECT min(v) FROM c) AS c0, (SELECT max(v) FROM c) AS c1),
@@ -173,3 +174,29 @@ def ndwi_water_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.min("ndwi"), 6).alias("min_ndwi"), F.round(F.max("ndwi"), 6).alias("max_ndwi"),
     )
     return out.withColumn("water_pct", numeric.percent(c("n_water"), c("n_valid"), 2))
+
+
+@query("""
+WITH s AS (SELECT user_id AS zona_id, event_id, ts, CASE WHEN value > 90 THEN 'critico' WHEN value > 70 THEN 'alto' ELSE 'bajo' END AS nivel FROM events), a AS (SELECT c_custkey AS zona_id FROM customer WHERE c_custkey % 3 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY zona_id ORDER BY CASE nivel WHEN 'critico' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS k FROM s WHERE nivel <> 'bajo' AND zona_id NOT IN (SELECT zona_id FROM a))
+SELECT zona_id, event_id, nivel FROM n WHERE k = 1
+""")
+def raised_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most severe and latest reading of each zone without an active alert: the batch twin of the alert job."""
+    value = F.col("value")
+    level = F.when(value > 90, "critico").when(value > 70, "alto").otherwise("bajo")
+    scored = read(spark, sf_dir, "events").select(F.col("user_id").alias("zona_id"), "event_id", "ts", level.alias("nivel"))
+    active = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("zona_id"), (F.col("c_custkey") % 3 == 0).alias("activa"))
+    rank = F.struct((F.col("nivel") == "critico").alias("severe"), "ts", "event_id")
+    worst = jobs.new_alerts(scored, active).groupBy("zona_id").agg(F.max_by(F.struct("event_id", "nivel"), rank).alias("r"))
+    return worst.select("zona_id", "r.event_id", "r.nivel")
+
+
+@query("""
+WITH l(a, b) AS (VALUES ('view', 'click'), ('click', 'purchase'), ('view', 'view')), s AS (SELECT user_id, event_type AS estado, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT before, estado AS after, count(*) AS n FROM s WHERE before IS NOT NULL AND (before, estado) NOT IN (SELECT a, b FROM l) GROUP BY 1, 2
+""")
+def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("estado"))
+    legal = spark.createDataFrame([("view", "click"), ("click", "purchase"), ("view", "view")], "before string, after string")
+    return jobs.illegal_transitions(history, legal, "user_id", ["ts", "event_id"]).groupBy("before", "after").agg(F.count("*").alias("n"))

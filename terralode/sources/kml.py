@@ -74,6 +74,15 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parsed, _ROW)
 
 
+def geometry_xml(kind: Column, points: Column) -> Column:
+    """A point, line or polygon (its ring closed) as KML; null for other kinds."""
+    text = F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["x"], p["y"])), " ")
+    inner = F.concat(F.lit("<coordinates>"), text, F.lit("</coordinates>"))
+    ring = F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing>"), inner, F.lit("</LinearRing></outerBoundaryIs></Polygon>"))
+    plain = F.concat(F.lit("<"), kind, F.lit(">"), inner, F.lit("</"), kind, F.lit(">"))
+    return F.when(kind.isin("Point", "LineString"), plain).when(kind == "Polygon", ring)
+
+
 def placemark_xml(name: Column, points: Column) -> Column:
     """A placemark with a line."""
     text = F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["x"], p["y"])), " ")

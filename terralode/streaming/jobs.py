@@ -29,8 +29,8 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 hours") ->
 
 
 def rate_limited(requests: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """Whether each request of a key is within its limit of the last seconds: (key, ts, allowed, remaining). Only
-    allowed requests count. The state of a key is the times of its last `limit` allowed requests at most; a key that
+    """Whether each request of a key is within its limit of the last seconds: (key, ts, allowed, remaining, reset), reset
+    being when the oldest request that counts drops out. Only allowed requests count. The state of a key is the times of its last `limit` allowed requests at most; a key that
     is silent for a window is forgotten."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,19 +39,20 @@ def rate_limited(requests: DataFrame, limit: int = 100, seconds: int = 60) -> Da
             return
         held: list[float] = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values("ts")
-        allowed, remaining = [], []
+        allowed, remaining, reset = [], [], []
         for at in rows["ts"].map(lambda t: t.timestamp()):
             held = [h for h in held if h > at - seconds]
             allowed.append(len(held) < limit)
             if allowed[-1]:
                 held.append(at)
             remaining.append(limit - len(held))
+            reset.append(pd.Timestamp((held[0] if held else at) + seconds, unit="s"))
         state.update((held,))
         state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy(), "allowed": allowed, "remaining": remaining})
+        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy(), "allowed": allowed, "remaining": remaining, "reset": reset})
 
     return requests.groupBy("key").applyInPandasWithState(
-        step, "key string, ts timestamp, allowed boolean, remaining int", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "key string, ts timestamp, allowed boolean, remaining int, reset timestamp", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

@@ -46,7 +46,7 @@ def test_equals_sql(spark, duck, sf_dir, name):
 
 
 def test_visible_labels(spark, sf_dir):
-    """The one query without SQL, against choosing one after the other."""
+    """A query without SQL, against choosing one after the other."""
     shown = {}
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 9 < 2").collect()
     for r in sorted(rows, key=lambda r: (r.o_orderkey % 3 != 0, -round(r.o_totalprice, 2), r.o_orderkey)):
@@ -56,4 +56,15 @@ def test_visible_labels(spark, sf_dir):
             kept.append((r.o_orderkey, x, y))
     want = {(s, i) for s, kept in shown.items() for i, _, _ in kept}
     got = {(r.screen, r.id) for r in catalogue.queries()["visible_labels"](spark, sf_dir).collect()}
-    assert got == want and set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"visible_labels"}
+    assert got == want and set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"visible_labels", "random_points"}
+
+
+def test_random_points(spark, sf_dir):
+    """Points lie in their kites, three each at most and most of them three, and are the same each time."""
+    run = lambda: sorted(map(tuple, catalogue.queries()["random_points"](spark, sf_dir).collect()))
+    got = run()
+    assert got == run() and len({r[:2] for r in got}) == len(got) and 60 <= len(got) <= 75
+    for nation, k, x, y in got:
+        cx, cy = nation % 5 * 200 + 100, nation // 5 * 200 + 100
+        ring = [(cx - 90 - nation % 7, cy), (cx, cy - 80), (cx + 95, cy + nation % 5), (cx + nation % 9, cy + 90)]
+        assert 1 <= k <= 3 and all((bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0 for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True))
