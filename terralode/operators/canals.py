@@ -49,26 +49,39 @@ def parsed_name(name: Column) -> Column:
     words of the name that hint at one count."""
     raw = text.strip(F.coalesce(name, F.lit("")))
     before = F.regexp_replace(F.substring_index(raw, "★", 1), r"[\s\u00a0]+$", "")
-    working = F.when(raw.contains("★"), before).otherwise(raw)
-    chunks = F.filter(F.transform(F.split(working, "·"), text.strip), lambda c: c != "")
     none = F.lit(None)
     start = F.struct(
         F.lit(0).alias("n"), none.cast("string").alias("code"), none.cast("double").alias("declared_m"), none.cast("string").alias("priority"), F.slice(F.array(F.lit("")), 1, 0).alias("parts"), F.lit(False).alias("odd")
     )
-    found = F.aggregate(chunks, start, _chunk)
-    joined = F.array_join(found["parts"], " · ")
-    description = F.when(joined == "", text.strip(working)).otherwise(joined)
-    late = F.when(~found["odd"] & found["code"].isNull(), F.get(F.filter(F.slice(chunks, 2, 1000), lambda c: c.rlike(CODE)), 0))
-    without = description
-    for a, b in (("· ", ""), ("", " ·"), ("", "")):
-        without = F.replace(without, F.concat(F.lit(a), late, F.lit(b)), F.lit(""))
-    without = F.regexp_replace(F.regexp_replace(text.strip(without), r"^\s*·\s*", ""), r"\s*·\s*$", "")
     lower = F.lower(F.coalesce(name, F.lit("")))
     hinted = F.when(lower.contains("opcional") | lower.contains("sujeto a presupuesto"), "Opcional").when(lower.contains("largo plazo"), "Largo plazo")
-    return F.struct(
-        F.coalesce(text.bracket_code(working), found["code"], late).alias("code"), F.when(late.isNotNull(), without).otherwise(description).alias("description"), found["declared_m"].alias("declared_m"),
-        F.coalesce(found["priority"], hinted).alias("priority"), raw.contains("★").alias("featured"),
-    )
+
+    def whole(working: Column, found: Column, description: Column, late: Column) -> Column:
+        without = description
+        for one, two in (("· ", ""), ("", " ·"), ("", "")):
+            without = F.replace(without, F.concat(F.lit(one), late, F.lit(two)), F.lit(""))
+        without = F.regexp_replace(F.regexp_replace(text.strip(without), r"^\s*·\s*", ""), r"\s*·\s*$", "")
+        return F.struct(
+            F.coalesce(text.bracket_code(working), found["code"], late).alias("code"), F.when(late.isNotNull(), without).otherwise(description).alias("description"), found["declared_m"].alias("declared_m"),
+            F.coalesce(found["priority"], hinted).alias("priority"), raw.contains("★").alias("featured"),
+        )
+
+    def parts(working: Column, chunks: Column, found: Column) -> Column:
+        joined = F.array_join(found["parts"], " · ")
+        late = F.when(~found["odd"] & found["code"].isNull(), F.get(F.filter(F.slice(chunks, 2, 1000), lambda c: c.rlike(CODE)), 0))
+        both = F.struct(F.when(joined == "", text.strip(working)).otherwise(joined).alias("d"), late.alias("l"))
+        return _named(both, lambda x: whole(working, found, x["d"], x["l"]))
+
+    def chunked(working: Column) -> Column:
+        chunks = F.filter(F.transform(F.split(working, "·"), text.strip), lambda c: c != "")
+        return _named(chunks, lambda c: _named(F.aggregate(c, start, _chunk), lambda f: parts(working, c, f)))
+
+    return _named(F.when(raw.contains("★"), before).otherwise(raw), chunked)
+
+
+def _named(value: Column, body) -> Column:
+    """What body makes of a value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def with_counters(rows: DataFrame, base: str, order: str) -> DataFrame:

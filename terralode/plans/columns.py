@@ -24,7 +24,7 @@ def text_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT p_partkey, CASE WHEN p_partkey % 2000 < 1000 THEN (p_partkey % 2000) || ' m' ELSE format('{:.1f} km', (p_partkey % 2000) / 1000.0) END AS distance, CASE WHEN p_partkey * 7 < 10000 THEN (p_partkey * 7) || ' m²' ELSE format('{:.1f} ha', p_partkey * 7 / 10000.0) END AS area,
+SELECT p_partkey, CASE WHEN p_partkey % 2000 < 1000 THEN (p_partkey % 2000) || ' m' ELSE format('{:.1f} km', (p_partkey % 2000 + 0.2) / 1000) END AS distance, CASE WHEN p_partkey * 7 < 10000 THEN (p_partkey * 7) || ' m²' ELSE format('{:.1f} ha', (p_partkey * 7 + 0.2) / 10000) END AS area,
   CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 900) || ' m' ELSE (p_partkey % 900) || ' m · (' || (p_partkey % 900 + 5) || ' m declarada)' END AS length, '$ ' || format('{:,.2f}', p_size * 1000.25) AS money, 'Puntos ' || CASE WHEN p_size % 2 = 0 THEN 'Conflicto' ELSE 'Canal' END AS title,
   CASE WHEN p_size % 4 = 0 THEN 'III' WHEN p_size % 4 = 1 THEN 'VIII' WHEN p_size % 4 = 2 THEN 'I' END AS soil, 'b' AS last, 'x,y' AS checklist, 'zona_n_' || p_size || '_2024-01-02' AS file, CASE WHEN p_size % 2 = 0 THEN 'Escuela ' || p_size ELSE 'Capa ' || (p_partkey + 1) END AS feature,
   'Siembra directa' AS human FROM part
@@ -36,7 +36,7 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     properties = F.create_map(F.lit("nombre"), F.lit(" "), F.lit("name"), F.when(size % 2 == 0, F.concat(F.lit("Esc. "), s)))
     length = (k % 900).cast("double")
     return read(spark, sf_dir, "part").select(
-        "p_partkey", text.distance_text((k % 2000).cast("double")).alias("distance"), text.area_text((k * 7).cast("double")).alias("area"), text.length_text(length, F.when(k % 3 == 0, length + 0.4).otherwise(length + 5)).alias("length"),
+        "p_partkey", text.distance_text(k % 2000 + 0.2).alias("distance"), text.area_text(k * 7 + 0.2).alias("area"), text.length_text(length, F.when(k % 3 == 0, length + 0.4).otherwise(length + 5)).alias("length"),
         text.money_text(size * 1000.25).alias("money"), text.title_from_id(F.when(size % 2 == 0, "vt_puntos_conflicto").otherwise("vt_puntos_canal")).alias("title"), text.soil_class(soil).alias("soil"), text.last_segment(F.concat(F.lit("a/"), s, F.lit("/b/"))).alias("last"),
         F.array_join(text.checklist(F.lit(" x \n\r\n y\n")), ",").alias("checklist"), text.file_name(F.concat(F.lit("Zona Ñ "), s), F.lit("2024-01-02").cast("date")).alias("file"), text.feature_name(properties, k, "Capa").alias("feature"),
         text.humanised(F.lit("siembra_directa"), {"capacitacion": "Capacitación"}).alias("human"),

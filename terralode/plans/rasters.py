@@ -45,8 +45,8 @@ def terrain_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH x AS (SELECT CASE WHEN l_linenumber = 5 THEN NULL ELSE -l_quantity / 2 END AS sar, l_discount * 8 - 0.2 AS ndvi, l_tax * 8 - 0.1 AS ndwi FROM lineitem),
 c AS (SELECT CASE WHEN sar < -15 THEN 1 WHEN ndvi > 0.5 THEN 2 WHEN ndvi > 0.2 THEN 4 WHEN ndvi > -0.1 THEN 3 ELSE 0 END AS k, CASE WHEN ndwi > 0.3 THEN 'agua' WHEN ndvi > 0.5 THEN 'vegetacion_densa' WHEN ndvi > 0.2 THEN 'vegetacion_rala' ELSE 'suelo_desnudo' END AS v FROM x),
 n AS (SELECT count(*) AS total FROM c), names(k, name) AS (VALUES (0, 'sin_clasificar'), (1, 'agua'), (2, 'vegetacion_densa'), (3, 'suelo_desnudo'), (4, 'vegetacion_rala'), (5, 'urbano'))
-SELECT 'dynamic' AS scheme, name, count(c.k) AS pixeles, round(100.0 * count(c.k) / min(total), 2)::DOUBLE AS porcentaje FROM names LEFT JOIN c ON c.k = names.k, n GROUP BY 2
-UNION ALL SELECT 'index', v, count(*), round(100.0 * count(*) / min(total), 2)::DOUBLE FROM c, n GROUP BY 2
+SELECT 'dynamic' AS scheme, name, count(c.k) AS pixeles, round(100.0 * count(c.k) / min(total) + 1e-9, 2)::DOUBLE AS porcentaje FROM names LEFT JOIN c ON c.k = names.k, n GROUP BY 2
+UNION ALL SELECT 'index', v, count(*), round(100.0 * count(*) / min(total) + 1e-9, 2)::DOUBLE FROM c, n GROUP BY 2
 """)
 def class_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels and shares of each class, classes without any too."""
