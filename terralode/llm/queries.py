@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralode.llm import licences, oracles
+from terralode.llm.bpe import decode_ids, encode_texts
 from terralode.llm._shared import scratch_dir
 from terralode.llm.decontaminate import find_leaks
 from terralode.llm.html import extract_main_text
 from terralode.llm.langid import held_out, identify_language, learn_profiles
+from terralode.llm.manifest import folded, merkle_manifest, proof_digest
 from terralode.llm.nearest import largest_inner_products
 from terralode.llm.neardup import near_duplicates
 from terralode.llm.packing import pack_documents
@@ -78,6 +80,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "".join(map(chr, range(65, 91)))
+    marked = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    text = F.when(F.col("doc_id").isNotNull() & marked, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    out = merkle_manifest(_read(spark, sf_dir, "documents"), tampered={"text": text})
+    out = out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded(F.col("proof"), F.col("claimed")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = decode_ids(encode_texts(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -85,7 +106,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_minhash_neardup, op2_substring_dedup, op3_language_id, op4_benchmark_decontamination, op5_warc_roundtrip,
-        op6_nearest_neighbours, op7_html_main_text, op8_sequence_packing, op9_licence_digests, op10_url_filter, pipeline,
+        op6_nearest_neighbours, op7_html_main_text, op8_sequence_packing, op9_licence_digests, op10_url_filter,
+        op11_merkle_manifest, op13_byte_bpe, pipeline,
     )
     return {f.__name__: f for f in ops}
 
