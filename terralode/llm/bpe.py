@@ -60,10 +60,13 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.histories: dict[int, tuple] = {}
         self.walk: dict[tuple[bytes, int], tuple] = {}
+        self.states: dict[tuple, dict[int, tuple]] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, dict[int, tuple]] = {}
+        for moves in self.states.values():
+            moves.clear()  # states lead to one another in circles
+        self.states = {}
         self.begin = self.state((b"", ((),), True, ()))
 
     def state(self, key: tuple) -> dict[int, tuple]:
@@ -147,6 +150,8 @@ class Transducer:
         then.append(path)
         final = (ends[0][1],) if whole and ends[0][0] == 0 else path
         least, most, n = min(then), max(then), 0
+        if final != path:
+            least = ()  # all waits: if the word ends here it is a token that its bytes don't merge to
         for x, y in zip(least, most):
             if x != y:
                 break
@@ -295,8 +300,15 @@ class Decoder:
         return "".join(out) + ("�" if waiting else "")
 
 
-#: A worker compiles a vocabulary once and keeps the bounded memory of its last one for later tasks.
-encoder_of, decoder_of = lru_cache(maxsize=1)(Encoder), lru_cache(maxsize=1)(Decoder)
+@lru_cache(maxsize=1)
+def encoder_of(ranks: str, pattern: str) -> Encoder:
+    """A worker compiles a vocabulary once, and keeps the bounded memory of its last one for later tasks."""
+    return Encoder(ranks, pattern)
+
+
+@lru_cache(maxsize=1)
+def decoder_of(ranks: str) -> Decoder:
+    return Decoder(ranks)
 
 
 def _encoded(ranks: str, pattern: str, name: str):

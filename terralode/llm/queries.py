@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from terralode.llm import licences, oracles
 from terralode.llm.bpe import decode_ids, encode_texts
 from terralode.llm._shared import scratch_dir
+from terralode.llm.conversations import damaged, repair_conversations, report_repairs
 from terralode.llm.decontaminate import find_leaks
 from terralode.llm.html import extract_main_text
 from terralode.llm.langid import held_out, identify_language, learn_profiles
@@ -89,6 +90,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_repairs(repair_conversations(damaged(_read(spark, sf_dir, "conversations"))))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = decode_ids(encode_texts(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -107,7 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_minhash_neardup, op2_substring_dedup, op3_language_id, op4_benchmark_decontamination, op5_warc_roundtrip,
         op6_nearest_neighbours, op7_html_main_text, op8_sequence_packing, op9_licence_digests, op10_url_filter,
-        op11_merkle_manifest, op13_byte_bpe, pipeline,
+        op11_merkle_manifest, op12_conversation_repair, op13_byte_bpe, pipeline,
     )
     return {f.__name__: f for f in ops}
 
@@ -117,4 +122,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
         "op9_licence_digests": oracles.licence_digests(),
         "op10_url_filter": oracles.URL_FILTER,
+        "op11_merkle_manifest": oracles.merkle_manifest(),
+        "op12_conversation_repair": oracles.conversation_repair(),
     }
