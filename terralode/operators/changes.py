@@ -82,8 +82,8 @@ def broken(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
 def require(df: DataFrame, checks: Mapping[str, Column]) -> None:
     """Raises ValueError with the numbers of rows that break the checks; one pass over the table."""
     counts = broken(df, checks).first()
-    if broken := {name: counts[name] for name in checks if counts[name]}:
-        raise ValueError(f"rows break checks: {broken}")
+    if found := {name: counts[name] for name in checks if counts[name]}:
+        raise ValueError(f"rows break checks: {found}")
 
 
 def require_rows(layers: Mapping[str, DataFrame]) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralode.functions.geometry import within
@@ -150,3 +152,56 @@ def burned(segments: DataFrame, size: float = 1.0) -> DataFrame:
     steps = segments.select("x1", "y1", "x2", "y2", n.alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
     at = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")) / size).cast("long")
     return steps.select(at("y1", "y2").alias("row"), at("x1", "x2").alias("col")).distinct()
+
+
+def envelope(at: np.ndarray, height: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The least of the parabolas height + (x - at) ** 2 at each wanted x; at and wanted ascend. Parabolas are put on a stack, from
+    which those go that the next one undercuts wherever they were least."""
+    tops, starts = [], []
+    for q in range(len(at)):
+        start = -np.inf
+        while tops:
+            p = tops[-1]
+            start = ((height[q] + at[q] ** 2) - (height[p] + at[p] ** 2)) / (2 * (at[q] - at[p]))
+            if start > starts[-1]:
+                break
+            tops.pop()
+            starts.pop()
+            start = -np.inf
+        tops.append(q)
+        starts.append(start)
+    own = np.array(tops)[np.searchsorted(starts, wanted, side="right") - 1]
+    return height[own] + (wanted - at[own]) ** 2
+
+
+def distances(cells: DataFrame, source: Column) -> DataFrame:
+    """(row, col, distance): the exact straight distance, in cells, of each cell to the nearest source cell, however far; null
+    if there is no source at all.
+
+    Two passes. Along each column, windows carry the last source above and the next one below to every row of the grid, missing
+    cells included, since sources are seen across them. Along each row the least of the parabolas that stand on these distances is taken: a row of the grid goes to one
+    task, and never more. Cells must be unique.
+    """
+    row, col = F.col("row").cast("long"), F.col("col").cast("long")
+    given = cells.select(row.alias("row"), col.alias("col"), F.when(source, row).alias("source"), F.lit(True).alias("here"))
+    span = given.agg(F.min("col").alias("low"), F.max("col").alias("high")).first()
+    if span.low is None:
+        return given.select("row", "col", F.lit(None).cast("double").alias("distance"))
+    grid = given.select("row").distinct().select("row", F.explode(F.sequence(F.lit(span.low), F.lit(span.high))).alias("col"), F.lit(None).cast("long").alias("source"), F.lit(False).alias("here"))
+    along = Window.partitionBy("col").orderBy("row")
+    above = F.last("source", ignorenulls=True).over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.first("source", ignorenulls=True).over(along.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    gap = F.least(F.col("row") - above, below - F.col("row"))
+    both = given.union(grid).select("row", "col", "here", gap.cast("double").alias("gap")).groupBy("row", "col").agg(F.max("here").alias("here"), F.min("gap").alias("gap"))
+
+    def measured(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("col")
+        seen, wanted = rows[rows["gap"].notna()], rows[rows["here"]]
+        if len(seen):
+            least = np.sqrt(envelope(seen["col"].to_numpy(float), seen["gap"].to_numpy(float) ** 2, wanted["col"].to_numpy(float)))
+        else:
+            least = np.full(len(wanted), np.nan)
+        return pd.DataFrame({"row": wanted["row"], "col": wanted["col"], "distance": least})
+
+    found = both.groupBy("row").applyInPandas(measured, "row long, col long, distance double")
+    return found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))

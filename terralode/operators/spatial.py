@@ -43,20 +43,6 @@ def join_boxes(left: DataFrame, right: DataFrame, size: float, l_box: str = "box
     return one.join(two, ["level", "tx", "ty"]).where(own & meet & first).drop("level", "tx", "ty", "l_level", "r_level")
 
 
-def overlay_areas(parcels: DataFrame, zones: DataFrame, size: float, ring: str = "ring", zone: str = "zone_ring") -> DataFrame:
-    """Pairs of a ring and a convex zone that overlap, with the overlap's area; empty overlaps are left out."""
-    boxed = parcels.withColumn("box", geometry.bbox(F.col(ring)))
-    pairs = join_boxes(boxed, zones.withColumn("zone", geometry.bbox(F.col(zone))), size)
-    return pairs.withColumn("area", geometry.ring_area(geometry.clip_to_convex(F.col(ring), F.col(zone)))).where("area > 0").drop("box", "zone")
-
-
-def overlay_lengths(lines: DataFrame, zones: DataFrame, size: float, line: str = "line", zone: str = "zone_ring") -> DataFrame:
-    """Pairs of a line and a convex zone that meet, with the line's length in it."""
-    boxed = lines.withColumn("box", geometry.bbox(F.col(line)))
-    pairs = join_boxes(boxed, zones.withColumn("zone", geometry.bbox(F.col(zone))), size)
-    return pairs.withColumn("length", geometry.length_in_convex(F.col(line), F.col(zone))).where("length > 0").drop("box", "zone")
-
-
 def overlap_area(a: Column, b: Column) -> Column:
     side = lambda low, high: F.greatest(F.least(a[high], b[high]) - F.greatest(a[low], b[low]), F.lit(0.0))
     return side("min_x", "max_x") * side("min_y", "max_y")
@@ -71,29 +57,86 @@ def points_in_boxes(points: DataFrame, zones: DataFrame, size: float, x: str = "
     return placed.join(tiled, ["tx", "ty"]).where(held).drop("tx", "ty")
 
 
-def nearest(left: DataFrame, right: DataFrame, l_id: str, r_id: str, reach: float) -> DataFrame:
-    """For each left point (l_id, x, y) the nearest right point (r_id, x, y) within reach, ties to the smaller id:
-    (l_id, r_id, distance), null where there is none. Each right point is laid on the tiles around it; the best is a
-    grouped minimum, combined before the shuffle."""
-    here = left.select(l_id, "x", "y", F.floor(F.col("x") / reach).cast("long").alias("tx"), F.floor(F.col("y") / reach).cast("long").alias("ty"))
-    there = right.select(r_id, F.col("x").alias("rx"), F.col("y").alias("ry"))
-    there = _tiles(there, F.col("rx") - reach, F.col("ry") - reach, F.col("rx") + reach, F.col("ry") + reach, reach)
-    distance = F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2))
-    pairs = here.join(there, ["tx", "ty"]).withColumn("distance", distance).where(F.col("distance") <= reach)
-    best = pairs.groupBy(l_id).agg(F.min(F.struct("distance", r_id)).alias("best"))
-    return left.select(l_id).join(best, l_id, "left").select(l_id, F.col(f"best.{r_id}").alias(r_id), F.col("best.distance").alias("distance"))
-
-
-def nearest_lines(points: DataFrame, lines: DataFrame, l_id: str, r_id: str, reach: float) -> DataFrame:
-    """For each point (l_id, x, y) that has one within reach the nearest line (r_id, line) and its distance, ties to the
-    smaller id. Each line is laid on the tiles around its box."""
-    here = points.select(l_id, "x", "y", F.floor(F.col("x") / reach).cast("long").alias("tx"), F.floor(F.col("y") / reach).cast("long").alias("ty"))
-    box = geometry.bbox(F.col("line"))
-    there = _tiles(lines.select(r_id, "line"), box["min_x"] - reach, box["min_y"] - reach, box["max_x"] + reach, box["max_y"] + reach, reach)
-    distance = geometry.nearest_on(F.struct("x", "y"), F.col("line"))["d"]
-    pairs = here.join(there, ["tx", "ty"]).withColumn("distance", distance).where(F.col("distance") <= reach)
-    best = pairs.groupBy(l_id).agg(F.min(F.struct("distance", r_id)).alias("best"))
-    return best.select(l_id, F.col(f"best.{r_id}").alias(r_id), F.col("best.distance").alias("distance"))
+#: Tiles of a level along the side of one of the next.
+_WIDER = 4
+
+
+def _closest(left: DataFrame, pieces: DataFrame, l_id: str, r_id: str, size: float, keep) -> DataFrame:
+    """(l_id, r_id, distance): the nearest piece (r_id, ax, ay, bx, by), at most `size` long, of each point, ties to the smaller
+    id; null if there is none at all. Exact, at any distance.
+
+    A point first looks at its own tile of width `size` and the eight around it: what it finds within `size` is nearer than all it
+    doesn't see. The others descend a pyramid of occupied tiles from its top: on each level tiles are opened into those
+    that they hold, and only those whose border is no farther than the nearest known piece of any (each tile names one) stay.
+    So a lonely point compares itself with the pieces of some tiles, not with all of a wide one.
+    """
+    low = lambda a, b: F.floor(F.least(a, b) / size).cast("long")
+    high = lambda a, b: F.floor(F.greatest(a, b) / size).cast("long")
+    tiled = pieces.withColumn("tx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("ty", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
+    tiled = keep(tiled)
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    t = F.coalesce(((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    far = lambda x, y: F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2))
+    distance = far(F.col("ax") + t * dx, F.col("ay") + t * dy)
+
+    here = left.select(F.col(l_id).alias("l_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    own = lambda c: F.floor(F.col(c) / size).cast("long")
+    looks = here.withColumn("n", F.explode(around)).select("l_id", "x", "y", (own("x") + F.col("n.i")).alias("tx"), (own("y") + F.col("n.j")).alias("ty"))
+    best = F.min(F.struct(distance.alias("distance"), "r_id")).alias("best")
+    first = keep(here.join(looks.join(tiled, ["tx", "ty"]).groupBy("l_id").agg(best), "l_id", "left"))
+    sure = F.coalesce(F.col("best.distance") <= size, F.lit(False)) | F.col("x").isNull() | F.col("y").isNull()
+    lonely = first.where(~sure).select("l_id", "x", "y", F.coalesce("best.distance", F.lit(float("inf"))).alias("most"))
+
+    occupied = keep(tiled.groupBy("tx", "ty").agg(F.min(F.struct("ax", "ay")).alias("one")))
+    edge = occupied.agg(F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1")).first()
+    levels = 0
+    while edge.x0 is not None and max(edge.x1 - edge.x0, edge.y1 - edge.y0) >= _WIDER**levels:
+        levels += 1
+
+    def level(k: int) -> DataFrame:
+        up = lambda c: F.floor(F.col(c) / _WIDER**k).cast("long")
+        return occupied.groupBy(up("tx").alias("tx"), up("ty").alias("ty")).agg(F.min("one").alias("one"))
+
+    def kept_tiles(rows: DataFrame, k: int) -> DataFrame:
+        width = size * _WIDER**k
+        off = lambda c, at: F.greatest(at * width - F.col(c), F.col(c) - (at + 1) * width, F.lit(0.0))
+        least = F.sqrt(F.pow(off("x", F.col("tx")), 2) + F.pow(off("y", F.col("ty")), 2))
+        most = F.least("most", F.min(far(F.col("one.ax"), F.col("one.ay"))).over(Window.partitionBy("l_id")))
+        return rows.withColumn("most", most).where(least <= F.col("most") * (1 + 1e-12)).select("l_id", "x", "y", "most", "tx", "ty")
+
+    tiles = kept_tiles(lonely.crossJoin(F.broadcast(level(levels))), levels)  # four tiles at most
+    for k in reversed(range(levels)):
+        parent = lambda c: F.floor(F.col(c) / _WIDER).cast("long")
+        below = level(k).select(parent("tx").alias("px"), parent("ty").alias("py"), F.col("tx").alias("cx"), F.col("ty").alias("cy"), "one")
+        opened = tiles.withColumnsRenamed({"tx": "px", "ty": "py"}).join(below, ["px", "py"])
+        tiles = kept_tiles(opened.select("l_id", "x", "y", "most", F.col("cx").alias("tx"), F.col("cy").alias("ty"), "one"), k)
+    rest = lonely.select("l_id").join(tiles.join(tiled, ["tx", "ty"]).groupBy("l_id").agg(best), "l_id", "left")
+    both = first.where(sure).select("l_id", "best").union(rest.select("l_id", "best"))
+    return both.select(F.col("l_id").alias(l_id), F.col("best.r_id").alias(r_id), F.col("best.distance").alias("distance"))
+
+
+def nearest(left: DataFrame, right: DataFrame, l_id: str, r_id: str, size: float, keep) -> DataFrame:
+    """For each left point (l_id, x, y; unique ids) the nearest right point (r_id, x, y) at any distance, ties to the smaller
+    id: (l_id, r_id, distance); null for a point without coordinates, and if there is no right point. size is the side of the
+    smallest tiles, about the usual distance; keep writes a table away and reads it back."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    there = right.where(x.isNotNull() & y.isNotNull()).select(F.col(r_id).alias("r_id"), x.alias("ax"), y.alias("ay"), x.alias("bx"), y.alias("by"))
+    return _closest(left, there, l_id, r_id, size, keep)
+
+
+def nearest_lines(points: DataFrame, lines: DataFrame, l_id: str, r_id: str, size: float, keep) -> DataFrame:
+    """For each point (l_id, x, y; unique ids) the nearest line (r_id, line) at any distance, as nearest has it. Segments are
+    laid on tiles in pieces of at most `size`; a line of one point is that point, null and empty ones are none."""
+    line = F.col("line")
+    sides = F.when(F.size(line) == 1, F.array(F.struct(F.get(line, 0).alias("a"), F.get(line, 0).alias("b")))).otherwise(geometry.sides(line))
+    rows = lines.where(F.size(line) > 0).select(F.col(r_id).alias("r_id"), F.explode(sides).alias("e"))
+    n = F.greatest(F.ceil(geometry.planar(F.col("e.a"), F.col("e.b")) / size), F.lit(1))
+    rows = rows.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    at = lambda c, k: F.when(k == F.col("n"), F.col(f"e.b.{c}")).otherwise(F.col(f"e.a.{c}") + (F.col(f"e.b.{c}") - F.col(f"e.a.{c}")) * k / F.col("n"))
+    k = F.col("k")
+    return _closest(points, rows.select("r_id", at("x", k).alias("ax"), at("y", k).alias("ay"), at("x", k + 1).alias("bx"), at("y", k + 1).alias("by")), l_id, r_id, size, keep)
 
 
 def random_points(zones: DataFrame, key: str, ring: str, n: int, seed: int, times: int = 3) -> DataFrame:
@@ -107,12 +150,3 @@ def random_points(zones: DataFrame, key: str, ring: str, n: int, seed: int, time
     held = tried.select(key, "k", x.alias("x"), y.alias("y"), ring).where(geometry.within(F.col("x"), F.col("y"), F.col(ring)))
     first = F.row_number().over(Window.partitionBy(key).orderBy("k"))
     return held.withColumn("k", first).where(F.col("k") <= n).select(key, "k", "x", "y")
-
-
-def clipped(rows: DataFrame, ring: str, zone: str) -> DataFrame:
-    """Rings cut to a convex zone, with whether they lie in it whole and are as they were; null rings, and those of which
-    nothing is in the zone, are left out."""
-    part = geometry.clip_to_convex(F.col(ring), F.col(zone))
-    inside = F.forall(ring, lambda p: F.forall(geometry.sides(F.col(zone), closed=True), lambda e: geometry.left_of(e["a"], e["b"], p) >= 0))
-    out = rows.where(F.col(ring).isNotNull()).withColumn("whole", inside).withColumn(ring, F.when(F.col("whole"), F.col(ring)).otherwise(part))
-    return out.where(F.size(ring) > 2)

@@ -12,7 +12,7 @@ from terralode.operators import canals, spatial
 from terralode.operators import relational as R
 from terralode.plans.registry import query, read
 from terralode.sources import geojson, kml, tabular
-from terralode.streaming.folders import shared_dir
+from terralode.streaming.folders import kept, shared_dir
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -146,16 +146,16 @@ def tile_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH z AS (SELECT c_custkey AS zone, (c_custkey % 100)::DOUBLE AS hci, (c_custkey * 37 % 1000) / 100.0 AS x, (c_custkey * 91 % 1000) / 100.0 AS y FROM customer WHERE c_custkey % 100 >= 50),
 c AS (SELECT s_suppkey, (s_suppkey * 53 % 1000) / 100.0 AS x1, (s_suppkey * 29 % 1000) / 100.0 AS y1, (s_suppkey * 53 % 1000) / 100.0 + 0.02 AS x2, (s_suppkey * 29 % 1000) / 100.0 AS y2 FROM supplier),
-d AS (SELECT zone, hci, min(sqrt((x - greatest(least(x, x2), x1)) ** 2 + (y - y1) ** 2)) * 111 AS km FROM z, c WHERE abs(x - x1) <= 1.1 AND abs(y - y1) <= 1.1 GROUP BY 1, 2)
-SELECT zone, round(km, 2) AS gap_km, hci AS hci_score, CASE WHEN hci > 80 AND km > 5 THEN 'critico' WHEN hci > 60 AND km > 3 THEN 'alto' ELSE 'moderado' END AS severity FROM d WHERE km >= 2 AND km <= 100
+d AS (SELECT zone, hci, min(sqrt((x - greatest(least(x, x2), x1)) ** 2 + (y - y1) ** 2)) * 111 AS km FROM z, c GROUP BY 1, 2)
+SELECT zone, round(km, 2) AS gap_km, hci AS hci_score, CASE WHEN hci > 80 AND km > 5 THEN 'critico' WHEN hci > 60 AND km > 3 THEN 'alto' ELSE 'moderado' END AS severity FROM d WHERE km >= 2
 """)
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones of a high index whose centre is far from the nearest canal (up to 100 km away), with the gap's severity."""
+    """Zones of a high index whose centre is far from the nearest canal, with the gap's severity."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     zones = read(spark, sf_dir, "customer").where(c % 100 >= 50).select(c.alias("zone"), (c % 100).cast("double").alias("hci"), (c * 37 % 1000 / 100.0).alias("x"), (c * 91 % 1000 / 100.0).alias("y"))
     x, y = s * 53 % 1000 / 100.0, s * 29 % 1000 / 100.0
     lines = read(spark, sf_dir, "supplier").select(s.alias("canal"), F.array(geometry.point(x, y), geometry.point(x + 0.02, y)).alias("line"))
-    near = spatial.nearest_lines(zones, lines, "zone", "canal", 100 / 111)
+    near = spatial.nearest_lines(zones, lines, "zone", "canal", 0.25, kept)
     rows = zones.join(near, "zone").withColumn("km", F.col("distance") * 111).where("km >= 2")
     return rows.select("zone", F.round("km", 2).alias("gap_km"), F.col("hci").alias("hci_score"), numeric.gap_severity(F.col("hci"), F.col("km")).alias("severity"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralode.functions import geometry
-from terralode.operators import spatial
+from terralode.operators import planar, spatial
 from terralode.plans.registry import query, read
 from terralode.sources import kml
 
@@ -29,6 +29,14 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select("n_nationkey", _ring((x - 90 - k % 7, y), (x, y - 80), (x + 95, y + k % 5), (x + k % 9, y + 90)).alias("zone_ring"))
 
 
+def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concave stars with a hole, around the points of a coarse grid; the hole's corners turn the other way."""
+    k = F.col("n_nationkey")
+    x, y = k % 5 * 200 + 100.3, F.floor(k / 5) * 200 + 100.7
+    star = _ring((x - 90 - k % 7, y), (x - 20, y - 15), (x, y - 80), (x + 25, y - 12), (x + 95, y + k % 5), (x + 20, y + 18), (x + k % 9, y + 90), (x - 18, y + 22))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.array(star, _ring((x - 8, y), (x, y + 9), (x + 10, y), (x, y - 7))).alias("zone_rings"))
+
+
 def canals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     x, y = k * 53 % 1000, k * 29 % 1000
@@ -45,32 +53,60 @@ cc AS (SELECT s_suppkey AS id, unnest([0, 1, 2]) AS i, s_suppkey * 53 % 1000 AS
 ce AS (SELECT a.id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM cp a JOIN cp b ON b.id = a.id AND b.i = a.i + 1)
 """
 
-#: The part of segments e in convex rings of sides s, as shares of their length.
-_PART = """
-SELECT {keys}, e.x1, e.y1, e.x2, e.y2, greatest(max(CASE WHEN dp < 0 AND dq >= 0 THEN dp / (dp - dq) WHEN dp < 0 AND dq < 0 THEN 2 ELSE 0 END), 0) AS t0, min(CASE WHEN dp >= 0 AND dq < 0 THEN dp / (dp - dq) ELSE 1 END) AS t1 FROM (
-  SELECT e.*, {side}, (s.x2 - s.x1) * (e.y1 - s.y1) - (s.y2 - s.y1) * (e.x1 - s.x1) AS dp, (s.x2 - s.x1) * (e.y2 - s.y1) - (s.y2 - s.y1) * (e.x2 - s.x1) AS dq FROM {pairs}) e GROUP BY ALL
+#: The sides of the districts, and what of edges e (id, x1 .. y2) lies in the polygons of sides s: cut where they cross, kept by
+#: the number of sides to the right of a part's middle.
+_DISTRICTS = """
+, dc AS (SELECT n_nationkey AS z, unnest(range(12)) AS i, n_nationkey % 5 * 200 + 100.3::DOUBLE AS x, n_nationkey // 5 * 200 + 100.7::DOUBLE AS y FROM nation),
+dp AS (SELECT z, i, CASE WHEN i < 8 THEN 0 ELSE 1 END AS ring, x + [-90 - z % 7, -20, 0, 25, 95, 20, z % 9, -18, -8, 0, 10, 0][i + 1] AS x, y + [0, -15, -80, -12, z % 5, 18, 90, 22, 0, 9, 0, -7][i + 1] AS y FROM dc),
+de AS (SELECT a.z, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM dp a JOIN dp b ON b.z = a.z AND b.ring = a.ring AND b.i = CASE a.i WHEN 7 THEN 0 WHEN 11 THEN 8 ELSE a.i + 1 END),
+zb AS (SELECT z, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM dp GROUP BY 1)
 """
+_KEPT = """
+{n}p AS (SELECT e.*, {other}, s.x1 AS sx, s.y1 AS sy, s.x2 - s.x1 AS ex, s.y2 - s.y1 AS ey FROM {pairs}),
+{n}c AS (SELECT id, z, x1, y1, x2, y2, ((sx - x1) * ey - (sy - y1) * ex) / ((x2 - x1) * ey - (y2 - y1) * ex) AS t, ((sx - x1) * (y2 - y1) - (sy - y1) * (x2 - x1)) / ((x2 - x1) * ey - (y2 - y1) * ex) AS u FROM {n}p WHERE (x2 - x1) * ey <> (y2 - y1) * ex),
+{n}cut AS (SELECT id, z, x1, y1, x2, y2, t FROM {n}c WHERE t > 0 AND t < 1 AND u >= 0 AND u <= 1 UNION SELECT DISTINCT id, z, x1, y1, x2, y2, unnest([0.0, 1.0])::DOUBLE FROM {n}p),
+{n}l AS (SELECT *, lead(t) OVER (PARTITION BY id, z, x1, y1, x2, y2 ORDER BY t) AS t2 FROM {n}cut),
+{n}k AS (SELECT l.id, l.z, l.x1, l.y1, l.x2, l.y2, l.t, l.t2 FROM {n}l l JOIN {sides} s ON s.{key} = l.{key} WHERE l.t2 IS NOT NULL GROUP BY ALL
+  HAVING count(*) FILTER ((s.y1 > l.y1 + (l.t + l.t2) / 2 * (l.y2 - l.y1)) <> (s.y2 > l.y1 + (l.t + l.t2) / 2 * (l.y2 - l.y1))
+    AND l.x1 + (l.t + l.t2) / 2 * (l.x2 - l.x1) < s.x1 + (l.y1 + (l.t + l.t2) / 2 * (l.y2 - l.y1) - s.y1) / (s.y2 - s.y1) * (s.x2 - s.x1)) % 2 = 1)
+"""
+_COMMON = _RINGS + _DISTRICTS + """, pb AS (SELECT id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM pp GROUP BY 1), pz AS (SELECT id, z FROM pb JOIN zb ON pb.lx <= zb.hx AND zb.lx <= pb.hx AND pb.ly <= zb.hy AND zb.ly <= pb.hy), """ + _KEPT.format(
+    n="a", other="pz.z AS z", pairs="pe e JOIN pz ON pz.id = e.id JOIN de s ON s.z = pz.z", sides="de", key="z"
+) + ", " + _KEPT.format(n="b", other="pz.id AS id", pairs="de e JOIN pz ON pz.z = e.z JOIN pe s ON s.id = pz.id", sides="pe", key="id") + """,
+u AS (SELECT id, z, x1 + t * (x2 - x1) AS ax, y1 + t * (y2 - y1) AS ay, x1 + t2 * (x2 - x1) AS bx, y1 + t2 * (y2 - y1) AS bb, false AS cut FROM ak UNION ALL SELECT id, z, x1 + t * (x2 - x1), y1 + t * (y2 - y1), x1 + t2 * (x2 - x1), y1 + t2 * (y2 - y1), true FROM bk),
+o AS (SELECT id, z, sum(ax * bb - bx * ay) / 2 AS area, bool_or(cut) AS cut FROM u GROUP BY 1, 2)
+"""
 
 
-@query(_RINGS + ", a AS (" + _PART.format(keys="e.id, e.z", side="s.z AS z", pairs="pe e, ze s") + "), b AS (" + _PART.format(keys="e.id, e.z", side="s.id AS id", pairs="ze e, pe s") + """),
-u AS (SELECT id, z, x1 + t0 * (x2 - x1) AS ax, y1 + t0 * (y2 - y1) AS ay, x1 + t1 * (x2 - x1) AS bx, y1 + t1 * (y2 - y1) AS bb FROM a WHERE t0 < t1 UNION ALL SELECT id, z, x1 + t0 * (x2 - x1), y1 + t0 * (y2 - y1), x1 + t1 * (x2 - x1), y1 + t1 * (y2 - y1) FROM b WHERE t0 < t1),
-o AS (SELECT id, z, sum(ax * bb - bx * ay) / 2 AS area FROM u GROUP BY 1, 2)
-SELECT z AS zone, count(*) AS parcels, round(sum(area), 3) AS area FROM o WHERE area > 1e-6 GROUP BY 1
-""")
+@query(_COMMON + "SELECT z AS zone, count(*) AS parcels, round(sum(area), 3) AS area FROM o WHERE area > 1e-6 GROUP BY 1")
 def overlay_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The area of parcels in each zone."""
-    pairs = spatial.overlay_areas(parcels(spark, sf_dir), zones(spark, sf_dir), 16.0).where("area > 1e-6")
+    """The area of parcels in each concave district with its hole."""
+    rows = parcels(spark, sf_dir).select("p_partkey", F.array("ring").alias("rings"))
+    pairs = planar.overlay_areas(rows, districts(spark, sf_dir), "p_partkey", "n_nationkey", 32.0).where("area > 1e-6")
     return pairs.groupBy(F.col("n_nationkey").alias("zone")).agg(F.count("*").alias("parcels"), F.round(F.sum("area"), 3).alias("area"))
 
 
-@query(_RINGS + ", a AS (" + _PART.format(keys="e.id, e.z", side="s.z AS z", pairs="ce e, ze s") + """),
-l AS (SELECT id, z, sum(CASE WHEN t1 > t0 THEN t1 - t0 ELSE 0 END * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS m FROM a GROUP BY 1, 2)
+@query(_COMMON + """, soil(id, class) AS (SELECT p_partkey, 'S' || (1 + p_size % 4) FROM part)
+SELECT z AS zone, class AS soil, round(sum(area) / 10000, 7) AS ha FROM o JOIN soil USING (id) WHERE area > 1e-6 GROUP BY 1, 2
+""")
+def soil_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hectares of each soil class in each district."""
+    rows = parcels(spark, sf_dir).select("p_partkey", F.array("ring").alias("rings"))
+    soils = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("S"), (F.col("p_size") % 4 + 1).cast("string")).alias("soil"))
+    pairs = planar.overlay_areas(rows, districts(spark, sf_dir), "p_partkey", "n_nationkey", 32.0).where("area > 1e-6").join(soils, "p_partkey")
+    return pairs.groupBy(F.col("n_nationkey").alias("zone"), "soil").agg(F.round(F.sum("area") / 10000, 7).alias("ha"))
+
+
+@query(_RINGS + _DISTRICTS + ", " + _KEPT.format(n="a", other="s.z AS z", pairs="ce e, de s", sides="de", key="z") + """,
+l AS (SELECT id, z, sum((t2 - t) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS m FROM ak GROUP BY 1, 2)
 SELECT z AS zone, CASE WHEN s_nationkey % 5 = 0 THEN 'none' ELSE 'c' || s_nationkey END AS consortium, count(*) AS canals, round(sum(m) / 1000, 6) AS km FROM l JOIN supplier ON s_suppkey = id WHERE m > 1e-6 GROUP BY 1, 2
 """)
 def overlay_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kilometres of canals in each zone by consortium."""
-    pairs = spatial.overlay_lengths(canals(spark, sf_dir), zones(spark, sf_dir), 64.0).where("length > 1e-6")
+    """Kilometres of canals in each concave district by consortium."""
+    rows = canals(spark, sf_dir)
+    pairs = planar.overlay_lengths(rows.select("s_suppkey", "line"), districts(spark, sf_dir), "s_suppkey", "n_nationkey", 64.0).where("length > 1e-6")
     name = F.coalesce(F.when(F.col("s_nationkey") % 5 != 0, F.concat(F.lit("c"), F.col("s_nationkey").cast("string"))), F.lit("none"))
+    pairs = pairs.join(rows.select("s_suppkey", "s_nationkey"), "s_suppkey")
     return pairs.groupBy(F.col("n_nationkey").alias("zone"), name.alias("consortium")).agg(F.count("*").alias("canals"), F.round(F.sum("length") / 1000, 6).alias("km"))
 
 
@@ -127,16 +163,14 @@ def random_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.random_points(zones(spark, sf_dir), "n_nationkey", "zone_ring", 3, seed=7)
 
 
-@query(_RINGS + ", a AS (" + _PART.format(keys="e.id, e.z", side="s.z AS z", pairs="pe e, ze s") + "), b AS (" + _PART.format(keys="e.id, e.z", side="s.id AS id", pairs="ze e, pe s") + """),
-u AS (SELECT id, x1 + t0 * (x2 - x1) AS ax, y1 + t0 * (y2 - y1) AS ay, x1 + t1 * (x2 - x1) AS bx, y1 + t1 * (y2 - y1) AS bb, false AS cut FROM a WHERE z = 12 AND t0 < t1 UNION ALL SELECT id, x1 + t0 * (x2 - x1), y1 + t0 * (y2 - y1), x1 + t1 * (x2 - x1), y1 + t1 * (y2 - y1), true FROM b WHERE z = 12 AND t0 < t1)
-SELECT id AS p_partkey, round(sum(ax * bb - bx * ay) / 2, 3) AS area, NOT bool_or(cut) AS whole FROM u GROUP BY 1 HAVING sum(ax * bb - bx * ay) > 2e-6
-""")
+@query(_COMMON + "SELECT id AS p_partkey, round(area, 3) AS area, NOT cut AS whole FROM o WHERE z = 12 AND area > 1e-6")
 def clipped_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parcels in one zone: those inside as they are, others cut; null and disjoint ones are left out."""
-    zone = zones(spark, sf_dir).where("n_nationkey = 12").select("zone_ring")  # a single row
-    rows = parcels(spark, sf_dir).union(parcels(spark, sf_dir).limit(1).select("p_partkey", F.lit(None).cast("array<struct<x:double,y:double>>")))
-    out = spatial.clipped(rows.crossJoin(F.broadcast(zone)), "ring", "zone_ring")
-    return out.select("p_partkey", F.round(geometry.ring_area(F.col("ring")), 3).alias("area"), "whole").where("area > 0 or whole")
+    """Parcels cut to one concave district with a hole: those inside as they are; null and disjoint ones are left out."""
+    zone = districts(spark, sf_dir).where("n_nationkey = 12").select("zone_rings")  # a single row
+    rows = parcels(spark, sf_dir).select("p_partkey", F.array("ring").alias("rings"))
+    rows = rows.union(rows.limit(1).select("p_partkey", F.lit(None).cast("array<array<struct<x:double,y:double>>>")))
+    out = planar.clipped(rows, zone, "p_partkey").withColumn("area", planar.even_odd_area(F.col("common"))).where("area > 1e-6")
+    return out.select("p_partkey", F.round("area", 3).alias("area"), "whole")
 
 
 @query("""

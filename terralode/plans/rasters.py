@@ -138,14 +138,12 @@ def burned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH c AS ({_CELLS}), s AS (SELECT "row", col FROM c WHERE value > 400), d AS (SELECT c."row", c.col, min(sqrt((c."row" - s."row") * (c."row" - s."row") + (c.col - s.col) * (c.col - s.col))) AS d FROM c, s GROUP BY 1, 2)
-SELECT "row", col, CASE WHEN d <= 25 THEN round(d * 30, 4) END AS distance FROM d
+SELECT "row", col, round(d * 30, 4) AS distance FROM d
 """)
 def stream_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metres to the nearest stream cell, up to 25 cells away."""
-    pack = F.shiftleft("row", 32) + F.col("col")
-    placed = cells(spark, sf_dir).select(pack.alias("cell"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
-    out = spatial.nearest(placed.select("cell", "x", "y"), placed.where("value > 400").select(F.col("cell").alias("stream"), "x", "y"), "cell", "stream", 25.0)
-    return out.select(F.shiftright("cell", 32).alias("row"), F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF)).alias("col"), F.round(F.col("distance") * 30, 4).alias("distance"))
+    """Metres to the nearest stream cell."""
+    out = grid.distances(cells(spark, sf_dir), F.col("value") > 400)
+    return out.select("row", "col", F.round(F.col("distance") * 30, 4).alias("distance"))
 
 
 _WEIGHED = """

@@ -96,13 +96,13 @@ def spatial_join_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT c_custkey AS id, (c_custkey * 7919 % 1000)::DOUBLE AS x, (c_custkey * 104729 % 1000)::DOUBLE AS y FROM customer),
 s AS (SELECT s_suppkey AS sid, (s_suppkey * 7907 % 1000)::DOUBLE AS rx, (s_suppkey * 104723 % 1000)::DOUBLE AS ry FROM supplier),
-d AS (SELECT id, sid, sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry)) AS distance FROM p JOIN s ON abs(x - rx) <= 100 AND abs(y - ry) <= 100),
-b AS (SELECT id, sid, distance, row_number() OVER (PARTITION BY id ORDER BY distance, sid) AS k FROM d WHERE distance <= 100)
+d AS (SELECT id, sid, sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry)) AS distance FROM p, s),
+b AS (SELECT id, sid, distance, row_number() OVER (PARTITION BY id ORDER BY distance, sid) AS k FROM d)
 SELECT p.id AS c_custkey, b.sid AS s_suppkey, round(distance, 6) AS distance FROM p LEFT JOIN b ON b.id = p.id AND k = 1
 """)
 def nearest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = lambda t, k, a, b: read(spark, sf_dir, t).select(k, (F.col(k) * a % 1000).cast("double").alias("x"), (F.col(k) * b % 1000).cast("double").alias("y"))
-    out = spatial.nearest(placed("customer", "c_custkey", 7919, 104729), placed("supplier", "s_suppkey", 7907, 104723), "c_custkey", "s_suppkey", 100.0)
+    out = spatial.nearest(placed("customer", "c_custkey", 7919, 104729), placed("supplier", "s_suppkey", 7907, 104723), "c_custkey", "s_suppkey", 100.0, kept)
     return out.withColumn("distance", F.round("distance", 6))
 
 
