@@ -150,8 +150,8 @@ def uprights(link, x: float, west: list[tuple[float, float]], east: list[tuple[f
 
 
 def stitched(links: dict[tuple, list[tuple]], key) -> list[list[tuple[float, float]]]:
-    """Rings of links that lead from corner to corner; where several leave a corner, the one most to the right is taken, so
-    that rings that touch at a corner come apart. Corners on a straight line go."""
+    """Rings of links that lead from corner to corner; where several leave a corner, the one most to the left is taken, where
+    the inside is, so that rings that touch at a corner come apart. Corners on a straight line go."""
     rings = []
     while links:
         start = min(links)

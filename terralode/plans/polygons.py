@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralode.functions import geometry
-from terralode.operators import planar, spatial
+from terralode.operators import dissolve, planar, spatial
 from terralode.plans.registry import query, read
 from terralode.sources import kml
+from terralode.streaming.folders import kept
 
 
 def _ring(*corners: tuple[Column, Column]) -> Column:
@@ -182,3 +183,30 @@ def largest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parcels(spark, sf_dir).join(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").withColumn("area", geometry.ring_area(F.col("ring")))
     rows = rows.withColumn("area", F.round("area", 4))
     return rows.groupBy("p_size").agg(F.count("*").alias("parts"), F.max("area").alias("area"), F.max_by("p_partkey", F.struct("area", (-F.col("p_partkey")).alias("o"))).alias("largest"))
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT p_size % 5 AS zone, p_partkey % 25 * 4 AS x0, p_partkey // 25 * 4 AS y0, p_partkey % 25 * 4 + CASE WHEN p_partkey % 3 = 0 THEN 6 ELSE 4 END AS x1, p_partkey // 25 * 4 + CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 4 END AS y1, p_partkey % 11 = 0 AS hollow FROM part),
+c AS (SELECT DISTINCT zone, x, y FROM (SELECT zone, x0, y0, hollow, unnest(range(x0, x1)) AS x, y1 FROM b), LATERAL (SELECT unnest(range(y0, y1)) AS y) WHERE NOT (hollow AND x = x0 + 1 AND y = y0 + 1)),
+d(dir, nx, ny, ax, ay, qx, qy) AS (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)),
+e AS (SELECT row_number() OVER (ORDER BY zone, x, y, dir) AS id, zone, dir, x + ax AS ax, y + ay AS ay, x + qx AS bx, y + qy AS ey FROM c JOIN d ON true WHERE NOT EXISTS (SELECT 1 FROM c n WHERE n.zone = c.zone AND n.x = c.x + nx AND n.y = c.y + ny)),
+l AS (SELECT e.id, arg_min(f.id, (f.dir - e.dir + 7) % 4) AS next FROM e JOIN e f ON f.zone = e.zone AND f.ax = e.bx AND f.ay = e.ey GROUP BY 1),
+w(begun, here) AS (SELECT id, next FROM l UNION ALL SELECT w.begun, l.next FROM w JOIN l ON l.id = w.here WHERE w.here > w.begun),
+r AS (SELECT e.zone, count(*) AS rings FROM w JOIN e ON e.id = w.begun WHERE w.here = w.begun GROUP BY 1),
+k(zone, x, y, px, py) AS (SELECT zone, x, y, x, y FROM c UNION SELECT k.zone, n.x, n.y, k.px, k.py FROM k JOIN d ON true JOIN c n ON n.zone = k.zone AND n.x = k.x + nx AND n.y = k.y + ny),
+s AS (SELECT zone, px, py, count(*) AS n FROM k GROUP BY 1, 2, 3)
+SELECT zone, (SELECT count(*) FROM c WHERE c.zone = r.zone)::DOUBLE AS area, (SELECT count(*) FROM e WHERE e.zone = r.zone)::DOUBLE AS perimeter, rings, (SELECT max(n) FROM s WHERE s.zone = r.zone)::DOUBLE AS largest FROM r
+""")
+def dissolved_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles that touch, overlap and have holes, dissolved by zone: area, perimeter, rings and the largest part."""
+    k = F.col("p_partkey")
+    x, y = k % 25 * 4, F.floor(k / 25) * 4
+    w, h = F.when(k % 3 == 0, 6).otherwise(4), F.when(k % 7 == 0, 5).otherwise(4)
+    outer = _ring((x, y), (x + w, y), (x + w, y + h), (x, y + h))
+    hole = _ring((x + 1, y + 1), (x + 2, y + 1), (x + 2, y + 2), (x + 1, y + 2))
+    rows = read(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("zone"), F.when(k % 11 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"))
+    rings = kept(dissolve.dissolved(rows, "zone", "rings", 4.0, kept))
+    around = rings.groupBy("zone").agg(
+        F.round(F.sum(geometry.signed_area(F.col("points"))), 3).alias("area"), F.round(F.sum(geometry.line_length(F.concat("points", F.slice("points", 1, 1)))), 3).alias("perimeter"), F.count("*").alias("rings"),
+    )
+    return around.join(dissolve.parts(rings, "zone", 8.0).groupBy("zone").agg(F.round(F.max("area"), 3).alias("largest")), "zone")
