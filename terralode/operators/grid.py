@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralode.functions import geometry
 from terralode.functions.geometry import within
 from terralode.operators.ranks import percentiles
 
@@ -145,13 +146,50 @@ def cropped(cells: DataFrame, rows: tuple[int, int], cols: tuple[int, int], ring
     return out.select((r - rows[0]).alias("row"), (c - cols[0]).alias("col"), "value")
 
 
-def burned(segments: DataFrame, size: float = 1.0) -> DataFrame:
-    """(row, col): the cells of a grid that segments (x1, y1, x2, y2) touch, tried at steps of half a cell; row 0 begins at
-    y 0 and grows upwards."""
-    n = F.greatest(F.ceil(2 * F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / size), F.lit(1)).cast("int")
-    steps = segments.select("x1", "y1", "x2", "y2", n.alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
-    at = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")) / size).cast("long")
-    return steps.select(at("y1", "y2").alias("row"), at("x1", "x2").alias("col")).distinct()
+def burned(segments: DataFrame, size: float = 1.0, *names: str) -> DataFrame:
+    """(names, row, col): the cells of a grid that segments (x1, y1, x2, y2) touch, exactly; row 0 begins at y 0 and grows upwards. A
+    segment is cut at the rows that it passes, and takes the columns between the two ends of each cut."""
+    x1, y1, x2, y2 = (F.col(c) / size for c in ("x1", "y1", "x2", "y2"))
+    turned = y1 > y2
+    rows = segments.select(*names, F.when(turned, x2).otherwise(x1).alias("ax"), F.least(y1, y2).alias("ay"), F.when(turned, x1).otherwise(x2).alias("bx"), F.greatest(y1, y2).alias("by"))
+    floor = lambda c: F.floor(c).cast("long")
+    rows = rows.withColumn("row", F.explode(F.sequence(floor(F.col("ay")), floor(F.col("by")))))
+    at = lambda y: F.when(y == F.col("ay"), F.col("ax")).when(y == F.col("by"), F.col("bx")).otherwise(F.col("ax") + (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)))
+    low, high = at(F.greatest(F.col("ay"), F.col("row").cast("double"))), at(F.least(F.col("by"), F.col("row") + 1.0))
+    flat = F.col("ay") == F.col("by")
+    low, high = F.when(flat, F.col("ax")).otherwise(low), F.when(flat, F.col("bx")).otherwise(high)
+    return rows.withColumn("col", F.explode(F.sequence(floor(F.least(low, high)), floor(F.greatest(low, high))))).select(*names, "row", "col").distinct()
+
+
+def covered(polygons: DataFrame, key: str, rings: str, size: float = 1.0, touched: bool = True) -> DataFrame:
+    """(key, row, col): the cells whose middle lies in a polygon (an array of rings, counted even and odd), and with touched also all
+    those that a ring touches. Along the middle of each row the crossings of the rings, sorted, are the ends of spans of
+    cells. Keys must be unique; null, empty and flat polygons cover no middle."""
+    sides = polygons.select(F.col(key).alias("key"), F.explode(F.flatten(F.transform(F.col(rings), lambda ring: geometry.sides(ring, closed=True)))).alias("e"))
+    edges = sides.select("key", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+    low, high = F.least("y1", "y2") / size, F.greatest("y1", "y2") / size
+    first, last = F.ceil(low - 0.5).cast("long"), F.ceil(high - 0.5).cast("long") - 1  # rows whose middle is in [low, high)
+    rows = edges.withColumns({"first": first, "last": last}).where("first <= last").withColumn("row", F.explode(F.sequence("first", "last")))
+    x = (F.col("x1") + (F.col("x2") - F.col("x1")) * ((F.col("row") + 0.5) * size - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))) / size
+    spans = rows.groupBy("key", "row").agg(F.array_sort(F.collect_list(x)).alias("xs"))  # as many as edges meet a row of one polygon
+    spans = spans.select("key", "row", F.explode(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2))).alias("i"), "xs")
+    spans = spans.select("key", "row", F.ceil(F.get("xs", F.col("i")) - 0.5).cast("long").alias("c0"), (F.ceil(F.get("xs", F.col("i") + 1) - 0.5) - 1).cast("long").alias("c1")).where("c0 <= c1")
+    inner = spans.select("key", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    cells = inner.union(burned(edges, size, "key")).distinct() if touched else inner
+    return cells.select(F.col("key").alias(key), "row", "col")
+
+
+def outlined(cells: DataFrame, label: str) -> DataFrame:
+    """The edges (edge, key, ax, ay, bx, by) around the cells (row, col, label) of each label, in units of cells (a cell spans
+    col to col + 1 and row to row + 1), with the inside on their left. Sides that two cells of a label share go, by counting."""
+    at = lambda c, d: (F.col(c) + d).cast("double")
+    corner = lambda dx, dy: F.struct(at("col", dx).alias("x"), at("row", dy).alias("y"))
+    turns = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    sides = F.array(*(F.struct(corner(*p).alias("a"), corner(*q).alias("b")) for p, q in zip(turns, turns[1:])))
+    rows = cells.select(F.col(label).alias("key"), F.explode(sides).alias("e"))
+    low, high = F.least("e.a", "e.b"), F.greatest("e.a", "e.b")
+    sole = rows.groupBy("key", low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1")
+    return sole.select(F.monotonically_increasing_id().alias("edge"), "key", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
 
 
 def envelope(at: np.ndarray, height: np.ndarray, wanted: np.ndarray) -> np.ndarray:

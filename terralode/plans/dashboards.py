@@ -9,6 +9,7 @@ from terralode.functions import geometry, numeric
 from terralode.operators import labels
 from terralode.operators import relational as R
 from terralode.plans.registry import query, read
+from terralode.streaming.folders import kept
 
 
 @query("""
@@ -140,4 +141,4 @@ def visible_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 40).alias("screen"), k.alias("id"), F.when(k % 3 == 0, "area").otherwise("distance").alias("kind"), F.round("o_totalprice", 2).alias("value"), (k * 37 % 800).cast("double").alias("x"), (k * 91 % 600).cast("double").alias("y")
     )
-    return labels.visible(rows.where("id % 9 < 2"), "screen", 40.0)
+    return labels.visible(rows, "screen", 40.0, kept)

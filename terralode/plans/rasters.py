@@ -9,7 +9,7 @@ from terralode.functions import numeric
 from terralode.operators import grid, spatial, terrain
 from terralode.operators.ranks import percentile_row
 from terralode.plans.registry import query, read
-from terralode.plans.spatial import _CELLS, _FLOW, cells, traced_cells
+from terralode.plans.spatial import _CELLS, _FLOW, RINGS_OF_CELLS, cells, ringed, traced_cells
 from terralode.streaming.folders import kept
 
 _PIXELS = """
@@ -125,14 +125,15 @@ def profile_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT s_suppkey * 37 % 200 AS x1, s_suppkey * 91 % 200 AS y1, s_suppkey * 37 % 200 + s_suppkey % 23 - 11 AS x2, s_suppkey * 91 % 200 + s_suppkey % 17 - 8 AS y2 FROM supplier),
-n AS (SELECT *, greatest(2 * greatest(abs(x2 - x1), abs(y2 - y1)), 1) AS n FROM s), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
-SELECT DISTINCT floor(y1 + (y2 - y1) * k / n)::BIGINT AS "row", floor(x1 + (x2 - x1) * k / n)::BIGINT AS col FROM k
+WITH s AS (SELECT s_suppkey * 37 % 200 + 0.31 AS x1, s_suppkey * 91 % 200 + 0.47 AS y1, s_suppkey * 37 % 200 + s_suppkey % 23 - 11 + 0.83 AS x2, s_suppkey * 91 % 200 + s_suppkey % 17 - 8 + 0.19 AS y2 FROM supplier),
+c AS (SELECT *, unnest(range(floor(least(x1, x2))::BIGINT, floor(greatest(x1, x2))::BIGINT + 1)) AS col FROM s), k AS (SELECT *, unnest(range(floor(least(y1, y2))::BIGINT, floor(greatest(y1, y2))::BIGINT + 1)) AS "row" FROM c)
+SELECT DISTINCT "row", col FROM k WHERE greatest(0, least((col - x1) / (x2 - x1), (col + 1 - x1) / (x2 - x1)), least(("row" - y1) / (y2 - y1), ("row" + 1 - y1) / (y2 - y1)))
+  <= least(1, greatest((col - x1) / (x2 - x1), (col + 1 - x1) / (x2 - x1)), greatest(("row" - y1) / (y2 - y1), ("row" + 1 - y1) / (y2 - y1)))
 """)
 def burned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     x, y = k * 37 % 200, k * 91 % 200
-    rows = read(spark, sf_dir, "supplier").select(x.alias("x1"), y.alias("y1"), (x + k % 23 - 11).alias("x2"), (y + k % 17 - 8).alias("y2"))
+    rows = read(spark, sf_dir, "supplier").select((x + 0.31).alias("x1"), (y + 0.47).alias("y1"), (x + k % 23 - 11 + 0.83).alias("x2"), (y + k % 17 - 8 + 0.19).alias("y2"))
     return grid.burned(rows)
 
 
@@ -201,13 +202,17 @@ def segmentation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_FLOW + """
-, acc AS (SELECT r AS "row", c AS col, count(*) AS area FROM t GROUP BY 1, 2), o AS (SELECT r0, c0, arg_max(r, steps) AS orow, arg_max(c, steps) AS ocol FROM t GROUP BY 1, 2)
-SELECT orow AS outlet_row, ocol AS outlet_col, count(*) AS stream_cells, max(area) AS most FROM acc JOIN o ON o.r0 = acc."row" AND o.c0 = acc.col WHERE area > 3 GROUP BY 1, 2
+, acc AS (SELECT r AS "row", c AS col, count(*) AS area FROM t GROUP BY 1, 2), o AS (SELECT r0, c0, arg_max(r, steps) AS orow, arg_max(c, steps) AS ocol FROM t GROUP BY 1, 2),
+lc AS (SELECT orow * 100000 + ocol AS label, acc."row" AS y, acc.col AS x, acc.area FROM acc JOIN o ON o.r0 = acc."row" AND o.c0 = acc.col WHERE area > 3)
+""" + RINGS_OF_CELLS + """
+SELECT label // 100000 AS outlet_row, label % 100000 AS outlet_col, count(*) AS stream_cells, max(area) AS most, any_value(rings) AS rings, count(*)::DOUBLE AS ring_area, any_value(around) AS perimeter FROM lc JOIN lr USING (label) JOIN lp USING (label) GROUP BY label
 """)
 def drainage_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells through which more than three drain, by the outlet that they run to."""
-    rows = traced_cells(spark, sf_dir).where("area > 3")
-    return rows.groupBy("outlet_row", "outlet_col").agg(F.count("*").alias("stream_cells"), F.max("area").alias("most"))
+    """Cells through which more than three drain, by the outlet that they run to, and the rings around them."""
+    label = F.col("outlet_row") * 100000 + F.col("outlet_col")
+    rows = kept(traced_cells(spark, sf_dir).where("area > 3").withColumn("label", label))
+    counts = rows.groupBy("label", "outlet_row", "outlet_col").agg(F.count("*").alias("stream_cells"), F.max("area").alias("most"))
+    return counts.join(ringed(rows), "label").drop("label")
 
 
 @query(_FLOW + """

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralode.functions import geometry, numeric
-from terralode.operators import grid, spatial
+from terralode.operators import dissolve, grid, spatial
 from terralode.plans.registry import query, read
 from terralode.streaming.folders import kept
 
@@ -28,6 +28,24 @@ t AS (SELECT "row" AS r0, col AS c0, "row" AS r, col AS c, 0 AS steps FROM f UNI
 """
 
 
+#: The rings around labelled cells lc (label, x, y), traced edge by edge with the inside on the left: lr (label, rings) and
+#: lp (label, around), their length.
+RINGS_OF_CELLS = """
+, ld(dir, nx, ny, ax, ay, qx, qy) AS (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)),
+le AS (SELECT row_number() OVER (ORDER BY lc.label, lc.x, lc.y, dir) AS id, lc.label, dir, lc.x + ax AS ax, lc.y + ay AS ay, lc.x + qx AS ex, lc.y + qy AS ey FROM lc JOIN ld ON true LEFT JOIN lc n ON n.label = lc.label AND n.x = lc.x + nx AND n.y = lc.y + ny WHERE n.label IS NULL),
+ll AS (SELECT le.id, arg_min(f.id, (f.dir - le.dir + 7) % 4) AS next FROM le JOIN le f ON f.label = le.label AND f.ax = le.ex AND f.ay = le.ey GROUP BY 1),
+lw(begun, here) AS (SELECT id, next FROM ll UNION ALL SELECT lw.begun, ll.next FROM lw JOIN ll ON ll.id = lw.here WHERE lw.here > lw.begun),
+lr AS (SELECT label, count(*) AS rings FROM lw JOIN le ON le.id = lw.begun WHERE lw.here = lw.begun GROUP BY 1), lp AS (SELECT label, count(*)::DOUBLE AS around FROM le GROUP BY 1)
+"""
+
+
+def ringed(rows: DataFrame) -> DataFrame:
+    """(label, rings, ring_area, perimeter) of labelled cells, from the rings around them."""
+    rings = dissolve.stitched(grid.outlined(rows, "label"), kept)
+    length = geometry.line_length(F.concat("points", F.slice("points", 1, 1)))
+    return rings.groupBy(F.col("key").alias("label")).agg(F.count("*").alias("rings"), F.sum(geometry.signed_area(F.col("points"))).alias("ring_area"), F.sum(length).alias("perimeter"))
+
+
 def traced_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = grid.traced(grid.downstream(grid.d8_pointers(cells(spark, sf_dir))), kept)
     return flow.select(F.shiftright("cell", 32).alias("row"), F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF)).alias("col"), F.shiftright("outlet", 32).alias("outlet_row"), F.col("outlet").bitwiseAND(F.lit(0xFFFFFFFF)).alias("outlet_col"), "steps", "area")
@@ -61,18 +79,34 @@ def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traced_cells(spark, sf_dir).select("row", "col", F.col("area").alias("accumulation"))
 
 
-@query("""
-WITH z AS (SELECT n_nationkey AS zone, (n_nationkey % 5) * 40 AS x0, (n_nationkey // 5) * 40 AS y0 FROM nation),
-c AS (SELECT l_partkey % 200 AS x, l_suppkey % 200 AS y, l_quantity * 2 AS v FROM lineitem)
+#: Concave stars with a hole on a grid of 200 by 200 cells, by their sides (zone, x1, y1, x2, y2), and the cells that each touches.
+_TOUCHED = """
+WITH zc AS (SELECT n_nationkey AS zone, unnest(range(12)) AS i, n_nationkey % 5 * 40 + 20.3::DOUBLE AS x, n_nationkey // 5 * 40 + 20.7::DOUBLE AS y FROM nation),
+zp AS (SELECT zone, i, CASE WHEN i < 8 THEN 0 ELSE 1 END AS ring, x + [-21.13 - zone % 7, -5.21, 0.17, 6.41, 19.77, 5.53, zone % 9 + 0.29, -4.61, -4.37, 0.31, 5.09, 0.13][i + 1] AS x, y + [0.11, -4.19, -18.83, -3.47, zone % 5 + 0.23, 4.67, 22.91, 5.87, 0.19, 4.79, 0.37, -3.71][i + 1] AS y FROM zc),
+ze AS (SELECT a.zone, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM zp a JOIN zp b ON b.zone = a.zone AND b.ring = a.ring AND b.i = CASE a.i WHEN 7 THEN 0 WHEN 11 THEN 8 ELSE a.i + 1 END),
+zb AS (SELECT zone, floor(min(x))::BIGINT AS lx, floor(max(x))::BIGINT AS hx, floor(min(y))::BIGINT AS ly, floor(max(y))::BIGINT AS hy FROM zp GROUP BY 1),
+zx AS (SELECT *, unnest(range(lx, hx + 1)) AS col FROM zb), zy AS (SELECT zone, col, unnest(range(ly, hy + 1)) AS "row" FROM zx),
+touched AS (SELECT zone, "row", col FROM zy JOIN ze USING (zone) GROUP BY 1, 2, 3 HAVING count(*) FILTER ((y1 > "row" + 0.5) <> (y2 > "row" + 0.5) AND col + 0.5 < x1 + ("row" + 0.5 - y1) / (y2 - y1) * (x2 - x1)) % 2 = 1
+  OR bool_or(greatest(0, least((col - x1) / (x2 - x1), (col + 1 - x1) / (x2 - x1)), least(("row" - y1) / (y2 - y1), ("row" + 1 - y1) / (y2 - y1))) <= least(1, greatest((col - x1) / (x2 - x1), (col + 1 - x1) / (x2 - x1)), greatest(("row" - y1) / (y2 - y1), ("row" + 1 - y1) / (y2 - y1)))))
+"""
+
+
+@query(_TOUCHED + """
+, c AS (SELECT l_partkey % 200 AS x, l_suppkey % 200 AS y, l_quantity * 2 AS v FROM lineitem)
 SELECT zone, min(v) AS min, max(v) AS max, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(median(v), 4) AS median, round(quantile_cont(v, 0.9), 4) AS p90, count(*) AS n, round(sum(v), 4) AS sum,
-  count(*) FILTER (v > 70) AS n_high FROM c JOIN z ON x >= x0 AND x < x0 + 40 AND y >= y0 AND y < y0 + 40 GROUP BY 1
+  count(*) FILTER (v > 70) AS n_high FROM c JOIN touched ON x = col AND y = "row" GROUP BY 1
 """)
 def zonal_stats_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x0, y0 = (F.col("n_nationkey") % 5 * 40).cast("double"), (F.floor(F.col("n_nationkey") / 5) * 40).cast("double")
-    zones = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zone_id"), F.struct(x0.alias("min_x"), y0.alias("min_y"), (x0 + 40).alias("max_x"), (y0 + 40).alias("max_y")).alias("zone"))
-    readings = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).cast("double").alias("x"), (F.col("l_suppkey") % 200).cast("double").alias("y"), (F.col("l_quantity") * 2).alias("v"))
-    held = spatial.points_in_boxes(readings, zones, 40.0)
-    return grid.zonal(held.select("zone_id", "v"), "zone_id", "v", kept).withColumnRenamed("zone_id", "zone")
+    """Readings of cells in concave polygons with a hole, all touched cells included, by polygon."""
+    k = F.col("n_nationkey")
+    x, y = k % 5 * 40 + 20.3, F.floor(k / 5) * 40 + 20.7
+    star = [(x - 21.13 - k % 7, y + 0.11), (x - 5.21, y - 4.19), (x + 0.17, y - 18.83), (x + 6.41, y - 3.47), (x + 19.77, y + k % 5 + 0.23), (x + 5.53, y + 4.67), (x + k % 9 + 0.29, y + 22.91), (x - 4.61, y + 5.87)]
+    hole = [(x - 4.37, y + 0.19), (x + 0.31, y + 4.79), (x + 5.09, y + 0.37), (x + 0.13, y - 3.71)]
+    ring = lambda corners: F.array(*(geometry.point(a, b) for a, b in corners))
+    zones = read(spark, sf_dir, "nation").select(k.alias("zone"), F.array(ring(star), ring(hole)).alias("rings"))
+    readings = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("col"), (F.col("l_suppkey") % 200).alias("row"), (F.col("l_quantity") * 2).alias("v"))
+    held = kept(readings.join(grid.covered(zones, "zone", "rings"), ["row", "col"]).select("zone", "v"))
+    return grid.zonal(held, "zone", "v", kept)
 
 
 _BOX = "{id} * 37 % 1000 AS x0, {id} * 91 % 1000 AS y0, {id} * 37 % 1000 + 5 + {id} % 11 AS x1, {id} * 91 % 1000 + 5 + {id} % 7 AS y1"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terralode.operators import terrain
 from terralode.plans.registry import query
-from terralode.plans.spatial import _CELLS, _FLOW, cells, traced_cells
+from terralode.plans.spatial import _CELLS, _FLOW, RINGS_OF_CELLS, cells, ringed, traced_cells
 from terralode.streaming.folders import kept
 
 _WINDOW = f"""
@@ -43,12 +43,16 @@ def grid_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_FLOW + """
-, o AS (SELECT r0, c0, arg_max(r, steps) AS outlet_row, arg_max(c, steps) AS outlet_col FROM t GROUP BY 1, 2)
-SELECT outlet_row, outlet_col, count(*) AS n, round(count(*) * 0.09, 2)::DOUBLE AS area_ha FROM o GROUP BY 1, 2 HAVING count(*) * 0.09 >= 0.5
+, o AS (SELECT r0, c0, arg_max(r, steps) AS outlet_row, arg_max(c, steps) AS outlet_col FROM t GROUP BY 1, 2), lc AS (SELECT outlet_row * 100000 + outlet_col AS label, r0 AS y, c0 AS x FROM o)
+""" + RINGS_OF_CELLS + """
+SELECT outlet_row, outlet_col, count(*) AS n, round(count(*) * 0.09, 2)::DOUBLE AS area_ha, any_value(rings) AS rings, count(*)::DOUBLE AS ring_area, any_value(around) AS perimeter
+FROM o JOIN lr ON lr.label = outlet_row * 100000 + outlet_col JOIN lp USING (label) GROUP BY 1, 2 HAVING count(*) * 0.09 >= 0.5
 """)
 def basin_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flow = traced_cells(spark, sf_dir).withColumn("outlet", F.struct("outlet_row", "outlet_col"))
-    return terrain.basins(flow, 0.09, 0.5).select("outlet.outlet_row", "outlet.outlet_col", "n", "area_ha")
+    """Areas that drain to one outlet, from half a hectare on, with the rings around them."""
+    flow = kept(traced_cells(spark, sf_dir).withColumn("outlet", F.struct("outlet_row", "outlet_col")).withColumn("label", F.col("outlet_row") * 100000 + F.col("outlet_col")))
+    found = terrain.basins(flow, 0.09, 0.5).select("outlet.outlet_row", "outlet.outlet_col", "n", "area_ha").withColumn("label", F.col("outlet_row") * 100000 + F.col("outlet_col"))
+    return found.join(ringed(flow), "label").drop("label")
 
 
 @query(_FLOW + """
