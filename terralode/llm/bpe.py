@@ -19,9 +19,9 @@ from terralode.llm._shared import binary, small_batches
 
 #: A worker's transducer starts anew beyond so many states (some 700 bytes each); of the words it remembers, those not met for
 #: half of so many bytes of them go.
-STATES, MEMORY_BYTES = 200_000, 128 << 20
+STATES, MEMORY_BYTES = 150_000, 96 << 20
 #: So many pairs of tokens are remembered.
-PAIRS = 1_000_000
+PAIRS = 500_000
 #: Words of more bytes are not remembered.
 LONGEST = 128
 #: The pattern whose words can begin with one space and never hold another: a fixed value. Under it, a text may be cut
