@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralode.functions import geometry
-from terralode.operators import dissolve, planar, spatial
+from terralode.functions import geometry, numeric
+from terralode.operators import dissolve, planar, reach, spatial
 from terralode.plans.registry import query, read
 from terralode.sources import kml
 from terralode.streaming.folders import kept
@@ -210,3 +210,44 @@ def dissolved_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum(geometry.signed_area(F.col("points"))), 3).alias("area"), F.round(F.sum(geometry.line_length(F.concat("points", F.slice("points", 1, 1)))), 3).alias("perimeter"), F.count("*").alias("rings"),
     )
     return around.join(dissolve.parts(rings, "zone", 8.0).groupBy("zone").agg(F.round(F.max("area"), 3).alias("largest")), "zone")
+
+
+#: Spans of segments within 6 of others, by their ends' discs and the band between, merged for each pair of lines.
+_WITHIN = """
+WITH s(layer, id, n, x1, y1, x2, y2) AS (
+  SELECT 'canal', s_suppkey, unnest([0, 1]), s_suppkey * 53 % 1000 + unnest([0.13, 60.27 - s_suppkey % 120]), s_suppkey * 29 % 1000 + unnest([0.41, 40.35]), s_suppkey * 53 % 1000 + unnest([60.27 - s_suppkey % 120, 90.53]), s_suppkey * 29 % 1000 + unnest([40.35, s_suppkey % 50 - 69.71]) FROM supplier
+  UNION ALL SELECT 'camino', n_nationkey, 0, 3.7, n_nationkey * 40 + 9.3, 991.1, n_nationkey * 37 % 1000 + 21.9 FROM nation
+  UNION ALL SELECT 'drenaje', n_nationkey, 0, n_nationkey * 40 + 11.7, 2.9, n_nationkey * 41 % 1000 + 17.3, 987.7 FROM nation),
+p AS (SELECT l.layer || '_' || r.layer AS kind, l.id AS l_id, r.id AS r_id, r.n AS n, r.x1 AS rx, r.y1 AS ry, r.x2 - r.x1 AS dx, r.y2 - r.y1 AS dy, r.x1 - l.x1 AS ax, r.y1 - l.y1 AS ay, r.x1 - l.x2 AS bx, r.y1 - l.y2 AS bby, l.x2 - l.x1 AS ux, l.y2 - l.y1 AS uy
+  FROM s l JOIN s r ON (l.layer, r.layer) IN (('canal', 'camino'), ('canal', 'drenaje'), ('camino', 'drenaje'))),
+q AS (SELECT *, dx * dx + dy * dy AS a, sqrt(ux * ux + uy * uy) AS m FROM p),
+d AS (SELECT *, (ax * dx + ay * dy) ** 2 - a * (ax * ax + ay * ay - 36) AS da, (bx * dx + bby * dy) ** 2 - a * (bx * bx + bby * bby - 36) AS db, (ax * ux + ay * uy) / m AS s0, (dx * ux + dy * uy) / m AS sd, (ay * ux - ax * uy) / m AS w0, (dy * ux - dx * uy) / m AS wd FROM q),
+e AS (SELECT *, greatest(least(-s0 / sd, (m - s0) / sd), least((-6 - w0) / wd, (6 - w0) / wd)) AS c0, least(greatest(-s0 / sd, (m - s0) / sd), greatest((-6 - w0) / wd, (6 - w0) / wd)) AS c1 FROM d),
+f AS (SELECT kind, l_id, r_id, n, rx, ry, dx, dy, sqrt(a) AS whole, greatest(0, list_min(list_filter([CASE WHEN da >= 0 THEN (-(ax * dx + ay * dy) - sqrt(greatest(da, 0))) / a END, CASE WHEN db >= 0 THEN (-(bx * dx + bby * dy) - sqrt(greatest(db, 0))) / a END, CASE WHEN c0 <= c1 THEN c0 END], lambda v: v IS NOT NULL))) AS t0,
+  least(1, list_max(list_filter([CASE WHEN da >= 0 THEN (-(ax * dx + ay * dy) + sqrt(greatest(da, 0))) / a END, CASE WHEN db >= 0 THEN (-(bx * dx + bby * dy) + sqrt(greatest(db, 0))) / a END, CASE WHEN c0 <= c1 THEN c1 END], lambda v: v IS NOT NULL))) AS t1 FROM e WHERE da >= 0 OR db >= 0 OR c0 <= c1),
+g AS (SELECT *, greatest(t0, coalesce(max(t1) OVER (PARTITION BY kind, l_id, r_id, n ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS b0 FROM f WHERE t0 < t1),
+h AS (SELECT kind, l_id, r_id, sum(whole * (t1 - b0)) AS length, sum(whole * (t1 - b0) * (rx + dx * (t1 + b0) / 2)) AS sx, sum(whole * (t1 - b0) * (ry + dy * (t1 + b0) / 2)) AS sy FROM g WHERE t1 > b0 GROUP BY 1, 2, 3)
+"""
+
+
+@query(_WITHIN + """
+, v AS (SELECT o_orderkey % 120 AS col, o_orderkey // 120 AS "row", o_totalprice / 50 AS flow, (o_orderkey * 7 % 60) / 10.0 AS slope FROM orders), w AS (SELECT kind, l_id, r_id, length, sx / length AS x, sy / length AS y FROM h WHERE length > 1e-6),
+z AS (SELECT w.*, coalesce(flow, 0) AS flow, coalesce(slope, 0) AS slope FROM w LEFT JOIN v ON v.col = floor(x / 10) AND v."row" = floor(y / 10))
+SELECT kind, l_id, r_id, round(length, 5) AS length, round(x, 5) AS x, round(y, 5) AS y, CASE WHEN flow > 5000 OR slope < 0.5 THEN 'alta' WHEN flow > 2000 OR slope < 2 THEN 'media' ELSE 'baja' END AS severity FROM z WHERE flow > 1000 AND slope < 5
+""")
+def line_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where canals, roads and drains come within reach of each other: the centre of what lies in the buffer, with the flow
+    and slope of the cell there; weak flow and steep ground are no conflict."""
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    x, y = k * 53 % 1000, k * 29 % 1000
+    layers = {
+        "canal": read(spark, sf_dir, "supplier").select(k.alias("id"), _ring((x + 0.13, y + 0.41), (x + 60.27 - k % 120, y + 40.35), (x + 90.53, y + (k % 50 - 69.71))).alias("line")),
+        "camino": read(spark, sf_dir, "nation").select(n.cast("long").alias("id"), _ring((F.lit(3.7), n * 40 + 9.3), (F.lit(991.1), n * 37 % 1000 + 21.9)).alias("line")),
+        "drenaje": read(spark, sf_dir, "nation").select(n.cast("long").alias("id"), _ring((n * 40 + 11.7, F.lit(2.9)), (n * 41 % 1000 + 17.3, F.lit(987.7))).alias("line")),
+    }
+    found = reach.conflicts(layers, [("canal", "camino"), ("canal", "drenaje"), ("camino", "drenaje")], 6.0, 64.0).where("length > 1e-6")
+    o = F.col("o_orderkey")
+    cells = read(spark, sf_dir, "orders").select((o % 120).alias("col"), F.floor(o / 120).alias("row"), (F.col("o_totalprice") / 50).alias("flow"), (o * 7 % 60 / 10.0).alias("slope"))
+    placed = found.withColumns({"col": F.floor(F.col("x") / 10), "row": F.floor(F.col("y") / 10)}).join(cells, ["row", "col"], "left").fillna(0.0, ["flow", "slope"])
+    rows = placed.where("flow > 1000 and slope < 5")
+    return rows.select("kind", "l_id", "r_id", *(F.round(c, 5).alias(c) for c in ("length", "x", "y")), numeric.conflict_severity(F.col("flow"), F.col("slope")).alias("severity"))
