@@ -137,6 +137,17 @@ def trend(first: Column, last: Column, dead_band: float = 1.0) -> Column:
     return F.when(last > first + dead_band, "increasing").when(last < first - dead_band, "decreasing").otherwise("stable")
 
 
+def first_last_change(rows: DataFrame, group: str, day: str, area: str, share: str) -> DataFrame:
+    """(group, from_date, to_date, area_change, share_change, trend) between the first and the last successful day of each group
+    with two at least; changes are rounded to two digits, the trend is judged before."""
+    ends = rows.groupBy(group).agg(F.min(F.struct(day, area, share)).alias("first"), F.max(F.struct(day, area, share)).alias("last"), F.count("*").alias("n")).where("n > 1")
+    change = lambda c: F.round(F.col(f"last.{c}") - F.col(f"first.{c}"), 2)
+    return ends.select(
+        group, F.col(f"first.{day}").alias("from_date"), F.col(f"last.{day}").alias("to_date"), change(area).alias("area_change"), change(share).alias("share_change"),
+        trend(F.col(f"first.{share}"), F.col(f"last.{share}")).alias("trend"),
+    )
+
+
 def land_class(sar: Column, ndvi: Column) -> Column:
     """1 water, 2 dense and 4 sparse vegetation, 3 bare soil, 0 unknown; water by radar goes before the index."""
     return F.when(sar < -15.0, 1).when(ndvi > 0.5, 2).when(ndvi > 0.2, 4).when(ndvi > -0.1, 3).otherwise(0)

@@ -26,6 +26,20 @@ def transverse_mercator(lon: Column, lat: Column, central: Column | float, south
     return FALSE_EASTING + SCALE * radius * east, (FALSE_NORTHING if south else 0.0) + SCALE * radius * north
 
 
+def inverse_mercator(east: Column, north: Column, central: Column | float, south: bool = True) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of an easting and northing, by Krueger's inverse series to the third order."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = (north - (FALSE_NORTHING if south else 0.0)) / (SCALE * radius), (east - FALSE_EASTING) / (SCALE * radius)
+    xi1 = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(beta, 1)), F.lit(0.0))
+    eta1 = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(beta, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    lat = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1)), F.lit(0.0))
+    return central + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))), F.degrees(lat)
+
+
 def utm_central(lon: Column) -> Column:
     return F.floor((lon + 180) / 6) * 6 - 177
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralode.plans import changes, columns, dashboards, entities, filters, layers, parcels, polygons, rasters, registry, relational, series, spatial, terrain, texts  # noqa: F401  they register their queries
+from terralode.plans import changes, columns, dashboards, entities, filters, layers, parcels, polygons, projections, rasters, registry, relational, series, spatial, terrain, texts  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
