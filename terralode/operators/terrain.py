@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralode.operators.grid import normalised
@@ -106,3 +108,22 @@ def pour_zones(flow: DataFrame, points: DataFrame, trace, keep) -> DataFrame:
     marked = keep(flow.join(marks, "cell", "left"))
     ends = trace(marked.select("cell", F.when(F.col("pours").isNull(), F.col("next")).alias("next"), "value"), keep)
     return ends.select("cell", F.col("outlet").alias("point")).join(marks.select(F.col("cell").alias("point")), "point", "left_semi").select("cell", "point")
+
+
+def opened(cells: DataFrame, window: int) -> DataFrame:
+    """(row, col, value, opened): the least height in a square of window by window cells, and of these the greatest. Squares are
+    separable: both passes go along rows and then along columns, each by a sliding window of the sorted line, so that a task holds
+    a line's window and no neighbourhood is sent about. Missing cells count for nothing; null values stay null. Cells must be unique."""
+    half = window // 2
+    along = lambda line, place: Window.partitionBy(line).orderBy(place).rangeBetween(-half, half)
+    rows = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+    rows = rows.withColumn("low", F.min("value").over(along("row", "col"))).withColumn("low", F.min("low").over(along("col", "row")))
+    rows = rows.withColumn("opened", F.max("low").over(along("col", "row"))).withColumn("opened", F.max("opened").over(along("row", "col")))
+    return rows.select("row", "col", "value", F.when(F.col("value").isNotNull(), F.col("opened")).alias("opened"))
+
+
+def without_objects(cells: DataFrame, size: float, window: int = 7, slope: float = 5.0) -> DataFrame:
+    """(row, col, value, removed): heights without what stands on the ground and is narrower than the window: a cell that rises above
+    the opened surface more steeply than `slope` degrees over a cell's side takes that surface's height."""
+    removed = F.coalesce(F.col("value") - F.col("opened") > size * math.tan(math.radians(slope)), F.lit(False))
+    return opened(cells, window).select("row", "col", F.when(removed, F.col("opened")).otherwise(F.col("value")).alias("value"), removed.alias("removed"))

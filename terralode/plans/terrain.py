@@ -71,3 +71,15 @@ def flood_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = terrain.percentile_bounds(rows, ["hand", "flow"], kept)
     risk = terrain.composite(rows, {"hand": 0.6, "flow": 0.4}, ("hand",))
     return rows.crossJoin(F.broadcast(bounds)).select("row", "col", F.round("hand", 5).alias("hand"), F.round(risk, 3).alias("risk"))
+
+
+@query(f"""
+WITH c AS (SELECT "row", col, value / 10 AS value FROM ({_CELLS})), a AS (SELECT c."row", c.col, any_value(c.value) AS value, min(n.value) AS low FROM c JOIN c n ON n."row" BETWEEN c."row" - 3 AND c."row" + 3 AND n.col BETWEEN c.col - 3 AND c.col + 3 GROUP BY 1, 2),
+b AS (SELECT a."row", a.col, any_value(a.value) AS value, max(n.low) AS opened FROM a JOIN a n ON n."row" BETWEEN a."row" - 3 AND a."row" + 3 AND n.col BETWEEN a.col - 3 AND a.col + 3 GROUP BY 1, 2)
+SELECT "row", col, round(CASE WHEN value - opened > 30 * tan(radians(5)) THEN opened ELSE value END, 6) AS value, value - opened > 30 * tan(radians(5)) AS removed FROM b
+""")
+def off_terrain_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights without what is narrower than seven cells and rises more steeply than five degrees."""
+    heights = cells(spark, sf_dir).withColumn("value", F.col("value") / 10)
+    out = terrain.without_objects(heights, 30.0)
+    return out.select("row", "col", F.round("value", 6).alias("value"), "removed")
