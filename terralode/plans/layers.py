@@ -65,17 +65,18 @@ def csv_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS lines, sum(length(x)) AS characters FROM (SELECT '{"type":"Feature","properties":{"id":' || o_orderkey || '},"geometry":{"type":"Point","coordinates":[' || (o_orderkey % 180) || ',1]}}' || CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN '' ELSE ',' END AS x FROM orders
-UNION ALL SELECT '{"type":"FeatureCollection","metadata":{"schema_version":"1.0","generated_at":"2024-01-01T00:00:00Z","source":"orders"},"features":[' UNION ALL SELECT ']}')
+WITH f AS (SELECT o_orderkey AS k, '{"type":"Feature","properties":{"id":' || o_orderkey || '},"geometry":{"type":"Point","coordinates":[' || (o_orderkey % 180) || ',1]}}' AS x, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)
+SELECT n + 1 AS place, CASE WHEN n = 1 THEN '' ELSE ',' END || x AS line FROM f
+UNION ALL SELECT 1, '{"type":"FeatureCollection","metadata":{"schema_version":"1.0","generated_at":"2024-01-01T00:00:00Z","source":"orders"},"features":[' UNION ALL SELECT count(*) + 2, ']}' FROM f
 """)
 def features_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole table as one stamped FeatureCollection in ordered parts; the same lines for the same rows."""
+    """A whole table as one stamped FeatureCollection in ordered parts, line by line with each line's place."""
     k = F.col("o_orderkey")
     json = F.concat(F.lit('{"type":"Feature","properties":{"id":'), k.cast("string"), F.lit('},"geometry":{"type":"Point","coordinates":['), (k % 180).cast("string"), F.lit(",1]}}"))
     rows = read(spark, sf_dir, "orders").select(k.alias("ord"), json.alias("json"))
     folder = _folder(spark, "features")
     geojson.write_features(rows, folder, schema_version="1.0", generated_at="2024-01-01T00:00:00Z", source="orders")
-    return spark.read.text(folder).agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("characters"))
+    return geojson.read_lines(spark, folder)
 
 
 @query("""

@@ -139,7 +139,7 @@ def grid_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH f AS (SELECT o_orderkey AS k, o_orderkey % 7 <> 0 AS has FROM orders WHERE o_orderkey % 10 < 3)
+WITH f AS (SELECT o_orderkey AS k, o_orderkey % 7 <> 0 AS has FROM orders)
 SELECT k, has, CASE WHEN has THEN k % 3 = 1 OR k % 3 = 2 AND k % 2 = 0 END AS activa, CASE WHEN has THEN {" + ".join(f"(CASE WHEN (k + {i}) % 3 = 0 THEN 1 ELSE 0 END)" for i in range(1, 5))} END::INTEGER AS adopted FROM f
 """)
 def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,5 +148,5 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = F.when(key % 3 == 1, "1").when((key % 3 == 2) & (key % 2 == 0), "true").when(key % 3 == 2, "yes")
     flags = [F.when((key + k) % 3 == 0, "Si").when((key + k) % 3 == 1, "si") for k in range(1, 5)]
     flat = F.map_from_arrays(F.array(*map(F.lit, ["bpa_total", "activa", *PRACTICES])), F.array(F.when(key % 7 != 0, "3"), active, *flags))
-    rows = read(spark, sf_dir, "orders").where(key % 10 < 3).select(key.alias("k"), P.nested_record(flat, AXES, PRACTICES).alias("r"))
+    rows = read(spark, sf_dir, "orders").select(key.alias("k"), P.nested_record(flat, AXES, PRACTICES).alias("r"))
     return rows.select("k", F.col("r").isNotNull().alias("has"), "r.activa", F.when(F.col("r").isNotNull(), maps.adopted(F.col("r.practicas"))).alias("adopted"))

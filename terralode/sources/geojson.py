@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "type string, features array<struct<type string, properties map<string,string>, geometry struct<type string, coordinates string>>>"
@@ -66,3 +66,13 @@ def write_features(features: DataFrame, path: str, *, schema_version: str, gener
     spark = features.sparkSession
     edges = spark.createDataFrame([(-(1 << 62), stamp), ((1 << 62), "]}")], "o long, value string")
     lines.union(edges).orderBy("o", "value").select("value").write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, line): the lines of part files, numbered from 1 as they follow each other by the files' names. Lines are counted
+    by piece of a file, and only these counts are summed up in order."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    pieces = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("file", "start", "first", before.alias("before"))  # a row for each piece of a file
+    return lines.join(pieces, ["file", "start"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("place"), "line")
