@@ -16,9 +16,10 @@ from terralode.llm._shared import release, small_batches, stash
 
 # Element names of HTML, and what its writers call the parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg object canvas audio video annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr
+    math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mfenced""".split()
 )
 CHROME = frozenset("nav footer aside form menu dialog button select fieldset datalist head input".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
@@ -45,14 +46,16 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _SPACE = re.compile(r"\s+")
 #: Elements that may be a template's within an article, too; paragraphs and the like never are.
 BOXES = frozenset("div section ul ol dl table figure center".split())
+#: A box in an article whose paragraphs hold so many characters isn't deleted for a weak name alone.
+PROSE = 60
 
 
 class Node:
-    __slots__ = ("attrs", "digest", "heading", "kids", "name", "size")
+    __slots__ = ("attrs", "digest", "heading", "kids", "name", "prose", "size")
 
     def __init__(self, name: str, attrs: str = "") -> None:
         self.name, self.attrs, self.kids = name, attrs, []  # kids: nodes and texts
-        self.digest, self.size, self.heading = b"", 0, False
+        self.digest, self.size, self.prose, self.heading = b"", 0, 0, False
 
 
 def parse(html: str) -> Node:
@@ -119,7 +122,7 @@ def parse(html: str) -> Node:
 
 def _sum_up(root: Node) -> None:
     """From the leaves up, once for each element: a digest of it with all below it, whatever its white space and
-    attributes; the length of its text; whether it holds the page's first main heading."""
+    attributes; the length of its text, and of that in paragraphs; whether it holds the page's first main heading."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -136,8 +139,11 @@ def _sum_up(root: Node) -> None:
                 h.update(text.encode("utf-8", "surrogatepass"))
             else:
                 node.size += kid.size
+                node.prose += kid.prose
                 node.heading |= kid.heading
                 h.update(b"<" + kid.digest)
+        if node.name == "p":
+            node.prose = node.size
         node.digest = h.digest()
 
 
@@ -148,7 +154,8 @@ def attributes(node: Node) -> dict[str, str]:
 def is_chrome(node: Node, in_article: bool, total: int) -> bool:
     """Whether an element by its name, role, class or id is not part of an article. total is the length of the page's
     text: a form, or an element with a weak name, that holds most of it is a wrapper, and so is one with a telling name
-    that holds the main heading, too."""
+    that holds the main heading, too. In an article a weak name alone deletes no paragraphs: that takes a telling one, or
+    that the box recurs on its host."""
     if node.name == "form":
         return 2 * node.size <= total
     if node.name in CHROME or node.name in RAW or (node.name == "header" and not in_article):
@@ -163,7 +170,10 @@ def is_chrome(node: Node, in_article: bool, total: int) -> bool:
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
         words = [w for w in re.split(r"[^a-z0-9]+|\d+$", name) if w]
         if words and not {"has", "with", "no"} & {*words} and (CHROME_WORDS & {words[0], words[-1]} or TELLING & {*words}):
-            if not (in_article and words[-1] == "header") and not (2 * node.size > total and (node.heading or not TELLING & {*words})):
+            telling = bool(TELLING & {*words})
+            if in_article and not telling and (words[-1] == "header" or node.prose >= PROSE):
+                continue
+            if not (2 * node.size > total and (node.heading or not telling)):
                 return True
     return False
 
@@ -194,9 +204,45 @@ def blocks(node: Node, gone: frozenset[bytes], inside: bool, total: int) -> list
 
 
 def articles(root: Node) -> list[Node]:
-    """The outermost article elements of a page in page order, or else its main elements: outside of what isn't
+    """The elements that hold a page's content: its outermost articles, or main elements where these hold paragraphs or
+    headings beside the articles, or else nothing in particular (none): where the page has more prose outside of them
+    than within, its articles are cards, and the whole page counts."""
+    found = named(root, ("article", "main"))
+    mains = named(root, ("main",)) if found and found[0].name == "article" else []
+    if mains and beside(mains, found, root.size):
+        found = mains
+    return [] if found and sum(x.prose for x in found) < prose_outside(root, found) else found
+
+
+def beside(mains: list[Node], inner: list[Node], total: int) -> bool:
+    """Whether main elements hold headings or paragraphs that are neither in their articles nor in what isn't content."""
+    own, todo = {id(x) for x in inner}, [x for m in mains for x in m.kids]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or id(node) in own or is_chrome(node, False, total):
+            continue
+        if node.name in ("p", "h1", "h2") and node.size:
+            return True
+        todo.extend(node.kids)
+    return False
+
+
+def prose_outside(root: Node, inner: list[Node]) -> int:
+    """The length of the paragraphs outside of elements and of what isn't content."""
+    own, todo, n = {id(x) for x in inner}, [root], 0
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or id(node) in own or node is not root and is_chrome(node, False, root.size):
+            continue
+        n += node.size if node.name == "p" else 0
+        todo.extend(node.kids if node.name != "p" else ())
+    return n
+
+
+def named(root: Node, names: tuple[str, ...]) -> list[Node]:
+    """The outermost elements of a page with the first of the names that it has, in page order: outside of what isn't
     content, or anywhere if there is none outside."""
-    for name in ("article", "main"):
+    for name in names:
         for strict in (True, False):
             found, todo = [], [root]
             while todo:

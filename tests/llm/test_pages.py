@@ -288,3 +288,31 @@ def test_codebooks_weigh_parallel_errors():
         return np.square(((x - near) * unit).sum(axis=1)).mean()
 
     assert books.weight > 2 and along(books.encode(x)) < 0.7 * along(replace(books, weight=1.0).encode(x))
+
+
+def main_of(page):
+    return html.main_text(html.parse(page), frozenset())
+
+
+def test_content_beside_articles_counts():
+    """Names alone and small articles lose no paragraphs."""
+    assert main_of("<main><h1>Title</h1><p>Lead</p><article><p>The body of the story.</p></article><p>After</p></main>") == "Title\nLead\nThe body of the story.\nAfter"
+    assert main_of("<main><div class='menu'><p>Go</p></div><article><p>The body of the story.</p></article></main>") == "The body of the story."
+    story = "A sentence of the big story. " * 15
+    assert main_of(f"<body><h1>Big story</h1><p>{story}</p><article>Related card</article>").startswith("Big story\nA sentence of the big story.")
+    prose = "Policy matters to all of us, every single day of the year."
+    page = f"<article><h1>T</h1><div class='social-policy'><p>{prose} One.</p></div><section id='related-work'><p>{prose} Two.</p></section><div class='share'><a>Share</a></div><div class='comments'><p>{prose}</p></div></article>"
+    assert main_of(page) == f"T\n{prose} One.\n{prose} Two."
+    assert main_of("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>") == "Let x=2 be."
+
+
+def test_counts_decide_without_articles(spark):
+    """Pages without article or telling names: what recurs on a host goes, and does so only there."""
+    links = "<div><a href='/a'>Home</a> <a href='/b'>News from everywhere</a></div>"
+    legal = "<section><p>All texts may be used by the members of the club only.</p></section>"
+    page = lambda i, extra: f"<html><body>{links}<div><h2>Story {i}</h2><p>Words of story number {i} that stand nowhere else.</p></div>{extra}</body></html>"
+    rows = [(i, f"http://big.org/{i}", page(i, legal)) for i in range(40)] + [(100 + i, f"http://one{i}.org/", page(100 + i, legal)) for i in range(5)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}\nWords of story number {i} that stand nowhere else." for i in range(40))
+    changed = sum(got[i] != main_of(h) for i, _, h in rows)
+    assert changed == 40 and all("members of the club" in got[100 + i] for i in range(5))
