@@ -210,3 +210,16 @@ def history_map(df: DataFrame, key: str, year: Column, value: Column, order: str
     rows = df.select(F.col(key), year.cast("string").alias("year"), value.alias("value"), F.col(order).alias("order")).dropna()
     one = rows.groupBy(key, "year").agg(F.max_by("value", "order").alias("value"))
     return one.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", "value")))).alias("history"))
+
+
+def visible_to(rows: DataFrame, profiles: DataFrame, viewer: int, owner: Column, roles: Sequence[str], user: str = "user_id", role: str = "role") -> DataFrame:
+    """Row security: the rows that a viewer may see are all if a profile (user, role) of the viewer with one of the roles exists,
+    else those of which the viewer is the owner."""
+    exists = profiles.agg(F.coalesce(F.max((F.col(user) == viewer) & F.col(role).isin(*roles)), F.lit(False)).alias("sees_all"))  # a single row
+    return rows.crossJoin(F.broadcast(exists)).where(F.col("sees_all") | (owner == viewer)).drop("sees_all")
+
+
+def public_subset(rows: DataFrame, kind: Column, allowed: Sequence[str], asked: str | None = None) -> DataFrame:
+    """Rows of the kinds that may be public; of one kind, if asked for, and of none if that one may not."""
+    kinds = list(allowed) if asked is None else [k for k in allowed if k == asked]
+    return rows.where(kind.isin(*kinds)) if kinds else rows.where(F.lit(False))

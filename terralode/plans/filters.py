@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -311,3 +313,27 @@ def revision_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = rows.agg(F.max("p_brand").alias("head"))
     out = rows.join(known, "p_brand", "left").crossJoin(F.broadcast(head))
     return out.select("p_brand", "n", F.coalesce("known", F.lit(False)).alias("known"), (F.col("p_brand") == F.col("head")).alias("is_head"))
+
+
+@query("""
+WITH v(viewer) AS (VALUES (1), (2), (3), (4), (5), (6), (7), (8)), p AS (SELECT viewer, EXISTS (SELECT 1 FROM customer WHERE c_custkey = viewer AND c_mktsegment IN ('BUILDING', 'MACHINERY')) AS every FROM v)
+SELECT viewer, count(*) AS rows_seen, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM p JOIN orders ON every OR o_custkey = viewer GROUP BY 1
+""")
+def row_security(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What eight viewers may see: all with a profile of certain roles, else their own rows."""
+    profiles = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role"))
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    seen = [R.visible_to(orders, profiles, v, F.col("o_custkey"), ["BUILDING", "MACHINERY"]).select(F.lit(v).alias("viewer"), "o_totalprice") for v in range(1, 9)]
+    both = reduce(DataFrame.union, seen)
+    return both.groupBy("viewer").agg(F.count("*").alias("rows_seen"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, 't' || (p_size % 6) AS kind FROM part)
+SELECT 'all' AS asked, kind, count(*) AS n FROM k WHERE kind IN ('t0', 't2', 't3') GROUP BY 2 UNION ALL SELECT 't2', kind, count(*) FROM k WHERE kind = 't2' GROUP BY 2
+""")
+def public_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the kinds that may be public: all, one of them, and one that may not."""
+    rows, kind = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("t"), (F.col("p_size") % 6).cast("string")).alias("kind")), F.col("kind")
+    asked = [R.public_subset(rows, kind, ["t0", "t2", "t3"], a).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(a or "all").alias("asked"), "kind", "n") for a in (None, "t2", "t5")]
+    return reduce(DataFrame.union, asked)

@@ -198,3 +198,17 @@ def scene_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").where((c("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")) & (c("l_discount") < 0.09))
     days = rows.groupBy(F.to_date("l_shipdate").alias("scene_day")).agg(F.count_distinct(c("l_partkey") % 50).alias("scenes"), F.min_by(key, F.struct("l_discount", key)).alias("clearest"))
     return days.withColumn("place", F.row_number().over(Window.orderBy("scene_day")))  # a row for each day
+
+
+@query("""
+WITH f AS (SELECT s_suppkey AS k, '{"type":"Feature","properties":{"id":' || s_suppkey || '},"geometry":null}' AS x, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier)
+SELECT n + 1 AS place, CASE WHEN n = 1 THEN '' ELSE ',' END || x AS line FROM f
+UNION ALL SELECT 1, '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"EPSG:5347"}},"metadata":{"schema_version":"1.0","generated_at":"2024-01-01T00:00:00Z","source":"suppliers"},"features":[' UNION ALL SELECT count(*) + 2, ']}' FROM f
+""")
+def features_with_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A FeatureCollection that names its reference system."""
+    k = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").select(k.alias("ord"), F.concat(F.lit('{"type":"Feature","properties":{"id":'), k.cast("string"), F.lit('},"geometry":null}')).alias("json"))
+    folder = _folder(spark, "crs")
+    geojson.write_features(rows, folder, schema_version="1.0", generated_at="2024-01-01T00:00:00Z", source="suppliers", crs="EPSG:5347")
+    return geojson.read_lines(spark, folder)

@@ -53,11 +53,12 @@ def feature_json(properties: Column, geometry_type: Column, coordinates: Column)
     )
 
 
-def write_features(features: DataFrame, path: str, *, schema_version: str, generated_at: str, source: str, json: str = "json", order: str = "ord") -> None:
+def write_features(features: DataFrame, path: str, *, schema_version: str, generated_at: str, source: str, json: str = "json", order: str = "ord", crs: str | None = None) -> None:
     """Writes GeoJSON: the stamp, then the features in the order of a column, in part files whose names sort, the same
     bytes for the same rows and stamp. Each part but the first begins with a comma, so that the parts together are one
-    FeatureCollection; nothing is gathered in one task."""
-    stamp = f'{{"type":"FeatureCollection","metadata":{{"schema_version":"{schema_version}","generated_at":"{generated_at}","source":"{source}"}},"features":['
+    FeatureCollection; nothing is gathered in one task. crs is the name of a reference system, if it is to be told."""
+    named = f'"crs":{{"type":"name","properties":{{"name":"{crs}"}}}},' if crs else ""
+    stamp = f'{{"type":"FeatureCollection",{named}"metadata":{{"schema_version":"{schema_version}","generated_at":"{generated_at}","source":"{source}"}},"features":['
     # Equal features with equal places are one line, so that just one line is the first.
     ordered = features.groupBy(F.col(order).cast("long").alias("o"), F.col(json).alias("j")).agg(F.count("*").cast("int").alias("n"))
     first = ordered.agg(F.min(F.struct("o", "j")).alias("first"))
