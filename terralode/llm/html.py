@@ -51,11 +51,11 @@ PROSE = 60
 
 
 class Node:
-    __slots__ = ("attrs", "digest", "heading", "kids", "name", "prose", "size")
+    __slots__ = ("attrs", "digest", "heading", "kids", "main", "name", "prose", "size")
 
     def __init__(self, name: str, attrs: str = "") -> None:
         self.name, self.attrs, self.kids = name, attrs, []  # kids: nodes and texts
-        self.digest, self.size, self.prose, self.heading = b"", 0, 0, False
+        self.digest, self.size, self.prose, self.heading, self.main = b"", 0, 0, False, name == "main"
 
 
 def parse(html: str) -> Node:
@@ -122,7 +122,7 @@ def parse(html: str) -> Node:
 
 def _sum_up(root: Node) -> None:
     """From the leaves up, once for each element: a digest of it with all below it, whatever its white space and
-    attributes; the length of its text, and of that in paragraphs; whether it holds the page's first main heading."""
+    attributes; the length of its text, and of that in paragraphs; whether it holds the page's first main heading, or a main element."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -141,6 +141,7 @@ def _sum_up(root: Node) -> None:
                 node.size += kid.size
                 node.prose += kid.prose
                 node.heading |= kid.heading
+                node.main |= kid.main
                 h.update(b"<" + kid.digest)
         if node.name == "p":
             node.prose = node.size
@@ -208,10 +209,11 @@ def articles(root: Node) -> list[Node]:
     headings beside the articles, or else nothing in particular (none): where the page has more prose outside of them
     than within, its articles are cards, and the whole page counts."""
     found = named(root, ("article", "main"))
-    mains = named(root, ("main",)) if found and found[0].name == "article" else []
+    mains = named(root, ("main",)) if root.main and found and found[0].name == "article" else []
     if mains and beside(mains, found, root.size):
         found = mains
-    return [] if found and sum(x.prose for x in found) < prose_outside(root, found) else found
+    prose = sum(x.prose for x in found)
+    return [] if found and 2 * prose < root.prose and prose < prose_outside(root, found) else found
 
 
 def beside(mains: list[Node], inner: list[Node], total: int) -> bool:
