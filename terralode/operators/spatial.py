@@ -59,6 +59,20 @@ def points_in_boxes(points: DataFrame, zones: DataFrame, size: float, x: str = "
 
 #: Tiles of a level along the side of one of the next.
 _WIDER = 4
+#: Different places on a tile from which on smaller tiles are taken, and how often their side is halved at most.
+_CROWD, _HALVINGS = 256, 24
+
+
+def _thinned(places: DataFrame, size: float) -> float:
+    """size, halved until no tile holds more than _CROWD different places (x, y), so that what a point looks at doesn't
+    grow with the table. Each halving counts the places of the tiles that are still too full."""
+    own = lambda c: F.floor(F.col(c) / size).cast("long")
+    for _ in range(_HALVINGS):
+        most = places.groupBy(own("x"), own("y")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (most or 0) <= _CROWD:
+            break
+        size /= 2
+    return size
 
 
 def _closest(left: DataFrame, pieces: DataFrame, l_id: str, r_id: str, size: float, keep) -> DataFrame:
@@ -69,7 +83,13 @@ def _closest(left: DataFrame, pieces: DataFrame, l_id: str, r_id: str, size: flo
     doesn't see. The others descend a pyramid of occupied tiles from its top: on each level tiles are opened into those
     that they hold, and only those whose border is no farther than the nearest known piece of any (each tile names one) stay.
     So a lonely point compares itself with the pieces of some tiles, not with all of a wide one.
+
+    Of pieces at one place only the least id can be named, and points at one place have the same answer: each place is looked
+    at once, however many rows lie there.
     """
+    pieces = pieces.groupBy("ax", "ay", "bx", "by").agg(F.min("r_id").alias("r_id"))
+    points = left.select(F.col(l_id).alias("point"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    here = keep(points.where("x is not null and y is not null").select("x", "y").distinct().withColumn("l_id", F.monotonically_increasing_id()))
     low = lambda a, b: F.floor(F.least(a, b) / size).cast("long")
     high = lambda a, b: F.floor(F.greatest(a, b) / size).cast("long")
     tiled = pieces.withColumn("tx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("ty", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
@@ -80,13 +100,12 @@ def _closest(left: DataFrame, pieces: DataFrame, l_id: str, r_id: str, size: flo
     far = lambda x, y: F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2))
     distance = far(F.col("ax") + t * dx, F.col("ay") + t * dy)
 
-    here = left.select(F.col(l_id).alias("l_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     own = lambda c: F.floor(F.col(c) / size).cast("long")
     looks = here.withColumn("n", F.explode(around)).select("l_id", "x", "y", (own("x") + F.col("n.i")).alias("tx"), (own("y") + F.col("n.j")).alias("ty"))
     best = F.min(F.struct(distance.alias("distance"), "r_id")).alias("best")
     first = keep(here.join(looks.join(tiled, ["tx", "ty"]).groupBy("l_id").agg(best), "l_id", "left"))
-    sure = F.coalesce(F.col("best.distance") <= size, F.lit(False)) | F.col("x").isNull() | F.col("y").isNull()
+    sure = F.coalesce(F.col("best.distance") <= size, F.lit(False))
     lonely = first.where(~sure).select("l_id", "x", "y", F.coalesce("best.distance", F.lit(float("inf"))).alias("most"))
 
     occupied = keep(tiled.groupBy("tx", "ty").agg(F.min(F.struct("ax", "ay")).alias("one")))
@@ -113,16 +132,17 @@ def _closest(left: DataFrame, pieces: DataFrame, l_id: str, r_id: str, size: flo
         opened = tiles.withColumnsRenamed({"tx": "px", "ty": "py"}).join(below, ["px", "py"])
         tiles = kept_tiles(opened.select("l_id", "x", "y", "most", F.col("cx").alias("tx"), F.col("cy").alias("ty"), "one"), k)
     rest = lonely.select("l_id").join(tiles.join(tiled, ["tx", "ty"]).groupBy("l_id").agg(best), "l_id", "left")
-    both = first.where(sure).select("l_id", "best").union(rest.select("l_id", "best"))
-    return both.select(F.col("l_id").alias(l_id), F.col("best.r_id").alias(r_id), F.col("best.distance").alias("distance"))
+    both = keep(here.join(first.where(sure).select("l_id", "best").union(rest.select("l_id", "best")), "l_id").select("x", "y", "best"))
+    return points.join(both, ["x", "y"], "left").select(F.col("point").alias(l_id), F.col("best.r_id").alias(r_id), F.col("best.distance").alias("distance"))
 
 
 def nearest(left: DataFrame, right: DataFrame, l_id: str, r_id: str, size: float, keep) -> DataFrame:
     """For each left point (l_id, x, y; unique ids) the nearest right point (r_id, x, y) at any distance, ties to the smaller
     id: (l_id, r_id, distance); null for a point without coordinates, and if there is no right point. size is the side of the
-    smallest tiles, about the usual distance; keep writes a table away and reads it back."""
+    tiles, about the usual distance, which crowded ones make smaller; keep writes a table away and reads it back."""
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     there = right.where(x.isNotNull() & y.isNotNull()).select(F.col(r_id).alias("r_id"), x.alias("ax"), y.alias("ay"), x.alias("bx"), y.alias("by"))
+    size = _thinned(keep(there.select(F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()), size)
     return _closest(left, there, l_id, r_id, size, keep)
 
 
@@ -132,6 +152,7 @@ def nearest_lines(points: DataFrame, lines: DataFrame, l_id: str, r_id: str, siz
     line = F.col("line")
     sides = F.when(F.size(line) == 1, F.array(F.struct(F.get(line, 0).alias("a"), F.get(line, 0).alias("b")))).otherwise(geometry.sides(line))
     rows = lines.where(F.size(line) > 0).select(F.col(r_id).alias("r_id"), F.explode(sides).alias("e"))
+    size = _thinned(keep(rows.select("e.a.x", "e.a.y").distinct()), size)
     n = F.greatest(F.ceil(geometry.planar(F.col("e.a"), F.col("e.b")) / size), F.lit(1))
     rows = rows.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     at = lambda c, k: F.when(k == F.col("n"), F.col(f"e.b.{c}")).otherwise(F.col(f"e.a.{c}") + (F.col(f"e.b.{c}") - F.col(f"e.a.{c}")) * k / F.col("n"))

@@ -62,3 +62,42 @@ def test_distance_transform(spark):
     assert all(got[i, j] == pytest.approx(min(math.hypot(i - p, j - q) for p, q in sources)) for i, j, _ in cells)
     assert {x.distance for x in grid.distances(df.where("not wet"), F.col("wet")).collect()} == {None}
     assert grid.distances(df.where("row > 999"), F.col("wet")).collect() == []
+
+
+def test_each_place_is_looked_at_once(spark):
+    """Rows at a few places aren't paired with each other: no table that is written holds more than the places."""
+    sizes = []
+
+    def counted(df):
+        out = kept(df)
+        sizes.append(out.count())
+        return out
+
+    left = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    right = spark.range(2000).select(F.col("id").alias("b"), (F.col("id") % 4 * 7).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    got = spatial.nearest(left, right, "a", "b", 5.0, counted).collect()
+    assert len(got) == 3000 and max(sizes) <= 4 and {r.b for r in got} == {0}
+    lines = right.select("b", F.array(F.struct("x", "y"), F.struct((F.col("x") + 1).alias("x"), "y")).alias("line"))
+    sizes.clear()
+    assert {r.b for r in spatial.nearest_lines(left, lines, "a", "b", 5.0, counted).collect()} == {0} and max(sizes) <= 8
+
+
+def test_crowded_tiles_get_smaller(spark):
+    """Places that all lie on one tile are laid on smaller ones, with the same answers."""
+    r = random.Random(3)
+    places = spark.createDataFrame([(i, r.random(), r.random()) for i in range(2000)], "b int, x double, y double")
+    assert spatial._thinned(places, 10.0) < 1.0
+    points = [(i, r.random(), r.random()) for i in range(20)] + [(20, 50.0, 50.0)]
+    got = {x.a: x.b for x in spatial.nearest(spark.createDataFrame(points, "a int, x double, y double"), places, "a", "b", 10.0, kept).collect()}
+    there = places.collect()
+    assert got == {i: min((math.hypot(x - p.x, y - p.y), p.b) for p in there)[1] for i, x, y in points}
+
+
+def test_distance_frames_grow_from_the_front(spark):
+    """A frame that shrinks towards the end is worked out anew for each row of a column: the square of its length."""
+    cells = spark.range(400).select((F.col("id") % 200).alias("row"), F.floor(F.col("id") / 200).alias("col"), (F.col("id") % 150 == 0).alias("source"))
+    out = grid.distances(cells, F.col("source"))
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = {(x.row, x.col): x.distance for x in out.collect()}
+    sources = [(k % 200, k // 200) for k in range(0, 400, 150)]
+    assert got == {(k % 200, k // 200): pytest.approx(min(math.hypot(k % 200 - r, k // 200 - c) for r, c in sources)) for k in range(400)}
