@@ -53,13 +53,16 @@ def kml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CAST(c_custkey AS VARCHAR) AS cuit, c_name AS apellido, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS email, CAST(round(c_acctbal, 2) AS VARCHAR) AS hectareas FROM customer
+SELECT CAST(c_custkey AS VARCHAR) AS cuit, coalesce(c_name, '') AS apellido, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE coalesce(c_mktsegment, '') END AS email, coalesce(regexp_replace(CAST(CAST(CAST(c_acctbal AS VARCHAR) AS DECIMAL(38,2)) AS VARCHAR), '0$', ''), '') AS hectareas FROM customer
 """)
 def csv_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry as CSV uploads whose headers go by other names, read again."""
-    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias(" Nro CUIT "), F.col("c_name").alias("Apellidos"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).otherwise("").alias("Mail"), F.round("c_acctbal", 2).alias("Has"))
+    """The registry as CSV uploads whose headers go by other names, read again: texts come back as they were, nulls as empty, and
+    hectares with two digits at most, halves of their printed digits rounded away from zero, without exponents."""
+    plain = F.regexp_replace(F.round("c_acctbal", 2).cast("decimal(38,2)").cast("string"), "0$", "")
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias(" Nro CUIT "), F.col("c_name").alias("Apellidos"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).otherwise("").alias("Mail"), plain.alias("Has"))
     folder = _folder(spark, "uploads")
-    rows.write.option("header", True).option("emptyValue", "").csv(folder)
+    as_is = {"header": True, "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**as_is).csv(folder)
     cells = tabular.read_uploads(spark, f"{folder}/*.csv").where("row_number >= 2")
     return cells.select(*(F.col("cells")[c].alias(c) for c in ("cuit", "apellido", "email", "hectareas")))
 
