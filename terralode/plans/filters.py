@@ -184,18 +184,22 @@ def ordinal_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT s_nationkey AS k, avg(CAST(round(s_acctbal * 100) AS BIGINT)) AS mean FROM supplier GROUP BY 1),
-f AS (SELECT c_nationkey AS k, arg_min(c_custkey, c_acctbal * 1e6 + c_custkey) AS least FROM customer GROUP BY 1)
-SELECT m.k AS nation, round(mean, 2) AS mean, least, CAST(row_number() OVER (ORDER BY mean DESC, m.k) AS INTEGER) AS place FROM m LEFT JOIN f ON f.k = m.k
+WITH s AS (SELECT s_nationkey AS k, sum(CAST(round(s_acctbal * 100) AS BIGINT)) AS total, count(s_acctbal) AS n FROM supplier GROUP BY 1), m AS (SELECT k, total, n, total::DOUBLE / n AS mean FROM s),
+f AS (SELECT c_nationkey AS k, min(c_custkey) AS least FROM customer JOIN (SELECT c_nationkey AS k, min(c_acctbal) AS low FROM customer GROUP BY 1) ON c_nationkey = k AND c_acctbal = low GROUP BY 1)
+SELECT m.k AS nation, sign(total) * ((abs(total) * 200 + n) // (n * 2)) / 100.0::DOUBLE AS mean, least, CAST(row_number() OVER (ORDER BY mean DESC NULLS LAST, m.k NULLS FIRST) AS INTEGER) AS place FROM m LEFT JOIN f ON f.k = m.k
 """)
 def mean_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups by falling mean, each with the row that has the least of a value (the clearest scene, the cheapest offer)."""
     from pyspark.sql import Window
 
-    means = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.avg(F.round(F.col("s_acctbal") * 100).cast("long")).alias("mean"))
-    least = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("least"))
+    cents = F.round(F.col("s_acctbal") * 100).cast("long")
+    means = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.sum(cents).alias("total"), F.count(cents).alias("n"))
+    means = means.withColumn("mean", F.col("total").cast("double") / F.nullif("n", F.lit(0)))
+    least = read(spark, sf_dir, "customer").where("c_acctbal is not null").groupBy(F.col("c_nationkey").alias("nation")).agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("least"))
     rows = means.join(least, "nation", "left")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "nation"))).withColumn("mean", F.round("mean", 2))  # a row for each nation
+    halves_up = F.signum("total") * F.expr("(abs(total) * 200 + n) div nullif(n * 2, 0)") / 100.0  # exactly, of the whole numbers
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "nation")))  # a row for each nation
+    return rows.select("nation", halves_up.alias("mean"), "least", "place")
 
 
 @query("""
