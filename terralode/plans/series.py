@@ -130,11 +130,11 @@ def maintenance_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT user_id, event_id, count(*) OVER w AS in_window, count(*) OVER w > 3 AS limited, greatest(3 - count(*) OVER w, 0) AS remaining FROM events
-WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)
+WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)
 """)
 def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user in the day before each event, against a limit of three."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_timestamp("ts")).rangeBetween(-86400, 0)
+    """Events of a user in the day before each event, to the microsecond, against a limit of three."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("in_window"))
     return rows.withColumn("limited", F.col("in_window") > 3).withColumn("remaining", F.greatest(3 - F.col("in_window"), F.lit(0)))
 
