@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +17,12 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out a single time: named in an expression several times, and in lambdas for each
+    element, it would be worked out at each place."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def sides(points: Column, closed: bool = False) -> Column:
     """Neighbouring points as structs (a, b)."""
     n = F.size(points)
@@ -109,16 +116,18 @@ def left_of(a: Column, b: Column, p: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Positive for a ring that turns counter-clockwise."""
-    return F.aggregate(sides(ring, closed=True), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2
+    return once(ring, lambda r: F.aggregate(sides(r, closed=True), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2)
 
 
 def repaired(ring: Column) -> Column:
     """A ring without repeated corners in a row (the closing one included) that turns counter-clockwise; null if it has
     fewer than three corners or no area."""
-    n = F.size(ring)
-    kept = F.filter(ring, lambda p, i: p != F.get(ring, F.pmod(i + 1, n)))
-    turned = F.when(signed_area(kept) < 0, F.reverse(kept)).otherwise(kept)
-    return F.when((F.size(kept) >= 3) & (signed_area(kept) != 0), turned)
+
+    def turned(kept: Column) -> Column:
+        one = F.struct(kept.alias("ring"), signed_area(kept).alias("area"))
+        return once(one, lambda k: F.when((F.size(k["ring"]) >= 3) & (k["area"] != 0), F.when(k["area"] < 0, F.reverse(k["ring"])).otherwise(k["ring"])))
+
+    return once(ring, lambda r: once(F.filter(r, lambda p, i: p != F.get(r, F.pmod(i + 1, F.size(r)))), turned))
 
 
 def clip_to_convex(ring: Column, zone: Column) -> Column:
@@ -169,25 +178,29 @@ def length_in_convex(line: Column, zone: Column, distance=planar) -> Column:
 
 def centroid(ring: Column) -> Column:
     """The centre of a ring's area."""
-    six = signed_area(ring) * 6
-    sums = F.aggregate(
-        sides(ring, closed=True), point(F.lit(0.0), F.lit(0.0)),
-        lambda s, e: point(s["x"] + (e["a"]["x"] + e["b"]["x"]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]), s["y"] + (e["a"]["y"] + e["b"]["y"]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])),
-    )
-    return point(sums["x"] / F.nullif(six, F.lit(0.0)), sums["y"] / F.nullif(six, F.lit(0.0)))
+
+    def whole(r: Column) -> Column:
+        sums = F.aggregate(
+            sides(r, closed=True), point(F.lit(0.0), F.lit(0.0)),
+            lambda s, e: point(s["x"] + (e["a"]["x"] + e["b"]["x"]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]), s["y"] + (e["a"]["y"] + e["b"]["y"]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])),
+        )
+        both = F.struct(sums.alias("sums"), F.nullif(signed_area(r) * 6, F.lit(0.0)).alias("six"))
+        return once(both, lambda b: point(b["sums"]["x"] / b["six"], b["sums"]["y"] / b["six"]))
+
+    return once(ring, whole)
 
 
 def nearest_on(p: Column, line: Column) -> Column:
     """The point of a line that is nearest to p, as a struct (d, x, y) with its distance; null of a line without segments."""
 
-    def foot(e: Column) -> Column:
+    def foot(p: Column, e: Column) -> Column:
         a, b = e["a"], e["b"]
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
         t = F.coalesce(F.least(F.greatest(((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-        x, y = a["x"] + t * dx, a["y"] + t * dy
-        return F.struct(F.sqrt(F.pow(p["x"] - x, F.lit(2)) + F.pow(p["y"] - y, F.lit(2))).alias("d"), x.alias("x"), y.alias("y"))
+        at = once(t, lambda t: F.struct((a["x"] + t * dx).alias("x"), (a["y"] + t * dy).alias("y")))
+        return once(at, lambda f: F.struct(F.sqrt(F.pow(p["x"] - f["x"], F.lit(2)) + F.pow(p["y"] - f["y"], F.lit(2))).alias("d"), f["x"].alias("x"), f["y"].alias("y")))
 
-    return F.array_min(F.transform(sides(line), foot))
+    return once(p, lambda p: F.array_min(F.transform(sides(line), lambda e: foot(p, e))))
 
 
 def simplified(points: Column, tolerance: float, least: int = 0) -> Column:

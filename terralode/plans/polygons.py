@@ -17,10 +17,10 @@ def _ring(*corners: tuple[Column, Column]) -> Column:
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles that turn counter-clockwise."""
+    """Triangles that turn counter-clockwise. Keys are dealt out first: a file of so few bytes a row is one task's, and rings are work."""
     k = F.col("p_partkey")
     x, y = k * 37 % 1000, k * 91 % 1000
-    return read(spark, sf_dir, "part").select("p_partkey", _ring((x, y), (x + 5 + k % 11, y + k % 3), (x + k % 4, y + 6 + k % 7)).alias("ring"))
+    return read(spark, sf_dir, "part").select("p_partkey").repartition("p_partkey").select("p_partkey", _ring((x, y), (x + 5 + k % 11, y + k % 3), (x + k % 4, y + 6 + k % 7)).alias("ring"))
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +123,8 @@ def ring_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.reverse(ring), F.slice(F.reverse(ring), 1, 1))).otherwise(F.concat(F.slice(ring, 1, 1), ring))
     rows = parcels(spark, sf_dir).select("p_partkey", geometry.repaired(odd).alias("ring"))
     line = canals(spark, sf_dir).where("s_suppkey = 7").select("line")  # a single row
-    c = geometry.centroid(ring)
-    back = geometry.from_wkt(geometry.wkt_polygon(ring))
+    rows = rows.withColumns({"c": geometry.centroid(ring), "back": geometry.from_wkt(geometry.wkt_polygon(ring))})
+    c, back = F.col("c"), F.col("back")
     return rows.crossJoin(F.broadcast(line)).select(
         "p_partkey", F.round(geometry.signed_area(ring), 4).alias("area"), F.round(c["x"], 4).alias("cx"), F.round(c["y"], 4).alias("cy"), F.round(geometry.nearest_on(c, F.col("line"))["d"], 4).alias("gap"),
         F.size(ring).alias("corners"), (F.slice(back, 1, F.size(ring)) == ring).alias("same"),

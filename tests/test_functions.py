@@ -108,3 +108,14 @@ def test_private_fields(spark):
     rows = spark.createDataFrame([("a", "1", ("x", "y", ("m",)))], "nombre string, Telefono string, datos struct<email: string, zona: string, mas: struct<CUE: string>>")
     out = rows.select(maps.strip_private(rows.schema, F.struct(*rows.columns), ["telefono", "email", "cue"]).alias("r")).select("r.*")
     assert out.schema.simpleString() == "struct<nombre:string,datos:struct<zona:string>>" and out.first() == ("a", ("y",))
+
+
+def test_values_that_expressions_name_often_are_worked_out_once(spark):
+    """Repaired rings and the points nearest to a centre grew with each mention of what they are made of."""
+    ring = F.reverse(F.col("ring"))
+    rows = spark.createDataFrame([([(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0), (2.0, 0.0)],), (None,)], "ring array<struct<x:double,y:double>>")
+    c = geometry.centroid(geometry.repaired(ring))
+    out = rows.select(geometry.repaired(ring).alias("r"), geometry.nearest_on(c, F.col("ring"))["d"].alias("d"))
+    assert out._jdf.queryExecution().analyzed().toString().count("reverse(ring") <= 2
+    got = out.collect()
+    assert got[1].r is None and got[1].d is None and got[0].d == 1.0 and len(got[0].r) == 4
