@@ -72,3 +72,18 @@ def test_labels_in_rounds(spark, spread):
     got = {(x.screen, x.id) for x in labels.visible(df, "screen", 10.0, kept).collect()}
     assert got == {(s, i) for s, kept_ in shown.items() for i, _, _ in kept_}
     assert labels.visible(df.where("id < 0"), "screen", 10.0, kept).collect() == []
+
+
+def test_ended_paths_are_not_joined_by_their_null(spark):
+    """All cells that have got to their outlet would meet in one task: only those still under way look further down."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df)
+
+    flow = spark.range(9).select(F.col("id").alias("cell"), F.when(F.col("id") % 4 != 0, F.col("id") - 1).alias("next"), F.lit(0.0).alias("value"))
+    got = {r.cell: (r.outlet, r.steps, r.area) for r in grid.traced(flow, noted).collect()}
+    assert got == {i: (i // 4 * 4, i % 4, (9 if i == 8 else i // 4 * 4 + 4) - i) for i in range(9)}
+    rounds = [p for p in plans if "Join" in p]
+    assert rounds and all(p.count("isnotnull(jump") >= 2 for p in rounds)
