@@ -1,5 +1,6 @@
 """Unions of polygons by key: edges are cut where they meet, those with an inside on both sides go, and the rest is
-stitched into rings. All of it is joins and grouped sums, so that a key may hold any number of polygons."""
+stitched into rings. All of it is joins and grouped sums, so that a key may hold any number of polygons. Both sides of a join grow
+with the table: they are merged, as written tables take little room as files and would be broadcast by that size."""
 
 from __future__ import annotations
 
@@ -46,7 +47,7 @@ def noded(edges: DataFrame, size: float, digits: int, keep) -> DataFrame:
     edges = keep(edges.distinct().withColumn("edge", F.monotonically_increasing_id()))
     boxed = edges.withColumn("box", _box(*map(F.col, names)))
     other = boxed.select(F.col("key").alias("its_key"), F.col("edge").alias("other"), *(F.col(c).alias(f"o{c}") for c in names), F.col("box").alias("zone"))
-    pairs = join_boxes(boxed, other, size).where((F.col("key").eqNullSafe(F.col("its_key"))) & (F.col("edge") != F.col("other")))
+    pairs = join_boxes(boxed, other.hint("merge"), size).where((F.col("key").eqNullSafe(F.col("its_key"))) & (F.col("edge") != F.col("other")))
     ax, ay, bx, by, ox, oy, px, py = (F.col(c) for c in (*names, "oax", "oay", "obx", "oby"))
     dx, dy, ex, ey = bx - ax, by - ay, px - ox, py - oy
     length = F.sqrt(dx * dx + dy * dy)
@@ -69,7 +70,7 @@ def noded(edges: DataFrame, size: float, digits: int, keep) -> DataFrame:
     cuts = cuts.groupBy("edge").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))  # as many as edges meet this one
     ends = lambda x, y: F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
     middle = F.transform(F.coalesce("cuts", F.expr("cast(array() as array<struct<t:double,x:double,y:double>>)")), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
-    line = edges.join(cuts, "edge", "left").select("key", F.explode(geometry.sides(F.concat(ends("ax", "ay"), middle, ends("bx", "by")))).alias("e"))
+    line = edges.join(cuts.hint("merge"), "edge", "left").select("key", F.explode(geometry.sides(F.concat(ends("ax", "ay"), middle, ends("bx", "by")))).alias("e"))
     parts = line.select("key", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
     return parts.where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by"))).distinct()
 
@@ -97,8 +98,8 @@ def outlines(polygons: DataFrame, key: str, rings: str, size: float, keep, digit
     beside = sole.select("edge", "key", ((F.col("ax") + F.col("bx")) / 2 + dy * off).alias("x"), ((F.col("ay") + F.col("by")) / 2 - dx * off).alias("y"))
     beside = beside.withColumn("box", _box(F.col("x"), F.col("y"), F.col("x"), F.col("y")))
     others = shapes.select(F.col("key").alias("its_key"), F.col("rings").alias("its_rings"), geometry.bbox(F.flatten("rings")).alias("zone"))
-    covered = join_boxes(beside, others, size).where(F.col("key").eqNullSafe(F.col("its_key")) & holds(F.col("its_rings"), F.col("x"), F.col("y")))
-    return sole.join(covered.select("edge").distinct(), "edge", "left_anti").select("edge", "key", "ax", "ay", "bx", "by")
+    covered = join_boxes(beside, others.hint("merge"), size).where(F.col("key").eqNullSafe(F.col("its_key")) & holds(F.col("its_rings"), F.col("x"), F.col("y")))
+    return sole.join(covered.select("edge").distinct().hint("merge"), "edge", "left_anti").select("edge", "key", "ax", "ay", "bx", "by")
 
 
 def stitched(edges: DataFrame, keep) -> DataFrame:
@@ -107,7 +108,7 @@ def stitched(edges: DataFrame, keep) -> DataFrame:
     edges as a name, and edges their place in the ring, by doubling: rounds are the logarithm of the longest ring. Corners on a straight line go."""
     edges = keep(edges)
     after = edges.select("key", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("edge").alias("next"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
-    pairs = edges.withColumn("key", F.col("key")).alias("e").join(after.alias("f"), F.col("e.key").eqNullSafe(F.col("f.key")) & (F.col("e.bx") == F.col("f.bx")) & (F.col("e.by") == F.col("f.by")))
+    pairs = edges.withColumn("key", F.col("key")).alias("e").join(after.alias("f").hint("merge"), F.col("e.key").eqNullSafe(F.col("f.key")) & (F.col("e.bx") == F.col("f.bx")) & (F.col("e.by") == F.col("f.by")))
     way = F.atan2(F.col("e.by") - F.col("ay"), F.col("e.bx") - F.col("ax"))
     turn = F.pmod(F.atan2(F.col("cy") - F.col("e.by"), F.col("cx") - F.col("e.bx")) - way + F.lit(3.141592653589793), F.lit(2 * 3.141592653589793))
     turn = F.when(turn > 6.283185307, 0.0).otherwise(turn)  # straight back is the last choice
@@ -115,14 +116,14 @@ def stitched(edges: DataFrame, keep) -> DataFrame:
     state = link.select("edge", "next", F.least("edge", "next").alias("low"))
     while True:
         onward = state.select(F.col("edge").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"))
-        more = keep(state.join(onward, "next").select("edge", F.col("next2").alias("next"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("new")))
+        more = keep(state.join(onward.hint("merge"), "next").select("edge", F.col("next2").alias("next"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("new")))
         state = more.drop("new")
         if more.where("new").isEmpty():
             break
-    flow = link.join(state.select("edge", "low"), "edge").select(F.col("edge").alias("cell"), F.when(F.col("edge") != F.col("low"), F.when(F.col("next") != F.col("low"), F.col("next")).otherwise(F.col("low"))).alias("next"), F.lit(None).cast("double").alias("value"))
+    flow = link.join(state.select("edge", "low").hint("merge"), "edge").select(F.col("edge").alias("cell"), F.when(F.col("edge") != F.col("low"), F.when(F.col("next") != F.col("low"), F.col("next")).otherwise(F.col("low"))).alias("next"), F.lit(None).cast("double").alias("value"))
     places = traced(flow, keep).select(F.col("cell").alias("edge"), F.col("outlet").alias("ring"), "steps")
     corner = F.struct((F.col("steps") != 0).alias("late"), (-F.col("steps")).alias("place"), F.col("ax").alias("x"), F.col("ay").alias("y"))
-    rings = edges.join(places, "edge").groupBy("key", "ring").agg(F.array_sort(F.collect_list(corner)).alias("corners"))
+    rings = edges.join(places.hint("merge"), "edge").groupBy("key", "ring").agg(F.array_sort(F.collect_list(corner)).alias("corners"))
     points = rings.select("key", "ring", F.transform("corners", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("points"))
     n = F.size("points")
     bent = F.filter("points", lambda p, i: F.abs(geometry.left_of(F.get("points", F.pmod(i - 1, n)), p, F.get("points", F.pmod(i + 1, n)))) > 1e-9)
@@ -142,6 +143,6 @@ def parts(rings: DataFrame, key: str, size: float) -> DataFrame:
     outer, holes = rows.where("area > 0"), rows.where("area < 0")
     m = _middle(F.col("points"))
     around = outer.select(F.col("key").alias("its_key"), F.col("ring").alias("its_ring"), F.col("points").alias("its_points"), F.col("area").alias("its_area"), F.col("box").alias("zone"))
-    held = join_boxes(holes.withColumn("m", m), around, size).where(F.col("key").eqNullSafe(F.col("its_key")) & geometry.within(F.col("m.x"), F.col("m.y"), F.col("its_points")))
+    held = join_boxes(holes.withColumn("m", m), around.hint("merge"), size).where(F.col("key").eqNullSafe(F.col("its_key")) & geometry.within(F.col("m.x"), F.col("m.y"), F.col("its_points")))
     gone = held.groupBy("ring").agg(F.min_by("its_ring", "its_area").alias("its_ring"), F.first("area").alias("area")).groupBy(F.col("its_ring").alias("ring")).agg(F.sum("area").alias("less"))
-    return outer.join(gone, "ring", "left").select(F.col("key").alias(key), "ring", (F.col("area") + F.coalesce("less", F.lit(0.0))).alias("area"))
+    return outer.join(gone.hint("merge"), "ring", "left").select(F.col("key").alias(key), "ring", (F.col("area") + F.coalesce("less", F.lit(0.0))).alias("area"))

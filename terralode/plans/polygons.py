@@ -204,7 +204,8 @@ def dissolved_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = F.when(k % 3 == 0, 6).otherwise(4), F.when(k % 7 == 0, 5).otherwise(4)
     outer = _ring((x, y), (x + w, y), (x + w, y + h), (x, y + h))
     hole = _ring((x + 1, y + 1), (x + 2, y + 1), (x + 2, y + 2), (x + 1, y + 2))
-    rows = read(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("zone"), F.when(k % 11 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"))
+    keys = read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")
+    rows = keys.select((F.col("p_size") % 5).alias("zone"), F.when(k % 11 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"))
     rings = kept(dissolve.dissolved(rows, "zone", "rings", 4.0, kept))
     around = rings.groupBy("zone").agg(
         F.round(F.sum(geometry.signed_area(F.col("points"))), 3).alias("area"), F.round(F.sum(geometry.line_length(F.concat("points", F.slice("points", 1, 1)))), 3).alias("perimeter"), F.count("*").alias("rings"),

@@ -69,3 +69,17 @@ def test_parts_and_holes(spark):
     assert sorted(len(r.points) for r in rings.collect()) == [4] * 4
     got = sorted(round(r.area, 6) for r in dissolve.parts(rings, "zone", 8.0).collect())
     assert got == [4, 9, n * n - (n - 2) ** 2] and math.isfinite(sum(got))
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Written tables take little room as files, and were sent whole to the driver by that size."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    rows = spark.range(30).select((F.col("id") % 2).alias("zone"), F.array(F.array(*(F.struct((F.col("id") % 6 * 4 + x).cast("double").alias("x"), (F.floor(F.col("id") / 6) * 4 + y).cast("double").alias("y")) for x, y in ((0, 0), (6, 0), (6, 4), (0, 4))))).alias("rings"))
+    rings = noted(dissolve.dissolved(rows, "zone", "rings", 4.0, noted))
+    noted(dissolve.parts(rings, "zone", 8.0))
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
