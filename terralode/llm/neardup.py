@@ -207,8 +207,9 @@ def near_duplicates(
     Equal sequences of words are one class, found by a 256-bit cryptographic digest of all of them; only one document of a
     class goes further. Where digests of sets agree between classes, the sets are compared in full. Each takes a path
     in each of twelve trees: a node chooses one or two of the 128 minwise tokens (1 / similarity on average, so that a
-    pair at the threshold keeps meeting) and its documents part by the values of these; nodes larger than SMALL branch
-    again. Every node first compares its members with one hub, the member with the most company. Then small nodes that
+    pair at the threshold keeps meeting) and its documents part by the values of these. Every node compares its members with
+    one hub, the member with the most company. Nodes larger than SMALL that still hold several components branch again; those
+    that hold one don't, so that a large group of near copies isn't carried down all trees. Then small nodes that
     still hold several components are compared exhaustively, across components, and so are large ones that DEPTH
     branchings didn't part, in blocks over many tasks, so that no candidate is ever capped. One-bit tokens sieve the candidates;
     every link is confirmed on the full sets. Work is linear in a group of copies: members that a confirmed link has
@@ -273,21 +274,25 @@ def near_duplicates(
         apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits")))
         return hubs, live.join(hubs, "node").where((F.col("id") != F.col("b")) & (apart <= BITS_APART)).select(F.col("id").alias("a"), "b")
 
+    alike = classes.groupBy("digest").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    alike = classes.join(brief(alike.select("digest", "b"), "alike"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
     members = classes.select(F.lit(0).cast("long").alias("node"), "id", "tokens").mapInArrow(_branch(True, second), _MEMBER)
     levels: list[DataFrame] = []
+    parts: DataFrame | None = None
     while True:
         members = stash(members, "members")
         sizes = stash(members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         levels.append(stash(members.join(sizes, "node"), "live"))
         release(members, sizes)
+        if len(levels) == 1:
+            parts = merge(None, confirm(stars(levels[0])[1].union(alike)))
         large = levels[-1].where(F.col("size") > SMALL)
         if len(levels) > DEPTH or large.isEmpty():
             break
-        members = large.join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(_branch(False, second), _MEMBER)
-    live = reduce(DataFrame.union, levels)
-    alike = classes.groupBy("digest").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    alike = classes.join(brief(alike.select("digest", "b"), "alike"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
-    parts = merge(None, confirm(stars(live)[1].union(alike)))
+        members = unsettled(large, parts).join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(_branch(False, second), _MEMBER)
+    if len(levels) > 1:
+        below = unsettled(reduce(DataFrame.union, levels[1:]), parts)
+        parts = merge(parts, confirm(stars(below)[1]))
 
     leaves = reduce(DataFrame.union, [*(x.where(F.col("size") <= SMALL) for x in levels)])
     small = unsettled(leaves, parts).groupBy("node").agg(F.collect_list(F.struct("id", "part", "bits")).alias("members")).select("members")

@@ -96,3 +96,23 @@ def test_a_large_family_around_the_threshold(spark):
     want = groups(rows, 3, 85, 100)
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=3, similarity=(85, 100)).collect()}
     assert got == want and 1 < len(set(want.values())) < 150
+
+
+def test_near_copies_are_not_carried_down_the_trees(spark, monkeypatch):
+    """A large group that one hub settles branches no further: the rows of all nodes are some for each document."""
+    from terralode.llm import neardup
+
+    live = []
+
+    def counted(df, name="table"):
+        out = plain(df, name)
+        if name == "live":
+            live.append(out.count())
+        return out
+
+    plain = neardup.stash
+    monkeypatch.setattr(neardup, "stash", counted)
+    texts = [" ".join(f"w{j}" if j != i else f"other{i}" for j in range(300)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = neardup.near_duplicates(docs).collect()
+    assert {r.component_id for r in got} == {0} and sum(live) <= 20 * len(texts)
