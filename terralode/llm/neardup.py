@@ -83,28 +83,29 @@ def _one_bits(tokens: np.ndarray) -> np.ndarray:
 
 
 def _branch(root: bool, second: float):
-    """Sends each document of a node to the children for the tokens that the node chooses: one or two, as the node's
-    own hash says. The choice hangs on the path alone, so that all documents of a node choose alike."""
+    """Sends each document, given once with all its nodes, to the children of each node for the tokens that the node chooses:
+    one or two, as the node's own hash says. The choice hangs on the path alone, so that all documents of a node choose alike."""
 
-    def children(node: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def children(node: np.ndarray, row: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         choice = mix(node ^ U(0x632BE59BD9B4E019))
         one, step = (choice % U(TOKENS)).astype(np.int64), ((choice >> U(8)) % U(TOKENS - 1)).astype(np.int64) + 1
         for where, which in ((np.arange(len(node)), one), (np.flatnonzero((choice >> U(40)) < U(int(second * (1 << 24)))), (one + step) % TOKENS)):
             at = which[where]
-            yield where, mix(node[where] * U(31) + mix(tokens[where, at].astype(U) + at.astype(U) * U(0x1000003D1)))
+            yield where, mix(node[where] * U(31) + mix(tokens[row[where], at].astype(U) + at.astype(U) * U(0x1000003D1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, ids, raw = batch.columns
+            nodes, ids, raw = batch.columns
             tokens = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(-1, TOKENS)
             bits, ids = _one_bits(tokens), ids.to_numpy(zero_copy_only=False)
-            n = len(ids)
-            starts = [mix(np.full(n, t + 1, U)) for t in range(TREES)] if root else [node.to_numpy(zero_copy_only=False).astype(np.int64).view(U)]
+            row = np.repeat(np.arange(len(ids)), nodes.value_lengths().to_numpy(zero_copy_only=False))
+            starts = [mix(np.full(len(row), t + 1, U)) for t in range(TREES)] if root else [nodes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U)]
             for start in starts:
-                for where, child in children(start, tokens):
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[where]), pa.array(bits[where])], names=["node", "id", "bits"])
+                for where, child in children(start, row, tokens):
+                    own = row[where]
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[own]), pa.array(bits[own])], names=["node", "id", "bits"])
 
     return run
 
@@ -122,20 +123,24 @@ def _pairs_in_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, whole: DataFrame, keep) -> DataFrame:
     """Large nodes in blocks of bounded size, so that all their pairs across components are looked at by many tasks:
     (some, all_) lists of members. Nearly all members of a node may be one component by now: those of its largest
-    component aren't set against each other, but only against blocks of the rest."""
-    per_part = members.groupBy("node", "part").agg(F.sum(F.length("text") + TOKENS * 4).alias("n"))
-    per_node = stash(per_part.groupBy("node").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("total")), "nodes")
+    component aren't set against each other, but only against blocks of the rest. Members (node, id, part) are dealt out by
+    the length of their texts alone; whole (id, tokens, text), which has each document once, is joined last.
+    keep writes a table away and reads it back."""
+    members = keep(members.join(whole.select("id", (F.length("text") + TOKENS * 4).alias("n_bytes")), "id"), "leftover")
+    per_part = members.groupBy("node", "part").agg(F.sum("n_bytes").alias("n"))
+    per_node = keep(per_part.groupBy("node").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("total")), "nodes")
     known = members.join(per_node, "node").withColumn("other", F.col("part") != F.col("main.part"))
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     some, chunks = (F.greatest(F.ceil(n / SIDE_BYTES), F.lit(1)) for n in (F.col("total") - F.col("main.n"), F.col("total")))
-    member, last = F.struct("id", "part", "other", "tokens", "text"), lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    left = known.where("other").select("node", deal(some).alias("block"), last(chunks).alias("chunk"), member.alias("x"))
-    right = known.select("node", last(some).alias("block"), deal(chunks).alias("chunk"), member.alias("y"))
-    met = left.unionByName(right, allowMissingColumns=True)
-    return met.groupBy("node", "block", "chunk").agg(F.collect_list("x").alias("some"), F.collect_list("y").alias("all_")).select("some", "all_")
+    last = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    left = known.where("other").select("node", deal(some).alias("block"), last(chunks).alias("chunk"), "id", "part", "other", F.lit(True).alias("one"))
+    right = known.select("node", last(some).alias("block"), deal(chunks).alias("chunk"), "id", "part", "other", F.lit(False).alias("one"))
+    met, member = left.union(right).join(whole, "id"), F.struct("id", "part", "other", "tokens", "text")
+    sides = (F.collect_list(F.when(side, member)).alias(name) for side, name in ((F.col("one"), "some"), (~F.col("one"), "all_")))
+    return met.groupBy("node", "block", "chunk").agg(*sides).select("some", "all_")
 
 
 def _links_between(k: int, num: int, den: int):
@@ -276,7 +281,7 @@ def near_duplicates(
 
     alike = classes.groupBy("digest").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
     alike = classes.join(brief(alike.select("digest", "b"), "alike"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
-    members = classes.select(F.lit(0).cast("long").alias("node"), "id", "tokens").mapInArrow(_branch(True, second), _MEMBER)
+    members = classes.select(F.array(F.lit(0).cast("long")).alias("nodes"), "id", "tokens").mapInArrow(_branch(True, second), _MEMBER)
     levels: list[DataFrame] = []
     parts: DataFrame | None = None
     while True:
@@ -289,7 +294,9 @@ def near_duplicates(
         large = levels[-1].where(F.col("size") > SMALL)
         if len(levels) > DEPTH or large.isEmpty():
             break
-        members = unsettled(large, parts).join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(_branch(False, second), _MEMBER)
+        # Tokens are joined once for a document, not for each of its nodes, of which there are 12 * 2 ** DEPTH at most.
+        carried = brief(unsettled(large, parts).groupBy("id").agg(F.collect_list("node").alias("nodes")), "carried")
+        members = carried.join(classes.select("id", "tokens"), "id").select("nodes", "id", "tokens").mapInArrow(_branch(False, second), _MEMBER)
     if len(levels) > 1:
         below = unsettled(reduce(DataFrame.union, levels[1:]), parts)
         parts = merge(parts, confirm(stars(below)[1]))
@@ -299,11 +306,11 @@ def near_duplicates(
     parts = merge(parts, confirm(small.mapInArrow(_pairs_in_small, "a long, b long")))
 
     if not large.isEmpty():
-        left_over = stash(unsettled(large, parts).join(classes.select("id", "tokens"), "id"), "leftover")
+        left_over = brief(unsettled(large, parts).select("node", "id", "part"), "rest")
         wanted = only_ids(texts, left_over.select("id").distinct(), "id").dropDuplicates(["id"])
-        links = _blocks(left_over.join(wanted, "id")).mapInArrow(_links_between(shingle, num, den), "a long, b long")
+        whole = brief(wanted.join(classes.select("id", "tokens"), "id"), "whole")
+        links = _blocks(left_over, whole, brief).mapInArrow(_links_between(shingle, num, den), "a long, b long")
         parts = merge(parts, confirm(links))
-        release(left_over)
     release(*levels, *passing)
 
     heads = classes.where("copies > 1").select("sequence", F.col("id").alias("head"))

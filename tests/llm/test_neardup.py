@@ -116,3 +116,25 @@ def test_near_copies_are_not_carried_down_the_trees(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = neardup.near_duplicates(docs).collect()
     assert {r.component_id for r in got} == {0} and sum(live) <= 20 * len(texts)
+
+
+def test_documents_branch_once_with_all_their_nodes(spark, monkeypatch):
+    """Large nodes that stay several components: each branching is given a document once, with its tokens, not once for each node."""
+    rng, rows, given = Random(7), [], []
+    for c in range(200):
+        words = [f"w{i}" for i in range(120)]
+        for _ in range(rng.choice((0, 1, 2, 6, 9))):
+            words[rng.randrange(120)] = f"c{c}_{rng.randrange(99)}"
+        rows.append((c, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = type(docs).mapInArrow
+
+    def counted(df, func, schema, *more, **named):
+        if schema == neardup._MEMBER:
+            given.append((df.count(), df.select("id").distinct().count()))
+        return plain(df, func, schema, *more, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=3, similarity=(85, 100)).collect()}
+    assert got == groups(rows, 3, 85, 100)
+    assert len(given) > 1 and all(n == ids <= len(rows) for n, ids in given)
