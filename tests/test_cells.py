@@ -87,3 +87,19 @@ def test_ended_paths_are_not_joined_by_their_null(spark):
     assert got == {i: (i // 4 * 4, i % 4, (9 if i == 8 else i // 4 * 4 + 4) - i) for i in range(9)}
     rounds = [p for p in plans if "Join" in p]
     assert rounds and all(p.count("isnotnull(jump") >= 2 for p in rounds)
+
+
+def test_neighbours_are_gathered_in_small_parts(spark, monkeypatch):
+    """Across edges of tiles, holes, negative and null places: as by looking at each cell; and no task gets all cells of a large table."""
+    rng = random.Random(3)
+    rows = [(r, c, rng.random()) for r in range(-130, 140) for c in range(-70, 70) if rng.random() < 0.8] + [(None, None, 1.0), (5000, None, 2.0)]
+    at = {(r, c): v for r, c, v in rows if r is not None and c is not None}
+    monkeypatch.setattr(grid, "_DEALT", 2000, raising=False)
+    steps = {f"n{code}": step for code, step in grid.D8.items()}
+    found = grid.with_neighbours(spark.createDataFrame(rows, "row long, col long, value double").coalesce(1), steps)
+    want = {(r, c, v, *(at.get((r + dr, c + dc)) if None not in (r, c) else None for dr, dc in steps.values())) for r, c, v in rows}
+    got = [tuple(r) for r in found.select("row", "col", "value", *steps).collect()]
+    assert len(got) == len(rows) and {x for x in got if None not in x[:2]} == {x for x in want if None not in x[:2]}
+    assert sorted(x[2] for x in got if None in x[:2]) == [1.0, 2.0]
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(rows) / 3
