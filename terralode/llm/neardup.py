@@ -22,9 +22,10 @@ TOKENS = 128
 TREES = 12
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 40
-#: Branchings after which a large node isn't branched any more but compared exhaustively in blocks, whose sides have about
-#: so many bytes of texts each.
-DEPTH, SIDE_BYTES = 4, 4 << 20
+#: Branchings below the first after which a large node isn't branched any more but compared exhaustively in blocks, whose
+#: sides have about so many bytes of texts each; so many branchings are taken at once. Near copies share most tokens, so
+#: that each level holds them anew.
+DEPTH, STRIDE, SIDE_BYTES = 4, 2, 4 << 20
 #: Of the 64 one-bit tokens of a pair at 0.85, 4.8 differ on average, with a standard deviation of 2.1.
 BITS_APART = 20
 
@@ -82,9 +83,10 @@ def _one_bits(tokens: np.ndarray) -> np.ndarray:
     return (bits << np.arange(64, dtype=U)).sum(axis=1, dtype=U).view(np.int64)
 
 
-def _branch(root: bool, second: float):
+def _branch(root: bool, second: float, steps: int = 1):
     """Sends each document, given once with all its nodes, to the children of each node for the tokens that the node chooses:
-    one or two, as the node's own hash says. The choice hangs on the path alone, so that all documents of a node choose alike."""
+    one or two, as the node's own hash says; after several steps, to theirs. The choice hangs on the path alone, so that all
+    documents of a node choose alike."""
 
     def children(node: np.ndarray, row: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         choice = mix(node ^ U(0x632BE59BD9B4E019))
@@ -102,10 +104,12 @@ def _branch(root: bool, second: float):
             bits, ids = _one_bits(tokens), ids.to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(ids)), nodes.value_lengths().to_numpy(zero_copy_only=False))
             starts = [mix(np.full(len(row), t + 1, U)) for t in range(TREES)] if root else [nodes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U)]
-            for start in starts:
-                for where, child in children(start, row, tokens):
-                    own = row[where]
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[own]), pa.array(bits[own])], names=["node", "id", "bits"])
+            for node in starts:
+                own = row
+                for _ in range(steps):
+                    where, below = zip(*children(node, own, tokens), strict=True)
+                    own, node = own[np.concatenate(where)], np.concatenate(below)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[own]), pa.array(bits[own])], names=["node", "id", "bits"])
 
     return run
 
@@ -125,31 +129,33 @@ def _pairs_in_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _blocks(members: DataFrame, whole: DataFrame, keep) -> DataFrame:
     """Large nodes in blocks of bounded size, so that all their pairs across components are looked at by many tasks:
-    (some, all_) lists of members. Nearly all members of a node may be one component by now: those of its largest
+    (node, some, all_) with lists of members. Nearly all members of a node may be one component by now: those of its largest
     component aren't set against each other, but only against blocks of the rest. Members (node, id, part) are dealt out by
-    the length of their texts alone; whole (id, tokens, text), which has each document once, is joined last.
+    the length of their texts alone; whole (id, tokens, text, nodes), which has each document once, is joined last.
     keep writes a table away and reads it back."""
-    members = keep(members.join(whole.select("id", (F.length("text") + TOKENS * 4).alias("n_bytes")), "id"), "leftover")
+    members = keep(members.join(whole.select("id", (F.length("text") + TOKENS * 4 + F.size("nodes") * 8).alias("n_bytes")), "id"), "leftover")
     per_part = members.groupBy("node", "part").agg(F.sum("n_bytes").alias("n"))
     per_node = keep(per_part.groupBy("node").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("total")), "nodes")
     known = members.join(per_node, "node").withColumn("other", F.col("part") != F.col("main.part"))
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     some, chunks = (F.greatest(F.ceil(n / SIDE_BYTES), F.lit(1)) for n in (F.col("total") - F.col("main.n"), F.col("total")))
-    last = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    left = known.where("other").select("node", deal(some).alias("block"), last(chunks).alias("chunk"), "id", "part", "other", F.lit(True).alias("one"))
-    right = known.select("node", last(some).alias("block"), deal(chunks).alias("chunk"), "id", "part", "other", F.lit(False).alias("one"))
-    met, member = left.union(right).join(whole, "id"), F.struct("id", "part", "other", "tokens", "text")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n.cast("int") - 1), f)
+    place = lambda block, chunk, one: F.struct(block.alias("block"), chunk.alias("chunk"), F.lit(one).alias("one"))
+    left, right = each(chunks, lambda c: place(deal(some), c, True)), each(some, lambda b: place(b, deal(chunks), False))
+    dealt = known.select("node", F.explode(F.when(F.col("other"), F.concat(left, right)).otherwise(right)).alias("at"), "id", "part", "other")
+    met, member = dealt.select("node", "at.*", "id", "part", "other").join(whole, "id"), F.struct("id", "part", "other", "tokens", "text", "nodes")
     sides = (F.collect_list(F.when(side, member)).alias(name) for side, name in ((F.col("one"), "some"), (~F.col("one"), "all_")))
-    return met.groupBy("node", "block", "chunk").agg(*sides).select("some", "all_")
+    return met.groupBy("node", "block", "chunk").agg(*sides).select("node", "some", "all_")
 
 
 def _links_between(k: int, num: int, den: int):
     """Links of a block with a chunk of one node across components, as many as join components. Tokens sieve the pairs,
-    hashes of all shingles decide."""
+    hashes of all shingles decide. Near copies meet in nodes of all trees: each pair is decided in one of the nodes that its
+    documents share, which their ids choose."""
     share = num / den + (1 - num / den) / 256
     least = share * TOKENS - SURE * (TOKENS * share * (1 - share)) ** 0.5
 
-    def found(x: list[dict], y: list[dict], powers: Powers) -> Iterator[tuple[int, int]]:
+    def found(node: int, x: list[dict], y: list[dict], powers: Powers) -> Iterator[tuple[int, int]]:
         (p, _, s), (q, other, t) = ((np.array([m["part"] for m in z]), np.array([m["other"] for m in z]), np.frombuffer(b"".join(m["tokens"] for m in z), np.uint32).reshape(-1, TOKENS).astype(np.uint8)) for z in (x, y))
         sets: dict[int, np.ndarray] = {}
         root: dict[int, int] = {}
@@ -166,10 +172,13 @@ def _links_between(k: int, num: int, den: int):
             return part
 
         for a, one in enumerate(x):
-            able = ((t == s[a]).sum(axis=1) >= least) & (q != p[a])
+            able, own = ((t == s[a]).sum(axis=1) >= least) & (q != p[a]), set(one["nodes"])
             for b in np.flatnonzero(able).tolist():
                 two = y[b]
-                if (not other[b] or one["id"] < two["id"]) and (u := top(one["part"])) != (v := top(two["part"])):
+                if other[b] and one["id"] > two["id"]:
+                    continue
+                shared = [n for n in two["nodes"] if n in own]
+                if shared[(one["id"] + two["id"]) % len(shared)] == node and (u := top(one["part"])) != (v := top(two["part"])):
                     left, right = kinds(one), kinds(two)
                     both = len(np.intersect1d(left, right, assume_unique=True))
                     if den * both >= num * (len(left) + len(right) - both):
@@ -179,8 +188,8 @@ def _links_between(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for some, all_ in zip(*batch.columns, strict=True):
-                pairs = list(found(some.as_py(), all_.as_py(), powers))
+            for node, some, all_ in zip(*batch.columns, strict=True):
+                pairs = list(found(node.as_py(), some.as_py(), all_.as_py(), powers))
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -214,7 +223,7 @@ def near_duplicates(
     in each of twelve trees: a node chooses one or two of the 128 minwise tokens (1 / similarity on average, so that a
     pair at the threshold keeps meeting) and its documents part by the values of these. Every node compares its members with
     one hub, the member with the most company. Nodes larger than SMALL that still hold several components branch again; those
-    that hold one don't, so that a large group of near copies isn't carried down all trees. Then small nodes that
+    that hold one don't, so that a large group of near copies isn't carried down all trees; two branchings are taken at once. Then small nodes that
     still hold several components are compared exhaustively, across components, and so are large ones that DEPTH
     branchings didn't part, in blocks over many tasks, so that no candidate is ever capped. One-bit tokens sieve the candidates;
     every link is confirmed on the full sets. Work is linear in a group of copies: members that a confirmed link has
@@ -292,25 +301,26 @@ def near_duplicates(
         if len(levels) == 1:
             parts = merge(None, confirm(stars(levels[0])[1].union(alike)))
         large = levels[-1].where(F.col("size") > SMALL)
-        if len(levels) > DEPTH or large.isEmpty():
+        if len(levels) > DEPTH // STRIDE or large.isEmpty():
             break
         # Tokens are joined once for a document, not for each of its nodes, of which there are 12 * 2 ** DEPTH at most.
         carried = brief(unsettled(large, parts).groupBy("id").agg(F.collect_list("node").alias("nodes")), "carried")
-        members = carried.join(classes.select("id", "tokens"), "id").select("nodes", "id", "tokens").mapInArrow(_branch(False, second), _MEMBER)
+        members = carried.join(classes.select("id", "tokens"), "id").select("nodes", "id", "tokens").mapInArrow(_branch(False, second, STRIDE), _MEMBER)
     if len(levels) > 1:
-        below = unsettled(reduce(DataFrame.union, levels[1:]), parts)
+        below = brief(unsettled(reduce(DataFrame.union, levels[1:]), parts), "below")
         parts = merge(parts, confirm(stars(below)[1]))
 
-    leaves = reduce(DataFrame.union, [*(x.where(F.col("size") <= SMALL) for x in levels)])
-    small = unsettled(leaves, parts).groupBy("node").agg(F.collect_list(F.struct("id", "part", "bits")).alias("members")).select("members")
-    parts = merge(parts, confirm(small.mapInArrow(_pairs_in_small, "a long, b long")))
-
-    if not large.isEmpty():
-        left_over = brief(unsettled(large, parts).select("node", "id", "part"), "rest")
-        wanted = only_ids(texts, left_over.select("id").distinct(), "id").dropDuplicates(["id"])
-        whole = brief(wanted.join(classes.select("id", "tokens"), "id"), "whole")
-        links = _blocks(left_over, whole, brief).mapInArrow(_links_between(shingle, num, den), "a long, b long")
-        parts = merge(parts, confirm(links))
+    leaves = reduce(DataFrame.union, [*(x.where(F.col("size") <= SMALL) for x in levels), large])
+    rest = brief(unsettled(leaves, parts).select("node", "id", "bits", "size", "part"), "rest")
+    small = rest.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("id", "part", "bits")).alias("members")).select("members")
+    links = small.mapInArrow(_pairs_in_small, "a long, b long")
+    left_over = rest.where(F.col("size") > SMALL).select("node", "id", "part")
+    if not left_over.isEmpty():
+        nodes = brief(left_over.groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("nodes")), "shared")
+        wanted = only_ids(texts, nodes.select("id"), "id").dropDuplicates(["id"])
+        whole = brief(wanted.join(classes.select("id", "tokens"), "id").join(nodes, "id"), "whole")
+        links = links.union(_blocks(left_over, whole, brief).mapInArrow(_links_between(shingle, num, den), "a long, b long"))
+    parts = merge(parts, confirm(links))
     release(*levels, *passing)
 
     heads = classes.where("copies > 1").select("sequence", F.col("id").alias("head"))

@@ -2,6 +2,7 @@ from itertools import combinations
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 
 from terralode.llm import neardup
 from terralode.llm.components import connected_components
@@ -138,3 +139,39 @@ def test_documents_branch_once_with_all_their_nodes(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=3, similarity=(85, 100)).collect()}
     assert got == groups(rows, 3, 85, 100)
     assert len(given) > 1 and all(n == ids <= len(rows) for n, ids in given)
+
+
+def test_pairs_that_meet_in_many_nodes_are_decided_in_one():
+    """Near copies that share three large nodes: each pair's link is given by one node, not by all of them."""
+    texts = {i: " ".join(f"w{j}" for j in range(60)) for i in (1, 2, 3)}
+    member = lambda i, part, nodes: {"id": i, "part": part, "other": True, "tokens": bytes(512), "text": texts[i].encode(), "nodes": nodes}
+    members = [member(1, 1, [5, 7, 9]), member(2, 2, [5, 7, 9]), member(3, 3, [7, 8])]
+    struct = pa.list_(pa.struct([("id", pa.int64()), ("part", pa.int64()), ("other", pa.bool_()), ("tokens", pa.binary()), ("text", pa.binary()), ("nodes", pa.list_(pa.int64()))]))
+    at = {n: [m for m in members if n in m["nodes"]] for n in (5, 7, 8, 9)}
+    blocks = pa.RecordBatch.from_arrays([pa.array(list(at)), *(pa.array(list(at.values()), struct) for _ in range(2))], names=["node", "some", "all_"])
+    out = [tuple(p.values()) for batch in neardup._links_between(3, 85, 100)(iter([blocks])) for p in batch.to_pylist()]
+    assert sorted(out) == [(1, 2), (1, 3), (2, 3)] or sorted(out) == [(1, 2), (1, 3)]
+
+
+def test_near_copies_that_no_hub_settles_are_not_carried_down_level_by_level(spark, monkeypatch):
+    """A family of which a part stays apart: few levels, and the rows joined by node are few for each document."""
+    live = []
+
+    def counted(df, name="table"):
+        out = plain(df, name)
+        if name == "live":
+            live.append(out.count())
+        return out
+
+    plain = neardup.stash
+    monkeypatch.setattr(neardup, "stash", counted)
+    rng, rows = Random(11), []
+    for c in range(200):
+        words = [f"w{i}" for i in range(120)]
+        for _ in range(rng.choice((0, 1, 2, 6, 9))):
+            words[rng.randrange(120)] = f"c{c}_{rng.randrange(99)}"
+        rows.append((c, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=3, similarity=(85, 100)).collect()}
+    assert got == groups(rows, 3, 85, 100) and len(set(got.values())) > 1
+    assert 1 < len(live) <= 3 and sum(live) <= 40 * len(rows)
